@@ -12,6 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Arrow batches are of so many bytes; operators make temporaries of some ten times that.
+BATCH_BYTES = "4m"
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -130,7 +133,9 @@ def arrow_rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 def pick(df: DataFrame, **columns) -> DataFrame:
     """Only the named columns, as given types; a column that is missing is null. Other columns of df, whatever they are
-    called, take no part."""
+    called, take no part. Python workers get the rows in Arrow batches of a few MB, so that their memory is bounded by
+    that or by one row."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     have = {c.lower(): c for c in df.columns}
     return df.select(*[(F.col(f"`{have[n]}`") if n in have else F.lit(None)).cast(t).alias(n) for n, t in columns.items()])
 

@@ -21,12 +21,48 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from almanac.llm import lm_bloom
+
+    return lm_bloom.score(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from almanac.llm import mixing
 
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_dsir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from almanac.llm import dsir
+
+    return dsir.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from almanac.llm import host_rules
+
+    return host_rules.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from almanac.llm import html_blocks
+
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from almanac.llm import itq
+
+    return itq.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_skipchain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from almanac.llm import skipchain
+
+    return skipchain.find(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from almanac.llm import bpe
 
@@ -46,10 +82,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op8_bpe, op9_simhash_vptree, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_lm_bloom, op2_mixing, op3_dsir, op4_host_rules, op5_html_blocks, op6_itq, op7_skipchain, op8_bpe, op9_simhash_vptree, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from almanac.llm import line_runs
+    from almanac.llm import host_rules, line_runs
 
-    return {"op10_line_dedup": line_runs.ORACLE}
+    return {"op4_host_rules": host_rules.ORACLE, "op10_line_dedup": line_runs.ORACLE}

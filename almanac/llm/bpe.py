@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import pick
+from almanac.llm.common import pick, scratch
 
 #: The lexicon holds at most so many words, so what is broadcast is bounded at about LEXICON_WORDS * 60 bytes.
 LEXICON_WORDS = 50_000
@@ -275,8 +275,8 @@ class Codec:
 
 
 def frequent_words(docs: DataFrame, most: int) -> list[str]:
-    """The `most` most frequent words, leading space included, of all texts; ties by word. Counted first in each batch,
-    so a word meets the shuffle once for each batch at most."""
+    """The most frequent words of all texts, `most` of them at most. Counted first in each batch, so a word meets the
+    shuffle once for each batch at most."""
 
     def run(batches):
         for batch in batches:
@@ -286,8 +286,16 @@ def frequent_words(docs: DataFrame, most: int) -> list[str]:
             keep = pc.and_(pc.less(pc.binary_length(w), LONG_WORD), pc.match_substring_regex(w, "^\\p{L}+$"))
             yield pa.RecordBatch.from_arrays([w.filter(keep).cast(pa.string()), n.filter(keep)], ["w", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(most).collect()]
+    counted = scratch(docs.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
+    # words by their count's size, from the greatest: the driver gets those of the sizes that fit the bound and no others
+    size = F.floor(8 * F.log2("n"))
+    tally = sorted(((r["size"], r["words"]) for r in counted.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    least, total = None, 0
+    for k, words in tally:
+        if total + words > most:
+            break
+        least, total = k, total + words
+    return [] if least is None else [r["w"] for r in counted.where(size >= least).select("w").collect()]
 
 
 def lexicon_of(docs: DataFrame, vocabulary: Vocabulary, most: int = LEXICON_WORDS) -> bytes:

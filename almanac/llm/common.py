@@ -102,7 +102,7 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hash_slices(data: np.ndarray, offsets: np.ndarray, seed: int = 0, chunk: int = 1 << 22) -> np.ndarray:
+def hash_slices(data: np.ndarray, offsets: np.ndarray, seed: int = 0, chunk: int = 1 << 19) -> np.ndarray:
     """A 64-bit hash of each of the adjoining slices of data that offsets bound: random weights by position, summed
     modulo 2**64 and mixed. Two different strings meet with a chance of about 2**-56."""
     n = len(offsets) - 1

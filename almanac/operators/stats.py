@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +19,6 @@ def normal_p(t: Column) -> Column:
 
 def student_p(t: Column, df: Column) -> Column:
     """Two-sided p-value of Student's t, by an Arrow function around the incomplete beta's continued fraction."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def p(t: pd.Series, df: pd.Series) -> pd.Series:
         return pd.Series([math.nan if x is None or n is None or math.isnan(x) or not n > 0 else incomplete_beta(n / 2, 0.5, n / (n + x * x)) for x, n in zip(t, df, strict=True)])

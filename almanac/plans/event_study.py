@@ -164,7 +164,8 @@ def timing_buckets(spark, sf):
     return table(spark, sf, "events").groupBy(cal.timing_bucket("ts").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query(f"""{EVENTS}, s AS (SELECT al.event_id, (a.px / p.px - 1) AS pre, (b.px / a.px - 1) AS post FROM al JOIN pi a ON al.ticker = a.ticker AND al.idx = a.idx JOIN pi p ON al.ticker = p.ticker AND al.idx - 5 = p.idx JOIN pi b ON al.ticker = b.ticker AND al.idx + 5 = b.idx)
+@query(f"""{EVENTS}, near AS (SELECT ticker, idx, px, lag(px, 5) OVER w AS earlier, lead(px, 5) OVER w AS later FROM pi WINDOW w AS (PARTITION BY ticker ORDER BY idx)),
+s AS (SELECT px / earlier - 1 AS pre, later / px - 1 AS post FROM al JOIN near USING (ticker, idx) WHERE earlier IS NOT NULL AND later IS NOT NULL)
 SELECT CASE WHEN abs(pre) > 1e-6 AND abs(post) > 1e-6 THEN CASE WHEN sign(pre) = sign(post) THEN 'momentum' ELSE 'reversal' END ELSE 'flat' END AS pattern, count(*) AS n, round(avg(post), 6) AS mean_post FROM s GROUP BY 1""")
 def momentum_reversal(spark, sf):
     i = index(spark, sf)

@@ -49,7 +49,8 @@ def strategy_cost_grid(spark, sf):
     return g.groupBy("strategy", "bps").agg(F.count("*").alias("n"), F.round(F.avg(net), 6).alias("mean_net"), F.round(F.avg(F.when(net > 0, 1.0).otherwise(0.0)), 6).alias("win_rate"))
 
 
-@query(f"""{EVENTS}, e AS (SELECT al.*, dl FROM al CROSS JOIN (SELECT CAST(unnest([0, 1, 2]) AS BIGINT) AS dl)), x AS (SELECT dl AS delay, CASE direction WHEN 'positive' THEN 1 WHEN 'negative' THEN -1 ELSE 0 END * (b.px / a.px - 1) - CASE WHEN dl > 0 THEN 5 / 10000.0 ELSE 0 END - 20 / 10000.0 AS net FROM e JOIN pi a ON e.ticker = a.ticker AND e.idx + dl = a.idx JOIN pi b ON e.ticker = b.ticker AND e.idx + dl + 5 = b.idx)
+@query(f"""{EVENTS}, d AS (SELECT CAST(unnest([0, 1, 2]) AS BIGINT) AS dl), f AS (SELECT ticker, idx - dl AS idx, dl, lead(px, 5) OVER (PARTITION BY ticker, dl ORDER BY pi.idx) / px - 1 AS r FROM pi CROSS JOIN d),
+x AS (SELECT dl AS delay, CASE direction WHEN 'positive' THEN 1 WHEN 'negative' THEN -1 ELSE 0 END * r - CASE WHEN dl > 0 THEN 5 / 10000.0 ELSE 0 END - 20 / 10000.0 AS net FROM al JOIN f USING (ticker, idx) WHERE r IS NOT NULL)
 SELECT delay, count(*) AS n, round(avg(net), 6) AS mean_net FROM x GROUP BY 1""")
 def execution_delay(spark, sf):
     from almanac.operators import calendar as cal

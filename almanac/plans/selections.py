@@ -55,7 +55,7 @@ def greedy_non_overlap(spark, sf):
     return select.non_overlapping(recommendations(spark, sf), ["creator", "ticker"], "event_date", 180)
 
 
-@query("""WITH RECURSIVE m AS (SELECT DISTINCT user_id, CAST(epoch(ts) AS BIGINT) // 3600 AS p FROM events), a AS (SELECT user_id, min(p) AS anchor FROM m GROUP BY 1 UNION ALL SELECT user_id, anchor FROM (SELECT m.user_id, min(m.p) AS anchor FROM a JOIN m ON a.user_id = m.user_id AND m.p > a.anchor + 24 GROUP BY m.user_id, a.anchor) z)
+@query("""WITH RECURSIVE m AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS p FROM events), a AS (SELECT user_id, min(p) AS anchor FROM m GROUP BY 1 UNION ALL SELECT user_id, anchor FROM (SELECT m.user_id, min(m.p) AS anchor FROM a JOIN m ON a.user_id = m.user_id AND m.p > a.anchor + 24 GROUP BY m.user_id, a.anchor) z)
 SELECT m.user_id, m.p, max(a.anchor) AS anchor FROM m JOIN a ON m.user_id = a.user_id AND a.anchor <= m.p GROUP BY 1, 2""")
 def anchor_clusters(spark, sf):
     m = table(spark, sf, "events").select("user_id", F.floor(F.unix_timestamp("ts") / 3600).alias("p")).distinct()

@@ -20,7 +20,7 @@ def _folder(spark) -> str:
 
 def _stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need instants
 
 
 def _run(spark, stream):

@@ -53,7 +53,7 @@ def mention_density(spark, sf):
     return _lowered(spark, sf).select("doc_id", count("[a-z0-9]+").alias("words"), count("[0-9]+").alias("numbers")).withColumn("density", F.round(F.try_divide("numbers", "words"), 6))
 
 
-@query(f"""WITH {_T}, p AS (SELECT doc_id, t, strpos(t, 'license') AS at FROM t) SELECT doc_id, at, substr(t, greatest(1, at - 80), at + 80 - greatest(1, at - 80)) AS context FROM p WHERE at > 0""")
+@query(f"""WITH {_T}, p AS (SELECT doc_id, t, strpos(t, 'license') AS found FROM t) SELECT doc_id, found AS "at", substr(t, greatest(1, found - 80), found + 80 - greatest(1, found - 80)) AS context FROM p WHERE found > 0""")
 def context_window(spark, sf):
     p = _lowered(spark, sf).withColumn("at", F.instr("t", "license").cast("long")).where("at > 0")
     return p.select("doc_id", "at", text.context(F.col("t"), F.col("at")).alias("context"))

@@ -79,7 +79,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     def run(batches):
         for batch in batches:
             doc, b = features(batch.column("text"))
-            w = np.bincount(doc, sent.value[b], minlength=len(batch))
+            w = np.bincount(doc, sent.value[b], minlength=len(batch)).astype(float)  # whole numbers if no text has a word
             n = np.bincount(doc, minlength=len(batch))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w), pa.array(n.astype(np.int64))], [*batch.schema.names, "log_weight", "n_features"])
 

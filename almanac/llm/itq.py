@@ -57,7 +57,7 @@ class Codes:
 
 def plan(n: int, bits: int, threshold: float, recall: float) -> tuple[int, int]:
     """Substring width, such that a bucket of vectors apart from each other stays near a chunk, and number of tables."""
-    width = max(4, min(bits, 24, round(math.log2(max(2, n / 128)))))
+    width = min(bits, max(4, min(24, round(math.log2(max(2, n / 128))))))
     agree = 1 - math.acos(threshold) / math.pi
     return width, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**width)))
 

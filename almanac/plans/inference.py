@@ -121,23 +121,33 @@ def newey_west_alpha(spark, sf):
 @query(f"""{EVENTS}, m AS (SELECT al.event_id, d.ret, d.bret FROM al JOIN daily d ON al.ticker = d.ticker AND d.idx BETWEEN al.idx - 130 AND al.idx - 1 WHERE al.event_id % 10 = 0)
 SELECT event_id, count(*) AS n, round(regr_slope(ret, bret), 4) AS beta, round(regr_intercept(ret, bret), 4) AS alpha FROM m WHERE ret IS NOT NULL AND bret IS NOT NULL GROUP BY 1 HAVING count(*) >= 40""", name="rolling_beta")
 def rolling_beta(spark, sf):
-    """Market beta over the 130 rows before each tenth event, from running cross sums: a window's moments are the difference
-    of two rows, however long it is."""
+    """The rows of rolling_beta_all that its SQL form names, each tenth event."""
+    return rolling_beta_all(spark, sf).where("event_id % 10 = 0")
+
+
+@query()
+def rolling_beta_all(spark, sf):
+    """Market beta over the 130 rows before each event, from running cross sums: a window's moments are the difference of
+    two rows, however long it is."""
+    return betas(recommendations(spark, sf), returns.with_daily(index(spark, sf)))
+
+
+def betas(events, daily):
+    """event_id, n, beta and alpha of each event with 40 rows at least in its window; beta is null where the market stands still."""
     from pyspark.sql import Window
 
-    daily = returns.with_daily(index(spark, sf))
     run = Window.partitionBy("ticker").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     x, y = F.coalesce("bret", F.lit(0.0)), F.coalesce("ret", F.lit(0.0))
     both = F.col("ret").isNotNull() & F.col("bret").isNotNull()
     cum = daily.select("ticker", "idx", F.count_if(both).over(run).alias("c"), *[F.sum(F.when(both, e).otherwise(0.0)).over(run).alias(n) for n, e in (("sx", x), ("sy", y), ("sxx", x * x), ("sxy", x * y))])
-    ev = returns.align(recommendations(spark, sf).where("event_id % 10 = 0"), daily).where("idx is not null").select("event_id", "ticker", (F.col("idx") - 1).alias("i1"), F.greatest(F.lit(0), F.col("idx") - 131).alias("i0"))
+    ev = returns.align(events, daily).where("idx is not null").select("event_id", "ticker", (F.col("idx") - 1).alias("i1"), F.greatest(F.lit(0), F.col("idx") - 131).alias("i0"))
     names = ["c", "sx", "sy", "sxx", "sxy"]
     a = cum.select("ticker", F.col("idx").alias("i0"), *[F.col(n).alias(n + "0") for n in names])
     b = cum.select("ticker", F.col("idx").alias("i1"), *[F.col(n).alias(n + "1") for n in names])
     j = ev.join(b, ["ticker", "i1"]).join(a, ["ticker", "i0"], "left")
     d = {n: F.col(n + "1") - F.coalesce(F.col(n + "0"), F.lit(0)) for n in names}
-    slope = (d["c"] * d["sxy"] - d["sx"] * d["sy"]) / (d["c"] * d["sxx"] - d["sx"] * d["sx"])
-    out = j.select("event_id", d["c"].alias("n"), slope.alias("beta"), ((d["sy"] - slope * d["sx"]) / d["c"]).alias("alpha")).where("n >= 40")
+    slope = F.try_divide(d["c"] * d["sxy"] - d["sx"] * d["sy"], d["c"] * d["sxx"] - d["sx"] * d["sx"])
+    out = j.select("event_id", d["c"].alias("n"), slope.alias("beta"), F.try_divide(d["sy"] - slope * d["sx"], d["c"]).alias("alpha")).where("n >= 40")
     return out.select("event_id", "n", F.round("beta", 4).alias("beta"), F.round("alpha", 4).alias("alpha"))
 
 

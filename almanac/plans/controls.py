@@ -43,14 +43,24 @@ def year_stratified_shuffle(spark, sf):
 c AS (SELECT a.ticker, a.idx, date_trunc('month', a.date) AS month, round(a.px / p.px - 1, 6) AS pre FROM pi a JOIN pi p ON a.ticker = p.ticker AND a.idx - 5 = p.idx),
 x AS (SELECT event_id, c.idx AS control, row_number() OVER (PARTITION BY event_id ORDER BY abs(c.pre - t.pre), c.idx) AS r FROM t JOIN c ON t.ticker = c.ticker AND t.month = c.month AND abs(c.idx - t.idx) > 5) SELECT event_id, control FROM x WHERE r = 1""")
 def matched_control_month(spark, sf):
-    """The row of the same ticker and month, more than five rows away, whose five-step momentum is nearest."""
+    """The rows of matched_control_month_all that its SQL form names, each fifth event."""
+    return matched_control_month_all(spark, sf).where("event_id % 5 = 0")
+
+
+@query()
+def matched_control_month_all(spark, sf):
+    """Each event's control: the row of the same ticker and month, more than five rows away, whose five-step momentum is
+    nearest. Events of one ticker and trade day have one control, which is found once."""
     i = index(spark, sf)
     w = Window.partitionBy("ticker").orderBy("idx")
     pre = F.round(F.col("px") / F.lag("px", 5).over(w) - 1, 6)
     c = i.withColumn("pre", pre).where("pre is not null").select("ticker", F.trunc("date", "month").alias("month"), F.col("idx").alias("control"), F.col("pre").alias("c_pre"))
-    t = cal.offset(returns.align(aligned(spark, sf).drop("adj_date", "idx", "trade_date").where("event_id % 5 = 0"), i), i.withColumn("pre", pre), F.lit(0), {"pre": "pre"}, "inner").where("pre is not null").withColumn("month", F.trunc("trade_date", "month"))
+    e = returns.align(aligned(spark, sf).drop("adj_date", "idx", "trade_date"), i).where("idx is not null").select("event_id", "ticker", "idx", "trade_date")
+    days = e.select("ticker", "idx", "trade_date").distinct()
+    t = cal.offset(days, i.withColumn("pre", pre), F.lit(0), {"pre": "pre"}, "inner").where("pre is not null").withColumn("month", F.trunc("trade_date", "month"))
     near = t.join(c, ["ticker", "month"]).where("abs(control - idx) > 5")
-    return near.groupBy("event_id").agg(F.min_by("control", F.struct(F.abs(F.col("c_pre") - F.col("pre")), "control")).alias("control"))
+    best = near.groupBy("ticker", "idx").agg(F.min_by("control", F.struct(F.abs(F.col("c_pre") - F.col("pre")), "control")).alias("control"))
+    return e.join(best, ["ticker", "idx"]).select("event_id", "control")
 
 
 @query(f"""{EVENTS}, e AS ({_AT}), top AS (SELECT ticker FROM e GROUP BY 1 ORDER BY count(*) DESC, ticker LIMIT 5), k AS (SELECT DISTINCT ticker, ticker IN (SELECT ticker FROM top) AS top FROM e),

@@ -77,6 +77,13 @@ def or_condition_join(spark, sf):
     return a.union(s.join(c, s.s_suppkey == c.c_custkey).select("s_suppkey", "c_custkey")).distinct()
 
 
+@query("""SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey UNION SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_orderkey = c_custkey""")
+def or_condition_join_keys(spark, sf):
+    """All pairs that an OR of two key equalities gives, two for an order at most."""
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer").select("c_custkey")
+    return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_custkey").union(o.join(c, o.o_orderkey == c.c_custkey).select("o_orderkey", "c_custkey")).distinct()
+
+
 @query("""WITH c AS (SELECT c_custkey AS id, 'customer' AS kind, c_name AS name FROM customer), s AS (SELECT s_suppkey AS id, 'supplier' AS kind, s_name AS name FROM supplier), k AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'customer' ELSE 'supplier' END AS kind, o_custkey AS id FROM orders)
 SELECT o_orderkey, k.kind, coalesce(c.name, s.name) AS name FROM k LEFT JOIN c ON k.kind = c.kind AND k.id = c.id LEFT JOIN s ON k.kind = s.kind AND k.id = s.id""")
 def polymorphic_join(spark, sf):

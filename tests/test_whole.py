@@ -33,3 +33,19 @@ def test_every_event_has_its_beta(spark, days, events):
     assert any(i % 10 for i in want) and got.keys() == want.keys()
     for i, w in want.items():
         assert got[i] == pytest.approx(w, abs=6e-5)
+
+
+def test_every_event_has_its_control(spark, days, events):
+    got = {r["event_id"]: r["control"] for r in plans.queries()["matched_control_month_all"](spark, SF).collect()}
+    want = {}
+    for t, g in days.items():
+        g["pre"] = (g["px"] / g["px"].shift(5) - 1).round(6)
+        g["month"] = [(d.year, d.month) for d in g["date"]]
+    for r in events:
+        g = days[r["ticker"]]
+        own = g[g["idx"] == r["idx"]].iloc[0]
+        c = g[(g["month"] == own["month"]) & g["pre"].notna() & ((g["idx"] - r["idx"]).abs() > 5)]
+        if not np.isnan(own["pre"]) and len(c):
+            want[r["event_id"]] = min(zip((c["pre"] - own["pre"]).abs().round(9), c["idx"]))[1]
+    assert any(i % 5 for i in want) and got.keys() == want.keys()
+    assert sum(got[i] != want[i] for i in want) <= len(want) // 1000  # a tie in the last digit of a momentum

@@ -1,10 +1,12 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of words and word pairs over the whole training part are quantised to 1 + floor(log_b c) and held in one Bloom
-filter: an n-gram of level q has the q keys (n-gram, 1) ... (n-gram, q) in it. The filter, of bounded size, is broadcast; a
-worker reads a count back by probing level after level until one fails, and each level stands for the mean count that the
-corpus has there. P(w | h) interpolates the pair's share of its history with the add-half word model, by weights that
-depend on the history's level and are fitted leaving each token's own occurrence out.
+Counts of all words and word pairs of the training part are quantised to 1 + floor(log_b c) and held in one Bloom filter:
+an n-gram of level q has the q keys (n-gram, 1) ... (n-gram, q) in it. The filter grows with the keys and is a table of
+segments of bounded size, told by an n-gram's first bits. The distinct n-grams of each batch of documents go to their
+segments, where level after level is probed until one fails, and their levels come back to the batch; each level stands
+for the mean count that the corpus has there. P(w | h) interpolates the pair's share of its history with the add-half word
+model, by weights that depend on the history's level and are fitted on all training documents, leaving each token's own
+occurrence out. A token's probability follows from three levels, so what is summed for the fit is counts of level triples.
 """
 
 from __future__ import annotations
@@ -17,23 +19,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import hash_slices, pick, scratch, splitmix
+from almanac.llm.common import drop_scratch, hash_slices, pick, scratch, splitmix
 
 #: Quantisation base, hash functions a key, bits a key.
 BASE, PROBES, KEY_BITS = 1.5, 8, 12
-#: The filter's bound in bits (64 MiB): what is broadcast never exceeds it. Pairs below the least count that fits stay out.
-MOST_BITS = 1 << 29
+#: A segment of the filter has so many bits at most (8 MiB), and there are so many segments at least, a power of two.
+SEGMENT_BITS = 1 << 26
 SEGMENTS = 64
-#: Pairs seen once say nothing once their own occurrence is left out.
-LEAST_PAIR = 2
 #: Exact counts are broadcast for at most so many of the most frequent words; the others' are joined.
 EXACT_WORDS = 1 << 20
 #: A task counts so many distinct n-grams of its batches before it sends them.
 HELD = 3_000_000
-#: Interpolation weights are fitted on about so many training documents.
-FIT_DOCS = 4000
 GRID = np.array([0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 0.98, 0.99, 0.999, 1.0])
 HISTORY_LEVELS = 80
+WIDTH = HISTORY_LEVELS + 2
 
 END, START = (int(x) for x in splitmix(np.array([1, 2], np.uint64) * np.uint64(0xA0761D6478BD642F)) & ~np.uint64(1))
 
@@ -107,25 +106,30 @@ def ngram_counts(train: DataFrame) -> DataFrame:
     return rows.repartition("h").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of each n-gram, of a power of two of them."""
+    return (h >> np.uint64(32)) >> np.uint64(32 - (segments.bit_length() - 1))
+
+
 def _positions(h: np.ndarray, level: int, segment_bits: int):
+    """Places in the n-grams' own segments."""
     x = splitmix(h + np.uint64(level * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
     a, b = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
-    base = (h >> np.uint64(58)) * np.uint64(segment_bits)
     for i in range(PROBES):
-        yield base + (a + np.uint64(i) * b) % np.uint64(segment_bits)
+        yield (a + np.uint64(i) * b) % np.uint64(segment_bits)
 
 
 class LogFrequencyFilter:
-    """Reads levels back from the filter's bytes."""
+    """Reads levels back from the bytes of so many segments; 1 is for n-grams that are all of one segment."""
 
-    def __init__(self, data: bytes):
-        self.bits = np.frombuffer(data, np.uint8)
-        self.segment_bits = len(data) * 8 // SEGMENTS
+    def __init__(self, data: bytes, segments: int = SEGMENTS):
+        self.bits, self.segments = np.frombuffer(data, np.uint8), segments
+        self.segment_bits = len(data) * 8 // segments
 
     def has(self, h: np.ndarray, level: int) -> np.ndarray:
         alive = np.arange(len(h))
         x = splitmix(h + np.uint64(level * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
-        a, b, base = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1), (h >> np.uint64(58)) * np.uint64(self.segment_bits)
+        a, b, base = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1), segment_of(h, self.segments) * np.uint64(self.segment_bits)
         for i in range(PROBES):
             if not len(alive):
                 break
@@ -135,10 +139,10 @@ class LogFrequencyFilter:
         out[alive] = True
         return out
 
-    def levels(self, h: np.ndarray, lowest: int = 1) -> np.ndarray:
-        """The level of each n-gram, 0 if it isn't in. Below `lowest` no n-gram was left out, so probing starts there."""
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """The level of each n-gram, 0 if it isn't in."""
         out = np.zeros(len(h), np.int64)
-        alive, level = np.arange(len(h)), lowest
+        alive, level = np.arange(len(h)), 1
         while len(alive) and level <= HISTORY_LEVELS:
             alive = alive[self.has(h[alive], level)]
             out[alive] = level
@@ -146,101 +150,98 @@ class LogFrequencyFilter:
         return out
 
 
-def build_filter(counts: DataFrame, bits: int) -> bytes:
-    """The filter's bytes from counts(h, q): each segment is set by the task that has its n-grams, and there are SEGMENTS
-    of bits / SEGMENTS bits however many n-grams there are."""
-    segment = bits // SEGMENTS
+def filter_segments(counts: DataFrame, bits: int, segments: int = SEGMENTS) -> DataFrame:
+    """(segment, bits): the filter's segments that hold n-grams of counts(h, q), each set by the task that has them."""
+    segment = bits // segments
 
     def run(batches):
         parts: dict[int, np.ndarray] = {}
         for batch in batches:
             h = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             q = batch.column(1).to_numpy(zero_copy_only=False)
-            own = (h >> np.uint64(58)).astype(np.int64)
+            own = segment_of(h, segments).astype(np.int64)
             for s in np.unique(own):
                 some = parts.setdefault(int(s), np.zeros(segment // 8, np.uint8))
                 hs, qs = h[own == s], q[own == s]
                 for level in range(1, int(qs.max()) + 1):
                     for p in _positions(hs[qs >= level], level, segment):
-                        p = p - np.uint64(int(s) * segment)
                         np.bitwise_or.at(some, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], ["segment", "bits"])
+        for s, x in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["segment", "bits"])
+
+    own = F.shiftrightunsigned(F.shiftrightunsigned("h", 32), 32 - (segments.bit_length() - 1)).cast("int")
+    rows = counts.withColumn("segment", own).repartition(segments, "segment").select("h", "q")
+    return rows.mapInArrow(run, "segment int, bits binary")
 
-    rows = counts.withColumn("segment", F.shiftrightunsigned("h", 58).cast("int")).repartition(SEGMENTS, "segment").select("h", "q")
-    out = [bytes(segment // 8)] * SEGMENTS
-    for r in rows.mapInArrow(run, "segment int, bits binary").toLocalIterator():
+
+def build_filter(counts: DataFrame, bits: int) -> bytes:
+    """The bytes of a filter of SEGMENTS segments, for small tables."""
+    out = [bytes(bits // SEGMENTS // 8)] * SEGMENTS
+    for r in filter_segments(counts, bits).toLocalIterator():
         out[r["segment"]] = bytes(r["bits"])
     return b"".join(out)
 
 
 class Model:
-    """What a worker scores with: plain arrays and the filter's bytes."""
-
-    def __init__(self, n: int, v: int, data: bytes, means: np.ndarray, lowest_pair: int, exact_h: np.ndarray, exact_c: np.ndarray, weights: np.ndarray):
-        self.n, self.v, self.data, self.means, self.lowest_pair = n, v, data, means, lowest_pair
-        self.exact_h, self.exact_c, self.weights = exact_h, exact_c, weights
-        self.filter = None
-
-    def estimates(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Level of each distinct word; of each token's history; estimated count of each distinct pair's level."""
-        self.filter = self.filter or LogFrequencyFilter(self.data)
-        word = self.filter.levels(t.word)
-        start = int(self.filter.levels(np.array([END], np.uint64))[0])  # each text has one end, so as many starts
-        history = np.empty(len(t.kind), np.int64)
-        history[1:] = word[t.kind[:-1]]
-        history[t.starts] = start
-        pair = np.zeros(len(t.pairs), np.int64)
-        likely = (word[t.kind[t.pair_first]] > 0) & (history[t.pair_first] > 0)  # a pair is no more frequent than its parts
-        pair[likely] = self.filter.levels(t.pairs[likely], self.lowest_pair)
-        return word, history, pair
-
-    def parts(self, t: Tokens, leave_out: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token the pair's share of its history, the word model's probability and the history's level."""
-        word, history, pair = self.estimates(t)
-        own = np.maximum(self.means[0][word] - leave_out, 0)
-        p1 = (own[t.kind] + 0.5) / (self.n - leave_out + 0.5 * (self.v + 1))
-        c2 = np.maximum(self.means[1][pair[t.pair]] - leave_out, 0)
-        ch = np.maximum(self.means[0][history] - leave_out, 1)
-        return np.minimum(c2 / ch, 1.0), p1, history
-
-    def score(self, t: Tokens) -> np.ndarray:
-        p2, p1, history = self.parts(t)
-        rest = self.weights[history]
-        p = (1 - rest) * p2 + rest * p1
-        return np.bincount(t.doc, np.log10(p), minlength=t.n_docs).astype(float)
-
-
-def fit_model(train: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of train(doc_id, text), and the exact counts (h, c) of the words that it doesn't hold itself."""
-    spark = train.sparkSession
+    """What tokens are weighed with: plain arrays."""
+
+    def __init__(self, n: int, v: int, means: np.ndarray, exact_h: np.ndarray, exact_c: np.ndarray):
+        self.n, self.v, self.means, self.exact_h, self.exact_c = n, v, means, exact_h, exact_c
+
+    def parts(self, leave_out: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """By the levels of history, word and pair: the pair's share of its history, and the word model's probability."""
+        own = np.maximum(self.means[0] - leave_out, 0)
+        p1 = (own + 0.5) / (max(0, self.n - leave_out) + 0.5 * (self.v + 1))
+        c2 = np.maximum(self.means[1] - leave_out, 0)
+        ch = np.maximum(self.means[0] - leave_out, 1)
+        return np.minimum(c2[None, None, :] / ch[:, None, None], 1.0), p1[None, :, None]
+
+    def logs(self, triples: np.ndarray) -> np.ndarray:
+        """The logarithm of P(w | h) by triple of levels, with weights fitted on the training tokens' counts by triple."""
+        often, (p2, p1) = triples.reshape(WIDTH, WIDTH, WIDTH), self.parts(leave_out=1)
+        gains = np.stack([(often * np.log10((1 - rest) * p2 + rest * p1)).sum(axis=(1, 2)) for rest in GRID], axis=1)
+        weights = np.where(gains.any(axis=1), GRID[gains.argmax(axis=1)], 1.0)
+        weights[0] = 1.0  # no history
+        (p2, p1), rest = self.parts(), weights[:, None, None]
+        return np.log10((1 - rest) * p2 + rest * p1).ravel()
+
+
+def codes_of(t: Tokens, levels: np.ndarray) -> np.ndarray:
+    """Each token's triple of levels as one number, from the levels of t's distinct words and pairs."""
+    word, found = levels[: len(t.word)], levels[len(t.word) :]
+    history = np.empty(len(t.kind), np.int64)
+    history[1:] = word[t.kind[:-1]]
+    history[t.starts] = word[-1]  # each text has one end, so as many starts
+    likely = (word[t.kind[t.pair_first]] > 0) & (history[t.pair_first] > 0)  # a pair is no more frequent than its parts
+    pair = np.where(likely, found, 0)
+    return (history * WIDTH + word[t.kind]) * WIDTH + pair[t.pair]
+
+
+def fit_model(train: DataFrame, segment_bits: int = SEGMENT_BITS) -> tuple[Model, DataFrame, DataFrame, int]:
+    """The model of train(text), the exact counts (h, c) of the words that it doesn't hold itself, and the filter's
+    segments and their number."""
     bounds = [math.ceil(BASE**q - 1e-9) for q in range(1, HISTORY_LEVELS) if BASE**q < 2**62]
     # 1 + the number of bounds that a count reaches: whole numbers are compared, no logarithm rounds
     level = F.expr("1 + " + " + ".join(f"cast(c >= {b}L as int)" for b in bounds))
-    counted = ngram_counts(train).where(f"h % 2 = 0 or c >= {LEAST_PAIR}")
-    counts = scratch(counted.withColumn("q", level), "ngrams")
+    counts = scratch(ngram_counts(train).withColumn("q", level), "ngrams")
     pair = (F.col("h") % 2 != 0).cast("int")
-    tally = counts.groupBy(pair.alias("pair"), "q").agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.min("c").alias("low")).collect()
+    tally = counts.groupBy(pair.alias("pair"), "q").agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()
     words = {r["q"]: r for r in tally if r["pair"] == 0}
     pairs = {r["q"]: r for r in tally if r["pair"] == 1}
     n, v = sum(r["c"] for r in words.values()), sum(r["n"] for r in words.values())
 
-    # pairs from the least level that lets the filter keep its bound; every count of that level and above is in
-    fixed, least = sum(q * r["n"] for q, r in words.items()), 1
-    while (events := fixed + sum(q * r["n"] for q, r in pairs.items() if q >= least)) * KEY_BITS > MOST_BITS and least <= HISTORY_LEVELS:
-        least += 1
-    unit = 8 * SEGMENTS
-    bits = min(MOST_BITS, max(unit, math.ceil(events * KEY_BITS / unit) * unit))
-    kept = counts.where((pair == 0) | (F.col("q") >= least))
-    data = build_filter(kept.select("h", "q"), bits)
-    means = np.zeros((2, HISTORY_LEVELS + 2))
+    keys, segments = sum(r["q"] * r["n"] for r in tally), SEGMENTS
+    while keys * KEY_BITS > segments * segment_bits:
+        segments *= 2
+    bits = 8 * segments * max(1, math.ceil(keys * KEY_BITS / (8 * segments)))
+    held = scratch(filter_segments(counts.select("h", "q"), bits, segments), "filter")
+    means = np.zeros((2, WIDTH))
     for k, rows in enumerate((words, pairs)):
-        for q in range(1, HISTORY_LEVELS + 2):
+        for q in range(1, WIDTH):
             means[k, q] = rows[q]["c"] / rows[q]["n"] if q in rows else 0
-        for q in range(1, HISTORY_LEVELS + 2):  # a level that no n-gram has is met by a false probe alone
+        for q in range(1, WIDTH):  # a level that no n-gram has is met by a false probe alone
             if q not in rows:
                 means[k, q] = means[k, q - 1]
-    lowest_pair = max(least, min(pairs, default=1))
-    means[1, :lowest_pair] = 0
 
     # exact counts of frequent words: the least level whose words and those above fit the bound
     cut = HISTORY_LEVELS + 1
@@ -249,39 +250,70 @@ def fit_model(train: DataFrame) -> tuple[Model, DataFrame]:
     exact = counts.where((pair == 0) & (F.col("q") >= cut)).select("h", "c").toArrow()
     exact_h, exact_c = exact["h"].to_numpy().astype(np.int64).view(np.uint64), exact["c"].to_numpy().astype(np.int64)
     order = np.argsort(exact_h)
-    exact_h, exact_c = exact_h[order], exact_c[order]
-    rare = counts.where((pair == 0) & (F.col("q") < cut)).select("h", "c")
+    rare = scratch(counts.where((pair == 0) & (F.col("q") < cut)).select("h", "c"), "rare")
+    drop_scratch(counts)
+    return Model(n, v, means, exact_h[order], exact_c[order]), rare, held, segments
 
-    model = Model(n, v, data, means, lowest_pair, exact_h, exact_c, np.ones(HISTORY_LEVELS + 2))
-    sent = spark.sparkContext.broadcast(model)
-    share = min(1.0, FIT_DOCS / max(1, train.count()))
-    sample = train.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("text")
 
-    def gain(batches):
-        sums = np.zeros((HISTORY_LEVELS + 2, len(GRID)))
+ASKED = "bid long, at long, kind int, data binary, rid long, doc_id long, held_out boolean, text string"
+NAMES = [x.split()[0] for x in ASKED.split(", ")]
+
+
+def ask(docs: DataFrame, segments: int) -> DataFrame:
+    """docs(rid, doc_id, held_out, text) in batches `bid`: a row for each document (kind 1, at its place) and for each
+    segment that has some of the batch's distinct n-grams (kind 0, at the segment), with their hashes."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 33
+        for k, batch in enumerate(batches):
+            n = len(batch)
+            if not n:
+                continue
+            t = Tokens(batch.column("text"))
+            h = np.concatenate([t.word, t.pairs])
+            own = segment_of(h, segments).astype(np.int64)
+            order = np.argsort(own, kind="stable")
+            some, start = np.unique(own[order], return_index=True)
+            data = [x.tobytes() for x in np.split(h[order], start[1:])]
+            m = len(some)
+            blank = lambda kind, size: pa.nulls(size, kind)
+            bid = lambda size: pa.array(np.full(size, first + k, np.int64))
+            yield pa.RecordBatch.from_arrays([bid(m), pa.array(some), pa.array(np.zeros(m, np.int32)), pa.array(data, pa.binary()), blank(pa.int64(), m), blank(pa.int64(), m), blank(pa.bool_(), m), blank(pa.string(), m)], NAMES)
+            yield pa.RecordBatch.from_arrays([bid(n), pa.array(np.arange(n)), pa.array(np.ones(n, np.int32)), blank(pa.binary(), n), *(batch.column(c) for c in NAMES[4:])], NAMES)
+
+    return docs.select(*NAMES[4:]).mapInArrow(run, ASKED)
+
+
+def answer(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(bid, at, data): the levels of what asked(bid, at, data) has of each segment, a byte for each n-gram. A segment
+    comes before what is asked of it, so a task holds one at a time."""
+
+    def run(batches):
+        at, reader = None, None
         for batch in batches:
-            t = Tokens(batch.column(0))
-            p2, p1, history = sent.value.parts(t, leave_out=1)
-            for j, rest in enumerate(GRID):
-                sums[:, j] += np.bincount(history, np.log10((1 - rest) * p2 + rest * p1), minlength=len(sums))[: len(sums)]
-        some = np.flatnonzero(sums.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(list(sums[some]), pa.list_(pa.float64()))], ["level", "gains"])
+            out = []
+            for bid, s, data in zip(*(batch.column(c).to_pylist() for c in ("bid", "at", "data")), strict=True):
+                if s != at:
+                    at, reader = s, None
+                if bid is None:
+                    reader = LogFrequencyFilter(data, 1)
+                    continue
+                h = np.frombuffer(data, np.uint64)
+                levels = reader.levels(h) if reader else np.zeros(len(h), np.int64)
+                out.append((bid, s, levels.astype(np.uint8).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bid", "at", "data"])
 
-    total = np.zeros((HISTORY_LEVELS + 2, len(GRID)))
-    gains = sample.mapInArrow(gain, "level long, gains array<double>").select("level", F.posexplode("gains").alias("j", "g"))
-    for r in gains.groupBy("level", "j").agg(F.sum("g").alias("g")).collect():
-        total[r["level"], r["j"]] = r["g"]
-    weights = np.where(total.any(axis=1), GRID[total.argmax(axis=1)], 1.0)
-    weights[0] = 1.0  # no history
-    model.weights = weights
-    sent.unpersist()
-    return model, rare
+    both = asked.unionByName(held.select(F.lit(None).cast("long").alias("bid"), F.col("segment").cast("long").alias("at"), F.col("bits").alias("data")))
+    return both.repartition("at").sortWithinPartitions("at", F.asc_nulls_first("bid")).mapInArrow(run, "bid long, at long, data binary")
 
 
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<h:long,tf:long>>"
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, codes binary, rare array<struct<h:long,tf:long>>"
 
 
-def score(docs: DataFrame, learn=None) -> DataFrame:
+def score(docs: DataFrame, learn=None, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs(doc_id, text).
 
     Documents learn's condition holds for are learnt from: those whose crc32(doc_id as text) mod 5 is not 1, unless it is
@@ -290,15 +322,43 @@ def score(docs: DataFrame, learn=None) -> DataFrame:
     table; further columns take no part. Words are told apart by 64-bit hashes."""
     docs = pick(docs, doc_id="long", text="string")
     docs = docs.withColumn("held_out", ~learn if learn is not None else crc_of() % 5 == 1)
-    model, rare = fit_model(docs.where(~F.col("held_out")))
+    model, rare, held, segments = fit_model(docs.where(~F.col("held_out")), segment_bits)
+    asked = scratch(ask(docs.withColumn("rid", F.monotonically_increasing_id()), segments), "asked")
+    told = answer(asked.where("kind = 0").select("bid", "at", "data"), held).withColumn("kind", F.lit(0))
+    batched = asked.where("kind = 1").unionByName(told, allowMissingColumns=True).repartition("bid").sortWithinPartitions("bid", "kind", "at")
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     z = model.n + 0.5 * (model.v + 1)
     struct = pa.struct([("h", pa.int64()), ("tf", pa.int64())])
 
-    def run(batches):
+    def whole(batches):
+        """The rows of one bid after another."""
+        held = []
         for batch in batches:
+            bid = batch.column("bid").to_numpy()
+            cuts = [0, *(np.flatnonzero(bid[1:] != bid[:-1]) + 1).tolist(), len(bid)]
+            for start, end in zip(cuts, cuts[1:]):
+                if start == end:
+                    continue
+                if held and held[0].column("bid")[0].as_py() != bid[start]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(batches):
+        for table in whole(batches):
+            own = pc.equal(table.column("kind"), 1)
+            levels = np.frombuffer(b"".join(table.filter(pc.invert(own)).column("data").to_pylist()), np.uint8).astype(np.int64)
+            batch = table.filter(own).combine_chunks().to_batches()[0]
             t = Tokens(batch.column("text"))
+            order = np.argsort(segment_of(np.concatenate([t.word, t.pairs]), segments), kind="stable")  # as they were asked for
+            by_place = np.empty_like(levels)
+            by_place[order] = levels
+            codes = codes_of(t, by_place).astype(np.int32)
+            bounds = np.concatenate([[0], np.cumsum(t.n_tokens)]) * 4
+            coded = pa.Array.from_buffers(pa.binary(), t.n_docs, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(codes.tobytes())])
             m = sent.value
             at = np.minimum(np.searchsorted(m.exact_h, t.word), max(0, len(m.exact_h) - 1))
             known = m.exact_h[at] == t.word if len(m.exact_h) else np.zeros(len(t.word), bool)
@@ -310,10 +370,37 @@ def score(docs: DataFrame, learn=None) -> DataFrame:
             key, tf = np.unique(key, return_counts=True)
             offsets = np.searchsorted(key, np.arange(t.n_docs + 1) * len(t.word)).astype(np.int32)
             pairs = pa.StructArray.from_arrays([pa.array(t.word[key % len(t.word)].view(np.int64)), pa.array(tf.astype(np.int64))], fields=list(struct))
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("held_out"), pa.array(t.n_tokens.astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(m.score(t)), pa.ListArray.from_arrays(pa.array(offsets), pairs)], [x.split()[0] for x in SCORED.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("held_out"), pa.array(t.n_tokens.astype(np.int64)), pa.array(n_known), pa.array(base), coded, pa.ListArray.from_arrays(pa.array(offsets), pairs)], [x.split()[0] for x in SCORED.split(", ")])
+
+    placed = scratch(batched.mapInArrow(run, SCORED), "placed")
+    drop_scratch(asked)
+
+    def flat(column) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens' codes, and how many each text has."""
+        return np.frombuffer(b"".join(column.to_pylist()), np.int32), pc.binary_length(column).to_numpy() // 4
+
+    def tally(batches):
+        often = np.zeros(WIDTH**3, np.int64)
+        for batch in batches:
+            codes, times = np.unique(flat(batch.column(0))[0], return_counts=True)
+            often[codes] += times
+        some = np.flatnonzero(often)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(often[some])], ["code", "n"])
+
+    triples = np.zeros(WIDTH**3)
+    for r in placed.where(~F.col("held_out")).select("codes").mapInArrow(tally, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        triples[r.column("code").to_numpy()] = r.column("n").to_numpy()
+    logs = spark.sparkContext.broadcast(model.logs(triples))
+
+    def add(batches):
+        for batch in batches:
+            codes, n = flat(batch.column("codes"))
+            sums = np.bincount(np.repeat(np.arange(len(n)), n), logs.value[codes], minlength=len(n)).astype(float)
+            at = batch.schema.get_field_index("codes")
+            yield batch.set_column(at, "score", pa.array(sums))
 
-    scored = scratch(docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(run, SCORED), "scored")
-    seldom = scored.select("rid", F.explode("rare").alias("w")).select("rid", "w.h", "w.tf")
+    scored = placed.mapInArrow(add, SCORED.replace("codes binary", "score double"))
+    seldom = placed.select("rid", F.explode("rare").alias("w")).select("rid", "w.h", "w.tf")
     found = seldom.join(rare, "h", "left").withColumn("k", F.coalesce("c", F.lit(0)))
     more = found.groupBy("rid").agg(F.sum(F.when(F.col("k") > 0, F.col("tf")).otherwise(0)).alias("k_more"), F.sum(F.col("tf") * F.log10((F.col("k") + 0.5) / F.lit(z))).alias("b_more"))
     out = scored.drop("rare").join(more, "rid", "left")

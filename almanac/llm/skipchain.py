@@ -1,8 +1,8 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns find e-mail and IP addresses, card and phone numbers. A conditional random field then labels the words that could
-be part of one: neighbours in the text share a chain potential, and words of a document that are the same or have the same
-digits share a skip potential, however far apart they are. Loopy message passing spreads the labels, so a number that is
+be part of one: neighbours in the text share a chain potential, and words of a document that are the same or similar (the
+same digits, the same last digits, or those of a whole pattern span) share a skip potential, however far apart they are. Loopy message passing spreads the labels, so a number that is
 written as a phone number in one place is found where it stands bare in another. Weights are fitted by pseudo-likelihood on
 a bounded sample of documents that the patterns label.
 """
@@ -24,6 +24,8 @@ LABELS = 1 + len(KINDS)  # the first is "other"
 #: Weights are fitted on about so many documents at most.
 SAMPLE = 3000
 PASSES = 8
+#: Numbers whose last digits, so many, are the same are similar: a country's or an area's code is left out of some.
+SUFFIX = 7
 #: A word is added if it has so much belief.
 SURE = 0.9
 
@@ -104,15 +106,51 @@ class Graph:
         self.features = np.array([self._features(w) for w in self.words], float).reshape(n, self.FEATURES)
         index = [k for k, *_ in nodes]
         self.chain = [(i, i + 1) for i in range(n - 1) if index[i + 1] == index[i] + 1]
-        last: dict[str, int] = {}
-        self.skip = []
-        for i, w in enumerate(self.words):  # occurrences are linked one to the next, so edges are as many as words
-            key = _NOT_DIGIT.sub("", w)
-            key = w.lower().strip(".,;:!?\"'()<>[]{}#*$%&|") if "@" in w else key
-            if len(key) >= 4:
+        keys: list[set] = [self._keys(w) for w in self.words]
+        whole = {}  # the spans' last digits, at the spans' last words
+        first = 0
+        for start, kind, end in spans:
+            while first < n and self.spans[first][1] <= start:
+                first += 1
+            at = first
+            while at + 1 < n and self.spans[at + 1][0] < end:
+                at += 1
+            if at < n and self.spans[at][0] < end:
+                part = text[start:end]
+                keys[at] |= self._keys(part)
+                if kind and len(d := _NOT_DIGIT.sub("", part)) >= SUFFIX:
+                    whole[d[-SUFFIX:]] = at
+        edges: set[tuple[int, int]] = set()
+        last: dict = {}
+        for i in range(n):  # occurrences are linked one to the next, so edges are as many as words
+            for key in keys[i]:
                 if key in last:
-                    self.skip.append((last[key], i))
+                    edges.add((last[key], i))
                 last[key] = i
+        follows = {b for _, b in self.chain}
+        i = 0
+        while whole and i < n:  # a number that is written in some words, as a span is elsewhere
+            digits, k = _NOT_DIGIT.sub("", self.words[i]), i + 1
+            found = None
+            while not self.label[i] and k < min(n, i + 6) and k in follows and not self.label[k] and len(digits) < 15:
+                digits += _NOT_DIGIT.sub("", self.words[k])
+                k += 1
+                if len(digits) >= SUFFIX and digits[-SUFFIX:] in whole:
+                    found = k
+            if found:
+                digits = _NOT_DIGIT.sub("", "".join(self.words[i:found]))
+                edges |= {tuple(sorted((whole[digits[-SUFFIX:]], j))) for j in range(i, found)}
+            i = found or i + 1
+        self.skip = sorted(edges)
+
+    @staticmethod
+    def _keys(w: str) -> set:
+        """What a word, or a span, is linked by to others that have it."""
+        if "@" in w:
+            key = w.lower().strip(".,;:!?\"'()<>[]{}#*$%&|")
+            return {key} if len(key) >= 4 else set()
+        d = _NOT_DIGIT.sub("", w)
+        return ({d} if len(d) >= 4 else set()) | ({("last", d[-SUFFIX:])} if len(d) >= SUFFIX else set())
 
     @classmethod
     def _features(cls, w: str) -> list[float]:
@@ -182,14 +220,10 @@ def beliefs(g: Graph, w: Weights) -> np.ndarray:
 
 
 def added_spans(text: str, spans: list[tuple[int, int, int]], w: Weights) -> list[tuple[int, int, int]]:
-    """What the random field adds: runs of neighbouring words of one label that the patterns don't have, if one of them is
-    tied to a word that they do have."""
-    if not spans:
-        return []  # nothing to be consistent with
+    """What the random field adds: runs of neighbouring words of one label that the patterns don't have, by belief alone."""
     g = Graph(text, spans)
-    tied = {i for a, b in g.skip for i in (a, b) if g.label[a] or g.label[b]}
-    if not any(g.label[i] == 0 for i in tied):
-        return []
+    if g.label.all():
+        return []  # no words, or none that is open
     p = beliefs(g, w)
     best = p.argmax(axis=1)
     free = [i for i in range(len(best)) if g.label[i] == 0 and best[i] and p[i, best[i]] >= SURE]
@@ -202,14 +236,13 @@ def added_spans(text: str, spans: list[tuple[int, int, int]], w: Weights) -> lis
             runs.append([i])
     out = []
     for run in runs:
-        if tied & set(run):
-            start, end = g.spans[run[0]][0], g.spans[run[-1]][1]
-            while end > start and not text[end - 1].isalnum():
-                end -= 1
-            while start < end and not (text[start].isalnum() or text[start] in "+("):
-                start += 1
-            if start < end and not any(s < end and e > start for s, _, e in spans):
-                out.append((start, int(best[run[0]]) - 1, end))
+        start, end = g.spans[run[0]][0], g.spans[run[-1]][1]
+        while end > start and not text[end - 1].isalnum():
+            end -= 1
+        while start < end and not (text[start].isalnum() or text[start] in "+("):
+            start += 1
+        if start < end and not any(s < end and e > start for s, _, e in spans):
+            out.append((start, int(best[run[0]]) - 1, end))
     return out
 
 
@@ -264,7 +297,7 @@ def find(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
             counts, shas, alls, added = [[] for _ in KINDS], [], [], []
             for text in batch.column(1).to_pylist():
                 spans = base_spans(text) if text else []
-                more = added_spans(text, spans, w) if spans else []
+                more = added_spans(text, spans, w) if text else []
                 for k in range(len(KINDS)):
                     counts[k].append(sum(s[1] == k for s in spans))
                 shas.append(hashlib.sha256(written(spans).encode()).hexdigest())

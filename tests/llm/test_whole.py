@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from almanac.llm import lm_bloom
+from almanac.llm import lm_bloom, skipchain
 
 
 def test_pairs_seen_once_count_and_scores_do_not_depend_on_the_filters_segments(spark):
@@ -25,3 +25,22 @@ def test_pairs_seen_once_count_and_scores_do_not_depend_on_the_filters_segments(
     assert got[1000] > got[1001] + 20  # of 60 pairs each
     many = {r["doc_id"]: r["score"] for r in lm_bloom.score(df, learn=F.col("doc_id") < 1000, segment_bits=512).collect()}
     assert np.mean([abs(many[i] - got[i]) < 0.03 * abs(got[i]) for i in got]) > 0.9
+
+
+def test_similar_numbers_take_a_label_however_many_and_however_written():
+    n = skipchain.LABELS
+    w = skipchain.Weights(np.zeros((skipchain.Graph.FEATURES, n)), np.zeros((n, n)), 6 * np.eye(n))
+    for text, want in (
+        ("+49301234567 x 49301234567 y 49301234567 z 49301234567", ["49301234567"] * 3),
+        ("+1 555 010 9999 or 15550109999 or 555-010-9999, not 7777777", ["15550109999", "555-010-9999"]),
+        ("+1 555 010 9999 is what is written 555 010 9999 there", ["555 010 9999"]),
+    ):
+        assert [text[s:e] for s, _, e in skipchain.added_spans(text, skipchain.base_spans(text), w)] == want
+
+
+def test_belief_alone_adds_a_span_where_no_pattern_has_one():
+    n = skipchain.LABELS
+    unary = np.zeros((skipchain.Graph.FEATURES, n))
+    unary[8, 4] = 9  # ten or eleven digits
+    w = skipchain.Weights(unary, np.zeros((n, n)), np.zeros((n, n)))
+    assert skipchain.added_spans("call 5550109999 or 12", [], w) == [(5, 3, 15)]

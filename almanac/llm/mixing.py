@@ -18,7 +18,7 @@ from almanac.llm.common import WORD, pick, scratch
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Hash buckets of a length's documents: only the bucket in which the count ends is ranked row by row.
 BUCKETS = 256
-#: The largest gap, in words, that the dynamic programme closes; the greedy fill before it leaves less unless lengths are greater.
+#: The gap, in words, that the dynamic programme closes at least: four times the longest untaken length if that is more.
 GAP = 1 << 14
 
 
@@ -33,15 +33,15 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int =
         return counts.astype(np.int64)
     take = np.floor(counts * (budget / total)).astype(np.int64)
     rest = budget - int((take * lengths).sum())
+    gap = max(gap, 4 * int(lengths[counts > take].max()))
     for i in np.argsort(-lengths, kind="stable"):  # greatest first, until the programme can close the gap
         if rest <= gap:
             break
         more = min(int(counts[i] - take[i]), max(0, rest - gap // 2) // int(lengths[i]))
         take[i] += more
         rest -= more * int(lengths[i])
-    if rest > gap:
-        return take
-    # bounded knapsack: reach[i] is a bit set of the sums that the first i items make; items are lengths in powers of two
+    # bounded knapsack over a bit set of sums; first[x] is the item by which the sum x is made first, so what it adds to was
+    # made by items before it; items are lengths in powers of two
     items, mask = [], (1 << (rest + 1)) - 1
     for i, length in enumerate(lengths):
         left, power = min(int(counts[i] - take[i]), rest // int(length)), 1
@@ -51,17 +51,19 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int =
             left -= n
             power *= 2
     items.sort(key=lambda x: x[2])
-    reach = [1]
-    for _, _, size in items:
-        reach.append((reach[-1] | reach[-1] << size) & mask)
-        if reach[-1] >> rest & 1:
+    reach, first = 1, np.zeros(rest + 1, np.int32)
+    for k, (_, _, size) in enumerate(items):
+        new = (reach << size & mask) & ~reach
+        if new:
+            reach |= new
+            first[np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(rest // 8 + 1, "little"), np.uint8), bitorder="little"))] = k
+        if reach >> rest & 1:
             break
-    at = reach[-1].bit_length() - 1
-    for k in range(len(reach) - 1, 0, -1):
-        i, n, size = items[k - 1]
-        if not reach[k - 1] >> at & 1:
-            take[i] += n
-            at -= size
+    at = reach.bit_length() - 1
+    while at:
+        i, n, size = items[first[at]]
+        take[i] += n
+        at -= size
     return take
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from almanac.llm import lm_bloom, skipchain
+from almanac.llm import lm_bloom, mixing, skipchain
 
 
 def test_pairs_seen_once_count_and_scores_do_not_depend_on_the_filters_segments(spark):
@@ -44,3 +44,16 @@ def test_belief_alone_adds_a_span_where_no_pattern_has_one():
     unary[8, 4] = 9  # ten or eleven digits
     w = skipchain.Weights(unary, np.zeros((n, n)), np.zeros((n, n)))
     assert skipchain.added_spans("call 5550109999 or 12", [], w) == [(5, 3, 15)]
+
+
+def test_long_texts_fill_a_budget_that_a_subset_makes():
+    lengths = np.array([17_000, 17_001, 17_002, 17_003])
+    for budget in (34_001, 34_003, 34_005, 51_003):
+        take = mixing.fit_counts(lengths, np.ones(4, np.int64), budget)
+        assert (take <= 1).all() and (take * lengths).sum() == budget
+    rng = np.random.default_rng(1)
+    lengths, counts = np.unique(rng.integers(17_000, 90_000, 40)), None
+    counts = rng.integers(1, 4, len(lengths))
+    for budget in rng.integers(1_000_000, (lengths * counts).sum(), 5):
+        take = mixing.fit_counts(lengths, counts, int(budget))
+        assert (take <= counts).all() and 0 <= budget - (take * lengths).sum() < 100

@@ -2,7 +2,8 @@
 
 The first pass holds each block of a page against its length, its share of stop words and its share of text in links:
 content, boilerplate or undecided. The second lets undecided blocks, most of them short, take the label of the nearest
-decided neighbours. Elements that say what they are (nav, footer, forms, an advert's class, ...) are boilerplate whatever
+decided neighbours. Blocks in another script than the stop words', and sentences on pages whose long blocks are in none of their
+languages, are held against length and links alone. Elements that say what they are (nav, footer, forms, an advert's class, ...) are boilerplate whatever
 their text, and where a page marks its article, only blocks inside it can be content.
 """
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from almanac.llm.common import pick
 
 SHORT, MOST_LINKS, STOP_LOW, STOP_HIGH = 70, 0.5, 0.15, 0.3
+#: A page's long blocks in Latin script have a lower share of stop words if they are in another language; where stop words say nothing, content has so few links.
+STOP_OTHER, FEW_LINKS = 0.1, 0.2
 
 # Function words of four languages, and HTML's own element names.
 STOP_WORDS = frozenset(
@@ -38,6 +41,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select".split())
 BOILER_TAGS = frozenset("nav footer aside form button dialog menu head".split())
+WHOLE_TAGS = frozenset("html body main article".split())
 BOILER_NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu
     menubar breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices notification alert popup
@@ -67,6 +71,8 @@ def _kind(name: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
             key, value = key.lower(), (a or b or c).lower()
             if key in ("class", "id"):
                 names = {w for x in value.split() for w in (x, *re.split(r"[-_:]+", x))}
+                if name in WHOLE_TAGS:
+                    continue  # its names tell of what the page has, not of what it is
                 boiler |= bool(names & BOILER_NAMES) or ("header" in names and not in_main and name != "article")
                 main |= bool(names & MAIN_NAMES) and name in ("div", "section", "td")
             elif key == "role":
@@ -157,20 +163,39 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+def _size(text: str) -> int:
+    """Length, with ideographs and the like, which say more each, counted twice."""
+    return len(text) if text.isascii() else len(text) + sum(c >= "\u2e80" for c in text)
+
+
+def _other_script(text: str) -> bool:
+    letters = [c for c in text if c.isalpha()] if not text.isascii() else []
+    return 2 * sum(c >= "\u0370" for c in letters) > len(letters)
+
+
+def _stops(text: str) -> tuple[int, int]:
+    words = [w.strip(".,;:!?\"'()").lower() for w in text.split()]
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
 def classify(blocks: list[Block]) -> list[Block]:
     """Both passes; the blocks that are content."""
     marked = any(b.main and not b.boiler for b in blocks)
+    stops = {id(b): _stops(b.text) for b in blocks}
+    long = [stops[id(b)] for b in blocks if not b.boiler and not b.heading and len(b.text) >= SHORT and b.links <= FEW_LINKS * len(b.text) and not _other_script(b.text)]
+    unknown = sum(k for k, _ in long) < STOP_OTHER * sum(n for _, n in long)
     for b in blocks:
         density = b.links / len(b.text)
         if b.boiler or (marked and not b.main) or density > MOST_LINKS:
             b.label = "bad"
             continue
-        words = [w.strip(".,;:!?\"'()").lower() for w in b.text.split()]
-        stop = sum(w in STOP_WORDS for w in words) / len(words)
-        if len(b.text) < SHORT or b.heading:
+        stop = stops[id(b)][0] / stops[id(b)][1]
+        if _size(b.text) < SHORT or b.heading:
             b.label = "bad" if density > 0.3 and not marked else "?"
         elif stop >= STOP_HIGH:
             b.label = "good"
+        elif density <= FEW_LINKS and (_other_script(b.text) or (unknown and re.search(r"[.!?…]", b.text))):
+            b.label = "good"
         elif stop >= STOP_LOW or marked:
             b.label = "?"
         else:

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from almanac.llm import lm_bloom, mixing, skipchain
+from almanac.llm import html_blocks, lm_bloom, mixing, skipchain
 
 
 def test_pairs_seen_once_count_and_scores_do_not_depend_on_the_filters_segments(spark):
@@ -57,3 +57,16 @@ def test_long_texts_fill_a_budget_that_a_subset_makes():
     for budget in rng.integers(1_000_000, (lengths * counts).sum(), 5):
         take = mixing.fit_counts(lengths, counts, int(budget))
         assert (take <= counts).all() and 0 <= budget - (take * lengths).sum() < 100
+
+
+def test_pages_in_other_languages_and_names_of_the_whole_page():
+    russian = "Сегодня утром в городе открылась новая библиотека, и сотни жителей пришли посмотреть на неё. " * 2
+    polish = "Dzisiaj rano otwarto w mieście nową bibliotekę, setki mieszkańców przyszły ją obejrzeć. " * 2
+    chinese = "今天早上，这座城市的新图书馆正式开放，数百名居民前来参观，孩子们尤其喜欢二楼的阅览室和花园。"
+    for prose in (russian, polish, chinese):
+        page = f"<body><ul><li><a href=x>{prose[:30]}</a></li></ul><div><p>{prose}</p></div><div class=footer><p>{prose}</p></div></body>"
+        assert html_blocks.main_text(page) == prose.strip()
+    english = "This is the text that we have and it is about all of the things. " * 3
+    for body in ('<body class="single has-sidebar">', '<body id="page-with-comments">', '<html class="has-header"><body>', '<main class="related">', '<article class="post share">'):
+        assert html_blocks.main_text(f"{body}<p>{english}</p>") == english.strip()
+    assert html_blocks.main_text(f"<div class=sidebar><p>{english}</p></div>") == ""

@@ -5,9 +5,9 @@ A rotation is learnt on a bounded sample so that the signs of the rotated, centr
 substrings, and each substring is a key of one of the Hamming tables: vectors that agree in one substring meet, are
 compared by the Hamming distance of the whole codes, and what is near is reranked by the cosine of the original vectors.
 
-The number of tables follows from the threshold: at the cosine c two bits agree with probability 1 - acos(c) / pi, and
-enough tables are taken for a pair at the threshold itself to meet with probability `recall`; nearer pairs meet more
-surely. Buckets of any size are cut into chunks that meet in pairs, so no task gets a bucket whole, and tasks send sums and
+The number of tables follows from the threshold: partners at that very cosine are made for sampled vectors, and enough
+tables are taken for them to meet with probability `recall` by the substrings of the learnt codes that they share, whatever
+centring and projection leave of their angle; nearer pairs meet more surely. Buckets of any size are cut into chunks that meet in pairs, so no task gets a bucket whole, and tasks send sums and
 spanning edges, never pairs.
 """
 
@@ -55,11 +55,34 @@ class Codes:
         return np.concatenate([(x - self.centre) @ m >= 0 for m in self.maps], axis=1)
 
 
-def plan(n: int, bits: int, threshold: float, recall: float) -> tuple[int, int]:
-    """Substring width, such that a bucket of vectors apart from each other stays near a chunk, and number of tables."""
-    width = min(bits, max(4, min(24, round(math.log2(max(2, n / 128))))))
-    agree = 1 - math.acos(threshold) / math.pi
-    return width, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**width)))
+def plan(n: int, bits: int) -> int:
+    """Substring width, such that a bucket of vectors apart from each other stays near a chunk."""
+    return min(bits, max(4, min(24, round(math.log2(max(2, n / 128))))))
+
+
+def agreement(codes: Codes, sample: np.ndarray, threshold: float, width: int, pairs: int = 4000, seed: int = 9) -> tuple[np.ndarray, int]:
+    """For pairs at the threshold, a sampled unit vector and a partner in a random direction from it, the share of the
+    first code's substrings in which each agrees, half a substring at least; and how many bits of that code differ, for all
+    but a thousandth of the pairs."""
+    rng = np.random.default_rng(seed)
+    x = sample[rng.integers(len(sample), size=pairs)]
+    w = rng.standard_normal(x.shape)
+    w -= (w * x).sum(axis=1, keepdims=True) * x
+    w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300)
+    y = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * w
+    same = (codes.encode(x) == codes.encode(y))[:, : codes.bits]
+    # a pair's bits agree with its own probability; substrings of so many bits then do with its power
+    agree = np.clip((same.sum(axis=1) + 0.5) / (codes.bits + 1), 0.5, 1.0)
+    return agree**width, int(np.ceil(np.quantile((~same).sum(axis=1), 0.999)))
+
+
+def tables_for(meet: np.ndarray, recall: float, most: int = 4096) -> int:
+    """The least number of tables in which pairs that meet in one with these probabilities meet with `recall`."""
+    low, high = 1, most
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if 1 - ((1 - meet) ** mid).mean() >= recall else (mid + 1, high)
+    return low
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.99) -> DataFrame:
@@ -85,14 +108,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
     toss = F.pmod(F.xxhash64("rid", F.lit("itq")), F.lit(1_000_000)) < int(min(1.0, SAMPLE / n) * 1_000_000) + 1
     sample = np.stack(apt.where(toss).select("unit").toPandas()["unit"].to_list())
     bits = min(64, dim)
-    width, tables = plan(n, bits, threshold, recall)
+    width = plan(n, bits)
+    meet, most = agreement(Codes(sample, 1), sample, threshold, width)
+    tables = tables_for(meet, recall)
     codes = Codes(sample, math.ceil(tables / max(1, bits // width)))
     sent = vectors.sparkSession.sparkContext.broadcast(codes)
     a_code = bits // width
     places = [(t // a_code * bits + t % a_code * width) for t in range(tables)]
-    # whole codes differ in so many bits at most, four deviations above what the threshold's angle has
-    angle = math.acos(threshold) / math.pi
-    most = min(bits, math.ceil(bits * angle + 4 * math.sqrt(bits * angle * (1 - angle))))
     powers = 1 << np.arange(width, dtype=np.int64)
 
     def keys_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

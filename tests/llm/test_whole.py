@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from almanac.llm import html_blocks, lm_bloom, mixing, skipchain
+from almanac.llm import html_blocks, itq, lm_bloom, mixing, skipchain
 
 
 def test_pairs_seen_once_count_and_scores_do_not_depend_on_the_filters_segments(spark):
@@ -70,3 +70,17 @@ def test_pages_in_other_languages_and_names_of_the_whole_page():
     for body in ('<body class="single has-sidebar">', '<body id="page-with-comments">', '<html class="has-header"><body>', '<main class="related">', '<article class="post share">'):
         assert html_blocks.main_text(f"{body}<p>{english}</p>") == english.strip()
     assert html_blocks.main_text(f"<div class=sidebar><p>{english}</p></div>") == ""
+
+
+def test_vectors_with_a_common_mean_are_found_at_the_threshold(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((600, 64)) / 8 + 1.5 * np.eye(64)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    w = rng.standard_normal(x.shape)
+    w -= (w * x).sum(axis=1, keepdims=True) * x
+    y = 0.901 * x + np.sqrt(1 - 0.901**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    both = np.concatenate([x, y])
+    near = (both @ both.T >= 0.9).sum() - len(both)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(both)], "vec_id long, embedding array<double>")
+    found = itq.near_vectors(df).agg(F.sum("n_links")).first()[0]
+    assert 0.97 * near <= found <= near

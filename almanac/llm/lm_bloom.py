@@ -2,11 +2,12 @@
 
 Counts of all words and word pairs of the training part are quantised to 1 + floor(log_b c) and held in one Bloom filter:
 an n-gram of level q has the q keys (n-gram, 1) ... (n-gram, q) in it. The filter grows with the keys and is a table of
-segments of bounded size, told by an n-gram's first bits. The distinct n-grams of each batch of documents go to their
-segments, where level after level is probed until one fails, and their levels come back to the batch; each level stands
-for the mean count that the corpus has there. P(w | h) interpolates the pair's share of its history with the add-half word
-model, by weights that depend on the history's level and are fitted on all training documents, leaving each token's own
-occurrence out. A token's probability follows from three levels, so what is summed for the fit is counts of level triples.
+segments of bounded size, told by an n-gram's first bits. While it is small enough it is broadcast; a larger one stays
+where it is, and the distinct n-grams of each batch of documents go to their segments and their levels come back: both
+give the same levels. Level after level is probed until one fails; each stands for the mean count that the corpus has
+there. P(w | h) interpolates the pair's share of its history with the add-half word model, by weights that depend on the
+history's level and are fitted on all training documents, leaving each token's own occurrence out. A token's probability
+follows from three levels, so what is summed for the fit is counts of level triples.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from pyspark.sql import functions as F
 
 from almanac.llm.common import drop_scratch, hash_slices, pick, scratch, splitmix
 
-#: Quantisation base, hash functions a key, bits a key.
-BASE, PROBES, KEY_BITS = 1.5, 8, 12
+#: Quantisation base, hash functions a key (all in one 64-bit word), bits a key.
+BASE, PROBES, KEY_BITS = 1.5, 5, 16
 #: A segment of the filter has so many bits at most (8 MiB), and there are so many segments at least, a power of two.
 SEGMENT_BITS = 1 << 26
 SEGMENTS = 64
+#: A filter of so many bits at most (64 MiB) is broadcast; a larger one stays dealt out by segments, and is asked by them.
+BROADCAST_BITS = 1 << 29
 #: Exact counts are broadcast for at most so many of the most frequent words; the others' are joined.
 EXACT_WORDS = 1 << 20
 #: A task counts so many distinct n-grams of its batches before it sends them.
@@ -39,7 +42,7 @@ END, START = (int(x) for x in splitmix(np.array([1, 2], np.uint64) * np.uint64(0
 
 class Tokens:
     """A batch's tokens, each text's words and then its end: word `kind[i]` of the distinct ones, whose hashes are
-    `word`; pair `pair[i]` of the distinct ones `pairs`, with the history and word of each."""
+    `word`; `pair[i]` is the hash of the token with its history, which is the token before it or, of the `starts`, none."""
 
     def __init__(self, texts: pa.Array):
         texts = pc.ascii_lower(pc.fill_null(texts, ""))
@@ -61,18 +64,19 @@ class Tokens:
         self.kind[inner] = coded.indices.to_numpy(zero_copy_only=False)
         self.doc = np.repeat(np.arange(n), counts + 1)
         self.n_docs, self.n_tokens = n, counts + 1
+        self.starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)[:n]
         here = self.word[self.kind]
         before = np.empty_like(here)
         before[1:] = here[:-1]
-        before[np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)[:n]] = START
-        keys = splitmix(before * np.uint64(0x9FB21C651E98DF25) ^ here) | np.uint64(1)
-        coded = pa.array(keys.view(np.int64)).dictionary_encode()
-        self.pairs = coded.dictionary.to_numpy(zero_copy_only=False).view(np.uint64)
-        self.pair = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        first = np.zeros(len(self.pairs), np.int64)
-        first[self.pair[::-1]] = np.arange(len(self.pair))[::-1]
-        self.pair_first = first  # a token that has the pair
-        self.starts = before == np.uint64(START)
+        before[self.starts] = START
+        self.pair = splitmix(before * np.uint64(0x9FB21C651E98DF25) ^ here) | np.uint64(1)
+
+    def histories(self, of_words: np.ndarray) -> np.ndarray:
+        """What of_words has for each token's history; a text's start counts like its end, of which there is one too."""
+        out = np.empty(len(self.kind), of_words.dtype)
+        out[1:] = of_words[self.kind[:-1]]
+        out[self.starts] = of_words[-1]
+        return out
 
 
 def crc_of(doc_id: str = "doc_id"):
@@ -80,27 +84,26 @@ def crc_of(doc_id: str = "doc_id"):
 
 
 def ngram_counts(train: DataFrame) -> DataFrame:
-    """(h, c): counts of words (even h) and pairs (odd h) of train(text). Counted in each batch first."""
+    """(h, c): counts of words (even h) and pairs (odd h) of train(text). Counted over some batches first."""
 
-    def merged(parts):
-        h, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return h, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int32)
+    def counted(held):
+        h, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        c = np.bincount(at, np.concatenate([x for _, x in held])).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             t = Tokens(batch.column(0))
-            h = np.concatenate([t.word, t.pairs])
-            c = np.concatenate([np.bincount(t.kind, minlength=len(t.word)), np.bincount(t.pair, minlength=len(t.pairs))])
-            held.append((h[c > 0], c[c > 0]))
-            size += len(h)
-            if size > HELD:  # counted over some batches first, up to a bound
-                h, c = merged(held)
+            pairs, n = np.unique(t.pair, return_counts=True)
+            words = np.bincount(t.kind, minlength=len(t.word))
+            held += [(t.word[words > 0], words[words > 0]), (pairs, n)]
+            size += len(t.word) + len(pairs)
+            if size > HELD:
+                yield counted(held)
                 held, size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
         if held:
-            h, c = merged(held)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+            yield counted(held)
 
     rows = train.select("text").mapInArrow(run, "h long, c int")
     return rows.repartition("h").groupBy("h").agg(F.sum("c").alias("c"))
@@ -111,48 +114,42 @@ def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
     return (h >> np.uint64(32)) >> np.uint64(32 - (segments.bit_length() - 1))
 
 
-def _positions(h: np.ndarray, level: int, segment_bits: int):
-    """Places in the n-grams' own segments."""
+def _probes(h: np.ndarray, level: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit word, of so many in the n-gram's own segment, that has its key of this level, and the key's bits there:
+    all of them in one word, so a probe reads memory once."""
     x = splitmix(h + np.uint64(level * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
-    a, b = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
-    for i in range(PROBES):
-        yield (a + np.uint64(i) * b) % np.uint64(segment_bits)
+    bits = np.uint64(1) << (x & np.uint64(63))
+    for i in range(1, PROBES):
+        bits |= np.uint64(1) << ((x >> np.uint64(6 * i)) & np.uint64(63))
+    return ((x >> np.uint64(32)) * np.uint64(words)) >> np.uint64(32), bits
 
 
 class LogFrequencyFilter:
     """Reads levels back from the bytes of so many segments; 1 is for n-grams that are all of one segment."""
 
     def __init__(self, data: bytes, segments: int = SEGMENTS):
-        self.bits, self.segments = np.frombuffer(data, np.uint8), segments
-        self.segment_bits = len(data) * 8 // segments
-
-    def has(self, h: np.ndarray, level: int) -> np.ndarray:
-        alive = np.arange(len(h))
-        x = splitmix(h + np.uint64(level * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
-        a, b, base = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1), segment_of(h, self.segments) * np.uint64(self.segment_bits)
-        for i in range(PROBES):
-            if not len(alive):
-                break
-            p = base[alive] + (a[alive] + np.uint64(i) * b[alive]) % np.uint64(self.segment_bits)
-            alive = alive[(self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-        out = np.zeros(len(h), bool)
-        out[alive] = True
-        return out
+        self.table, self.segments = np.frombuffer(data, np.uint64), segments
+        self.words = len(self.table) // segments
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        """The level of each n-gram, 0 if it isn't in."""
-        out = np.zeros(len(h), np.int64)
-        alive, level = np.arange(len(h)), 1
-        while len(alive) and level <= HISTORY_LEVELS:
-            alive = alive[self.has(h[alive], level)]
-            out[alive] = level
-            level += 1
+        """The level of each n-gram, 0 if it isn't in: level after level is probed until one fails."""
+        out = np.zeros(len(h), np.uint8)
+        for lo in range(0, len(h), 1 << 15):  # in pieces that stay in a processor's cache
+            some = h[lo : lo + (1 << 15)]
+            base = segment_of(some, self.segments) * np.uint64(self.words)
+            at, level = np.arange(lo, lo + len(some)), 1
+            while len(at) and level <= HISTORY_LEVELS:
+                word, bits = _probes(some, level, self.words)
+                in_it = self.table[base + word] & bits == bits
+                at, some, base = at[in_it], some[in_it], base[in_it]
+                out[at] = level
+                level += 1
         return out
 
 
-def filter_segments(counts: DataFrame, bits: int, segments: int = SEGMENTS) -> DataFrame:
-    """(segment, bits): the filter's segments that hold n-grams of counts(h, q), each set by the task that has them."""
-    segment = bits // segments
+def filter_segments(counts: DataFrame, words: int, segments: int) -> DataFrame:
+    """(segment, bits): the filter's segments, of so many 64-bit words each, that hold n-grams of counts(h, q), each set by
+    the task that has them."""
 
     def run(batches):
         parts: dict[int, np.ndarray] = {}
@@ -161,11 +158,11 @@ def filter_segments(counts: DataFrame, bits: int, segments: int = SEGMENTS) -> D
             q = batch.column(1).to_numpy(zero_copy_only=False)
             own = segment_of(h, segments).astype(np.int64)
             for s in np.unique(own):
-                some = parts.setdefault(int(s), np.zeros(segment // 8, np.uint8))
+                some = parts.setdefault(int(s), np.zeros(words, np.uint64))
                 hs, qs = h[own == s], q[own == s]
                 for level in range(1, int(qs.max()) + 1):
-                    for p in _positions(hs[qs >= level], level, segment):
-                        np.bitwise_or.at(some, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+                    word, bits = _probes(hs[qs >= level], level, words)
+                    np.bitwise_or.at(some, word.astype(np.int64), bits)
         for s, x in parts.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["segment", "bits"])
 
@@ -174,14 +171,6 @@ def filter_segments(counts: DataFrame, bits: int, segments: int = SEGMENTS) -> D
     return rows.mapInArrow(run, "segment int, bits binary")
 
 
-def build_filter(counts: DataFrame, bits: int) -> bytes:
-    """The bytes of a filter of SEGMENTS segments, for small tables."""
-    out = [bytes(bits // SEGMENTS // 8)] * SEGMENTS
-    for r in filter_segments(counts, bits).toLocalIterator():
-        out[r["segment"]] = bytes(r["bits"])
-    return b"".join(out)
-
-
 class Model:
     """What tokens are weighed with: plain arrays."""
 
@@ -206,17 +195,6 @@ class Model:
         return np.log10((1 - rest) * p2 + rest * p1).ravel()
 
 
-def codes_of(t: Tokens, levels: np.ndarray) -> np.ndarray:
-    """Each token's triple of levels as one number, from the levels of t's distinct words and pairs."""
-    word, found = levels[: len(t.word)], levels[len(t.word) :]
-    history = np.empty(len(t.kind), np.int64)
-    history[1:] = word[t.kind[:-1]]
-    history[t.starts] = word[-1]  # each text has one end, so as many starts
-    likely = (word[t.kind[t.pair_first]] > 0) & (history[t.pair_first] > 0)  # a pair is no more frequent than its parts
-    pair = np.where(likely, found, 0)
-    return (history * WIDTH + word[t.kind]) * WIDTH + pair[t.pair]
-
-
 def fit_model(train: DataFrame, segment_bits: int = SEGMENT_BITS) -> tuple[Model, DataFrame, DataFrame, int]:
     """The model of train(text), the exact counts (h, c) of the words that it doesn't hold itself, and the filter's
     segments and their number."""
@@ -233,8 +211,7 @@ def fit_model(train: DataFrame, segment_bits: int = SEGMENT_BITS) -> tuple[Model
     keys, segments = sum(r["q"] * r["n"] for r in tally), SEGMENTS
     while keys * KEY_BITS > segments * segment_bits:
         segments *= 2
-    bits = 8 * segments * max(1, math.ceil(keys * KEY_BITS / (8 * segments)))
-    held = scratch(filter_segments(counts.select("h", "q"), bits, segments), "filter")
+    held = scratch(filter_segments(counts.select("h", "q"), max(1, math.ceil(keys * KEY_BITS / (64 * segments))), segments), "filter")
     means = np.zeros((2, WIDTH))
     for k, rows in enumerate((words, pairs)):
         for q in range(1, WIDTH):
@@ -255,6 +232,62 @@ def fit_model(train: DataFrame, segment_bits: int = SEGMENT_BITS) -> tuple[Model
     return Model(n, v, means, exact_h[order], exact_c[order]), rare, held, segments
 
 
+PLACED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, word binary, pair binary, rare array<struct<h:long,tf:long>>"
+RARE = pa.struct([("h", pa.int64()), ("tf", pa.int64())])
+
+
+def _by_text(levels: np.ndarray, n_tokens: np.ndarray) -> pa.Array:
+    """A byte for each token, a binary value for each text."""
+    bounds = np.concatenate([[0], np.cumsum(n_tokens)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n_tokens), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(levels.astype(np.uint8).tobytes())])
+
+
+def _place(batch, t: Tokens, m: Model, word: np.ndarray, pair: np.ndarray) -> pa.RecordBatch:
+    """The batch's texts with their base scores as far as exact counts are at hand, and each token's levels."""
+    z = m.n + 0.5 * (m.v + 1)
+    at = np.minimum(np.searchsorted(m.exact_h, t.word), max(0, len(m.exact_h) - 1))
+    known = m.exact_h[at] == t.word if len(m.exact_h) else np.zeros(len(t.word), bool)
+    logs = np.where(known, np.log10(((m.exact_c[at] if len(m.exact_h) else 0) + 0.5) / z), 0.0)
+    base = np.bincount(t.doc, logs[t.kind], minlength=t.n_docs).astype(float)
+    n_known = np.bincount(t.doc, known[t.kind], minlength=t.n_docs).astype(np.int64)
+    other = ~known[t.kind]
+    key, tf = np.unique(t.doc[other] * len(t.word) + t.kind[other], return_counts=True)
+    offsets = np.searchsorted(key, np.arange(t.n_docs + 1) * len(t.word)).astype(np.int32)
+    rare = pa.StructArray.from_arrays([pa.array(t.word[key % len(t.word)].view(np.int64)), pa.array(tf.astype(np.int64))], fields=list(RARE))
+    columns = [batch.column("rid"), batch.column("doc_id"), batch.column("held_out"), pa.array(t.n_tokens.astype(np.int64)), pa.array(n_known), pa.array(base)]
+    return pa.RecordBatch.from_arrays([*columns, _by_text(word[t.kind], t.n_tokens), _by_text(pair, t.n_tokens), pa.ListArray.from_arrays(pa.array(offsets), rare)], [x.split()[0] for x in PLACED.split(", ")])
+
+
+def _bounded(t: Tokens, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """A pair is no more frequent than its parts, so it has no higher level."""
+    return np.minimum(pair, np.minimum(word[t.kind], t.histories(word)))
+
+
+# ---------------------------------------------------------------- a filter of bounded size is broadcast
+
+
+def place_by_broadcast(docs: DataFrame, model, held: DataFrame, segments: int) -> DataFrame:
+    """docs(rid, doc_id, held_out, text) with their tokens' levels, all segments of the filter being in each worker."""
+    parts = dict(held.toLocalIterator())
+    size = max(map(len, parts.values()), default=8)
+    sent = docs.sparkSession.sparkContext.broadcast(b"".join(bytes(parts.get(s) or bytes(size)) for s in range(segments)))
+
+    def run(batches):
+        reader = LogFrequencyFilter(sent.value, segments)
+        for batch in batches:
+            t = Tokens(batch.column("text"))
+            word = reader.levels(t.word)
+            open_ = np.flatnonzero(np.minimum(word[t.kind], t.histories(word)))
+            pair = np.zeros(len(t.pair), np.uint8)
+            pair[open_] = reader.levels(t.pair[open_])
+            yield _place(batch, t, model.value, word, _bounded(t, word, pair))
+
+    return docs.mapInArrow(run, PLACED)
+
+
+# ---------------------------------------------------------------- a larger one stays where it is, and is asked
+
+
 ASKED = "bid long, at long, kind int, data binary, rid long, doc_id long, held_out boolean, text string"
 NAMES = [x.split()[0] for x in ASKED.split(", ")]
 
@@ -272,7 +305,7 @@ def ask(docs: DataFrame, segments: int) -> DataFrame:
             if not n:
                 continue
             t = Tokens(batch.column("text"))
-            h = np.concatenate([t.word, t.pairs])
+            h = np.concatenate([t.word, np.unique(t.pair)])
             own = segment_of(h, segments).astype(np.int64)
             order = np.argsort(own, kind="stable")
             some, start = np.unique(own[order], return_index=True)
@@ -301,8 +334,7 @@ def answer(asked: DataFrame, held: DataFrame) -> DataFrame:
                     reader = LogFrequencyFilter(data, 1)
                     continue
                 h = np.frombuffer(data, np.uint64)
-                levels = reader.levels(h) if reader else np.zeros(len(h), np.int64)
-                out.append((bid, s, levels.astype(np.uint8).tobytes()))
+                out.append((bid, s, (reader.levels(h) if reader else np.zeros(len(h), np.uint8)).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bid", "at", "data"])
 
@@ -310,26 +342,11 @@ def answer(asked: DataFrame, held: DataFrame) -> DataFrame:
     return both.repartition("at").sortWithinPartitions("at", F.asc_nulls_first("bid")).mapInArrow(run, "bid long, at long, data binary")
 
 
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, codes binary, rare array<struct<h:long,tf:long>>"
-
-
-def score(docs: DataFrame, learn=None, segment_bits: int = SEGMENT_BITS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs(doc_id, text).
-
-    Documents learn's condition holds for are learnt from: those whose crc32(doc_id as text) mod 5 is not 1, unless it is
-    given. A null or empty text has one token, its end. A null doc_id counts as the empty text there. Equal rows are
-    scored and counted one by one. With nothing to learn from, all tokens are unknown. An empty table gives an empty
-    table; further columns take no part. Words are told apart by 64-bit hashes."""
-    docs = pick(docs, doc_id="long", text="string")
-    docs = docs.withColumn("held_out", ~learn if learn is not None else crc_of() % 5 == 1)
-    model, rare, held, segments = fit_model(docs.where(~F.col("held_out")), segment_bits)
-    asked = scratch(ask(docs.withColumn("rid", F.monotonically_increasing_id()), segments), "asked")
+def place_by_segment(docs: DataFrame, model, held: DataFrame, segments: int) -> DataFrame:
+    """The same, each batch's distinct n-grams going to their segments and their levels coming back to the batch."""
+    asked = scratch(ask(docs, segments), "asked")
     told = answer(asked.where("kind = 0").select("bid", "at", "data"), held).withColumn("kind", F.lit(0))
     batched = asked.where("kind = 1").unionByName(told, allowMissingColumns=True).repartition("bid").sortWithinPartitions("bid", "kind", "at")
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    z = model.n + 0.5 * (model.v + 1)
-    struct = pa.struct([("h", pa.int64()), ("tf", pa.int64())])
 
     def whole(batches):
         """The rows of one bid after another."""
@@ -350,58 +367,74 @@ def score(docs: DataFrame, learn=None, segment_bits: int = SEGMENT_BITS) -> Data
     def run(batches):
         for table in whole(batches):
             own = pc.equal(table.column("kind"), 1)
-            levels = np.frombuffer(b"".join(table.filter(pc.invert(own)).column("data").to_pylist()), np.uint8).astype(np.int64)
+            levels = np.frombuffer(b"".join(table.filter(pc.invert(own)).column("data").to_pylist()), np.uint8)
             batch = table.filter(own).combine_chunks().to_batches()[0]
             t = Tokens(batch.column("text"))
-            order = np.argsort(segment_of(np.concatenate([t.word, t.pairs]), segments), kind="stable")  # as they were asked for
-            by_place = np.empty_like(levels)
-            by_place[order] = levels
-            codes = codes_of(t, by_place).astype(np.int32)
-            bounds = np.concatenate([[0], np.cumsum(t.n_tokens)]) * 4
-            coded = pa.Array.from_buffers(pa.binary(), t.n_docs, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(codes.tobytes())])
-            m = sent.value
-            at = np.minimum(np.searchsorted(m.exact_h, t.word), max(0, len(m.exact_h) - 1))
-            known = m.exact_h[at] == t.word if len(m.exact_h) else np.zeros(len(t.word), bool)
-            logs = np.where(known, np.log10(((m.exact_c[at] if len(m.exact_h) else 0) + 0.5) / z), 0.0)
-            base = np.bincount(t.doc, logs[t.kind], minlength=t.n_docs).astype(float)
-            n_known = np.bincount(t.doc, known[t.kind], minlength=t.n_docs).astype(np.int64)
-            other = ~known[t.kind]
-            key = t.doc[other] * len(t.word) + t.kind[other]
-            key, tf = np.unique(key, return_counts=True)
-            offsets = np.searchsorted(key, np.arange(t.n_docs + 1) * len(t.word)).astype(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array(t.word[key % len(t.word)].view(np.int64)), pa.array(tf.astype(np.int64))], fields=list(struct))
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("held_out"), pa.array(t.n_tokens.astype(np.int64)), pa.array(n_known), pa.array(base), coded, pa.ListArray.from_arrays(pa.array(offsets), pairs)], [x.split()[0] for x in SCORED.split(", ")])
-
-    placed = scratch(batched.mapInArrow(run, SCORED), "placed")
-    drop_scratch(asked)
-
-    def flat(column) -> tuple[np.ndarray, np.ndarray]:
-        """All tokens' codes, and how many each text has."""
-        return np.frombuffer(b"".join(column.to_pylist()), np.int32), pc.binary_length(column).to_numpy() // 4
+            pairs, pair = np.unique(t.pair, return_inverse=True)
+            order = np.argsort(segment_of(np.concatenate([t.word, pairs]), segments), kind="stable")  # as they were asked for
+            found = np.empty_like(levels)
+            found[order] = levels
+            word = found[: len(t.word)]
+            yield _place(batch, t, model.value, word, _bounded(t, word, found[len(t.word) :][pair]))
+
+    return batched.mapInArrow(run, PLACED)
+
+
+# ---------------------------------------------------------------- scores
+
+
+def score(docs: DataFrame, learn=None, segment_bits: int = SEGMENT_BITS, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs(doc_id, text).
+
+    Documents learn's condition holds for are learnt from: those whose crc32(doc_id as text) mod 5 is not 1, unless it is
+    given. A null or empty text has one token, its end; a very long one is one row of tokens, of some 40 bytes each while
+    it is worked on. A null doc_id counts as the empty text there. Equal rows are scored and counted one by one, so they
+    tie. With nothing to learn from, all tokens are unknown. An empty table gives an empty table; further columns take no
+    part. Words are told apart by 64-bit hashes."""
+    docs = pick(docs, doc_id="long", text="string")
+    docs = docs.withColumn("held_out", ~learn if learn is not None else crc_of() % 5 == 1)
+    model, rare, held, segments = fit_model(docs.where(~F.col("held_out")), segment_bits)
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(model)
+    bits = held.agg(F.coalesce(F.sum(8 * F.length("bits")), F.lit(0))).first()[0]
+    place = place_by_broadcast if bits <= broadcast_bits else place_by_segment
+    placed = scratch(place(docs.withColumn("rid", F.monotonically_increasing_id()), sent, held, segments), "placed")
+
+    def triples_of(batch) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's triple of levels (history, word, pair) as one number, and how many tokens each text has."""
+        word, pair = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).astype(np.int64) for c in ("word", "pair"))
+        n = pc.binary_length(batch.column("word")).to_numpy()
+        ends = np.cumsum(n) - 1
+        history = np.concatenate([[0], word[:-1]])
+        history[np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)] = word[ends]  # a text ends and starts with the same
+        return (history * WIDTH + word) * WIDTH + pair, n
 
     def tally(batches):
         often = np.zeros(WIDTH**3, np.int64)
         for batch in batches:
-            codes, times = np.unique(flat(batch.column(0))[0], return_counts=True)
-            often[codes] += times
+            if len(batch):
+                often += np.bincount(triples_of(batch)[0], minlength=WIDTH**3)
         some = np.flatnonzero(often)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(often[some])], ["code", "n"])
 
     triples = np.zeros(WIDTH**3)
-    for r in placed.where(~F.col("held_out")).select("codes").mapInArrow(tally, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow().to_batches():
+    for r in placed.where(~F.col("held_out")).select("word", "pair").mapInArrow(tally, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow().to_batches():
         triples[r.column("code").to_numpy()] = r.column("n").to_numpy()
     logs = spark.sparkContext.broadcast(model.logs(triples))
+    kept = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score"]
 
     def add(batches):
         for batch in batches:
-            codes, n = flat(batch.column("codes"))
-            sums = np.bincount(np.repeat(np.arange(len(n)), n), logs.value[codes], minlength=len(n)).astype(float)
-            at = batch.schema.get_field_index("codes")
-            yield batch.set_column(at, "score", pa.array(sums))
+            sums = np.zeros(0)
+            if len(batch):
+                codes, n = triples_of(batch)
+                sums = np.bincount(np.repeat(np.arange(len(n)), n), logs.value[codes], minlength=len(n)).astype(float)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sums)], [*kept, "score"])
 
-    scored = placed.mapInArrow(add, SCORED.replace("codes binary", "score double"))
+    scored = placed.select(*kept, "word", "pair").mapInArrow(add, "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    z = model.n + 0.5 * (model.v + 1)
     seldom = placed.select("rid", F.explode("rare").alias("w")).select("rid", "w.h", "w.tf")
     found = seldom.join(rare, "h", "left").withColumn("k", F.coalesce("c", F.lit(0)))
     more = found.groupBy("rid").agg(F.sum(F.when(F.col("k") > 0, F.col("tf")).otherwise(0)).alias("k_more"), F.sum(F.col("tf") * F.log10((F.col("k") + 0.5) / F.lit(z))).alias("b_more"))
-    out = scored.drop("rare").join(more, "rid", "left")
+    out = scored.join(more, "rid", "left")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k_more", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("b_more", F.lit(0.0))).alias("base_score"), "score")

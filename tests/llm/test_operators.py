@@ -107,13 +107,68 @@ def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     h = np.random.default_rng(0).integers(-(2**63), 2**63, 20_000)
     level = np.arange(20_000) % 6 + 1
     df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(h, level)], "h long, q int")
-    f = lm_bloom.LogFrequencyFilter(lm_bloom.build_filter(df, 8 * lm_bloom.SEGMENTS * math.ceil(int(level.sum()) * lm_bloom.KEY_BITS / 8 / lm_bloom.SEGMENTS)))
+    n = math.ceil(int(level.sum()) * lm_bloom.KEY_BITS / 64 / 8)
+    parts = {r["segment"]: bytes(r["bits"]) for r in lm_bloom.filter_segments(df, n, 8).collect()}
+    f = lm_bloom.LogFrequencyFilter(b"".join(parts[k] for k in range(8)), 8)
     read = f.levels(h.astype(np.int64).view(np.uint64))
     assert (read >= level).all() and (read == level).mean() > 0.98
     other = np.random.default_rng(1).integers(-(2**63), 2**63, 20_000).astype(np.int64).view(np.uint64)
     assert (f.levels(other) > 0).mean() < 0.02
 
 
+def brute_scores(texts):
+    """The model with exact levels, from dictionaries."""
+    train = {i: t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1}
+    tokens = {i: [*words(t), None] for i, t in texts.items()}
+    ones, twos = Counter(), Counter()
+    for i in train:
+        ones.update(tokens[i])
+        twos.update(zip(["<s>", *tokens[i]], tokens[i]))
+    level = lambda c: 0 if c == 0 else 1 + sum(c >= math.ceil(lm_bloom.BASE**q - 1e-9) for q in range(1, 60))
+    q1, q2 = {w: level(c) for w, c in ones.items()}, {w: level(c) for w, c in twos.items()}
+    q1["<s>"] = q1[None]
+    means = np.zeros((2, lm_bloom.WIDTH))
+    for k, (counts, q) in enumerate(((ones, q1), (twos, q2))):
+        by = defaultdict(list)
+        for w, c in counts.items():
+            by[q[w]].append(c)
+        for j in range(1, lm_bloom.WIDTH):
+            means[k, j] = np.mean(by[j]) if j in by else means[k, j - 1]
+    n, v = sum(ones.values()), len(ones)
+
+    def p(h, w, out):
+        a, b, c = q1.get(h, 0), q1.get(w, 0), q2.get((h, w), 0)
+        p1 = (max(means[0, b] - out, 0) + 0.5) / (n - out + 0.5 * (v + 1))
+        return a, min(1.0, max(means[1, c] - out, 0) / max(means[0, a] - out, 1)), p1
+
+    gains = defaultdict(lambda: np.zeros(len(lm_bloom.GRID)))
+    for i in train:
+        for h, w in zip(["<s>", *tokens[i]], tokens[i]):
+            a, p2, p1 = p(h, w, 1)
+            gains[a] += np.log10((1 - lm_bloom.GRID) * p2 + lm_bloom.GRID * p1)
+    weight = {a: lm_bloom.GRID[g.argmax()] for a, g in gains.items()} | {0: 1.0}
+    out = {}
+    for i, ts in tokens.items():
+        parts = [p(h, w, 0) for h, w in zip(["<s>", *ts], ts)]
+        out[i] = sum(math.log10((1 - weight.get(a, 1.0)) * p2 + weight.get(a, 1.0) * p1) for a, p2, p1 in parts)
+    return out
+
+
+def test_scores_are_the_model_s(docs, texts, monkeypatch):
+    want = brute_scores(texts)
+    off = lambda: np.array([abs(r["score"] - want[r["doc_id"]]) / r["n_tokens"] for r in lm_bloom.score(docs).collect()])
+    assert off().mean() < 0.015  # log10 a token, from false probes
+    monkeypatch.setattr(lm_bloom, "KEY_BITS", 512)  # so wide a filter has next to none
+    exact = off()
+    assert (exact < 1e-9).mean() > 0.9 and exact.max() < 0.01
+
+
+def test_a_filter_in_segments_gives_the_broadcast_one_s_scores(docs, edges):
+    for df in (docs, edges):
+        whole = sorted(map(str, lm_bloom.score(df, segment_bits=1 << 13).collect()))
+        assert whole == sorted(map(str, lm_bloom.score(df, segment_bits=1 << 13, broadcast_bits=0).collect()))
+
+
 # ---------------------------------------------------------------- 2
 
 

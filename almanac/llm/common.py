@@ -3,6 +3,7 @@ splitting and hashing over Arrow columns, and connected components as DataFrame
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,22 +23,27 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset and all run on one machine,
+    a folder of our own."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
         root = "file://" + tempfile.mkdtemp(prefix="almanac-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
-def scratch(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def scratch(df: DataFrame, name: str, partition_by: list[str] | None = None, compression: str = "snappy") -> DataFrame:
     """df written as Parquet to the shared folder and read back: its lineage ends there, so a lost executor costs a
-    re-read, and what is decided once (a row id, a batch) stays decided."""
+    re-read, and what is decided once (a row id, a batch) stays decided. The table goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/almanac/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    writer.option("compression", compression).parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from almanac.llm.common import drop_scratch, hash_slices, pick, scratch, splitmix
 
 #: Quantisation base, hash functions a key (all in one 64-bit word), bits a key.
-BASE, PROBES, KEY_BITS = 1.5, 5, 16
+BASE, PROBES, KEY_BITS = 1.5, 4, 12
 #: A segment of the filter has so many bits at most (8 MiB), and there are so many segments at least, a power of two.
 SEGMENT_BITS = 1 << 26
 SEGMENTS = 64
-#: A filter of so many bits at most (64 MiB) is broadcast; a larger one stays dealt out by segments, and is asked by them.
-BROADCAST_BITS = 1 << 29
+#: A filter of so many bits at most (128 MiB) is broadcast; a larger one stays dealt out by segments, and is asked by them.
+BROADCAST_BITS = 1 << 30
 #: Exact counts are broadcast for at most so many of the most frequent words; the others' are joined.
 EXACT_WORDS = 1 << 20
 #: A task counts so many distinct n-grams of its batches before it sends them.
@@ -84,20 +84,24 @@ def crc_of(doc_id: str = "doc_id"):
 
 
 def ngram_counts(train: DataFrame) -> DataFrame:
-    """(h, c): counts of words (even h) and pairs (odd h) of train(text). Counted over some batches first."""
+    """(h, c, q): counts and levels of words (even h) and pairs (odd h) of train(text), in partitions that are ranges of h
+    and sorted by it. Counted over some batches first; rows of one h are added as they come, sorted, so a task holds a
+    batch. Which task gets an n-gram follows from its hash, so frequent ones don't gather."""
+    n = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def counted(held):
         h, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-        c = np.bincount(at, np.concatenate([x for _, x in held])).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+        c = np.bincount(at, np.concatenate([x for _, x in held])).astype(np.int64)
+        part = ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.array(part)], ["h", "c", "part"])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             t = Tokens(batch.column(0))
-            pairs, n = np.unique(t.pair, return_counts=True)
+            pairs, often = np.unique(t.pair, return_counts=True)
             words = np.bincount(t.kind, minlength=len(t.word))
-            held += [(t.word[words > 0], words[words > 0]), (pairs, n)]
+            held += [(t.word[words > 0], words[words > 0]), (pairs, often)]
             size += len(t.word) + len(pairs)
             if size > HELD:
                 yield counted(held)
@@ -105,8 +109,26 @@ def ngram_counts(train: DataFrame) -> DataFrame:
         if held:
             yield counted(held)
 
-    rows = train.select("text").mapInArrow(run, "h long, c int")
-    return rows.repartition("h").groupBy("h").agg(F.sum("c").alias("c"))
+    def added(batches):
+        rest = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last h may go on in the next batch
+        for batch in batches:
+            h, c = (np.concatenate([r, batch.column(k).to_numpy(zero_copy_only=False)]) for k, r in enumerate(rest))
+            heads = np.flatnonzero(np.diff(h, prepend=~h[:1])) if len(h) else np.zeros(0, np.int64)
+            h, c = h[heads], np.add.reduceat(c, heads) if len(heads) else c
+            rest = h[-1:], c[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array(h[:-1]), pa.array(c[:-1]), pa.array(level_of(c[:-1]))], ["h", "c", "q"])
+        yield pa.RecordBatch.from_arrays([pa.array(rest[0]), pa.array(rest[1]), pa.array(level_of(rest[1]))], ["h", "c", "q"])
+
+    rows = train.select("text").mapInArrow(run, "h long, c long, part int")
+    return rows.repartitionById(n, F.col("part")).select("h", "c").sortWithinPartitions("h").mapInArrow(added, "h long, c long, q int")
+
+
+#: 1 + the number of bounds that a count reaches is its level: whole numbers are compared, no logarithm rounds.
+BOUNDS = np.array([math.ceil(BASE**q - 1e-9) for q in range(1, HISTORY_LEVELS) if BASE**q < 2**62])
+
+
+def level_of(c: np.ndarray) -> np.ndarray:
+    return 1 + np.searchsorted(BOUNDS, c, side="right").astype(np.int32)
 
 
 def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
@@ -127,7 +149,7 @@ def _probes(h: np.ndarray, level: int, words: int) -> tuple[np.ndarray, np.ndarr
 class LogFrequencyFilter:
     """Reads levels back from the bytes of so many segments; 1 is for n-grams that are all of one segment."""
 
-    def __init__(self, data: bytes, segments: int = SEGMENTS):
+    def __init__(self, data: bytes | np.ndarray, segments: int):
         self.table, self.segments = np.frombuffer(data, np.uint64), segments
         self.words = len(self.table) // segments
 
@@ -148,8 +170,8 @@ class LogFrequencyFilter:
 
 
 def filter_segments(counts: DataFrame, words: int, segments: int) -> DataFrame:
-    """(segment, bits): the filter's segments, of so many 64-bit words each, that hold n-grams of counts(h, q), each set by
-    the task that has them."""
+    """(segment, bits): the filter's segments, of so many 64-bit words each, that hold n-grams of counts(h, q). Tasks set
+    what they have of a segment, a few segments each since counts lie in ranges of h; those parts meet by segment."""
 
     def run(batches):
         parts: dict[int, np.ndarray] = {}
@@ -161,14 +183,32 @@ def filter_segments(counts: DataFrame, words: int, segments: int) -> DataFrame:
                 some = parts.setdefault(int(s), np.zeros(words, np.uint64))
                 hs, qs = h[own == s], q[own == s]
                 for level in range(1, int(qs.max()) + 1):
-                    word, bits = _probes(hs[qs >= level], level, words)
+                    hs, qs = hs[qs >= level], qs[qs >= level]
+                    word, bits = _probes(hs, level, words)
                     np.bitwise_or.at(some, word.astype(np.int64), bits)
+            while len(parts) > 8:  # no more than some segments are held
+                s = next(iter(parts))
+                yield part(s, parts.pop(s))
         for s, x in parts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["segment", "bits"])
+            yield part(s, x)
+
+    def part(s: int, x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["segment", "bits"])
+
+    def joined(batches):
+        at, held = None, None
+        for batch in batches:
+            for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if s != at:
+                    if at is not None:
+                        yield part(at, held)
+                    at, held = s, np.zeros(words, np.uint64)
+                held |= np.frombuffer(x, np.uint64)
+        if at is not None:
+            yield part(at, held)
 
-    own = F.shiftrightunsigned(F.shiftrightunsigned("h", 32), 32 - (segments.bit_length() - 1)).cast("int")
-    rows = counts.withColumn("segment", own).repartition(segments, "segment").select("h", "q")
-    return rows.mapInArrow(run, "segment int, bits binary")
+    rows = counts.select("h", "q").mapInArrow(run, "segment int, bits binary")
+    return rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(joined, "segment int, bits binary")
 
 
 class Model:
@@ -198,10 +238,7 @@ class Model:
 def fit_model(train: DataFrame, segment_bits: int = SEGMENT_BITS) -> tuple[Model, DataFrame, DataFrame, int]:
     """The model of train(text), the exact counts (h, c) of the words that it doesn't hold itself, and the filter's
     segments and their number."""
-    bounds = [math.ceil(BASE**q - 1e-9) for q in range(1, HISTORY_LEVELS) if BASE**q < 2**62]
-    # 1 + the number of bounds that a count reaches: whole numbers are compared, no logarithm rounds
-    level = F.expr("1 + " + " + ".join(f"cast(c >= {b}L as int)" for b in bounds))
-    counts = scratch(ngram_counts(train).withColumn("q", level), "ngrams")
+    counts = scratch(ngram_counts(train), "ngrams")
     pair = (F.col("h") % 2 != 0).cast("int")
     tally = counts.groupBy(pair.alias("pair"), "q").agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()
     words = {r["q"]: r for r in tally if r["pair"] == 0}
@@ -268,9 +305,12 @@ def _bounded(t: Tokens, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
 
 def place_by_broadcast(docs: DataFrame, model, held: DataFrame, segments: int) -> DataFrame:
     """docs(rid, doc_id, held_out, text) with their tokens' levels, all segments of the filter being in each worker."""
-    parts = dict(held.toLocalIterator())
-    size = max(map(len, parts.values()), default=8)
-    sent = docs.sparkSession.sparkContext.broadcast(b"".join(bytes(parts.get(s) or bytes(size)) for s in range(segments)))
+    size = held.agg(F.coalesce(F.max(F.length("bits")), F.lit(8))).first()[0]
+    table = np.zeros((segments, size), np.uint8)
+    for r in held.toLocalIterator():
+        table[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(table.reshape(-1))
+    del table
 
     def run(batches):
         reader = LogFrequencyFilter(sent.value, segments)
@@ -398,7 +438,7 @@ def score(docs: DataFrame, learn=None, segment_bits: int = SEGMENT_BITS, broadca
     sent = spark.sparkContext.broadcast(model)
     bits = held.agg(F.coalesce(F.sum(8 * F.length("bits")), F.lit(0))).first()[0]
     place = place_by_broadcast if bits <= broadcast_bits else place_by_segment
-    placed = scratch(place(docs.withColumn("rid", F.monotonically_increasing_id()), sent, held, segments), "placed")
+    placed = scratch(place(docs.withColumn("rid", F.monotonically_increasing_id()), sent, held, segments), "placed", compression="zstd")
 
     def triples_of(batch) -> tuple[np.ndarray, np.ndarray]:
         """Each token's triple of levels (history, word, pair) as one number, and how many tokens each text has."""

@@ -71,19 +71,18 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.sign(ratio) * np.maximum(np.abs(ratio) - MARGIN, 0.0)
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """docs with log_weight, the sum of the n-grams' log ratios, and n_features."""
+def weigh(docs: DataFrame, ratio: np.ndarray, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs with log_weight, the sum of the n-grams' log ratios, and n_features."""
     sent = docs.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
-    fields = [f for f in docs.schema.fields]
 
     def run(batches):
         for batch in batches:
             doc, b = features(batch.column("text"))
             w = np.bincount(doc, sent.value[b], minlength=len(batch)).astype(float)  # whole numbers if no text has a word
             n = np.bincount(doc, minlength=len(batch))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w), pa.array(n.astype(np.int64))], [*batch.schema.names, "log_weight", "n_features"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(w), pa.array(n.astype(np.int64))], [*keep, "log_weight", "n_features"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.mapInArrow(run, f"{schema}, log_weight double, n_features long")
 
 
@@ -135,12 +134,13 @@ def gumbel(seed: int):
 
 
 def resample(docs: DataFrame, labels: DataFrame, seed: int = 11, also: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, text, the columns named in `also`, log_weight, n_features and kept for each row of docs.
+    """doc_id, the columns named in `also` (text among them, if wanted), log_weight, n_features and kept for each row of
+    docs.
 
     labels(doc_id, quality, toxic) has good documents (quality 1, toxic 0) and bad ones; a label with a null counts as
-    bad. A document without words has the weight 0. Rows that tie with the k-th, such as repeated ones, are kept with it.
-    Without good or without bad labels, all documents are kept. An empty table gives an empty table; a null doc_id has no
-    label and its own noise; further columns take no part."""
+    bad. A document without words has the weight 0; a very long one weighs by all its n-grams. Rows that tie with the
+    k-th, such as repeated ones, are kept with it. Without good or without bad labels, all documents are kept. An empty
+    table gives an empty table; a null doc_id has no label and its own noise; further columns take no part."""
     also = also or {}
     docs = pick(docs, doc_id="long", text="string", **{c: t for c, t in also.items() if c != "text"})
     labels = pick(labels, doc_id="long", quality="int", toxic="int").where("doc_id is not null")
@@ -149,21 +149,22 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 11, also: dict[str,
     share = min(1.0, LABELLED / max(1, labels.count()))
     toss = F.pmod(F.xxhash64("doc_id", F.lit("label")), F.lit(2_000_000))
     labels = labels.withColumn("toss", toss).where(F.col("toss") < int(share * 2_000_000))
-    sample = scratch(docs.select("doc_id", "text").join(labels, "doc_id"), "labelled")
+    # the sampled labels are a fixed number of ids, so texts stay where they are
+    sample = scratch(docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id"), "labelled")
     fit, hold = sample.where("toss % 4 <> 0"), sample.where("toss % 4 = 0")
 
     ratio = log_ratio(bucket_counts(fit.where("good")), bucket_counts(docs))
-    held = weigh(hold.select("doc_id", "text", "good"), ratio).select("good", "log_weight", "n_features").toPandas()
+    held = weigh(hold, ratio, ["good"]).toPandas()
     is_good = held["good"].to_numpy(bool)
     n = held["n_features"].to_numpy(float)
     usual = float(held["log_weight"].to_numpy()[is_good].sum() / max(1.0, n[is_good].sum()))
     cut = best_cut(held["log_weight"].to_numpy() - usual * n, is_good)
 
-    scored = weigh(docs, ratio - usual)
-    keys = scratch(scored.select("log_weight", (F.col("log_weight") + gumbel(seed)).alias("key")), "keys")
-    k = keys.where(F.col("log_weight") >= F.lit(cut)).count()
-    least = kth_greatest(keys.select("key"), k)
-    return scored.withColumn("kept", F.col("log_weight") + gumbel(seed) >= F.lit(least))
+    keyed = weigh(docs, ratio - usual, ["doc_id", *also]).withColumn("key", F.col("log_weight") + gumbel(seed))
+    scored = scratch(keyed, "scored")  # each text is weighed once
+    k = scored.where(F.col("log_weight") >= F.lit(cut)).count()
+    least = kth_greatest(scored.select("key"), k)
+    return scored.withColumn("kept", F.col("key") >= F.lit(least)).drop("key")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -28,8 +28,8 @@ from almanac.llm.common import pick, scratch
 LEXICON_WORDS = 50_000
 #: Words longer than this are merged, not kept in the lexicon or a cache.
 LONG_WORD = 64
-#: Distinct words that a Python worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+#: Distinct pieces of text that a Python worker remembers before it starts anew.
+CACHE_WORDS = 300_000
 
 # Fixed value: the byte-level vocabulary's word pattern, with Unicode's white space spelt out.
 _SPACE = r"\p{White_Space}"
@@ -44,6 +44,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+_BITS = 24
+_MASK, _NONE = (1 << _BITS) - 1, 1 << 62
+
+
 class Vocabulary:
     """Merges and pieces of a tokenizers file of a byte-level BPE."""
 
@@ -54,7 +58,8 @@ class Vocabulary:
         ids = model["vocab"]
         self.ids = {bytes(byte_of[c] for c in piece): i for piece, i in ids.items() if all(c in byte_of for c in piece)}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # a pair of ids as one number to its rank and what it becomes as one number
+        self.merges = {ids[a] << _BITS | ids[b]: rank << _BITS | ids[a + b] for rank, (a, b) in enumerate(pairs)}
         self.first = [ids[byte_letters()[b]] for b in range(256)]
         self.pieces = {i: p for p, i in self.ids.items()}
         self.added = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
@@ -67,41 +72,42 @@ class Vocabulary:
         return self._merge_short(word) if len(word) <= LONG_WORD else self._merge_long(word)
 
     def _merge_short(self, word: bytes) -> list[int]:
-        get, none = self.merges.get, (1 << 60, -1)
-        ids = [self.first[b] for b in word]
-        pairs = [get(p, none) for p in zip(ids, ids[1:])]
+        get, first = self.merges.get, self.first
+        ids = [first[b] for b in word]
+        pairs = [get(a << _BITS | b, _NONE) for a, b in zip(ids, ids[1:])]
         while pairs:
             best = min(pairs)
-            if best is none:
+            if best == _NONE:
                 break
-            i, new = pairs.index(best), best[1]
+            i, new = pairs.index(best), best & _MASK
             ids[i] = new
             del ids[i + 1], pairs[i]
             if i < len(pairs):
-                pairs[i] = get((new, ids[i + 1]), none)
+                pairs[i] = get(new << _BITS | ids[i + 1], _NONE)
             if i:
-                pairs[i - 1] = get((ids[i - 1], new), none)
+                pairs[i - 1] = get(ids[i - 1] << _BITS | new, _NONE)
         return ids
 
     def _merge_long(self, word: bytes) -> list[int]:
+        get = self.merges.get
         ids = [self.first[b] for b in word]
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get(ids[i] << _BITS | ids[i + 1]))]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = self.merges[a, b][1], -1
+            ids[i], ids[j] = m & _MASK, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-            if (p := before[i]) >= 0 and (m := self.merges.get((ids[p], ids[i]))):
-                heapq.heappush(heap, (m[0], p, ids[p], ids[i]))
-            if k < n and (m := self.merges.get((ids[i], ids[k]))):
-                heapq.heappush(heap, (m[0], i, ids[i], ids[k]))
+            if (p := before[i]) >= 0 and (m := get(ids[p] << _BITS | ids[i])):
+                heapq.heappush(heap, (m, p, ids[p], ids[i]))
+            if k < n and (m := get(ids[i] << _BITS | ids[k])):
+                heapq.heappush(heap, (m, i, ids[i], ids[k]))
         return [x for x in ids if x >= 0]
 
 
@@ -218,26 +224,36 @@ class Lexicon:
 
 
 class Memory(dict):
-    """Words' ids as a worker meets them: at most CACHE_WORDS of them."""
+    """What find() gives for the short pieces of text that a worker has met: at most CACHE_WORDS of them."""
 
     def __init__(self, find):
         self.find = find
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.find(word.encode())
-        if len(word) <= LONG_WORD:
+    def __missing__(self, piece: str):
+        found = self.find(piece)
+        if len(piece) <= LONG_WORD:
             if len(self) >= CACHE_WORDS:
                 self.clear()
-            self[word] = ids
-        return ids
+            self[piece] = found
+        return found
+
+
+def _open(piece: str) -> bool:
+    """Whether a space beside it isn't one space between two words."""
+    return not piece or piece[0].isspace() or piece[-1].isspace()
 
 
 class Codec:
-    """encode() and decode() with a vocabulary and a lexicon."""
+    """encode() and decode() with a vocabulary and a lexicon.
+
+    The word pattern never goes from a character that is no white space over a white space, and one space between two such
+    characters goes with what follows. So a text may be cut before each of those spaces, and pieces are looked up by
+    themselves."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.v, self.lexicon = vocabulary, lexicon
-        self.words = Memory(self.word)
+        self.spaced, self.bare = Memory(self._spaced), Memory(self._bare)
+        self.newline = self.word(b"\n")
         n = max(vocabulary.pieces) + 1
         sizes = np.array([len(vocabulary.pieces.get(i, b"")) for i in range(n)])
         self.piece_at = np.concatenate([[0], np.cumsum(sizes)])
@@ -249,16 +265,53 @@ class Codec:
         ids = self.lexicon.get(word)
         return self.v.merge(word) if ids is None else ids
 
+    def words(self, text: str) -> list[int]:
+        return [i for w in WORDS.findall(text) for i in self.word(w.encode())]
+
+    def _bare(self, piece: str) -> list[int] | None:
+        """The ids of a piece without a space before it; None if it has white space at an end."""
+        return None if _open(piece) else self.words(piece)
+
+    def _spaced(self, piece: str) -> list[int] | None:
+        """The ids of a piece that one space is before; None if it has white space at an end."""
+        if _open(piece):
+            return None
+        if "\n" not in piece:
+            return self.words(" " + piece)
+        lines = piece.split("\n")  # one line end between two words stands alone
+        ids = [self.spaced[lines[0]], *map(self.bare.__getitem__, lines[1:])]
+        if None in ids:
+            return self.words(" " + piece)
+        out = list(ids[0])
+        for more in ids[1:]:
+            out += self.newline
+            out += more
+        return out
+
+    def plain(self, text: str) -> list[int]:
+        """The ids of a text without added tokens."""
+        pieces = text.split(" ")
+        ids = list(map(self.spaced.__getitem__, pieces[1:]))
+        if None not in ids and (head := self.bare[pieces[0]]) is not None:
+            return [*head, *chain.from_iterable(ids)]
+        out, start = [], 0  # pieces that have white space beside the space between them go together
+        for k in range(1, len(pieces) + 1):
+            if k == len(pieces) or not (pieces[k - 1] and pieces[k]) or pieces[k - 1][-1].isspace() or pieces[k][0].isspace():
+                if k < len(pieces):
+                    continue
+            if start and k == start + 1 and ids[start - 1] is not None:
+                out += ids[start - 1]
+            else:
+                out += self.words(" " * (start > 0) + " ".join(pieces[start:k]))
+            start = k
+        return out
+
     def encode(self, text: str) -> list[int]:
-        get = self.words.__getitem__
         if self.v.split is None or not self.v.split.search(text):
-            return list(chain.from_iterable(map(get, WORDS.findall(text))))
+            return self.plain(text)
         out: list[int] = []
         for part in self.v.split.split(text):
-            if part in self.v.added:
-                out.append(self.v.added[part])
-            else:
-                out += chain.from_iterable(map(get, WORDS.findall(part)))
+            out += [self.v.added[part]] if part in self.v.added else self.plain(part)
         return out
 
     def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -318,8 +371,9 @@ def encode(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS, also: dic
     """doc_id, the columns named in `also`, n_tokens, ids (array<int>, if wanted), ids_sha256 and decoded_sha256.
 
     tokenizer is the path of a byte-level BPE's tokenizers file on the driver. A null text is encoded as the empty one,
-    which has no tokens; the vocabulary's added tokens in a text are matched as the library does. Rows stay as they are,
-    repeated ones too; an empty table gives an empty table; further columns take no part."""
+    which has no tokens; the vocabulary's added tokens in a text are matched as the library does. Very long texts and words
+    are encoded whole. Rows stay as they are, repeated ones too; ties in frequency enter the lexicon together or not at
+    all; an empty table gives an empty table; further columns take no part."""
     import hashlib
 
     also = also or {}

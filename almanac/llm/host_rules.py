@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from almanac.llm.common import pick, scratch
 
 WINDOW = 8
+#: Verdicts of so many bytes at most are broadcast; if there are more, a host's documents are dealt out over so many tasks.
+BROADCAST_BYTES, SALTS = 8 << 20, 32
 SPACE = r"[\x20\x09-\x0D]"
 
 
@@ -99,18 +101,28 @@ def host_verdicts(measured: DataFrame, most_failing: float = 0.5) -> DataFrame:
     return joined.select("host_key", "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk <= most_failing).alias("host_kept"))
 
 
+def with_verdicts(measured: DataFrame, verdicts: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """measured with its host's verdict. No task gets a host whole."""
+    size = verdicts.agg(F.coalesce(F.sum(F.octet_length("host_key") + 40), F.lit(0))).first()[0]
+    if size <= broadcast_bytes:
+        return measured.join(F.broadcast(verdicts), "host_key", "left")
+    salt = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")
+    salted = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return measured.withColumn("salt", salt).join(salted, ["host_key", "salt"], "left").drop("salt")
+
+
 def judge(docs: DataFrame, host: str = "source", most_failing: float = 0.5) -> DataFrame:
     """The measures, base_failed, the host's figures and kept for each row of docs(doc_id, text, host column).
 
-    A document is kept unless it fails a rule itself or its host's shrunk failure rate is above most_failing. Null and
-    empty texts have no words and fail. Documents of a null host are one host. Repeated rows count one by one. An empty
-    table gives an empty table; further columns take no part."""
+    A document is kept unless it fails a rule itself or its host's shrunk failure rate is above most_failing; a rate that
+    ties with it stays. Null and empty texts have no words and fail; very long ones are measured whole. Documents of a null
+    host are one host. Repeated rows count one by one. An empty table gives an empty table; further columns take no part."""
     docs = pick(docs, doc_id="long", text="string", **{host: "string"}).withColumnRenamed(host, "host")
     measured = measures(docs).withColumn("host_key", F.coalesce(F.concat(F.lit("h"), "host"), F.lit("n")))
     measured = measured.withColumn("fails", base_failed())
     measured = scratch(measured, "measured")  # texts are read once, for the hosts and for the documents
-    verdicts = host_verdicts(measured, most_failing)
-    out = measured.join(verdicts, "host_key", "left")
+    verdicts = scratch(host_verdicts(measured, most_failing), "verdicts")
+    out = with_verdicts(measured, verdicts)
     return out.withColumn("base_failed", F.col("fails")).withColumn("kept", ~F.col("fails") & F.col("host_kept"))
 
 

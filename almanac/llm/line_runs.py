@@ -1,20 +1,24 @@
 """Line dedup by levelled sorted runs of line hashes.
 
-The seen lines are kept as sorted runs, each a Parquet table of (key, owner) dealt and sorted by key. A new batch of
-documents meets the runs in a merge anti join: lines that no run has are new, and go out as a run of level 0 sorted the
-same way; the others are repeats. When a level holds `fanout` runs, they are merged into one of the next level, so after n
-batches there are about fanout * log(n) runs to join, and each key is rewritten log(n) times.
+The seen lines are kept as sorted runs, each a Parquet table of (key, owner) in as many buckets as shuffles have
+partitions, one file each, sorted by key. A new batch of documents is counted by key, which deals it out like the runs,
+and meets them run by run in merge joins to which the runs come as they lie, without an exchange or a sort: lines that no
+run has are new, and go out as a run of level 0; the others are repeats. When a level holds `fanout` runs, they are merged into
+one of the next level, so after n batches there are about fanout * log(n) runs to join, and each key
+is rewritten log(n) times.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm.common import Words, arrow_rows, drop_scratch, pick, scratch
+from almanac.llm.common import Words, arrow_rows, drop_scratch, pick, scratch, shared_dir
 
 LINES = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
 KEYS = ["k1", "k2"]
@@ -28,7 +32,7 @@ def _lines_of(texts: pa.Array, min_chars: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, k1, k2): the distinct keys of each text's lines."""
+    """(doc_id, k1, k2): the keys of each text's lines, repeats included."""
 
     def run(batches):
         for batch in batches:
@@ -39,43 +43,68 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long")
 
 
+#: A bucket's one file is sorted, and plans may rely on it while this is set.
+SORTED_BUCKETS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
 class LineRuns:
     """The runs, by level. add() takes a batch's lines and returns the seen ones with their owners."""
 
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def seen(self) -> DataFrame | None:
-        runs = [r for level in self.levels for r in level]
-        out = None
-        for r in runs:
-            out = r if out is None else out.unionByName(r)
-        return out
+    def runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
+
+    def found(self, lines: DataFrame) -> DataFrame:
+        """(k1, k2, first, last, owner) of the distinct keys in lines(doc_id, k1, k2); owner is the runs', if they have it."""
+        out = lines.groupBy(*KEYS).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        owners = [F.lit(None).cast("long")]
+        for n, run in enumerate(self.runs()):
+            out = out.join(run.withColumnRenamed("owner", f"owner_{n}").hint("merge"), KEYS, "left")
+            owners.append(F.col(f"owner_{n}"))
+        return out.select(*KEYS, "first", "last", F.coalesce(*owners).alias("owner"))
 
     def add(self, lines: DataFrame) -> DataFrame:
         """Owners of the keys in lines(doc_id, k1, k2) that more than one document holds by now: (k1, k2, owner)."""
-        here = lines.groupBy(*KEYS).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        runs = self.seen()
-        if runs is None:
-            found = here.withColumn("owner", F.lit(None).cast("long"))
-        else:
-            found = here.join(runs, KEYS, "left")
-        found = scratch(found, "found")
-        new = found.where("owner is null").select(*KEYS, F.col("first").alias("owner")).sortWithinPartitions(*KEYS)
-        self.levels[0].append(scratch(new, "run-0"))
-        self._compact()
+        before = self.spark.conf.get(SORTED_BUCKETS)
+        self.spark.conf.set(SORTED_BUCKETS, "true")
+        try:
+            found = scratch(self.found(lines), "found")
+            new = found.where("owner is null").select(*KEYS, F.col("first").alias("owner")).repartition(self.buckets, *KEYS)
+            self.levels[0].append(self._write(new))
+            self._compact()
+        finally:
+            self.spark.conf.set(SORTED_BUCKETS, before)
         return found.where("owner is not null or first <> last").select(*KEYS, F.coalesce("owner", "first").alias("owner"))
 
+    def drop(self) -> None:
+        for run in self.runs():
+            self._drop(run)
+        self.levels = [[]]
+
+    def _write(self, run: DataFrame) -> DataFrame:
+        name = f"almanac_run_{uuid.uuid4().hex}"
+        path = f"{shared_dir(self.spark)}/almanac/{name}"
+        run.write.format("parquet").option("path", path).bucketBy(self.buckets, *KEYS).sortBy(*KEYS).saveAsTable(name)
+        out = self.spark.table(name)
+        out.scratch_path, out.table_name = path, name
+        return out
+
+    def _drop(self, run: DataFrame) -> None:
+        self.spark.sql(f"DROP TABLE {run.table_name}")
+        drop_scratch(run)
+
     def _compact(self) -> None:
         level = 0
         while len(self.levels[level]) >= self.fanout:
             runs = self.levels[level]
-            merged = runs[0]
-            for r in runs[1:]:
-                merged = merged.unionByName(r)
-            merged = scratch(merged.repartition(*KEYS).sortWithinPartitions(*KEYS), f"run-{level + 1}")
+            # read as plain files: the union of bucketed tables would pass for dealt out by key, which it isn't
+            merged = self.spark.read.schema(runs[0].schema).parquet(*[r.scratch_path for r in runs])
+            merged = self._write(merged.repartition(self.buckets, *KEYS))
             for r in runs:
-                drop_scratch(r)
+                self._drop(r)
             self.levels[level] = []
             if len(self.levels) == level + 1:
                 self.levels.append([])
@@ -95,6 +124,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanou
     for b in range(len(edges) + 1):
         part = runs.add(lines.where(F.col("batch") == b).drop("batch")).withColumn("batch", F.lit(b))
         owners = part if owners is None else owners.unionByName(part)
+    runs.drop()
     # a key that repeats only in a later batch is owned there by the run that has it: every row of a batch meets its batch's owners
     gone = lines.join(owners, ["batch", *KEYS]).where("doc_id <> owner")
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*KEYS))).alias("drop"))
@@ -105,8 +135,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
 
     A line's key is the line without ASCII white space at its ends, A-Z in lower case. Keys of at least min_chars code
     points that two documents hold stay in the smallest doc_id alone, there with all their copies. Null and empty texts
-    have one empty line; a null doc_id owns and loses nothing; rows of one doc_id count as one document; an empty table
-    gives an empty table; further columns take no part."""
+    have one empty line; very long texts and lines are taken whole; a null doc_id owns and loses nothing; rows of one
+    doc_id count as one document, so they tie; an empty table gives an empty table; further columns take no part."""
     also = also or {}
     docs = pick(docs, doc_id="long", text="string", **also)
     gone = repeated_lines(docs, min_chars, batches, fanout)

@@ -2,8 +2,8 @@
 
 Each source has a target in words. Its documents are counted by exact length; a source takes whole passes over all its
 documents while they fit, and for the budget that remains the number of documents to take of each length is fitted: in
-proportion first, then by a bounded-knapsack dynamic programme over lengths that closes the gap. Which documents of a
-length are taken is decided by a seeded hash.
+proportion first, then by a bounded-knapsack dynamic programme over lengths, which takes more and untakes until the fit is
+exact or can't be better. Which documents of a length are taken is decided by a seeded hash.
 """
 
 from __future__ import annotations
@@ -18,48 +18,33 @@ from almanac.llm.common import WORD, pick, scratch
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Hash buckets of a length's documents: only the bucket in which the count ends is ranked row by row.
 BUCKETS = 256
-#: The gap, in words, that the dynamic programme closes at least: four times the longest untaken length if that is more.
-GAP = 1 << 14
-
-
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int = GAP) -> np.ndarray:
-    """How many documents of each length to take, so that the sum of lengths comes as near to budget as can be, from
-    below where a subset fits exactly or nearly. lengths are distinct and positive."""
-    take = np.zeros(len(lengths), np.int64)
-    total = int((lengths * counts).sum())
-    if budget <= 0 or total == 0:
-        return take
-    if budget >= total:
-        return counts.astype(np.int64)
-    take = np.floor(counts * (budget / total)).astype(np.int64)
-    rest = budget - int((take * lengths).sum())
-    gap = max(gap, 4 * int(lengths[counts > take].max()))
-    for i in np.argsort(-lengths, kind="stable"):  # greatest first, until the programme can close the gap
-        if rest <= gap:
-            break
-        more = min(int(counts[i] - take[i]), max(0, rest - gap // 2) // int(lengths[i]))
-        take[i] += more
-        rest -= more * int(lengths[i])
-    # bounded knapsack over a bit set of sums; first[x] is the item by which the sum x is made first, so what it adds to was
-    # made by items before it; items are lengths in powers of two
-    items, mask = [], (1 << (rest + 1)) - 1
-    for i, length in enumerate(lengths):
-        left, power = min(int(counts[i] - take[i]), rest // int(length)), 1
+#: The dynamic programme first covers so many words at least, or four times the longest open length if that is more; while
+#: it finds no exact fit, texts are untaken and it covers eight times as many, up to all of the budget or the second number.
+GAP, WIDEST = 1 << 14, 1 << 22
+
+
+def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many of each length, of so many at most, for the greatest sum that budget has room for. A bounded-knapsack
+    programme over a bit set of sums: first[x] is the item by which the sum x is made first, so what it adds to was made by
+    items before it; items are lengths in powers of two."""
+    items, mask = [], (1 << (budget + 1)) - 1
+    for i, length in enumerate(lengths.tolist()):
+        left, power = min(int(counts[i]), budget // length), 1
         while left > 0:
             n = min(power, left)
-            items.append((i, n, n * int(length)))
+            items.append((i, n, n * length))
             left -= n
             power *= 2
     items.sort(key=lambda x: x[2])
-    reach, first = 1, np.zeros(rest + 1, np.int32)
+    reach, first = 1, np.zeros(budget + 1, np.int32)
     for k, (_, _, size) in enumerate(items):
         new = (reach << size & mask) & ~reach
         if new:
             reach |= new
-            first[np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(rest // 8 + 1, "little"), np.uint8), bitorder="little"))] = k
-        if reach >> rest & 1:
+            first[np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8), bitorder="little"))] = k
+        if reach >> budget & 1:
             break
-    at = reach.bit_length() - 1
+    take, at = np.zeros(len(lengths), np.int64), reach.bit_length() - 1
     while at:
         i, n, size = items[first[at]]
         take[i] += n
@@ -67,6 +52,46 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int =
     return take
 
 
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int = GAP, widest: int = WIDEST) -> np.ndarray:
+    """How many documents of each length to take, so that the sum of lengths comes as near to budget from below as can be.
+    lengths are distinct and positive. In proportion first, greatest first then; the programme fits what is left, and where
+    that has no exact fit, what is left and what the shortest taken texts free, of them all if it must. The fit is the best
+    of all where it is exact or all could be untaken, which `widest` bounds."""
+    counts = counts.astype(np.int64)
+    total = int((lengths * counts).sum())
+    if budget <= 0 or total == 0:
+        return np.zeros(len(lengths), np.int64)
+    if budget >= total:
+        return counts
+    unit = int(np.gcd.reduce(lengths[counts > 0]))  # no sum lies between its multiples
+    lengths, budget, total = lengths // unit, budget // unit, total // unit
+    take = np.minimum(counts, np.floor(counts * (budget / total) * (1 - 1e-12)).astype(np.int64))
+    rest = budget - int((take * lengths).sum())
+    gap = max(gap, 4 * int(lengths[counts > take].max()))
+    down = np.argsort(-lengths, kind="stable")
+    for i in down:
+        if rest <= gap:
+            break
+        more = min(int(counts[i] - take[i]), max(0, rest - gap // 2) // int(lengths[i]))
+        take[i] += more
+        rest -= more * int(lengths[i])
+    best, left, cover = take, rest, rest
+    while True:
+        back, open_ = np.zeros(len(take), np.int64), rest
+        for i in down[::-1]:
+            if open_ >= cover:
+                break
+            back[i] = min(int(take[i]), -(-(cover - open_) // int(lengths[i])))
+            open_ += int(back[i] * lengths[i])
+        more = knapsack(lengths, counts - take + back, open_)
+        missed = open_ - int((more * lengths).sum())
+        if missed < left:
+            best, left = take - back + more, missed
+        if left == 0 or cover >= max(gap, widest) or (back == take).all():
+            return best
+        cover = max(gap, 8 * cover)
+
+
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
     """(source, source_size, target): sources in code point order, null last, take the weights in turn and share `share`
     of all words; a target ends at `most` times its source's words, the excess goes to the others by weight. sizes has a
@@ -90,8 +115,9 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple =
     """doc_id, the columns named in `also`, size, source_size, target and copies (0, 1 or 2) for each row of docs.
 
     A null or empty text has the size 0 and as many copies as its source has passes. Null sources are one source, the
-    last. Rows that are equal are taken or left one by one. An empty table gives an empty table; columns other than
-    doc_id, text, source and those in `also` take no part."""
+    last. Texts of one length tie, and a seeded hash decides; a very long one is a length of its own. Rows that are equal
+    are taken or left one by one. An empty table gives an empty table; columns other than doc_id, text, source and those in
+    `also` take no part."""
     also = also or {}
     docs = pick(docs, doc_id="long", text="string", source="string", **{c: t for c, t in also.items() if c not in ("text", "source")})
     sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))

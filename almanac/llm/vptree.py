@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from almanac.llm.common import Words, components, forest, pick, scratch
 
 RADIUS = 3
-#: The router is built from at most so many fingerprints; it is all that goes to every executor.
-ROUTER_SAMPLE = 8192
-_BYTES_MSB = np.arange(64)
+#: The router is built from so many fingerprints at least, and from eight for each leaf that it is to have; it is all that
+#: goes to every executor. It has so many levels at most, which is 16,384 leaves from 131,072 fingerprints.
+ROUTER_SAMPLE, MOST_LEVELS = 8192, 14
 
 
 def fingerprints_of(texts: pa.Array, shingle: int = 3) -> np.ndarray:
@@ -172,16 +172,16 @@ def search(home: np.ndarray, others: np.ndarray, radius: int = RADIUS, block: in
 
 
 def depth_for(n: int) -> int:
-    """Levels of the router: each doubles the leaves and makes about 1.5 times as many visits, so leaves and visits both
-    grow with a root of n."""
-    return max(0, min(14, round(0.5 * math.log2(max(n, 1) / 2048)) + 2)) if n > 4096 else 0
+    """Levels of the router: each doubles the leaves and makes about 1.4 to 1.5 times as many visits, so leaves and visits
+    both grow with a root of n."""
+    return max(0, min(MOST_LEVELS, round(0.5 * math.log2(max(n, 1) / 2048)) + 2)) if n > 4096 else 0
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (u, v) that span the near-duplicate graph of distinct(fp)."""
-    n = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("fp")).limit(ROUTER_SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    nodes = build_router(sample, depth_for(n))
+    depth = depth_for(distinct.count())
+    sample = distinct.orderBy(F.xxhash64("fp")).limit(max(ROUTER_SAMPLE, 8 << depth)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    nodes = build_router(sample, depth)
 
     def deal(batches):
         for batch in batches:
@@ -202,8 +202,9 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs(doc_id, text).
 
-    Null and empty texts and texts without words have the fingerprint zero, like any other; equal fingerprints are one
-    class, so copies meet the tree once. A null doc_id takes part and gets its class's smallest doc_id, null if there is
+    Null and empty texts and texts without words have the fingerprint zero, like any other; a very long text goes in whole;
+    a bit set in exactly half the shingles, a tie, is 0. Equal fingerprints are one class, so copies meet the tree once. A
+    null doc_id takes part and gets its class's smallest doc_id, null if there is
     none. Repeated rows stay. An empty table gives an empty table; further columns take no part."""
     fps = scratch(fingerprints(docs), "fingerprints")
     classes = scratch(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from almanac.llm import bpe, dsir, host_rules, html_blocks, itq, line_runs, lm_bloom, mixing, queries, skipchain, vptree
 from almanac.llm.common import components, forest
@@ -104,7 +105,7 @@ def test_lm_counts_and_base_scores(docs, texts):
 
 
 def test_filter_has_no_false_negatives_and_few_false_positives(spark):
-    h = np.random.default_rng(0).integers(-(2**63), 2**63, 20_000)
+    h = np.sort(np.random.default_rng(0).integers(-(2**63), 2**63, 20_000))
     level = np.arange(20_000) % 6 + 1
     df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(h, level)], "h long, q int")
     n = math.ceil(int(level.sum()) * lm_bloom.KEY_BITS / 64 / 8)
@@ -157,7 +158,7 @@ def brute_scores(texts):
 def test_scores_are_the_model_s(docs, texts, monkeypatch):
     want = brute_scores(texts)
     off = lambda: np.array([abs(r["score"] - want[r["doc_id"]]) / r["n_tokens"] for r in lm_bloom.score(docs).collect()])
-    assert off().mean() < 0.015  # log10 a token, from false probes
+    assert off().mean() < 0.02  # log10 a token, from the false probes of 12 bits a key
     monkeypatch.setattr(lm_bloom, "KEY_BITS", 512)  # so wide a filter has next to none
     exact = off()
     assert (exact < 1e-9).mean() > 0.9 and exact.max() < 0.01
@@ -202,18 +203,28 @@ def test_mix_meets_its_targets(docs, texts):
     assert sorted(rows) == sorted(mixing.digest(docs.repartition(5)).collect())
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(20))
 def test_fitted_counts_come_as_near_as_any_subset(seed):
     rng = np.random.default_rng(seed)
-    lengths = np.unique(rng.integers(1, 40, 6))
+    lengths = np.unique(rng.integers(1, 40, 6)) * (1 if seed % 3 else 7_001)
     counts = rng.integers(1, 5, len(lengths))
     sums = {0}
     for n, k in zip(lengths, counts):
         sums = {s + j * int(n) for s in sums for j in range(k + 1)}
     budget = int(rng.integers(1, (lengths * counts).sum()))
-    take = mixing.fit_counts(lengths, counts, budget)
-    assert (take <= counts).all() and (take * lengths).sum() <= budget
-    assert budget - (take * lengths).sum() <= budget - max(s for s in sums if s <= budget) + lengths.max()
+    take = mixing.fit_counts(lengths, counts, budget, gap=8)
+    assert (take <= counts).all() and (take >= 0).all()
+    assert (take * lengths).sum() == max(s for s in sums if s <= budget)
+
+
+def test_long_texts_and_large_tables_are_fitted_exactly():
+    assert mixing.fit_counts(np.array([17_000, 17_001, 17_002, 17_003]), np.ones(4, int), 34_003) @ np.array([17_000, 17_001, 17_002, 17_003]) == 34_003
+    assert mixing.fit_counts(np.array([30_000, 50_000, 70_000]), np.ones(3, int), 80_000).tolist() == [1, 1, 0]
+    rng = np.random.default_rng(3)
+    lengths = np.unique(rng.integers(1, 20_000, 3000))
+    counts = rng.integers(1, 100, len(lengths))
+    take = mixing.fit_counts(lengths, counts, budget := int((lengths * counts).sum() * 0.37) + 1)
+    assert (take * lengths).sum() == budget and (take <= counts).all() and (take >= 0).all()
 
 
 # ---------------------------------------------------------------- 3
@@ -285,6 +296,26 @@ def test_lines_by_hand_in_any_number_of_batches(docs, texts, edges):
                 assert (got[i]["n_lines"], got[i]["n_dropped"], got[i]["kept_text"]) == (len(lines), len(lines) - len(kept), "\n".join(kept))
 
 
+def test_verdicts_meet_salted_hosts_as_they_do_broadcast(spark, docs):
+    measured = host_rules.measures(docs.withColumnRenamed("source", "host")).withColumn("host_key", F.col("host")).withColumn("fails", host_rules.base_failed())
+    verdicts = host_rules.host_verdicts(measured)
+    a, b = (host_rules.with_verdicts(measured, verdicts, size) for size in (1 << 20, 0))
+    assert sorted(map(str, a.select(sorted(a.columns)).collect())) == sorted(map(str, b.select(sorted(b.columns)).collect()))
+
+
+def test_runs_are_joined_where_they_lie(spark, docs):
+    runs = line_runs.LineRuns(spark, 2)
+    lines = line_runs.line_keys(docs, 10)
+    for k in range(3):  # the second compacts
+        runs.add(lines.where(f"doc_id % 4 = {k}"))
+    spark.conf.set(line_runs.SORTED_BUCKETS, "true")
+    plan = runs.found(lines.where("doc_id % 4 = 3"))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset(line_runs.SORTED_BUCKETS)
+    assert [len(x) for x in runs.levels] == [1, 1] and plan.count("SortMergeJoin") == 2 and plan.count("Bucketed: true") == 2
+    assert plan.count("Exchange") == 1 and plan.count(" Sort ") == 1  # the batch's own
+    runs.drop()
+
+
 # ---------------------------------------------------------------- 5
 
 

@@ -14,7 +14,7 @@ ALSO = {c: t for c, t in COLUMNS.items() if c != "doc_id"}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps."""
+    """Documents that the classifier keeps; repeated rows are kept or go together. Nulls: a null text has the weight 0."""
     return dsir.resample(docs, table(spark, sf_dir, "labels"), also=ALSO).where("kept").select(*COLUMNS)
 
 
@@ -26,10 +26,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group, one of its equal rows. Rows without a doc_id stay."""
+    """The document with the smallest doc_id of each group; of rows that share it, the one whose columns are smallest in
+    order. Rows without a doc_id stay."""
     kept = vptree.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
     docs = pick(docs, **COLUMNS)
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(*ALSO)).alias("row")).select("doc_id", "row.*")
     return one.unionByName(docs.where("doc_id is null"))
 
 

@@ -2,9 +2,11 @@
 
 The first pass holds each block of a page against its length, its share of stop words and its share of text in links:
 content, boilerplate or undecided. The second lets undecided blocks, most of them short, take the label of the nearest
-decided neighbours. Blocks in another script than the stop words', and sentences on pages whose long blocks are in none of their
-languages, are held against length and links alone. Elements that say what they are (nav, footer, forms, an advert's class, ...) are boilerplate whatever
-their text, and where a page marks its article, only blocks inside it can be content.
+decided neighbours. Blocks in another script than the stop words', and sentences on pages whose long blocks are in none of
+their languages, are held against length and links alone. Where a page says what an element is, that goes into the passes
+as hints: navigation, forms, an advert's class, ... are decided as boilerplate, as is what lies outside a marked article,
+and the ends of a marked article are neighbours that are content. Pages without any such mark are decided by the passes
+alone.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from almanac.llm.common import pick
 
-SHORT, MOST_LINKS, STOP_LOW, STOP_HIGH = 70, 0.5, 0.15, 0.3
+SHORT, MOST_LINKS, MOST_LINKS_SHORT, STOP_LOW, STOP_HIGH = 70, 0.5, 0.3, 0.15, 0.3
 #: A page's long blocks in Latin script have a lower share of stop words if they are in another language; where stop words say nothing, content has so few links.
 STOP_OTHER, FEW_LINKS = 0.1, 0.2
 
@@ -54,13 +56,16 @@ MAIN_NAMES = frozenset("article content post entry story main".split())
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 HEADING = re.compile(r"h[1-6]$")
+MARKS = """.,;:!?"'()[]{}#*$%&|<>"""
+SENTENCE = re.compile(r"[.!?…]")
+RIGHTS = re.compile(r"\W*(©|\(c\)|copyright\b|all rights reserved\b)", re.I)
 
 
 class Block:
-    __slots__ = ("text", "links", "boiler", "main", "heading", "label")
+    __slots__ = ("text", "links", "boiler", "main", "heading")
 
     def __init__(self, text: str, links: int, boiler: bool, main: bool, heading: bool):
-        self.text, self.links, self.boiler, self.main, self.heading, self.label = text, links, boiler, main, heading, ""
+        self.text, self.links, self.boiler, self.main, self.heading = text, links, boiler, main, heading
 
 
 def _kind(name: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
@@ -174,52 +179,72 @@ def _other_script(text: str) -> bool:
 
 
 def _stops(text: str) -> tuple[int, int]:
-    words = [w.strip(".,;:!?\"'()").lower() for w in text.split()]
+    words = [w.strip(MARKS).lower() for w in text.split()]
     return sum(w in STOP_WORDS for w in words), len(words)
 
 
-def classify(blocks: list[Block]) -> list[Block]:
-    """Both passes; the blocks that are content."""
+def first_pass(blocks: list[Block]) -> list[str]:
+    """Each block's label: good, bad or ? (undecided)."""
     marked = any(b.main and not b.boiler for b in blocks)
-    stops = {id(b): _stops(b.text) for b in blocks}
-    long = [stops[id(b)] for b in blocks if not b.boiler and not b.heading and len(b.text) >= SHORT and b.links <= FEW_LINKS * len(b.text) and not _other_script(b.text)]
-    unknown = sum(k for k, _ in long) < STOP_OTHER * sum(n for _, n in long)
-    for b in blocks:
-        density = b.links / len(b.text)
-        if b.boiler or (marked and not b.main) or density > MOST_LINKS:
-            b.label = "bad"
-            continue
-        stop = stops[id(b)][0] / stops[id(b)][1]
-        if _size(b.text) < SHORT or b.heading:
-            b.label = "bad" if density > 0.3 and not marked else "?"
-        elif stop >= STOP_HIGH:
-            b.label = "good"
-        elif density <= FEW_LINKS and (_other_script(b.text) or (unknown and re.search(r"[.!?…]", b.text))):
-            b.label = "good"
-        elif stop >= STOP_LOW or marked:
-            b.label = "?"
+    stops = [_stops(b.text) for b in blocks]
+    plain = [n for b, n in zip(blocks, stops) if not b.boiler and not b.heading and len(b.text) >= SHORT and b.links <= FEW_LINKS * len(b.text) and not _other_script(b.text)]
+    unknown = sum(k for k, _ in plain) < STOP_OTHER * sum(n for _, n in plain)
+    labels = []
+    for b, (k, n) in zip(blocks, stops):
+        links, sentence = b.links / len(b.text), bool(SENTENCE.search(b.text))
+        if b.boiler or (marked and not b.main) or links > MOST_LINKS:
+            labels.append("bad")
+        elif not marked and RIGHTS.match(b.text):
+            labels.append("bad")
+        elif _size(b.text) < SHORT or b.heading:
+            labels.append("bad" if links > MOST_LINKS_SHORT and not marked else "?")
+        elif k >= STOP_HIGH * n or (k >= STOP_LOW * n and links <= FEW_LINKS and sentence):
+            labels.append("good")
+        elif links <= FEW_LINKS and (_other_script(b.text) or (unknown and sentence)):
+            labels.append("good")
+        elif k >= STOP_LOW * n or marked or (links <= FEW_LINKS and sentence):
+            labels.append("?")
         else:
-            b.label = "bad"
-    # in a marked article nothing but its own blocks are neighbours, and its borders are content
-    chosen = [b for b in blocks if b.main and not b.boiler] if marked else blocks
-    edge = "good" if marked else "bad"
-    before: list[tuple[str, int]] = []
-    last, far = edge, 0
-    for b in chosen:
-        before.append((last, far))
-        last, far = (b.label, 0) if b.label != "?" and not (marked and b.label == "bad") else (last, far + 1)
-    last, far, labels = edge, 0, []
-    for b, (up, up_far) in zip(reversed(chosen), reversed(before), strict=True):
-        if b.label == "?":
-            if b.heading:
-                got = last  # a heading goes with what follows it
+            labels.append("bad")
+    return labels
+
+
+def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
+    """Whether each block is content: decided ones are what they are; an undecided one follows the nearer of the decided
+    blocks before and after it, a heading the one after it. If both are as near and differ, whole sentences are content. In
+    a marked article only its own blocks are neighbours, and its two ends are content; a page's ends decide nothing."""
+    marked = any(b.main and not b.boiler for b in blocks)
+    some = [k for k, b in enumerate(blocks) if not marked or (b.main and not b.boiler)]
+    far = len(some) + 1
+
+    def nearest(order) -> dict[int, tuple[str, int]]:
+        """Of each block, the label and distance of the nearest decided one that comes before it in this order."""
+        out, label, steps = {}, "good" if marked else "?", 0 if marked else far
+        for k in order:
+            out[k] = label, steps
+            decided = labels[k] != "?" and not (marked and labels[k] == "bad")
+            label, steps = (labels[k], 0) if decided else (label, steps + 1)
+        return out
+
+    before, after = nearest(some), nearest(reversed(some))
+    content = [False] * len(blocks)
+    for k in some:
+        label = labels[k]
+        if label == "?":
+            (up, near_up), (down, near_down) = before[k], after[k]
+            if blocks[k].heading and down != "?":
+                label = down
+            elif up == down or near_up == near_down:
+                label = up if up == down else "good" if SENTENCE.search(blocks[k].text) else "bad"
             else:
-                got = up if up == last or up_far < far else last if far < up_far else "bad"
-            labels.append(got)
-        else:
-            labels.append(b.label)
-        last, far = (b.label, 0) if b.label != "?" and not (marked and b.label == "bad") else (last, far + 1)
-    return [b for b, label in zip(chosen, reversed(labels), strict=True) if label == "good"]
+                label = up if near_up < near_down else down
+        content[k] = label == "good"
+    return content
+
+
+def classify(blocks: list[Block]) -> list[Block]:
+    """Both passes; the blocks that are content."""
+    return [b for b, content in zip(blocks, second_pass(blocks, first_pass(blocks))) if content]
 
 
 def main_text(page: str) -> str:
@@ -229,7 +254,8 @@ def main_text(page: str) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for each row of pages(page_id, url, html).
 
-    A null or empty page, or one without content, has an empty text. Repeated rows stay. An empty table gives an empty
+    A null or empty page, or one without content, has an empty text; a very long one is read whole. Undecided blocks as near
+    to content as to boilerplate are content if they are sentences. Repeated rows stay. An empty table gives an empty
     table; further columns take no part."""
 
     def run(batches):

@@ -1,5 +1,7 @@
 """Training-data operators where they once did less than the whole job."""
 
+import itertools
+import re
 from collections import Counter
 
 import numpy as np
@@ -84,3 +86,113 @@ def test_vectors_with_a_common_mean_are_found_at_the_threshold(spark):
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(both)], "vec_id long, embedding array<double>")
     found = itq.near_vectors(df).agg(F.sum("n_links")).first()[0]
     assert 0.97 * near <= found <= near
+
+
+def brute_second_pass(blocks, labels):
+    """Each undecided block looks left and right, step by step, for a decided one."""
+    marked = any(b.main and not b.boiler for b in blocks)
+    some = [k for k, b in enumerate(blocks) if not marked or (b.main and not b.boiler)]
+    out = []
+    for k in range(len(blocks)):
+        if k not in some or labels[k] != "?":
+            out.append(k in some and labels[k] == "good")
+            continue
+        at, sides = some.index(k), []
+        for way in (-1, 1):
+            steps, j = 1, at + way
+            while 0 <= j < len(some) and (labels[some[j]] == "?" or (marked and labels[some[j]] == "bad")):
+                steps, j = steps + 1, j + way
+            inside = 0 <= j < len(some)
+            sides.append((labels[some[j]] if inside else "good" if marked else "?", steps if inside or marked else 10**6))
+        (up, near_up), (down, near_down) = sides
+        if blocks[k].heading and down != "?":
+            out.append(down == "good")
+        elif up == down:
+            out.append(up == "good")
+        elif near_up == near_down:
+            out.append(bool(html_blocks.SENTENCE.search(blocks[k].text)))
+        else:
+            out.append((up if near_up < near_down else down) == "good")
+    return out
+
+
+def unmarked(page):
+    page = re.sub(r"</?(article|nav|footer)>", lambda m: "</div>" if m[0][1] == "/" else "<div>", page)
+    return page.replace(' class="ad"', "")
+
+
+def test_both_passes_decide_pages_without_marks(spark, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    found = lost = extra = 0
+    for page in pages:
+        for p in (page, unmarked(page)):
+            blocks = html_blocks.blocks_of(p)
+            labels = html_blocks.first_pass(blocks)
+            assert html_blocks.second_pass(blocks, labels) == brute_second_pass(blocks, labels)
+        want, got = Counter(html_blocks.main_text(page).split("\n")), Counter(html_blocks.main_text(unmarked(page)).split("\n"))
+        found, lost, extra = found + (want & got).total(), lost + (want - got).total(), extra + (got - want).total()
+    assert lost < 0.05 * found and extra < 0.03 * found
+    prose = "<p>" + "This is the text that we have and it is about all of the things. " * 3 + "</p>"
+    words = "<p>" + "keyword seo traffic ranking boost backlinks domain authority crawl budget sitemap index " * 2 + "</p>"
+    whole = html_blocks.main_text(prose + words + prose)
+    assert "seo" not in whole and whole.count("\n") == 1
+    monkeypatch.setattr(html_blocks, "STOP_WORDS", frozenset({"seo", "traffic", "keyword", "ranking", "index", "boost", "domain"}))
+    assert "seo" in html_blocks.main_text(prose + words + prose)
+
+
+def test_vectors_of_any_length_link_with_their_own_and_equal_ones_count(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.standard_normal((300, 16)))]
+    rows += [(1000 + k, rows[k % 3][1]) for k in range(40)]  # copies
+    rows += [(2000, [1.0, 2.0, 3.0]), (2001, [1.0, 2.0, 3.1]), (2002, [3.0, -1.0, 0.0]), (3000, [5.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in itq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for i, v in rows:
+        same = [j for j, w in rows if len(w) == len(v) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.9]
+        assert got[i] == (len(same) - 1, min(same)), i
+
+
+def test_pairs_at_the_threshold_meet_at_any_planned_width():
+    rows = np.random.default_rng(6).standard_normal((6000, 64)) + 1.0
+    x = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    for n in (5_000, 2_000_000):
+        plan = itq.Plan(x[:3000], n, 0.9, 0.99)
+        y = x[3000:]
+        w = np.random.default_rng(7).standard_normal(y.shape)
+        w -= (w * y).sum(axis=1, keepdims=True) * y
+        z = 0.901 * y + np.sqrt(1 - 0.901**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+        a, b = plan.codes.encode(y), plan.codes.encode(z)
+        met = (plan.keys(a) == plan.keys(b)).any(axis=1) & ((plan.compared(a) != plan.compared(b)).sum(axis=1) <= plan.most)
+        assert met.mean() > 0.98, n
+
+
+def test_messages_give_exact_marginals_on_trees():
+    rng = np.random.default_rng(8)
+    n = skipchain.LABELS
+    both = lambda: (lambda m: m + m.T)(rng.standard_normal((n, n)) / 2)
+    w = skipchain.Weights(rng.standard_normal((skipchain.Graph.FEATURES, n)), both(), both())
+    g = skipchain.Graph("12 345 6 word 345 9", [])
+    assert g.chain == [(0, 1), (1, 2), (3, 4)] and g.skip == []
+    g.skip = [(1, 3)]
+    unary, total = g.features @ w.unary, np.zeros((5, n))
+    for labels in itertools.product(range(n), repeat=5):
+        p = np.exp(sum(unary[i, k] for i, k in enumerate(labels)) + sum(w.chain[labels[a], labels[b]] for a, b in g.chain) + sum(w.skip[labels[a], labels[b]] for a, b in g.skip))
+        for i, k in enumerate(labels):
+            total[i, k] += p
+    assert np.abs(skipchain.beliefs(g, w) - total / total.sum(axis=1, keepdims=True)).max() < 1e-2
+
+
+def test_learnt_weights_find_planted_repeats_and_leave_other_numbers(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    w = skipchain.learn(docs)
+    rng = np.random.default_rng(9)
+    caught = planted = wrong = 0
+    for r in docs.limit(200).collect():
+        number = "".join(map(str, rng.integers(1, 10, 9)))
+        other = "".join(map(str, rng.integers(1, 10, 9)))
+        text = f"+49 {number[:2]} {number[2:]} {r['text'][:2000]} then 49{number} and more words {number} too, order {other} and {other} of 2024"
+        spans = skipchain.base_spans(text)
+        added = [text[s:e] for s, _, e in skipchain.added_spans(text, spans, w)]
+        caught += (f"49{number}" in added) + (number in added)
+        planted += 2
+        wrong += sum(a not in (number, f"49{number}") for a in added)
+    assert caught > 0.9 * planted and wrong < 0.05 * planted, (caught, planted, wrong)

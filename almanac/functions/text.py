@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,7 +19,9 @@ def keyword(c: Column, word: str) -> Column:
 
 
 def keyword_hits(c: Column, words: list[str]) -> Column:
-    """How many of the words stand in c."""
+    """How many of the words stand in c, which is in lower case. Single words are looked up among c's, split once."""
+    if all(w.isascii() and w.isalnum() and w == w.lower() for w in words):
+        return F.size(F.array_intersect(F.split(c, "[^a-z0-9]+"), F.array(*map(F.lit, dict.fromkeys(words)))))
     return sum((keyword(c, w).cast("int") for w in words[1:]), keyword(c, words[0]).cast("int"))
 
 
@@ -57,6 +59,29 @@ def context(c: Column, at: Column, radius: int = 80) -> Column:
     return F.substring(c, start, at + radius - start)
 
 
+def placed(df: DataFrame, id_column: str, text: str, pattern: str) -> DataFrame:
+    """(id, at, word): every match of pattern with its place, from 1. A match's place is the length of all pieces and
+    matches before it, added up in a window of its text."""
+    pieces, words = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    rows = df.select(id_column, F.posexplode(F.arrays_zip(words.alias("word"), F.slice(pieces, 1, F.size(words)).alias("piece"))).alias("k", "m")).select(id_column, "k", "m.*")
+    upto = F.sum(F.length("piece") + F.length("word")).over(Window.partitionBy(id_column).orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("at", 1 + upto - F.length("word")).select(id_column, "at", "word")
+
+
+def company_terms(c: Column, stop: list[str]) -> Column:
+    """The words of a company's name that tell it apart: four letters at least, none of the stop list."""
+    words = F.split(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", " "), " +")
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(stop)))
+
+
+def payload_items(c: Column, schema: str, names: list[str]) -> Column:
+    """The objects of a payload that is a list of them, or an object that has such a list under one of the names."""
+    as_list = F.when(F.startswith(F.ltrim(c), F.lit("[")), F.from_json(c, f"array<struct<{schema.replace(' ', ':')}>>".replace(",:", ", ")))
+    inner = [F.from_json(F.get_json_object(c, f"$.{n}"), f"array<struct<{schema.replace(' ', ':')}>>".replace(",:", ", ")) for n in names]
+    usable = [F.when(F.startswith(F.get_json_object(c, f"$.{n}"), F.lit("[")), x) for n, x in zip(names, inner, strict=True)]
+    return F.coalesce(as_list, *usable)
+
+
 def clause(c: Column, word: Column) -> Column:
     """The first clause, between sentence ends and conjunctions, that holds the word; else the whole text."""
     parts = F.split(c, r"[.!?;\n]+|\s(?:but|while|although)\s")

@@ -8,6 +8,7 @@ exactly, by rank. Encoding is the tokenizers library's, text for text, and decod
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import mmap
@@ -28,7 +29,7 @@ from almanac.llm.common import pick, scratch
 LEXICON_WORDS = 50_000
 #: Words longer than this are merged, not kept in the lexicon or a cache.
 LONG_WORD = 64
-#: Distinct pieces of text that a Python worker remembers before it starts anew.
+#: Distinct pieces of text, and words, that a Python worker remembers before a new batch: with more it starts anew.
 CACHE_WORDS = 300_000
 
 # Fixed value: the byte-level vocabulary's word pattern, with Unicode's white space spelt out.
@@ -61,6 +62,9 @@ class Vocabulary:
         # a pair of ids as one number to its rank and what it becomes as one number
         self.merges = {ids[a] << _BITS | ids[b]: rank << _BITS | ids[a + b] for rank, (a, b) in enumerate(pairs)}
         self.first = [ids[byte_letters()[b]] for b in range(256)]
+        known = sorted(self.merges.items()) or [(-1, _NONE)]
+        self._pairs, self._becomes = (np.array(x, np.int64) for x in zip(*known, strict=True))
+        self._firsts = np.array(self.first, np.int64)
         self.pieces = {i: p for p, i in self.ids.items()}
         self.added = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
         self.pieces |= {i: c.encode() for c, i in self.added.items()}
@@ -88,6 +92,40 @@ class Vocabulary:
                 pairs[i - 1] = get(ids[i - 1] << _BITS | new, _NONE)
         return ids
 
+    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+        """merge() of many short words: words of one length are the rows of a matrix, and in each round every row that has
+        a pair to merge merges its leftmost of lowest rank."""
+        out: list[list[int]] = [[]] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            ids = self._firsts[np.frombuffer(b"".join([words[k] for k in rows.tolist()]), np.uint8)].reshape(len(rows), size)
+            pairs = self._look(ids[:, :-1], ids[:, 1:])
+            while len(rows):
+                n = ids.shape[1]
+                at = pairs.argmin(axis=1) if n > 1 else np.zeros(len(rows), np.int64)
+                best = pairs[np.arange(len(rows)), at] if n > 1 else np.full(len(rows), _NONE)
+                done = best == _NONE
+                for k, whole in zip(rows[done].tolist(), ids[done].tolist(), strict=True):
+                    out[k] = whole
+                rows, ids, pairs, at, best = rows[~done], ids[~done], pairs[~done], at[~done], best[~done]
+                if not len(rows):
+                    break
+                each, here = np.arange(len(rows)), at[:, None]
+                ids[each, at] = best & _MASK
+                ids = np.take_along_axis(ids, np.arange(n - 1) + (np.arange(n - 1) > here), axis=1)
+                pairs = np.take_along_axis(pairs, np.arange(n - 2) + (np.arange(n - 2) > here), axis=1)
+                left, right = np.flatnonzero(at > 0), np.flatnonzero(at < n - 2)
+                pairs[left, at[left] - 1] = self._look(ids[left, at[left] - 1], ids[left, at[left]])
+                pairs[right, at[right]] = self._look(ids[right, at[right]], ids[right, at[right] + 1])
+        return out
+
+    def _look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and result of pairs of ids, _NONE if they don't merge."""
+        key = a << _BITS | b
+        k = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
+        return np.where(self._pairs[k] == key, self._becomes[k], _NONE)
+
     def _merge_long(self, word: bytes) -> list[int]:
         get = self.merges.get
         ids = [self.first[b] for b in word]
@@ -207,6 +245,37 @@ class Lexicon:
             at += -at % 4
         self.root, self.bytes_at = root, places[2]
         self.first, self.final, _, self.target, self.output, self.place, self.pool = tables
+        at = dict(zip(("first", "final", "byte", "target", "output"), places))
+        table = lambda name, k, kind: np.frombuffer(self.map, kind, sizes[k], at[name])
+        first, byte = table("first", 0, np.int32), table("byte", 2, np.uint8)
+        self._arcs = np.repeat(np.arange(len(first) - 1), np.diff(first)) << 8 | byte  # in order: states', and a state's by byte
+        self._target, self._output, self._final = table("target", 3, np.int32), table("output", 4, np.int32), table("final", 1, np.int32)
+
+    def get_all(self, words: list[bytes]) -> list[list[int] | None]:
+        """get() of many words, byte by byte of all at once."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts, data = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(words), np.uint8)
+        state, alive = np.full(len(words), self.root), np.arange(len(words))
+        out: list[list[int] | None] = [None] * len(words)
+        some: dict[int, list[int]] = {}
+        pool, place = self.pool, self.place
+        for k in range(int(sizes.max(initial=0)) + 1):
+            ended = alive[sizes[alive] == k]
+            final = self._final[state[ended]]
+            for i, f in zip(ended[final > 0].tolist(), (final[final > 0] - 1).tolist(), strict=True):
+                out[i] = some.get(i, []) + list(pool[place[2 * f] : place[2 * f] + place[2 * f + 1]])
+            alive = alive[sizes[alive] > k]
+            if not len(alive) or not len(self._arcs):
+                break
+            key = state[alive] << 8 | data[starts[alive] + k]
+            arc = np.minimum(np.searchsorted(self._arcs, key), len(self._arcs) - 1)
+            there = self._arcs[arc] == key
+            alive, arc = alive[there], arc[there]
+            state[alive] = self._target[arc]
+            given = self._output[arc]
+            for i, o in zip(alive[given > 0].tolist(), given[given > 0].tolist(), strict=True):
+                some.setdefault(i, []).extend(pool[place[2 * o] : place[2 * o] + place[2 * o + 1]])
+        return out
 
     def get(self, word: bytes) -> list[int] | None:
         state, ids, first, base, find = self.root, [], self.first, self.bytes_at, self.map.find
@@ -223,73 +292,87 @@ class Lexicon:
         return ids + list(self.pool[self.place[2 * f] : self.place[2 * f] + self.place[2 * f + 1]])
 
 
-class Memory(dict):
-    """What find() gives for the short pieces of text that a worker has met: at most CACHE_WORDS of them."""
-
-    def __init__(self, find):
-        self.find = find
-
-    def __missing__(self, piece: str):
-        found = self.find(piece)
-        if len(piece) <= LONG_WORD:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[piece] = found
-        return found
-
-
 def _open(piece: str) -> bool:
     """Whether a space beside it isn't one space between two words."""
     return not piece or piece[0].isspace() or piece[-1].isspace()
 
 
 class Codec:
-    """encode() and decode() with a vocabulary and a lexicon.
+    """encode_all() and decode() with a vocabulary and a lexicon.
 
     The word pattern never goes from a character that is no white space over a white space, and one space between two such
     characters goes with what follows. So a text may be cut before each of those spaces, and pieces are looked up by
-    themselves."""
+    themselves. What a batch's pieces are made of and isn't remembered goes to the lexicon together, and what that lacks is
+    merged together."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.v, self.lexicon = vocabulary, lexicon
-        self.spaced, self.bare = Memory(self._spaced), Memory(self._bare)
-        self.newline = self.word(b"\n")
+        self.spaced: dict[str, list[int] | None] = {}  # pieces with one space before them; None: white space at an end
+        self.bare: dict[str, list[int] | None] = {}
+        self.known: dict[str, list[int]] = {}  # words
         n = max(vocabulary.pieces) + 1
         sizes = np.array([len(vocabulary.pieces.get(i, b"")) for i in range(n)])
         self.piece_at = np.concatenate([[0], np.cumsum(sizes)])
         self.piece_bytes = np.frombuffer(b"".join(vocabulary.pieces.get(i, b"") for i in range(n)), np.uint8)
 
-    def word(self, word: bytes) -> list[int]:
-        if len(word) > LONG_WORD:
-            return self.v.merge(word)
-        ids = self.lexicon.get(word)
-        return self.v.merge(word) if ids is None else ids
+    def resolve(self, words: set[str]) -> None:
+        """Ids of words that aren't known yet."""
+        new = [w for w in words if w not in self.known]
+        raw = [w.encode() for w in new]
+        short = [k for k, r in enumerate(raw) if len(r) <= LONG_WORD]
+        ids = dict(zip(short, self.lexicon.get_all([raw[k] for k in short]), strict=True))
+        unseen = [k for k in short if ids[k] is None]
+        ids.update(zip(unseen, self.v.merge_all([raw[k] for k in unseen]), strict=True))
+        self.known.update((w, ids[k] if k in ids else self.v.merge(raw[k])) for k, w in enumerate(new))
 
     def words(self, text: str) -> list[int]:
-        return [i for w in WORDS.findall(text) for i in self.word(w.encode())]
+        found = WORDS.findall(text)
+        self.resolve(set(found))
+        known = self.known
+        return [i for w in found for i in known[w]]
+
+    def learn(self, texts: list[str]) -> None:
+        """All pieces of the texts, so that looking them up is all that is left."""
+        for memory in (self.spaced, self.bare, self.known):
+            if len(memory) > CACHE_WORDS:
+                memory.clear()
+        spaced, bare = set(), set()
+        for text in texts:
+            pieces = text.split(" ")
+            bare.add(pieces[0])
+            spaced.update(pieces[1:])
+        folded = [p for p in spaced - self.spaced.keys() if "\n" in p and not _open(p)]
+        lines = {p: x for p in folded if not any(map(_open, x := p.split("\n")))}  # one line end between two words stands alone
+        for x in lines.values():
+            spaced.add(x[0])
+            bare.update(x[1:])
+        cut = {}
+        for gap, memory, pieces in ((" ", self.spaced, spaced), ("", self.bare, bare)):
+            for p in pieces - memory.keys():
+                if _open(p):
+                    memory[p] = None
+                elif not (gap and p in lines):
+                    cut[gap, p] = WORDS.findall(gap + p)
+        self.resolve({w for found in cut.values() for w in found} | {"\n"})
+        known = self.known
+        for (gap, p), found in cut.items():
+            (self.spaced if gap else self.bare)[p] = known[found[0]] if len(found) == 1 else [i for w in found for i in known[w]]
+        for p, x in lines.items():
+            self.spaced[p] = [*self.spaced[x[0]], *(i for y in x[1:] for part in (known["\n"], self.bare[y]) for i in part)]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        if self.v.split is None or not any(map(self.v.split.search, texts)):
+            self.learn(texts)
+            return list(map(self.plain, texts))
+        parts = [self.v.split.split(t) for t in texts]  # every second one is an added token
+        self.learn([p for ps in parts for p in ps[::2]])
+        return [[i for k, p in enumerate(ps) for i in ([self.v.added[p]] if k % 2 else self.plain(p))] for ps in parts]
 
-    def _bare(self, piece: str) -> list[int] | None:
-        """The ids of a piece without a space before it; None if it has white space at an end."""
-        return None if _open(piece) else self.words(piece)
-
-    def _spaced(self, piece: str) -> list[int] | None:
-        """The ids of a piece that one space is before; None if it has white space at an end."""
-        if _open(piece):
-            return None
-        if "\n" not in piece:
-            return self.words(" " + piece)
-        lines = piece.split("\n")  # one line end between two words stands alone
-        ids = [self.spaced[lines[0]], *map(self.bare.__getitem__, lines[1:])]
-        if None in ids:
-            return self.words(" " + piece)
-        out = list(ids[0])
-        for more in ids[1:]:
-            out += self.newline
-            out += more
-        return out
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0]
 
     def plain(self, text: str) -> list[int]:
-        """The ids of a text without added tokens."""
+        """The ids of a text without added tokens, whose pieces are learnt."""
         pieces = text.split(" ")
         ids = list(map(self.spaced.__getitem__, pieces[1:]))
         if None not in ids and (head := self.bare[pieces[0]]) is not None:
@@ -306,14 +389,6 @@ class Codec:
             start = k
         return out
 
-    def encode(self, text: str) -> list[int]:
-        if self.v.split is None or not self.v.split.search(text):
-            return self.plain(text)
-        out: list[int] = []
-        for part in self.v.split.split(text):
-            out += [self.v.added[part]] if part in self.v.added else self.plain(part)
-        return out
-
     def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The decoded texts, in UTF-8, of the runs of ids that offsets bound."""
         start = self.piece_at[ids]
@@ -387,13 +462,21 @@ def encode(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS, also: dic
 
     def run(batches):
         codec = _codec(key, vocabulary, lexicon)
+        gc.disable()  # what is remembered is lists without cycles, which the collector would go through again and again
+        try:
+            yield from encoded(codec, batches)
+        finally:
+            gc.enable()
+
+    def encoded(codec, batches):
         for batch in batches:
             counts, flats, shas, decoded = [], [], [], []
-            for lo in range(0, len(batch), 64):  # in pieces, so that the temporaries stay small
-                raw = [np.array(codec.encode(t or ""), "<u4") for t in batch.column("text").slice(lo, 64).to_pylist()]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for lo in range(0, len(batch), 1024):  # in pieces, so that the temporaries stay small
+                raw = [np.array(ids, "<u4") for ids in codec.encode_all(texts[lo : lo + 1024])]
                 shas += [hashlib.sha256(r.tobytes()).hexdigest() for r in raw]
                 here = [len(r) for r in raw]
-                flat = np.concatenate(raw)
+                flat = np.concatenate([*raw, np.zeros(0, "<u4")])
                 decoded += [hashlib.sha256(t).hexdigest() for t in codec.decode_all(flat.astype(np.int64), np.concatenate([[0], np.cumsum(here)]))]
                 counts += here
                 if ids:

@@ -8,6 +8,8 @@ exact or can't be better. Which documents of a length are taken is decided by a
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -92,23 +94,61 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int =
         cover = max(gap, 8 * cover)
 
 
+#: Sources among which the last step of the search for the level is made in one place.
+FEW = 10_000
+
+
+def ranked_sources(sizes: DataFrame) -> DataFrame:
+    """sizes(source, ...) with rank, from 0: sources in code point order, null last. They are dealt out by ranges, which are
+    numbered by themselves and start where the ones before end, so no task sorts them all."""
+    order = F.col("source").asc_nulls_last()
+    parted = scratch(sizes.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "sources")
+    starts, before = [], 0
+    for part, n in sorted(map(tuple, parted.groupBy("part").count().collect())):  # a row for each partition
+        starts.append((part, before))
+        before += n
+    start = parted.sparkSession.createDataFrame(starts, "part int, start long")
+    number = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return parted.join(F.broadcast(start), "part").withColumn("rank", F.col("start") + number).drop("part", "start")
+
+
+def settled_level(sources: DataFrame, total: float, bins: int = 512) -> float:
+    """The level L at which the sum of least(cap, L * w) over sources(level, cap, w), level being cap / w, is total. Sums by
+    range of levels narrow it down; what lies in the last range is solved exactly."""
+    w_all, cap_all, high = sources.agg(F.sum("w"), F.sum("cap"), F.max("level")).first()
+    if w_all is None or total >= cap_all:
+        return math.inf
+    low, capped, w_left, n = -1.0, 0.0, w_all, None  # capped: of all levels up to low; w_left: the weights above
+    while (n is None or n > FEW) and low < high:
+        step = (high - max(low, 0.0)) / bins
+        part = F.least(F.floor((F.col("level") - F.lit(max(low, 0.0))) / F.lit(step)), F.lit(bins - 1)) if step > 0 else F.lit(0)
+        inside = sources.where((F.col("level") > F.lit(low)) & (F.col("level") <= F.lit(high)))
+        rows = inside.groupBy(part.alias("b")).agg(F.count("*").alias("n"), F.sum("cap").alias("cap"), F.sum("w").alias("w"), F.max("level").alias("most")).orderBy("b").collect()
+        before = n
+        for r in rows:
+            if capped + r["cap"] + r["most"] * (w_left - r["w"]) >= total:
+                high, n = r["most"], r["n"]
+                break
+            low, capped, w_left = r["most"], capped + r["cap"], w_left - r["w"]
+        if n == before and len(rows) == 1:
+            break  # one level, or levels that doubles can't tell apart
+    for r in sources.where((F.col("level") > F.lit(low)) & (F.col("level") <= F.lit(high))).groupBy("level").agg(F.sum("cap").alias("cap"), F.sum("w").alias("w")).orderBy("level").collect():
+        if total - capped <= r["level"] * w_left:
+            break
+        capped, w_left = capped + r["cap"], w_left - r["w"]
+    return (total - capped) / w_left
+
+
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
     """(source, source_size, target): sources in code point order, null last, take the weights in turn and share `share`
     of all words; a target ends at `most` times its source's words, the excess goes to the others by weight. sizes has a
-    row for each source; the level that the uncapped share per weight settles at comes from running sums over the sources
-    in order of the level at which each is capped."""
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    row for each source."""
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    s = ranked.withColumn("w", w).withColumn("cap", most * F.col("source_size")).withColumn("level", F.col("cap") / F.col("w"))
-    order, everything = Window.orderBy("level", "rank"), Window.partitionBy()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("w_left", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    s = s.withColumn("total", share * F.sum("source_size").over(everything))
-    # the level if all sources before this one are capped and no others; the first that reaches it settles it
-    s = s.withColumn("settled", (F.col("total") - F.col("capped")) / F.col("w_left"))
-    level = F.min(F.when(F.col("settled") <= F.col("level"), F.struct("level", "rank", "settled"))).over(everything)["settled"]
-    s = s.withColumn("at", level)
-    return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("at") * F.col("w"), F.col("cap"))).alias("target"))
+    s = ranked_sources(sizes).withColumn("w", w).withColumn("cap", most * F.col("source_size")).withColumn("level", F.col("cap") / F.col("w"))
+    s = scratch(s, "levels")
+    total = s.agg(F.sum("source_size")).first()[0] or 0
+    level = settled_level(s, share * total)
+    return s.select("source", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("w")).alias("target"))
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, seed: int = 7, also: dict[str, str] | None = None) -> DataFrame:

@@ -75,9 +75,33 @@ def apply_all(spark, df):
     }
 
 
-def test_edges_give_a_row_for_each_row(spark, edges):
-    for n, out in apply_all(spark, edges).items():
-        assert out.count() == len(EDGES), n
+def brute_fingerprint(t):
+    ws = words(t)
+    hs = [xxhash.xxh64_intdigest(x.encode(), 42) for x in ([" ".join(ws[k : k + 3]) for k in range(max(1, len(ws) - 2))] if ws else [])]
+    bits = np.unpackbits(np.array(hs, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0) if hs else np.zeros(64)
+    return int.from_bytes(np.packbits(2 * bits > len(hs)).tobytes(), "big")
+
+
+def test_edges_give_the_stated_values(spark, edges):
+    out = {n: df.collect() for n, df in apply_all(spark, edges).items()}
+    assert all(len(rows) == len(EDGES) for rows in out.values())
+    texts = [(i, t or "") for i, t in EDGES]
+    same = lambda rows, want: sorted(map(str, rows)) == sorted(map(str, want))
+    train = [words(t) for i, t in texts if zlib.crc32(str("" if i is None else i).encode()) % 5 != 1]
+    count = Counter(w for ws in train for w in [*ws, None])
+    n, v = sum(count.values()), len(count)
+    assert same([(r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 4)) for r in out[1]], [(i, len(ts), sum(w in count for w in ts), round(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ts), 4)) for i, ts in ((i, [*words(t), None]) for i, t in texts)])
+    assert same([(r["doc_id"], r["size"]) for r in out[2]], [(i, len(WORD.findall(t))) for i, t in texts]) and all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in out[2])
+    assert same([(r["doc_id"], r["n_features"]) for r in out[3]], [(i, max(0, 2 * len(WORD.findall(t)) - 1)) for i, t in texts])
+    assert same([(r["page_id"], r["text"]) for r in out[5]], [(i, html_blocks.main_text(t)) for i, t in texts])
+    heights = [(i, k) for k, (i, _) in enumerate(EDGES)]
+    near = [[(1 + a * b) / math.sqrt((1 + a * a) * (1 + b * b)) >= 0.9 for _, b in heights] for _, a in heights]
+    assert same([(r["vec_id"], r["n_links"]) for r in out[6]], [(i, sum(near[k]) - 1) for k, (i, _) in enumerate(heights)])
+    assert same([(r["doc_id"], r["base_sha256"]) for r in out[7]], [(i, hashlib.sha256(skipchain.written(brute_spans(t)).encode()).hexdigest()) for i, t in texts])
+    fps = [brute_fingerprint(t) for _, t in texts]
+    best = lowest(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3])
+    least = lambda k: min((i for j, (i, _) in enumerate(texts) if best[j] == best[k] and i is not None), default=None)
+    assert same([(r["doc_id"], r["fingerprint"], r["component_id"]) for r in out[9]], [(i, f"{fps[k]:016x}", least(k)) for k, (i, _) in enumerate(texts)])
 
 
 def test_empty_tables_give_empty_tables(spark, edges):
@@ -203,6 +227,17 @@ def test_mix_meets_its_targets(docs, texts):
     assert sorted(rows) == sorted(mixing.digest(docs.repartition(5)).collect())
 
 
+def test_targets_of_many_sources_are_those_of_water_filling(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW", 5)
+    rng = np.random.default_rng(2)
+    sizes = {f"s{k}": int(x) for k, x in enumerate(rng.integers(0, 50, 400) ** 3)} | {None: 1000, "": 5, "é": 70_000}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)
+    for share in (0.3, 1.5, 1.99, 2.0):
+        got = {r["source"]: r["target"] for r in mixing.source_targets(df, share).collect()}
+        want = brute_targets(sizes, share)
+        assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], rel=1e-9) for s in want), share
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_fitted_counts_come_as_near_as_any_subset(seed):
     rng = np.random.default_rng(seed)
@@ -441,7 +476,7 @@ def test_encoding_is_the_library_s(docs, texts, edges):
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    for df, rows in ((docs, texts), (edges.where("doc_id is not null and doc_id not in (7, 9)"), {i: t or "" for i, t in EDGES if i not in (None, 7, 9)})):
+    for df, rows in ((docs, texts), (edges.where("doc_id is not null"), {i: t or "" for i, t in EDGES if i is not None})):
         got = one(bpe.encode(df, path, most=500).collect())
         for i, t in rows.items():
             ids = library.encode(t, add_special_tokens=False).ids
@@ -474,3 +509,18 @@ def test_pipeline_stages_take_effect(spark):
         if n in (0, 2):
             assert 0 < docs.count() < before.count()
     assert docs.count() > 0 and p.run(spark, SF).columns == docs.columns
+
+
+def test_pipeline_stages_at_the_edges(spark, edges):
+    import corpus_pipeline as p
+
+    rows = edges.selectExpr("doc_id", "text", "'en' as lang", "source", "cast(length(text) as long) as n_chars", "h", "size").unionByName(spark.createDataFrame([(20, "one\ntwo words of a line that stays here", "en", None, 1), (20, "another text under the same id, quite unlike it", "en", "s9", 2)], "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)
+    for name, stage in p.STAGES:
+        full, none = stage(spark, rows, SF), stage(spark, rows.where("false"), SF)
+        assert none.count() == 0 and none.columns == full.columns, name
+        if full.columns == list(p.COLUMNS):
+            ids = [r["doc_id"] for r in full.select("doc_id").collect()]
+            assert set(ids) <= {r["doc_id"] for r in rows.collect()}, name
+    one = p.near_duplicates(spark, rows, SF).where("doc_id = 20").collect()
+    assert [r["text"] for r in one] == ["another text under the same id, quite unlike it"]
+    assert p.lines(spark, rows, SF).where("n_chars <> length(text)").count() == 0

@@ -26,6 +26,22 @@ def timing_bucket(ts: Column | str) -> Column:
     return F.when(F.weekday(ts) >= 5, "weekend_or_holiday").when(minute < 570, "before_open").when(minute < 960, "during_market").otherwise("after_close")
 
 
+def next_open(ts: Column | str, zone: str = "America/New_York") -> Column:
+    """The next weekday's open, 9:30 at the exchange, after the day of a UTC time, in UTC."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    day = roll_weekend(F.date_add(F.to_date(F.from_utc_timestamp(ts, zone)), 1))
+    return F.to_utc_timestamp(day.cast("timestamp") + F.expr("interval 570 minutes"), zone)
+
+
+def session_target(ts: Column | str, zone: str = "America/New_York") -> Column:
+    """When the market can react to a UTC time: on weekends and after 16:00 at the exchange the next weekday's open, else the
+    time itself, before the open too."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    local = F.from_utc_timestamp(ts, zone)
+    closed = local > F.date_trunc("day", local) + F.expr("interval 960 minutes")
+    return F.when((F.weekday(local) >= 5) | closed, next_open(ts, zone)).otherwise(ts)
+
+
 def business_days(a: Column | str, b: Column | str) -> Column:
     """Weekdays in [a, b), by formula."""
 

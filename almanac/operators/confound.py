@@ -18,23 +18,39 @@ def within(events: DataFrame, articles: DataFrame, days: int) -> DataFrame:
     return e.join(a, ["ticker", "_b"]).withColumn("gap", gap).where(F.abs("gap") <= days).drop("_b")
 
 
+def around(events: DataFrame, daily: DataFrame, windows: dict[str, tuple[str, int, int]]) -> DataFrame:
+    """events with, for each name, the sum of a column of daily(ticker, article_date, ...) over the days from a to b around
+    event_date, zero where there are none. Sums run over a ticker's days, so no pair of an event and an article is made and
+    a window holds a row for each day."""
+    measures = sorted({c for c, _, _ in windows.values()})
+    days = daily.select("ticker", F.col("article_date").alias("event_date"), *measures)
+    blank = events.select("ticker", "event_date").where("event_date is not null").distinct().select("ticker", "event_date", *[F.lit(0).cast(daily.schema[c].dataType).alias(c) for c in measures])
+    both = days.unionByName(blank).groupBy("ticker", "event_date").agg(*[F.sum(c).alias(c) for c in measures])
+    w = Window.partitionBy("ticker").orderBy(F.datediff("event_date", F.lit("1970-01-01").cast("date")))
+    sums = both.select("ticker", "event_date", *[F.coalesce(F.sum(c).over(w.rangeBetween(a, b)), F.lit(0)).alias(n) for n, (c, a, b) in windows.items()])
+    return events.join(sums, ["ticker", "event_date"], "left").na.fill(0, list(windows))
+
+
 def window_counts(events: DataFrame, articles: DataFrame, windows: list[int]) -> DataFrame:
     """event_id with pre_<d>d in [-d, 0) and post_<d>d in [0, d], zero where there are none."""
-    pairs = within(events.select("event_id", "ticker", "event_date"), articles.select("ticker", "article_date"), max(windows))
-    columns = {f"pre_{d}d": F.count_if((F.col("gap") >= -d) & (F.col("gap") < 0)) for d in windows} | {f"post_{d}d": F.count_if((F.col("gap") >= 0) & (F.col("gap") <= d)) for d in windows}
-    counted = pairs.groupBy("event_id").agg(*[c.alias(n) for n, c in columns.items()])
-    return events.select("event_id").join(counted, "event_id", "left").na.fill(0, list(columns))
+    daily = articles.groupBy("ticker", "article_date").agg(F.count("*").alias("n"))
+    named = {f"pre_{d}d": ("n", -d, -1) for d in windows} | {f"post_{d}d": ("n", 0, d) for d in windows}
+    return around(events.select("event_id", "ticker", "event_date"), daily, named).select("event_id", *named)
 
 
 def nearest(events: DataFrame, filings: DataFrame, days: int) -> DataFrame:
-    """event_id with the number of filings within days and the gap of the nearest, the earlier of two as near."""
-    pairs = within(events.select("event_id", "ticker", "event_date"), filings.select("ticker", "article_date"), days)
-    return pairs.groupBy("event_id").agg(F.count("*").alias("n_near"), F.min_by("gap", F.struct(F.abs("gap"), "gap")).alias("nearest_gap"))
+    """event_id with the number of filings within days and the gap of the nearest, the earlier of two as near. A day's
+    filings of a ticker are one row."""
+    daily = filings.groupBy("ticker", "article_date").agg(F.count("*").alias("n"))
+    pairs = within(events.select("event_id", "ticker", "event_date"), daily, days)
+    return pairs.groupBy("event_id").agg(F.sum("n").alias("n_near"), F.min_by("gap", F.struct(F.abs("gap"), "gap")).alias("nearest_gap"))
 
 
 def capped_articles(events: DataFrame, articles: DataFrame, days: int, most: int, key: Column) -> DataFrame:
-    """Per event the articles within days, one for each key, the first `most` by date and key."""
-    pairs = within(events.select("event_id", "ticker", "event_date"), articles, days).withColumn("key", key)
+    """Per event the articles within days, one for each key, the first `most` by date and key. Keys are made, and a day's
+    equal ones become one, before events meet articles."""
+    keyed = articles.withColumn("key", key).select("ticker", "article_date", "key").distinct()
+    pairs = within(events.select("event_id", "ticker", "event_date"), keyed, days)
     one = pairs.groupBy("event_id", "key").agg(F.min(F.struct("article_date", "gap")).alias("_a")).select("event_id", "key", "_a.*")
     rank = F.row_number().over(Window.partitionBy("event_id").orderBy("article_date", "key"))
     return one.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")

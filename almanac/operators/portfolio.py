@@ -6,8 +6,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.operators import calendar as cal
-
 
 def sign(direction: str = "direction") -> Column:
     return F.when(F.col(direction) == "positive", 1.0).when(F.col(direction) == "negative", -1.0).otherwise(0.0)
@@ -19,12 +17,17 @@ def net(gross: Column, bps: Column, delayed: Column | None = None) -> Column:
 
 
 def daily_series(positions: DataFrame, daily: DataFrame, h: int, bps: float = 10.0) -> DataFrame:
-    """(date, n, gross, net, bench): the equal-weighted mean over positions(ticker, idx, sign) active in (idx, idx + h]. Each
-    position is as many rows as it has days; cost falls on its first and last day."""
-    active = positions.where("idx is not null and sign <> 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(h))))
-    held = cal.offset(active, daily, F.col("k"), {"date": "date", "r": "ret", "b": "bret"}, "inner")
-    cost = F.when((F.col("k") == 1) | (F.col("k") == h), bps / 10000).otherwise(0.0)
-    return held.groupBy("date").agg(F.count("*").alias("n"), F.avg(F.col("sign") * F.col("r")).alias("gross"), F.avg(F.col("sign") * F.col("r") - cost).alias("net"), F.avg("b").alias("bench"))
+    """(date, n, gross, net, bench): the equal-weighted mean over positions(ticker, idx, sign) active in (idx, idx + h]. Cost
+    falls on a position's first and last day. Positions are counted by the row that they start from, and a row's active
+    ones are the running sum over the h rows before it, so their number doesn't grow with h."""
+    opened = positions.where("idx is not null and sign <> 0").groupBy("ticker", "idx").agg(F.count("*").alias("_n"), F.sum("sign").alias("_s"))
+    w = Window.partitionBy("ticker").orderBy("idx")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    days = daily.select("ticker", "idx", "date", "ret", "bret").join(opened, ["ticker", "idx"], "left")
+    turns = zero(F.lag("_n", 1).over(w)) + (zero(F.lag("_n", h).over(w)) if h > 1 else 0)
+    active = days.select("date", "ret", "bret", zero(F.sum("_n").over(w.rowsBetween(-h, -1))).alias("n"), zero(F.sum("_s").over(w.rowsBetween(-h, -1))).alias("s"), turns.alias("turns")).where("n > 0")
+    n, gross = F.sum("n"), F.sum(F.col("s") * F.col("ret"))
+    return active.groupBy("date").agg(n.alias("n"), (gross / n).alias("gross"), ((gross - bps / 10000 * F.sum("turns")) / n).alias("net"), (F.sum(F.col("n") * F.col("bret")) / n).alias("bench"))
 
 
 def equity(series: DataFrame, day: str, r: str) -> DataFrame:

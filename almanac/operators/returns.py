@@ -72,12 +72,15 @@ def missing_reason() -> Column:
 
 
 def path_extremes(aligned: DataFrame, index: DataFrame, h: int) -> DataFrame:
-    """(event_id, max_drawdown, max_runup) over rows idx to idx + h: each event's path is as long as its horizon."""
-    path = aligned.where("idx is not null").select("event_id", "ticker", "idx").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(h))))
+    """(event_id, max_drawdown, max_runup) over rows idx to idx + h. A path is followed once for each ticker and row that
+    events start from, however many do."""
+    events = aligned.where("idx is not null").select("event_id", "ticker", "idx")
+    path = events.select("ticker", "idx").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(h))))
     path = cal.offset(path, index, F.col("k"), {"p": "px"}, "inner")
-    w = Window.partitionBy("event_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("ticker", "idx").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     path = path.withColumns({"peak": F.max("p").over(w), "low": F.min("p").over(w)})
-    return path.groupBy("event_id").agg(F.min(F.col("p") / F.col("peak") - 1).alias("max_drawdown"), F.max(F.col("p") / F.col("low") - 1).alias("max_runup"))
+    far = path.groupBy("ticker", "idx").agg(F.min(F.col("p") / F.col("peak") - 1).alias("max_drawdown"), F.max(F.col("p") / F.col("low") - 1).alias("max_runup"))
+    return events.join(far, ["ticker", "idx"]).select("event_id", "max_drawdown", "max_runup")
 
 
 def event_path(aligned: DataFrame, daily: DataFrame, before: int, after: int) -> DataFrame:

@@ -69,17 +69,25 @@ def _fold(positions: Column, gap: int, start_new: str) -> Column:
     return F.aggregate(positions, empty, step)
 
 
+def _chains(df: DataFrame, key: list[str], gap: int) -> DataFrame:
+    """Rows with `_c`, the number of the chain that `_x` is in: a new one starts at least gap after the row before."""
+    w = Window.partitionBy(*key).orderBy("_x")
+    return df.withColumn("_s", F.coalesce((F.col("_x") - F.lag("_x").over(w) >= gap).cast("long"), F.lit(0))).withColumn("_c", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def anchor_clusters(df: DataFrame, key: list[str], position: str, gap: int) -> DataFrame:
     """(key, position, anchor): a cluster begins where a position is more than gap past the cluster's first, not its last.
-    A group's positions are folded in order; groups are such as a video's mentions."""
-    folded = df.groupBy(*key).agg(F.sort_array(F.collect_list(F.col(position).cast("long"))).alias("_p"))
+    Positions more than gap after the one before begin one anyway, so what is folded in order is the chain between two
+    such."""
+    folded = _chains(df.select(*key, F.col(position).cast("long").alias("_x")), key, gap + 1).groupBy(*key, "_c").agg(F.sort_array(F.collect_list("_x")).alias("_p"))
     return folded.select(*key, F.explode(_fold(F.col("_p"), gap, "over")).alias("_x")).select(*key, F.col("_x.p").alias(position), F.col("_x.a").alias("anchor"))
 
 
 def non_overlapping(df: DataFrame, key: list[str], day: str, gap: int) -> DataFrame:
     """(key, day) kept greedily: a day stays if it is at least gap days after the last kept one."""
     number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).cast("long")
-    folded = df.where(F.col(day).isNotNull()).groupBy(*key).agg(F.sort_array(F.collect_set(number)).alias("_p"))
+    days = df.where(F.col(day).isNotNull()).select(*key, number.alias("_x")).distinct()
+    folded = _chains(days, key, gap).groupBy(*key, "_c").agg(F.sort_array(F.collect_list("_x")).alias("_p"))
     kept = folded.select(*key, F.explode(F.array_distinct(F.transform(_fold(F.col("_p"), gap, "from"), lambda x: x["a"]))).alias("_d"))
     return kept.select(*key, F.date_add(F.lit("1970-01-01").cast("date"), F.col("_d").cast("int")).alias(day))
 

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges that a ranking of all rows is cut into.
+PARTS = 64
+
+
 def normal_p(t: Column) -> Column:
     """Two-sided normal p-value, by the rational approximation 7.1.26 of Abramowitz and Stegun (error below 1.5e-7)."""
     z = F.abs(t) / math.sqrt(2)
@@ -53,23 +57,32 @@ def bundle(df: DataFrame, keys: list[str], x: str, least: int = 1) -> DataFrame:
     return out.withColumns({"p": normal_p(F.col("t")), "low": F.col("mean") - 1.96 * F.col("se"), "high": F.col("mean") + 1.96 * F.col("se")})
 
 
+def meet(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys in which a null meets a null; b's keys go."""
+    b = b.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return a.join(b, on).drop(*[f"_{k}" for k in keys])
+
+
 def clustered_se(df: DataFrame, keys: list[str], x: str, cluster: list[str]) -> DataFrame:
     """Mean and its cluster-robust error: sqrt(G / (G - 1) * sum over clusters of (sum of residuals)^2) / n."""
     means = df.where(F.col(x).isNotNull()).groupBy(*keys).agg(F.avg(x).alias("mean"), F.count(x).alias("n"))
     sums = df.where(F.col(x).isNotNull()).groupBy(*keys, *cluster).agg(F.sum(x).alias("s"), F.count(x).alias("m"))
     e = F.col("s") - F.col("m") * F.col("mean")
     g = F.count("*")
-    j = sums.join(means, keys) if keys else sums.crossJoin(F.broadcast(means))
+    j = meet(sums, means, keys) if keys else sums.crossJoin(F.broadcast(means))
     out = j.groupBy(*keys, "mean", "n").agg(g.alias("clusters"), F.sum(e * e).alias("ss"))
     return out.withColumn("se", F.when(F.col("clusters") > 1, F.sqrt(F.col("clusters") / (F.col("clusters") - 1) * F.col("ss")) / F.col("n"))).drop("ss")
 
 
 def two_way_se(df: DataFrame, keys: list[str], x: str, a: list[str], b: list[str]) -> DataFrame:
-    """Two-way clustering: the variances by a and by b less that by both."""
+    """Two-way clustering: the variances by a and by b less that by both, zero if that is negative."""
     parts = [clustered_se(df, keys, x, c).select(*keys, "mean", "n", F.col("se").alias(n)) for n, c in (("se_a", a), ("se_b", b), ("se_ab", a + b))]
-    j = parts[0].join(parts[1].drop("mean", "n"), keys).join(parts[2].drop("mean", "n"), keys)
+    j = meet(meet(parts[0], parts[1].drop("mean", "n"), keys), parts[2].drop("mean", "n"), keys)
     v = F.col("se_a") ** 2 + F.col("se_b") ** 2 - F.col("se_ab") ** 2
-    return j.withColumn("se", F.when(v > 0, F.sqrt(v)))
+    return j.withColumn("se", F.sqrt(F.greatest(F.lit(0.0), v)))
 
 
 def adjust(df: DataFrame, p: str, order: str) -> DataFrame:
@@ -91,6 +104,26 @@ def winsorize(df: DataFrame, x: str, low: float, high: float, name: str) -> Data
     return df.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), F.col("_q")[0]), F.col("_q")[1]))).drop("_q")
 
 
+def order_statistics(df: DataFrame, x: str, shares: list[float], few: int = 10_000) -> list[float]:
+    """The values at places floor(share * (n - 1)) of x in order, without interpolation: counts by range narrow each down
+    until few rows are left to be sorted."""
+    values = df.where(F.col(x).isNotNull()).select(F.col(x).alias("v"))
+    low, high, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    out = []
+    for share in shares if n else []:
+        a, b, place, size = low, high, int(math.floor(share * (n - 1))), n
+        while size > few and a < b and (step := (b - a) / 512) > 0 and a + step > a:
+            part = F.least(F.floor((F.col("v") - F.lit(a)) / F.lit(step)), F.lit(511))
+            rows = values.where(F.col("v").between(a, b)).groupBy(part.alias("k")).agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("k").collect()
+            for r in rows:
+                if place < r["c"]:
+                    a, b, size = r["a"], r["b"], r["c"]
+                    break
+                place -= r["c"]
+        out.append(a if a == b else sorted(r["v"] for r in values.where(F.col("v").between(a, b)).collect())[place])
+    return out
+
+
 def leave_one_out(df: DataFrame, level: str, x: str) -> DataFrame:
     """Mean and t of x without each level, from the level's and the total's moments."""
     by = df.where(F.col(x).isNotNull()).groupBy(level).agg(F.count(x).alias("c"), F.sum(x).alias("s"), F.sum(F.col(x) * F.col(x)).alias("q"))
@@ -119,13 +152,16 @@ def shrink(df: DataFrame, group: str, x: str, k: float = 20.0) -> DataFrame:
 
 
 def ols(df: DataFrame, y: str, xs: list[str], cluster: str | None = None, robust: bool = False) -> list[dict]:
-    """Least squares with a constant from one pass of cross sums; HC1 or cluster-robust errors take a second. Rows with a
-    null or NaN in y or xs are left out. A row for each coefficient: name, coef, se, t, p, n, r2."""
+    """Least squares with a constant from one pass of cross sums around the means; HC1 or cluster-robust errors take
+    another. Rows with a null or NaN in y or xs are left out. A row for each coefficient: name, coef, se, t, p, n, r2. With
+    one cluster there is no error."""
     names = ["const", *xs]
     k = len(names)
-    v = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]
     sound = df.where(" and ".join(f"`{c}` is not null and not isnan(cast(`{c}` as double))" for c in [y, *xs]))
-    yy = F.col(y).cast("double")
+    middle = sound.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate([y, *xs])]).first()
+    my, mx = middle[0] or 0.0, np.array([m or 0.0 for m in middle[1:]])
+    v = [F.lit(1.0), *[F.col(x).cast("double") - F.lit(float(m)) for x, m in zip(xs, mx, strict=True)]]
+    yy = F.col(y).cast("double") - F.lit(float(my))
     sums = [F.sum(v[i] * v[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(v[i] * yy).alias(f"b{i}") for i in range(k)] + [F.sum(yy * yy).alias("yy"), F.sum(yy).alias("sy"), F.count("*").alias("n")]
     r = sound.agg(*sums).first()
     n = r["n"]
@@ -143,20 +179,27 @@ def ols(df: DataFrame, y: str, xs: list[str], cluster: str | None = None, robust
         m = scores.agg(*[F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)], F.count("*").alias("g")).first()
         meat = np.array([[m[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
         g = m["g"]
-        scale = g / (g - 1) * (n - 1) / (n - k) if cluster else n / (n - k)
+        scale = (g / (g - 1) * (n - 1) / (n - k) if g > 1 else math.nan) if cluster else n / (n - k)
         cov = scale * inverse @ meat @ inverse
     else:
         cov = inverse * sse / (n - k)
+    back = np.eye(k)  # from centred columns to the columns themselves
+    back[0, 1:] = -mx
+    beta, cov = back @ beta + np.array([my] + [0.0] * (k - 1)), back @ cov @ back.T
     se = np.sqrt(np.maximum(0, np.diag(cov)))
-    r2 = 1 - sse / (r["yy"] - r["sy"] ** 2 / n)
-    return [{"name": c, "coef": float(b), "se": float(s), "t": float(b / s) if s else None, "p": math.erfc(abs(b / s) / math.sqrt(2)) if s else None, "n": n, "r2": float(r2)} for c, b, s in zip(names, beta, se, strict=True)]
+    spread = r["yy"] - r["sy"] ** 2 / n
+    r2 = 1 - sse / spread if spread > 0 else 0.0
+    sure = lambda s: s and not math.isnan(s)
+    return [{"name": c, "coef": float(b), "se": float(s) if not math.isnan(s) else None, "t": float(b / s) if sure(s) else None, "p": math.erfc(abs(b / s) / math.sqrt(2)) if sure(s) else None, "n": n, "r2": float(r2)} for c, b, s in zip(names, beta, se, strict=True)]
 
 
 def demean(df: DataFrame, groups: list[str], columns: list[str], rounds: int = 1) -> DataFrame:
-    """Columns less their group means; several groups in turn, some rounds (fixed effects by projection)."""
+    """Columns less their group means; several groups in turn, some rounds (fixed effects by projection). Means are summed
+    in each task before they meet the rows, so no task gets a group."""
     for _ in range(rounds if len(groups) > 1 else 1):
         for g in groups:
-            df = df.withColumns({c: F.col(c) - F.avg(c).over(Window.partitionBy(g)) for c in columns})
+            means = df.groupBy(g).agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
+            df = meet(df, means, [g]).withColumns({c: F.col(c) - F.col(f"_mean_{c}") for c in columns}).drop(*[f"_mean_{c}" for c in columns])
     return df
 
 
@@ -178,27 +221,17 @@ def newey_west(daily: DataFrame, day: str, y: str, xs: list[str], lags: int = 5)
     return [{"name": c, "coef": float(b), "se": float(s), "t": float(b / s) if s else None, "n": len(rows)} for c, b, s in zip(["alpha", *xs], beta, se, strict=True)]
 
 
-def bootstrap_mean(df: DataFrame, x: str, cluster: str, draws: int = 500, seed: int = 42) -> tuple[float, float, float]:
-    """Mean and 95 % interval; clusters are drawn with replacement. A cluster's sum and count are all that a draw needs;
-    each cluster's Poisson weights come from its own hash, so draws are summed where the clusters are."""
-    sums = df.where(F.col(x).isNotNull()).groupBy(cluster).agg(F.sum(x).alias("s"), F.count(x).alias("c"))
-    draw = sums.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = (F.shiftrightunsigned(F.xxhash64(cluster, "d", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    steps, total = [], 0.0
-    for k in range(8):
-        total += math.exp(-1) / math.factorial(k)
-        steps.append((u > total).cast("int"))
-    means = draw.withColumn("w", sum(steps[1:], steps[0])).groupBy("d").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("c"))).alias("m"))
-    low, high = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))).first()[0]
-    return sums.agg(F.sum("s") / F.sum("c")).first()[0], low, high
-
-
 def signed_rank(df: DataFrame, x: str) -> DataFrame:
-    """Wilcoxon's signed ranks, ties at their mean rank, with the normal approximation. Rows of one value are counted
-    first, so the ranking window runs over distinct magnitudes."""
+    """Wilcoxon's signed ranks, ties at their mean rank, with the normal approximation. Rows of one magnitude are counted
+    first; magnitudes fall into PARTS ranges by approximate quantiles, whose sizes, a row each, are added up, so each is
+    ranked by itself."""
     values = df.where(f"{x} is not null and {x} <> 0").groupBy(F.abs(x).alias("v")).agg(F.count("*").alias("c"), F.count_if(F.col(x) > 0).alias("up"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = values.withColumn("rank", before + (F.col("c") + 1) / 2)
+    edges = values.agg(F.percentile_approx("v", F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)])).alias("edges"))
+    parted = values.crossJoin(F.broadcast(edges)).withColumn("part", F.size(F.filter(F.coalesce("edges", F.array().cast("array<double>")), lambda e: e < F.col("v")))).drop("edges")
+    sizes = parted.groupBy("part").agg(F.sum("c").alias("size"))
+    upto = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part", upto("size", Window.orderBy("part")).alias("start"))
+    ranked = parted.join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + upto("c", Window.partitionBy("part").orderBy("v")) + (F.col("c") + 1) / 2)
     out = ranked.agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("c") * (F.col("c") * F.col("c") - 1)).alias("ties"))
     n = F.col("n")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)

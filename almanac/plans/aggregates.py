@@ -40,8 +40,8 @@ def cube_counts(spark, sf):
 
 @query(f"""WITH {EV} SELECT creator, ticker, direction, count(*) AS n FROM ev GROUP BY GROUPING SETS ((creator), (ticker), (direction), ())""")
 def grouping_sets(spark, sf):
-    recommendations(spark, sf).createOrReplaceTempView("almanac_events")
-    return spark.sql("SELECT creator, ticker, direction, count(*) AS n FROM almanac_events GROUP BY GROUPING SETS ((creator), (ticker), (direction), ())")
+    keys = ["creator", "ticker", "direction"]
+    return recommendations(spark, sf).groupingSets([["creator"], ["ticker"], ["direction"], []], *keys).agg(F.count("*").alias("n")).select(*keys, "n")
 
 
 @query("""SELECT c_mktsegment, n_regionkey, count(*) AS n, round(sum(c_acctbal), 2) AS bal FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, c_mktsegment)""")

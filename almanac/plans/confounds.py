@@ -8,11 +8,11 @@ from almanac.operators import confound
 from almanac.plans.registry import EV, query
 from almanac.sources.tables import recommendations, table
 
-_ART = """art AS (SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS article_date, l_orderkey * 10 + l_linenumber AS article_id, l_returnflag AS flag, p_type AS topic FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 45)"""
+_ART = """art AS (SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS article_date, l_orderkey * 10 + l_linenumber AS article_id, l_returnflag AS flag, p_type AS topic FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
 def _articles(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_quantity >= 45")
+    li = table(spark, sf, "lineitem")
     p = table(spark, sf, "part")
     return li.join(p, li.l_partkey == p.p_partkey).select(F.col("p_brand").alias("ticker"), F.to_date("l_shipdate").alias("article_date"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("article_id"), F.col("l_returnflag").alias("flag"), F.col("p_type").alias("topic"))
 
@@ -39,9 +39,8 @@ s AS (SELECT event_id, CASE WHEN official > 0 THEN 'confounded' WHEN creator % 5
 SELECT event_id, official, media, CASE WHEN official = 'confounded' OR media = 'confounded' THEN 'confounded' WHEN official = 'unknown' OR media = 'unknown' THEN 'unknown' ELSE 'clean' END AS master, CASE WHEN no > 0 THEN 'official_news' WHEN nm > 0 THEN 'media_news' WHEN official = 'unknown' OR media = 'unknown' THEN 'unknown' ELSE 'clean' END AS label FROM s""")
 def provider_panel(spark, sf):
     ev = recommendations(spark, sf)
-    pairs = confound.within(ev.select("event_id", "ticker", "event_date"), _articles(spark, sf), 3)
-    c = pairs.groupBy("event_id").agg(F.count_if(F.col("flag") == "R").alias("no"), F.count_if(F.col("flag") == "A").alias("nm"))
-    j = ev.select("event_id", "creator").join(c, "event_id", "left").na.fill(0, ["no", "nm"])
+    daily = _articles(spark, sf).groupBy("ticker", "article_date").agg(F.count_if(F.col("flag") == "R").alias("r"), F.count_if(F.col("flag") == "A").alias("a"))
+    j = confound.around(ev.select("event_id", "creator", "ticker", "event_date"), daily, {"no": ("r", -3, 3), "nm": ("a", -3, 3)})
     j = j.withColumn("official", confound.three_state(F.col("no") > 0, F.col("creator") % 5 != 0)).withColumn("media", confound.three_state(F.col("nm") > 0, F.col("creator") % 7 != 0))
     master = confound.combined(F.col("official"), F.col("media"))
     label = confound.first_label((F.col("no") > 0, "official_news"), (F.col("nm") > 0, "media_news"), ((F.col("official") == "unknown") | (F.col("media") == "unknown"), "unknown"), otherwise="clean")
@@ -51,6 +50,7 @@ def provider_panel(spark, sf):
 @query(f"""WITH {EV}, {_ART}, x AS (SELECT e.creator, year(e.event_date) AS year, count(DISTINCT e.event_id) AS covered FROM ev e JOIN art a ON e.ticker = a.ticker AND abs(date_diff('day', e.event_date, a.article_date)) <= 3 GROUP BY 1, 2), t AS (SELECT creator, year(event_date) AS year, count(*) AS n FROM ev GROUP BY 1, 2) SELECT t.creator, t.year, n, coalesce(covered, 0) AS covered, round(coalesce(covered, 0) / n, 6) AS rate FROM t LEFT JOIN x USING (creator, year)""")
 def coverage_by_year(spark, sf):
     ev = recommendations(spark, sf).withColumn("year", F.year("event_date").cast("long"))
-    pairs = confound.within(ev, _articles(spark, sf).select("ticker", "article_date"), 3).groupBy("creator", "year").agg(F.countDistinct("event_id").alias("covered"))
-    t = ev.groupBy("creator", "year").agg(F.count("*").alias("n")).join(pairs, ["creator", "year"], "left").na.fill(0, ["covered"])
+    daily = _articles(spark, sf).groupBy("ticker", "article_date").agg(F.count("*").alias("a"))
+    near = confound.around(ev.select("creator", "year", "ticker", "event_date"), daily, {"near": ("a", -3, 3)})
+    t = near.groupBy("creator", "year").agg(F.count("*").alias("n"), F.count_if(F.col("near") > 0).alias("covered"))
     return t.select("creator", "year", "n", "covered", F.round(F.col("covered") / F.col("n"), 6).alias("rate"))

@@ -39,16 +39,10 @@ def year_stratified_shuffle(spark, sf):
     return x.where("r <= floor(n / 3)").groupBy("rep").agg(F.count("*").alias("n"), F.round(F.avg("ar"), 6).alias("mean_ar"))
 
 
-@query(f"""{EVENTS}, t AS (SELECT al.event_id, al.ticker, al.idx, date_trunc('month', al.trade_date) AS month, round(a.px / p.px - 1, 6) AS pre FROM al JOIN pi a ON al.ticker = a.ticker AND al.idx = a.idx JOIN pi p ON al.ticker = p.ticker AND al.idx - 5 = p.idx WHERE al.event_id % 5 = 0),
+@query(f"""{EVENTS}, t AS (SELECT al.event_id, al.ticker, al.idx, date_trunc('month', al.trade_date) AS month, round(a.px / p.px - 1, 6) AS pre FROM al JOIN pi a ON al.ticker = a.ticker AND al.idx = a.idx JOIN pi p ON al.ticker = p.ticker AND al.idx - 5 = p.idx),
 c AS (SELECT a.ticker, a.idx, date_trunc('month', a.date) AS month, round(a.px / p.px - 1, 6) AS pre FROM pi a JOIN pi p ON a.ticker = p.ticker AND a.idx - 5 = p.idx),
 x AS (SELECT event_id, c.idx AS control, row_number() OVER (PARTITION BY event_id ORDER BY abs(c.pre - t.pre), c.idx) AS r FROM t JOIN c ON t.ticker = c.ticker AND t.month = c.month AND abs(c.idx - t.idx) > 5) SELECT event_id, control FROM x WHERE r = 1""")
 def matched_control_month(spark, sf):
-    """The rows of matched_control_month_all that its SQL form names, each fifth event."""
-    return matched_control_month_all(spark, sf).where("event_id % 5 = 0")
-
-
-@query()
-def matched_control_month_all(spark, sf):
     """Each event's control: the row of the same ticker and month, more than five rows away, whose five-step momentum is
     nearest. Events of one ticker and trade day have one control, which is found once."""
     i = index(spark, sf)
@@ -63,16 +57,18 @@ def matched_control_month_all(spark, sf):
     return e.join(best, ["ticker", "idx"]).select("event_id", "control")
 
 
-@query(f"""{EVENTS}, e AS ({_AT}), top AS (SELECT ticker FROM e GROUP BY 1 ORDER BY count(*) DESC, ticker LIMIT 5), k AS (SELECT DISTINCT ticker, ticker IN (SELECT ticker FROM top) AS top FROM e),
-x AS (SELECT event_id, o.ticker AS placebo, row_number() OVER (PARTITION BY event_id ORDER BY sha256(CAST(event_id AS VARCHAR) || '|' || o.ticker || '|ct'), o.ticker) AS r FROM e JOIN k ON e.ticker = k.ticker JOIN k o ON k.top = o.top AND o.ticker <> e.ticker) SELECT event_id, placebo FROM x WHERE r = 1""")
+@query(f"""{EVENTS}, e AS ({_AT}), c AS (SELECT ticker, row_number() OVER (ORDER BY count(*) DESC, ticker) <= 5 AS top FROM e GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY top ORDER BY ticker) - 1 AS pos, count(*) OVER (PARTITION BY top) AS size FROM c),
+d AS (SELECT e.event_id, k.top, k.pos, ((e.event_id * 7919 + 104729) % 1000003) % (k.size - 1) AS j FROM e JOIN k ON e.ticker = k.ticker WHERE k.size > 1) SELECT d.event_id, o.ticker AS placebo FROM d JOIN k o ON d.top = o.top AND o.pos = d.j + CASE WHEN d.j >= d.pos THEN 1 ELSE 0 END""")
 def cross_ticker_placebo(spark, sf):
-    """A seeded other ticker of the same class (the five busiest, or the rest)."""
+    """A drawn other ticker of the same class (the five busiest, or the rest): a place in the class, drawn from the event's
+    id and skipping its own, is joined to the ticker there."""
     e = aligned(spark, sf).where("idx is not null").select("event_id", "ticker")
     counts = e.groupBy("ticker").count()
-    k = counts.withColumn("top", F.row_number().over(Window.orderBy(F.desc("count"), "ticker")) <= 5).select("ticker", "top")
-    pool = k.groupBy("top").agg(F.sort_array(F.collect_list("ticker")).alias("pool"))  # a row for each class
-    j = e.join(k, "ticker").join(F.broadcast(pool), "top").withColumn("placebo", F.explode("pool")).where("placebo <> ticker")
-    return j.groupBy("event_id").agg(F.min_by("placebo", F.struct(select.seeded("event_id", "placebo", seed="ct"), "placebo")).alias("placebo"))
+    busy = counts.withColumn("top", F.row_number().over(Window.orderBy(F.desc("count"), "ticker")) <= 5)  # a row for each ticker
+    k = busy.select("ticker", "top", (F.row_number().over(Window.partitionBy("top").orderBy("ticker")) - 1).alias("pos"), F.count("*").over(Window.partitionBy("top")).alias("size"))
+    j = ((F.col("event_id") * 7919 + 104729) % 1000003) % (F.col("size") - 1)
+    d = e.join(k.where("size > 1"), "ticker").withColumn("j", j).withColumn("to", F.col("j") + (F.col("j") >= F.col("pos")).cast("int"))
+    return d.select("event_id", "top", F.col("to").alias("pos")).join(k.select("top", F.col("pos").cast("long").alias("pos"), F.col("ticker").alias("placebo")), ["top", "pos"]).select("event_id", "placebo")
 
 
 def _windows_sql() -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from almanac.operators import calendar as cal
 from almanac.operators import returns, stats
-from almanac.plans.registry import EV, EVENTS, PX, RETURNS, aligned, index, query, r6, returns5
+from almanac.plans.registry import AL, EV, EVENTS, PX, RETURNS, aligned, index, query, r6, returns5
 from almanac.sources.tables import prices, recommendations, table
 
 
@@ -102,12 +102,15 @@ def window_coverage(spark, sf):
     return p.groupBy("name").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "computed").alias("computed"), F.count_if("right_censored").alias("right_censored"), F.count_if("left_censored").alias("left_censored"), F.count_if(F.col("status") == "missing").alias("missing"), F.round(F.avg(F.when(F.col("status") == "computed", F.col("bhar"))), 6).alias("mean_bhar"))
 
 
-@query(f"""{EVENTS}, ends AS (SELECT ticker, max(idx) AS last FROM pi GROUP BY 1) SELECT CASE WHEN event_date IS NULL THEN 'no_event_date' WHEN last IS NULL THEN 'no_price_series' WHEN idx IS NULL THEN 'after_last_price' ELSE 'matched' END AS reason, count(*) AS n
-FROM al LEFT JOIN ends USING (ticker) GROUP BY 1""")
+@query(f"""WITH {PX}, {EV.replace("FROM orders)", "FROM orders_)")}, {AL}, ends AS (SELECT ticker, max(idx) AS last FROM pi GROUP BY 1) SELECT CASE WHEN event_date IS NULL THEN 'no_event_date' WHEN last IS NULL THEN 'no_price_series' WHEN idx IS NULL THEN 'after_last_price' ELSE 'matched' END AS reason, count(*) AS n
+FROM al LEFT JOIN ends USING (ticker) GROUP BY 1""".replace("FROM orders_)", "FROM orders)").replace("ev AS (SELECT o_orderkey AS event_id, 'Brand#' || CAST(1 + o_orderkey % 25 AS VARCHAR) AS ticker", "ev AS (SELECT o_orderkey AS event_id, CASE WHEN o_custkey % 35 = 3 THEN 'Delisted' ELSE 'Brand#' || CAST(1 + o_orderkey % 25 AS VARCHAR) END AS ticker").replace("CAST(o_orderdate AS DATE) AS event_date", "CASE WHEN o_custkey % 35 <> 4 THEN CAST(o_orderdate + CASE WHEN o_custkey % 35 = 5 THEN INTERVAL 20 YEAR ELSE INTERVAL 0 YEAR END AS DATE) END AS event_date"))
 def unmatched_reasons(spark, sf):
+    """Why events have no trading day; some are given a ticker without prices, no date, or one after the last price."""
     i = index(spark, sf)
     ends = i.groupBy("ticker").agg(F.max("idx").alias("last"))
-    return returns.align(recommendations(spark, sf), i).join(ends, "ticker", "left").groupBy(F.coalesce(returns.missing_reason(), F.lit("matched")).alias("reason")).agg(F.count("*").alias("n"))
+    c = F.col("creator")
+    ev = recommendations(spark, sf).withColumns({"ticker": F.when(c == 3, "Delisted").otherwise(F.col("ticker")), "event_date": F.when(c == 5, F.add_months("event_date", 240)).when(c != 4, F.col("event_date"))})
+    return returns.align(ev, i).join(ends, "ticker", "left").groupBy(F.coalesce(returns.missing_reason(), F.lit("matched")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query(f"""{EVENTS}, path AS (SELECT event_id, k, p.px, max(p.px) OVER w AS peak, min(p.px) OVER w AS low FROM al CROSS JOIN range(0, 22) t(k) JOIN pi p ON al.ticker = p.ticker AND al.idx + k = p.idx WINDOW w AS (PARTITION BY event_id ORDER BY k))

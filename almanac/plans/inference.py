@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from almanac.operators import returns, stats
+from almanac.operators import resample, returns, stats
 from almanac.plans.registry import EVENTS, PX, RETURNS, index, query, r6, returns5
 from almanac.sources.tables import recommendations, table
 
@@ -30,10 +30,10 @@ def clustered_errors(spark, sf):
     return stats.clustered_se(returns5(spark, sf), ["direction"], "ar", ["ticker"]).select("direction", "n", "clusters", *r6("mean", "se"))
 
 
-@query(f"""{RETURNS}, a AS ({_cluster_sql('ticker', 'se_a')}), b AS ({_cluster_sql('creator', 'se_b')}), ab AS ({_cluster_sql('ticker, creator', 'se_ab')})
-SELECT a.direction, a.n, round(se_a, 6) AS se_a, round(se_b, 6) AS se_b, round(se_ab, 6) AS se_ab, round(CASE WHEN se_a * se_a + se_b * se_b - se_ab * se_ab > 0 THEN sqrt(se_a * se_a + se_b * se_b - se_ab * se_ab) END, 6) AS se FROM a JOIN b USING (direction) JOIN ab USING (direction)""")
+@query(f"""{RETURNS}, a AS ({_cluster_sql('ticker', 'se_a')}), b AS ({_cluster_sql('trade_date', 'se_b')}), ab AS ({_cluster_sql('ticker, trade_date', 'se_ab')})
+SELECT a.direction, a.n, round(se_a, 6) AS se_a, round(se_b, 6) AS se_b, round(se_ab, 6) AS se_ab, round(sqrt(greatest(0, se_a * se_a + se_b * se_b - se_ab * se_ab)), 6) AS se FROM a JOIN b USING (direction) JOIN ab USING (direction)""")
 def two_way_errors(spark, sf):
-    return stats.two_way_se(returns5(spark, sf), ["direction"], "ar", ["ticker"], ["creator"]).select("direction", "n", *r6("se_a", "se_b", "se_ab", "se"))
+    return stats.two_way_se(returns5(spark, sf), ["direction"], "ar", ["ticker"], ["trade_date"]).select("direction", "n", *r6("se_a", "se_b", "se_ab", "se"))
 
 
 @query(f"""{RETURNS}, g AS (SELECT creator, avg(ar) / (stddev_samp(ar) / sqrt(count(ar))) AS t FROM r5 GROUP BY 1 HAVING count(ar) >= 3), p AS (SELECT creator, {_normal_p('t')} AS p FROM g WHERE t IS NOT NULL), r AS (SELECT *, row_number() OVER (ORDER BY p, creator) AS r, count(*) OVER () AS m FROM p)
@@ -79,31 +79,89 @@ def _design(spark, sf):
 _COEF = "name string, coef double, se double, t double, p double, n long, r2 double"
 
 
-@query()
+def _inverse(k: int) -> list[list[str]]:
+    """Entries of the inverse of the symmetric matrix a_00 ... by cofactors."""
+    m = [[f"a_{min(i, j)}{max(i, j)}" for j in range(k)] for i in range(k)]
+    if k == 2:
+        d = f"({m[0][0]} * {m[1][1]} - {m[0][1]} * {m[0][1]})"
+        return [[f"({m[1][1]} / {d})", f"(-{m[0][1]} / {d})"], [f"(-{m[0][1]} / {d})", f"({m[0][0]} / {d})"]]
+    minor = lambda i, j: (lambda r, c: f"({m[r[0]][c[0]]} * {m[r[1]][c[1]]} - {m[r[0]][c[1]]} * {m[r[1]][c[0]]})")([x for x in range(3) if x != i], [x for x in range(3) if x != j])
+    d = f"({m[0][0]} * {minor(0, 0)} - {m[0][1]} * {minor(0, 1)} + {m[0][2]} * {minor(0, 2)})"
+    return [[f"({'-' if (i + j) % 2 else ''}{minor(i, j)} / {d})" for j in range(3)] for i in range(3)]
+
+
+def _ols_sql(design: str, xs: list[str], kind: str = "plain") -> str:
+    """Least squares in SQL: design is a query of y, xs and g. Sums are around the means; the constant's error follows."""
+    k, inverse = len(xs), _inverse(len(xs))
+    each = range(k)
+    u = ["e", *[f"e * z{i}" for i in each]]
+    sums = ", ".join(f"sum(u{i} * u{j}) AS m_{i}{j}" for i in range(k + 1) for j in range(i, k + 1))
+    scores = f"SELECT {', '.join(f'{x} AS u{i}' for i, x in enumerate(u))}, g FROM r"
+    if kind == "cluster":
+        scores = f"SELECT {', '.join(f'sum({x}) AS u{i}' for i, x in enumerate(u))}, g FROM r GROUP BY g"
+    inv = lambda i, j: "(1.0 / n)" if i == j == 0 else "0" if 0 in (i, j) else f"i_{min(i, j) - 1}{max(i, j) - 1}"
+    meat = lambda i, j: f"m_{min(i, j)}{max(i, j)}"
+
+    def v(i: int, j: int) -> str:
+        if kind == "plain":
+            return f"(sse / (n - {k + 1}) * {inv(i, j)})"
+        scale = f"n / (n - {k + 1.0})" if kind == "robust" else f"(clusters / (clusters - 1.0)) * (n - 1.0) / (n - {k + 1.0})"
+        terms = [f"{inv(i, a)} * {meat(a, b)} * {inv(b, j)}" for a in range(k + 1) for b in range(k + 1) if inv(i, a) != "0" and inv(b, j) != "0"]
+        return f"({scale} * ({' + '.join(terms)}))"
+
+    const = f"{v(0, 0)} - 2 * ({' + '.join(f'm{i} * {v(0, i + 1)}' for i in each)}) + ({' + '.join(f'm{i} * m{j} * {v(i + 1, j + 1)}' for i in each for j in each)})"
+    rows = [("const", f"my - ({' + '.join(f'beta_{i} * m{i}' for i in each)})", const)] + [(x, f"beta_{i}", v(i + 1, i + 1)) for i, x in enumerate(xs)]
+    out = " UNION ALL ".join(f"SELECT '{name}' AS name, {coef} AS coef, sqrt({var}) AS se, n, 1 - sse / yy AS r2 FROM f" for name, coef, var in rows)
+    return f"""ols_d AS (SELECT * FROM ({design}) WHERE y IS NOT NULL {' '.join(f'AND {x} IS NOT NULL' for x in xs)}), ols_m AS (SELECT avg(y) AS my, {', '.join(f'avg({x}) AS m{i}' for i, x in enumerate(xs))} FROM ols_d),
+c AS (SELECT y - my AS y, {', '.join(f'{x} - m{i} AS z{i}' for i, x in enumerate(xs))}, g FROM ols_d, ols_m), s AS (SELECT count(*) AS n, sum(y * y) AS yy, {', '.join(f'sum(z{i} * z{j}) AS a_{i}{j}' for i in each for j in range(i, k))}, {', '.join(f'sum(z{i} * y) AS b_{i}' for i in each)} FROM c),
+i AS (SELECT *, {', '.join(f'{inverse[a][b]} AS i_{a}{b}' for a in each for b in range(a, k))} FROM s), b AS (SELECT *, {', '.join(f"{' + '.join(f'i_{min(a, j)}{max(a, j)} * b_{j}' for j in each)} AS beta_{a}" for a in each)} FROM i),
+q AS (SELECT *, yy - ({' + '.join(f'beta_{a} * b_{a}' for a in each)}) AS sse FROM b), r AS (SELECT c.*, c.y - ({' + '.join(f'beta_{a} * z{a}' for a in each)}) AS e FROM c, q), u AS (SELECT count(*) AS clusters, {sums} FROM ({scores})), f AS (SELECT * FROM q, u, ols_m), o AS ({out})
+SELECT name, round(coef, 6) AS coef, round(se, 6) AS se, round(coef / se, 3) AS t, round({_normal_p('coef / se')}, 4) AS p, n, round(r2, 6) AS r2 FROM o"""
+
+
+_DESIGN = "SELECT ar AS y, CAST(score AS DOUBLE) AS score, ln(size) AS log_size, CASE WHEN direction = 'positive' THEN 1.0 ELSE 0.0 END AS positive, ticker AS g FROM r5"
+
+
+def _coefficients(spark, rows):
+    out = spark.createDataFrame(rows, _COEF)
+    return out.select("name", *r6("coef", "se"), F.round("t", 3).alias("t"), F.round("p", 4).alias("p"), "n", *r6("r2"))
+
+
+@query(f"{RETURNS}, {_ols_sql(_DESIGN, ['score', 'log_size', 'positive'])}")
 def ols_plain(spark, sf):
-    return spark.createDataFrame(stats.ols(_design(spark, sf), "y", ["score", "log_size", "positive"]), _COEF)
+    return _coefficients(spark, stats.ols(_design(spark, sf), "y", ["score", "log_size", "positive"]))
 
 
-@query()
+@query(f"{RETURNS}, {_ols_sql(_DESIGN, ['score', 'log_size', 'positive'], 'robust')}")
 def ols_hc1(spark, sf):
-    return spark.createDataFrame(stats.ols(_design(spark, sf), "y", ["score", "log_size", "positive"], robust=True), _COEF)
+    return _coefficients(spark, stats.ols(_design(spark, sf), "y", ["score", "log_size", "positive"], robust=True))
 
 
-@query()
+@query(f"{RETURNS}, {_ols_sql(_DESIGN, ['score', 'log_size', 'positive'], 'cluster')}")
 def ols_clustered(spark, sf):
-    return spark.createDataFrame(stats.ols(_design(spark, sf), "y", ["score", "log_size", "positive"], cluster="ticker"), _COEF)
+    return _coefficients(spark, stats.ols(_design(spark, sf), "y", ["score", "log_size", "positive"], cluster="ticker"))
 
 
-@query()
+def _demeaned() -> str:
+    out = ["w0 AS (SELECT ar AS y, CAST(score AS DOUBLE) AS score, ln(size) AS log_size, ticker, creator FROM r5 WHERE ar IS NOT NULL)"]
+    for n in range(6):
+        g = ("ticker", "creator")[n % 2]
+        out.append(f"w{n + 1} AS (SELECT {', '.join(f'{c} - avg({c}) OVER (PARTITION BY {g}) AS {c}' for c in ('y', 'score', 'log_size'))}, ticker, creator FROM w{n})")
+    return ", ".join(out)
+
+
+@query(f"{RETURNS}, {_demeaned()}, {_ols_sql('SELECT y, score, log_size, 0 AS g FROM w6', ['score', 'log_size'])} WHERE name <> 'const'")
 def ols_fixed_effects(spark, sf):
+    """Slopes within tickers and creators; the constant is nought."""
     d = stats.demean(_design(spark, sf).where("y is not null"), ["ticker", "creator"], ["y", "score", "log_size"], rounds=3)
-    return spark.createDataFrame(stats.ols(d, "y", ["score", "log_size"]), _COEF)
+    return _coefficients(spark, stats.ols(d, "y", ["score", "log_size"])).where("name <> 'const'")
 
 
-@query()
+@query(f"""{RETURNS}, s AS (SELECT CAST(substr(ticker, 7) AS BIGINT) AS k, sum(ar) AS s, count(ar) AS c FROM r5 WHERE ar IS NOT NULL GROUP BY 1), m AS (SELECT d, sum(w * s) / sum(w * c) AS m FROM (SELECT s.*, d, {resample.poisson_sql(resample.uniform_sql('k', 'd', 42))} AS w FROM s CROSS JOIN (SELECT unnest(range(0, 500)) AS d)) GROUP BY 1)
+SELECT round((SELECT sum(s) / sum(c) FROM s), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def bootstrap_by_ticker(spark, sf):
-    mean, low, high = stats.bootstrap_mean(returns5(spark, sf), "ar", "ticker", draws=500)
-    return spark.createDataFrame([(mean, low, high)], "mean double, low double, high double")
+    r = returns5(spark, sf).withColumn("k", F.substring("ticker", 7, 9).cast("long"))
+    return resample.bootstrap_clusters(r, "k", "ar", 500, 42).select(*r6("mean", "low", "high"))
 
 
 @query()
@@ -112,21 +170,26 @@ def student_p_values(spark, sf):
     return b.select("ticker", "n", "t", stats.student_p(F.col("t"), (F.col("n") - 1).cast("double")).alias("p"))
 
 
-@query()
+def _newey_west_sql(lags: int = 5) -> str:
+    lagged = ", ".join(f"lag(u0, {k}) OVER w AS u0_{k}, lag(u1, {k}) OVER w AS u1_{k}" for k in range(1, lags + 1))
+    pair = lambda a, b, k: f"coalesce({a} * {b}_{k}, 0) + coalesce({b} * {a}_{k}, 0)"
+    entry = lambda a, b: f"sum({a} * {b} + " + " + ".join(f"{1 - k / (lags + 1)!r} * ({pair(a, b, k)})" for k in range(1, lags + 1)) + ")"
+    return f"""dd AS (SELECT date, avg(ret) AS y, avg(bret) AS x FROM daily GROUP BY 1), d AS (SELECT * FROM dd WHERE y IS NOT NULL AND x IS NOT NULL), f AS (SELECT count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, sum(x) AS sx, sum(x * x) AS sxx FROM d),
+u AS (SELECT date, y - a - b * x AS u0, (y - a - b * x) * x AS u1 FROM d, f), l AS (SELECT *, {lagged} FROM u WINDOW w AS (ORDER BY date)), m AS (SELECT {entry('u0', 'u0')} AS m00, {entry('u0', 'u1')} AS m01, {entry('u1', 'u1')} AS m11 FROM l),
+i AS (SELECT *, n * sxx - sx * sx AS det FROM f, m), v AS (SELECT *, (sxx * sxx * m00 - 2 * sxx * sx * m01 + sx * sx * m11) / (det * det) AS va, (sx * sx * m00 - 2 * sx * n * m01 + n * n * m11) / (det * det) AS vb FROM i)
+SELECT 'alpha' AS name, round(a, 6) AS coef, round(sqrt(va), 6) AS se, round(a / sqrt(va), 3) AS t, n FROM v UNION ALL SELECT 'mkt', round(b, 6), round(sqrt(vb), 6), round(b / sqrt(vb), 3), n FROM v"""
+
+
+@query(f"WITH {PX}, {_newey_west_sql()}")
 def newey_west_alpha(spark, sf):
     daily = returns.with_daily(index(spark, sf)).groupBy("date").agg(F.avg("ret").alias("y"), F.avg("bret").alias("mkt"))
-    return spark.createDataFrame(stats.newey_west(daily, "date", "y", ["mkt"]), "name string, coef double, se double, t double, n long")
+    out = spark.createDataFrame(stats.newey_west(daily, "date", "y", ["mkt"]), "name string, coef double, se double, t double, n long")
+    return out.select("name", *r6("coef", "se"), F.round("t", 3).alias("t"), "n")
 
 
-@query(f"""{EVENTS}, m AS (SELECT al.event_id, d.ret, d.bret FROM al JOIN daily d ON al.ticker = d.ticker AND d.idx BETWEEN al.idx - 130 AND al.idx - 1 WHERE al.event_id % 10 = 0)
-SELECT event_id, count(*) AS n, round(regr_slope(ret, bret), 4) AS beta, round(regr_intercept(ret, bret), 4) AS alpha FROM m WHERE ret IS NOT NULL AND bret IS NOT NULL GROUP BY 1 HAVING count(*) >= 40""", name="rolling_beta")
+@query(f"""{EVENTS}, m AS (SELECT al.event_id, d.ret, d.bret FROM al JOIN daily d ON al.ticker = d.ticker AND d.idx BETWEEN al.idx - 130 AND al.idx - 1)
+SELECT event_id, count(*) AS n, round(regr_slope(ret, bret), 4) AS beta, round(regr_intercept(ret, bret), 4) AS alpha FROM m WHERE ret IS NOT NULL AND bret IS NOT NULL GROUP BY 1 HAVING count(*) >= 40""")
 def rolling_beta(spark, sf):
-    """The rows of rolling_beta_all that its SQL form names, each tenth event."""
-    return rolling_beta_all(spark, sf).where("event_id % 10 = 0")
-
-
-@query()
-def rolling_beta_all(spark, sf):
     """Market beta over the 130 rows before each event, from running cross sums: a window's moments are the difference of
     two rows, however long it is."""
     return betas(recommendations(spark, sf), returns.with_daily(index(spark, sf)))
@@ -163,7 +226,7 @@ def _features(spark, sf):
 
 @query()
 def logistic_holdout(spark, sf):
-    """Area under the curve on creators that the model hasn't seen, for nested sets of features."""
+    """Area under the curve on creators that the model hasn't seen."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from almanac.operators import calendar as cal
 from almanac.operators import select
 from almanac.plans.registry import EV, query
 from almanac.sources import tables
@@ -24,9 +24,9 @@ def left_join_counts(spark, sf):
     return c.select("c_custkey").join(sums, "c_custkey", "left").select("c_custkey", F.coalesce("orders", F.lit(0)).alias("orders"), F.round(F.coalesce("total", F.lit(0.0)), 2).alias("total"))
 
 
-@query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)""")
+@query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 400000)""")
 def anti_join(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
@@ -69,12 +69,41 @@ def greatest_per_group(spark, sf):
     return table(spark, sf, "customer").join(latest, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
 
 
-@query("""SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_suppkey % 10 = c_custkey % 10 UNION SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_suppkey = c_custkey""")
+@query("""SELECT s_suppkey, c_custkey FROM supplier LEFT JOIN customer ON s_suppkey = c_custkey * 3 OR lower(right(s_name, 4)) = lower(right(c_name, 4))""")
 def or_condition_join(spark, sf):
-    """A condition with OR as the distinct union of equality joins."""
-    s, c = table(spark, sf, "supplier"), table(spark, sf, "customer")
-    a = s.withColumn("m", F.col("s_suppkey") % 10).join(c.withColumn("m", F.col("c_custkey") % 10).withColumnRenamed("c_nationkey", "s_nationkey"), ["s_nationkey", "m"]).select("s_suppkey", "c_custkey")
-    return a.union(s.join(c, s.s_suppkey == c.c_custkey).select("s_suppkey", "c_custkey")).distinct()
+    """A left join on one key or, whatever the case, on another: the distinct union of two equality joins, and what has no
+    partner in either."""
+    s, c = table(spark, sf, "supplier").select("s_suppkey", "s_name"), table(spark, sf, "customer").select("c_custkey", "c_name")
+    a = s.join(c, s.s_suppkey == 3 * c.c_custkey).select("s_suppkey", "c_custkey")
+    b = s.join(c, F.lower(F.right("s_name", F.lit(4))) == F.lower(F.right("c_name", F.lit(4)))).select("s_suppkey", "c_custkey")
+    return s.select("s_suppkey").join(a.union(b).distinct(), "s_suppkey", "left")
+
+
+@query("""SELECT o_orderkey, c_name, n_name, r_name, s_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0 LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON o_orderkey = s_suppkey""")
+def star_left_join(spark, sf):
+    """Every order with what its dimensions have, null where one has nothing."""
+    o, c, n, r, s = (table(spark, sf, t) for t in ("orders", "customer", "nation", "region", "supplier"))
+    j = o.join(c, o.o_custkey == c.c_custkey, "left").join(n.where("n_nationkey % 2 = 0"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return j.join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left").join(s, F.col("o_orderkey") == F.col("s_suppkey"), "left").select("o_orderkey", "c_name", "n_name", "r_name", "s_name")
+
+
+@query(f"""WITH {EV}, d AS (SELECT ticker, event_date, creator, max(score) AS best FROM ev WHERE direction = 'positive' GROUP BY 1, 2, 3) SELECT event_id, best FROM ev LEFT JOIN d USING (ticker, event_date, creator)""")
+def left_join_keys(spark, sf):
+    """A left join on several keys."""
+    ev = recommendations(spark, sf)
+    d = ev.where("direction = 'positive'").groupBy("ticker", "event_date", "creator").agg(F.max("score").alias("best"))
+    return ev.join(d, ["ticker", "event_date", "creator"], "left").select("event_id", "best")
+
+
+@query("""WITH n AS (SELECT n_nationkey, lower(regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g')) AS w FROM nation), p AS (SELECT p_partkey, lower(regexp_replace(p_name || p_type || p_brand, '[^A-Za-z0-9]', '', 'g')) AS t FROM part) SELECT p_partkey, n_nationkey FROM p JOIN n ON contains(t, substr(w, 1, 2))""")
+def substring_match(spark, sf):
+    """Compacted names that contain another's: the contained ones are few, which is checked, and go to every task."""
+    compact = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
+    n = table(spark, sf, "nation").select("n_nationkey", F.substring(compact("n_name"), 1, 2).alias("w"))
+    if n.count() > 1000:
+        raise ValueError("names are matched by containment against a thousand at most")
+    p = table(spark, sf, "part").select("p_partkey", compact(F.concat("p_name", "p_type", "p_brand")).alias("t"))
+    return p.join(F.broadcast(n), F.contains("t", F.col("w"))).select("p_partkey", "n_nationkey")
 
 
 @query("""SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey UNION SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_orderkey = c_custkey""")
@@ -150,8 +179,10 @@ SELECT event_id, other FROM w WHERE r = 1""")
 def prior_event_match(spark, sf):
     """A seeded pick among the creator's earlier events of the ticker within 60 days."""
     ev = recommendations(spark, sf).select("event_id", "ticker", "creator", "event_date")
-    b = ev.select("ticker", "creator", F.col("event_id").alias("other"), F.col("event_date").alias("d"))
-    pairs = ev.join(b, ["ticker", "creator"]).where("d < event_date and d >= date_sub(event_date, 60)").withColumn("h", select.seeded("other", seed="m"))
+    bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / 61)
+    b = ev.select("ticker", "creator", F.col("event_id").alias("other"), F.col("event_date").alias("d"), bucket("event_date").alias("b"))
+    ev = ev.withColumn("b", F.explode(F.array(bucket("event_date"), bucket("event_date") - 1)))  # 60 days reach into the bucket before
+    pairs = ev.join(b, ["ticker", "creator", "b"]).where("d < event_date and d >= date_sub(event_date, 60)").withColumn("h", select.seeded("other", seed="m"))
     return pairs.groupBy("event_id").agg(F.min_by("other", F.struct("h", "other")).alias("other"))
 
 
@@ -162,9 +193,16 @@ def treated_vs_control(spark, sf):
     return ev.where("direction = 'positive'").join(c, "creator").groupBy("creator").agg(F.count("*").alias("n"), F.round(F.avg(F.col("size") - F.col("control")), 4).alias("diff"))
 
 
-@query("""SELECT DISTINCT o_custkey, last_value(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY pr DESC, o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS priority FROM (SELECT *, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS pr FROM orders)""")
+@query("""WITH h AS (SELECT o_custkey, o_orderdate, o_orderstatus AS source, max(o_orderkey) AS record FROM orders GROUP BY 1, 2, 3), j AS (SELECT o.o_orderkey, h.source, h.record, CAST(date_diff('day', h.o_orderdate, o.o_orderdate) AS BIGINT) AS age, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY CASE h.source WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END, h.o_orderdate DESC) AS r FROM orders o LEFT JOIN h ON o.o_custkey = h.o_custkey AND h.o_orderdate <= o.o_orderdate - INTERVAL 1 DAY)
+SELECT o_orderkey, source, record, age FROM j WHERE r = 1""")
 def source_priority_asof(spark, sf):
-    """The latest row of the best source that has one."""
-    pr = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
-    best = F.row_number().over(Window.partitionBy("o_custkey").orderBy(pr.asc(), F.desc("o_orderdate"), F.desc("o_orderkey")))
-    return table(spark, sf, "orders").withColumn("r", best).where("r = 1").select("o_custkey", F.col("o_orderpriority").alias("priority"))
+    """For each order the customer's latest earlier record of the best source that has one, and its age in days: an as-of
+    join for each source, of which the first that finds something counts."""
+    o = table(spark, sf, "orders")
+    h = o.groupBy("o_custkey", F.col("o_orderdate").alias("ts"), "o_orderstatus").agg(F.max("o_orderkey").alias("record"))
+    out = o.select("o_orderkey", "o_custkey", (F.col("o_orderdate") - F.expr("interval 1 day")).alias("ts"))
+    for s in ("F", "O", "P"):
+        out = cal.asof_time(out, h.where(F.col("o_orderstatus") == s).drop("o_orderstatus"), "o_custkey", "ts", ["record"]).withColumnsRenamed({"ts_asof": f"ts_{s}", "record_asof": f"record_{s}"})
+    first = lambda f: F.coalesce(*[F.when(F.col(f"record_{s}").isNotNull(), f(s)) for s in ("F", "O", "P")])
+    age = F.datediff(F.col("ts") + F.expr("interval 1 day"), first(lambda s: F.col(f"ts_{s}"))).cast("long")
+    return out.select("o_orderkey", first(F.lit).alias("source"), first(lambda s: F.col(f"record_{s}")).alias("record"), age.alias("age"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,8 +14,13 @@ from almanac.streaming import jobs
 
 
 def _folder(spark) -> str:
-    """A new folder in the shared place that the session names, or a temporary one where it names none."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='almanac-')}"
+    """A new folder in the shared place that the session names, or a temporary one where it names none and all run on one
+    machine."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='almanac-')}"
     return f"{root}/streams/{uuid.uuid4().hex}"
 
 
@@ -68,9 +74,33 @@ def stream_capped(spark, sf):
     return out.groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+@query("SELECT user_id, least(count(DISTINCT event_id), 20) AS n FROM events GROUP BY 1")
+def stream_resumed(spark, sf):
+    """At most 20 different rows of each user, over a folder that gets its second half, and all of the first again, after a
+    first run: the second goes on from the checkpoint with the state that was kept."""
+    folder, e = _folder(spark), table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "event_id", "ts")
+    for half in (e.where("event_id % 2 = 0"), e):
+        half.write.mode("append").parquet(f"{folder}/in")
+        jobs.run_once(jobs.distinct_capped(jobs.source(spark, f"{folder}/in", e.schema, files=2), 20), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(e.schema).parquet(f"{folder}/out").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= {_DONE}""")
+def stream_late_rows(spark, sf):
+    """Daily counts, to which rows that come again after their day was closed add nothing."""
+    folder, e = _folder(spark), table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    closed = e.agg((F.max("ts") - F.expr("interval 9 days")).alias("t"))
+    for rows in (e, e.crossJoin(F.broadcast(closed)).where("ts < t").drop("t")):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        jobs.run_once(jobs.tumbling(jobs.source(spark, f"{folder}/in", e.schema, files=100), "1 day"), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out").select("start", "event_type", "n", "total")
+
+
 @query("SELECT user_id, max(ts) AS ts, arg_max(event_id, ts) AS event_id FROM events GROUP BY 1")
 def stream_upsert(spark, sf):
-    """The latest event of each user, merged batch by batch into a table."""
-    folder = _folder(spark)
-    jobs.upsert_once(_stream(spark, sf).select("user_id", "ts", "event_id"), f"{folder}/table", f"{folder}/checkpoint", ["user_id"], "ts")
-    return spark.read.parquet(f"{folder}/table/v0").select("user_id", "ts", "event_id")
+    """The latest event of each user, merged batch by batch into a table; the rows come in three files, a batch each."""
+    folder, e = _folder(spark), table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "ts", "event_id")
+    for k in range(3):
+        e.where(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    jobs.upsert_once(jobs.source(spark, f"{folder}/in", e.schema), folder, f"{folder}/checkpoint", ["user_id"], "ts")
+    return jobs.upserted(spark, folder).select("user_id", "ts", "event_id")

@@ -58,26 +58,61 @@ def capped(events: DataFrame, most: int) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, ts timestamp", "seen long", "append", "NoTimeout")
 
 
+def distinct_capped(events: DataFrame, most: int) -> DataFrame:
+    """The first `most` different events of each user: the ids that are kept, so many at most, are all the state there is."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        kept = list(state.get[0]) if state.exists else []
+        for part in parts:
+            part = part.sort_values(["ts", "event_id"]).drop_duplicates("event_id")
+            out = part[~part["event_id"].isin(kept)].head(most - len(kept))
+            kept += out["event_id"].tolist()
+            yield out[["user_id", "event_id", "ts"]]
+        state.update((kept,))
+
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, ts timestamp", "kept array<long>", "append", "NoTimeout")
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """All that is there now, exactly once, to Parquet."""
+    """All that is there now, exactly once, to Parquet. Run again with the same checkpoint it goes on from there, with the
+    state that it had."""
     stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
 
 
+#: Parts of an upserted table: a batch rewrites those that it has rows for.
+PARTS = 64
+
+
 def upsert_once(stream: DataFrame, path: str, checkpoint: str, key: list[str], version: str) -> None:
-    """Each batch's rows replace those of their key in a Parquet table if they are newer. The table is written anew beside
-    the old one under the batch's number, and a marker names the last, so a repeated batch changes nothing."""
+    """Each batch's rows replace those of their key in the table at path/table if they are newer. Rows are dealt into parts
+    by key; a batch is merged with the parts that it touches beside the table first, and then takes their place, so a batch
+    that is run again changes nothing."""
     from almanac.sources.tables import latest_wins
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = keep_latest(batch, key, version)
-        old = f"{path}/v{number - 1}"
-        if number:
-            new = latest_wins(spark.read.parquet(old), new, key, version)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        part = F.pmod(F.xxhash64(*key), F.lit(PARTS)).cast("int")
+        new = keep_latest(batch, key, version).withColumn("_part", part)
+        touched = [r[0] for r in new.select("_part").distinct().collect()]  # PARTS at most
+        if not touched:
+            return
+        if (old := upserted(spark, path, parts=True)) is not None:
+            new = latest_wins(old.where(F.col("_part").isin(touched)), new, [*key, "_part"], version)
+        staged = f"{path}/staged/{number}"
+        new.write.mode("overwrite").parquet(staged)
+        spark.read.schema(new.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(f"{path}/table")
 
     def keep_latest(df: DataFrame, key: list[str], version: str) -> DataFrame:
         rest = [c for c in df.columns if c not in key]
         return df.groupBy(*key).agg(F.max_by(F.struct(*rest), version).alias("r")).select(*key, "r.*")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def upserted(spark: SparkSession, path: str, parts: bool = False) -> DataFrame | None:
+    """The table that upsert_once keeps, None before its first batch."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/table")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    out = spark.read.parquet(f"{path}/table")
+    return out if parts else out.drop("_part")

@@ -22,7 +22,7 @@ def events(spark):
 
 
 def test_every_event_has_its_beta(spark, days, events):
-    got = {r["event_id"]: (r["n"], r["beta"], r["alpha"]) for r in plans.queries()["rolling_beta_all"](spark, SF).collect()}
+    got = {r["event_id"]: (r["n"], r["beta"], r["alpha"]) for r in plans.queries()["rolling_beta"](spark, SF).collect()}
     want = {}
     for r in events:
         g = days[r["ticker"]]
@@ -36,7 +36,7 @@ def test_every_event_has_its_beta(spark, days, events):
 
 
 def test_every_event_has_its_control(spark, days, events):
-    got = {r["event_id"]: r["control"] for r in plans.queries()["matched_control_month_all"](spark, SF).collect()}
+    got = {r["event_id"]: r["control"] for r in plans.queries()["matched_control_month"](spark, SF).collect()}
     want = {}
     for t, g in days.items():
         g["pre"] = (g["px"] / g["px"].shift(5) - 1).round(6)

@@ -29,7 +29,7 @@ def frame(spark, texts):
     ("if you had bought it then", "ambiguous_reference", "bullish", 3),
     ("We've been bullish since March", "retrospective_claim", "bullish", 1),
     ("called it, a breakout", "retrospective_claim", "bullish", 2),
-    ("I own it", "portfolio_disclosure", "neutral", 0),
+    ("I own some", "portfolio_disclosure", "neutral", 0),
     ("They filed, breaking news", "news_only", "neutral", 0),
     ("a generational opportunity", "non_actionable_hype", "neutral", 0),
     ("buyers and longing", "neutral_mention", "neutral", 0),

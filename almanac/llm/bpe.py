@@ -30,7 +30,7 @@ LEXICON_WORDS = 50_000
 #: Words longer than this are merged, not kept in the lexicon or a cache.
 LONG_WORD = 64
 #: Distinct pieces of text, and words, that a Python worker remembers before a new batch: with more it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 # Fixed value: the byte-level vocabulary's word pattern, with Unicode's white space spelt out.
 _SPACE = r"\p{White_Space}"
@@ -331,11 +331,15 @@ class Codec:
         known = self.known
         return [i for w in found for i in known[w]]
 
-    def learn(self, texts: list[str]) -> None:
-        """All pieces of the texts, so that looking them up is all that is left."""
+    def forget(self, most: int = 0) -> None:
+        """Start anew what has more than so many entries."""
         for memory in (self.spaced, self.bare, self.known):
-            if len(memory) > CACHE_WORDS:
+            if len(memory) > most:
                 memory.clear()
+
+    def learn(self, texts: list[str]) -> None:
+        """All pieces of the texts, so that looking them up is all that is left."""
+        self.forget(CACHE_WORDS)
         spaced, bare = set(), set()
         for text in texts:
             pieces = text.split(" ")
@@ -466,6 +470,7 @@ def encode(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS, also: dic
         try:
             yield from encoded(codec, batches)
         finally:
+            codec.forget()  # the worker may go on with other work
             gc.enable()
 
     def encoded(codec, batches):

@@ -81,11 +81,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from almanac.llm import fim
+
+    return fim.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from almanac.llm import hard_negatives
+
+    return hard_negatives.digest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_bloom, op2_mixing, op3_dsir, op4_host_rules, op5_html_blocks, op6_itq, op7_skipchain, op8_bpe, op9_simhash_vptree, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_lm_bloom, op2_mixing, op3_dsir, op4_host_rules, op5_html_blocks, op6_itq, op7_skipchain, op8_bpe, op9_simhash_vptree, op10_line_dedup, op11_fim, op12_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from almanac.llm import host_rules, line_runs
+    from almanac.llm import fim, hard_negatives, host_rules, line_runs
 
-    return {"op4_host_rules": host_rules.ORACLE, "op10_line_dedup": line_runs.ORACLE}
+    return {"op4_host_rules": host_rules.ORACLE, "op10_line_dedup": line_runs.ORACLE, "op11_fim": fim.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}

@@ -93,8 +93,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from almanac.llm import imatch
+
+    return imatch.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_bloom, op2_mixing, op3_dsir, op4_host_rules, op5_html_blocks, op6_itq, op7_skipchain, op8_bpe, op9_simhash_vptree, op10_line_dedup, op11_fim, op12_hard_negatives)}
+    return {f.__name__: f for f in (op1_lm_bloom, op2_mixing, op3_dsir, op4_host_rules, op5_html_blocks, op6_itq, op7_skipchain, op8_bpe, op9_simhash_vptree, op10_line_dedup, op11_fim, op12_hard_negatives, op13_imatch)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,21 +165,31 @@ def results(ids: list, texts: list[str], nexts: list[str], lexicon: np.ndarray)
 
 
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+#: What is dealt out and sorted: texts are compressed for that.
+DEALT = "doc_id long, tie long, body binary"
 #: The first and the last text of a run, whose neighbours are in other runs, go along.
 RUN = f"{SCHEMA}, part int, head string, tail string"
 
 
+def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        bodies = pa.array([squeeze(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), bodies], names=["doc_id", "tie", "body"])
+
+
 def sorted_runs(lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition's rows in order, each beside the next; the last one stays open, and is given with its text."""
         ids, texts, part, first = [], [], None, True
+        expand = zstandard.ZstdDecompressor().decompress
 
         def rows(columns: list, n: int, head: list, tail: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([*columns, pa.array([part] * n, pa.int32()), pa.array(head, pa.string()), pa.array(tail, pa.string())], names=[*NAMES, "part", "head", "tail"])
 
         for batch in batches:
             ids += batch.column("doc_id").to_pylist()
-            texts += [t or "" for t in batch.column("text").to_pylist()]
+            texts += [expand(t).decode() for t in batch.column("body").to_pylist()]
             if part is None and ids:
                 part = batch.column("part")[0].as_py()
             if len(ids) > 1:
@@ -208,19 +219,20 @@ def fingerprint_edits(docs: DataFrame, common: float = COMMON, rare: float = RAR
     fingerprint, that of its text with the last quarter replaced by the beginning of the next document's, and how alike its
     own is to that and to the next document's.
 
-    Documents come in the order of doc_id, a null one last, rows that share one in that of their texts; after the last comes
+    Documents come in the order of doc_id, a null one last, rows that share one in that of their texts' xxhash64; after the last comes
     the first, so a single row is its own next. A null or empty text has no terms and signatures of zeros, which are alike to
     each other. Equal texts have equal fingerprints. Texts with fewer than FEWEST terms in the band take all their words. A
     text of any length is taken whole, and a task holds a batch and two texts. An empty table gives an empty table; columns
     other than doc_id and text take no part.
 
-    The texts are dealt out by ranges of doc_id and sorted there, once; what a run's last text needs of the next run's first
+    The texts are dealt out, compressed, by ranges of doc_id and sorted there, once; what a run's last text needs of the next run's first
     is joined afterwards, a row for each run. Rows that share a doc_id lie in one run."""
     spark = docs.sparkSession
     docs = pick(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     lexicon = spark.sparkContext.broadcast(lexicon_of(docs, common, rare, most))
     order = F.col("doc_id").asc_nulls_last()
-    dealt = docs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order, "text")
+    bodies = docs.withColumn("tie", F.xxhash64("text")).mapInArrow(compressed, DEALT)
+    dealt = bodies.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order, "tie")
     runs = scratch(dealt.withColumn("part", F.spark_partition_id()).mapInArrow(sorted_runs(lexicon), RUN), "runs")
     parts = [r["part"] for r in runs.where("head is not null").select("part").orderBy("part").collect()]  # a row for each run
     if not parts:

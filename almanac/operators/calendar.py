@@ -2,8 +2,8 @@
 
 An as-of step over days is an equi join: a series' gaps are filled with the row that the step leads to, which makes a table
 of entities times days, and events meet it on (entity, day). So events spread over days however many an entity has, and no
-task sorts an entity's events. Timestamps have no such table; there a running last value over the union of both sides finds
-the row.
+task sorts an entity's events. Timestamps have no such table; there both sides are dealt out by ranges of (key, time), and each
+range hands its last value to the next.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanac.operators.scan import asof
+
 
 def roll_weekend(d: Column | str) -> Column:
     """Saturday and Sunday become Monday; other days, holidays too, stay."""
@@ -97,14 +99,9 @@ def _meet(events: DataFrame, days: DataFrame, day: str, lag: Column, tolerance:
 
 def asof_time(events: DataFrame, series: DataFrame, key: str, ts: str, value: list[str], forward: bool = False) -> DataFrame:
     """events with the values, as `<name>_asof`, of the series' last row at or before ts (first at or after, if forward),
-    matching on key. Rows of a key are sorted once, both sides together."""
-    left = events.withColumn("_e", F.lit(1)).withColumn("_v", F.lit(None).cast(series.select(F.struct(ts, *value).alias("s")).schema["s"].dataType))
-    names = [c for c in events.columns if c not in (key, ts)]
-    right = series.select(key, ts, *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in names], F.lit(0).alias("_e"), F.struct(ts, *value).alias("_v"))
-    order = [F.col(ts).desc() if forward else F.col(ts).asc(), F.col("_e").asc()]
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = left.unionByName(right).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_e = 1")
-    return both.select(*events.columns, *[F.col(f"_last.{c}").alias(f"{c}_asof") for c in (ts, *value)])
+    matching on key."""
+    found = asof(events, series, key, ts, value, before=None if forward else "_found", after="_found" if forward else None)
+    return found.select(*events.columns, *[F.col(f"_found.{c}").alias(f"{c}_asof") for c in (ts, *value)])
 
 
 def offset(events: DataFrame, index: DataFrame, steps: Column, columns: dict[str, str], how: str = "left") -> DataFrame:

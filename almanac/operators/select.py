@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanac.operators.scan import Running, asof, numbered, scan
+
 
 def seeded(*columns: str, seed: str = "") -> Column:
     """A hash of the columns that any engine computes: the order of seeded samples and permutations."""
@@ -37,17 +39,22 @@ def balanced_cap(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
     return ranked.crossJoin(F.broadcast(size)).where(F.col("_r") <= F.col("_k")).drop("_r", "_k")
 
 
-def decile(order: list[Column], partition: list[str] | None = None) -> Column:
-    """min(10, 1 + floor(10 * rank / n)), rank from 0."""
-    w = Window.partitionBy(*(partition or []))
-    return F.least(F.lit(10), 1 + F.floor(10 * (F.row_number().over(w.orderBy(*order)) - 1) / F.count("*").over(w))).cast("long")
+def decile(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """min(10, 1 + floor(10 * rank / n)) by keys, rank from 0."""
+    size = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    size = size.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n")
+    ranked = numbered(df, order, "_r", keys).join(size, on)
+    return ranked.withColumn(name, F.least(F.lit(10), 1 + F.floor(10 * (F.col("_r") - 1) / F.col("_n"))).cast("long")).select(*df.columns, name)
 
 
 def quantile_bucket(df: DataFrame, column: str, parts: int, name: str) -> DataFrame:
     """1..parts by exact quantile edges of all rows, right-closed; equal edges leave a bucket empty, nulls have none."""
-    edges = df.agg(F.percentile(column, F.array(*[F.lit(i / parts) for i in range(1, parts)])).alias("_e"))
-    bucket = F.when(F.col(column).isNotNull(), 1 + F.size(F.filter("_e", lambda e: e < F.col(column))))
-    return df.crossJoin(F.broadcast(edges)).withColumn(name, bucket.cast("long")).drop("_e")
+    from almanac.operators.stats import quantiles
+
+    edges = quantiles(df, [], column, {f"_e{i}": i / parts for i in range(1, parts)})
+    above = sum(((F.col(column) > F.col(f"_e{i}")).cast("int") for i in range(2, parts)), (F.col(column) > F.col("_e1")).cast("int"))
+    return df.crossJoin(F.broadcast(edges)).withColumn(name, (1 + above).cast("long")).drop(*[f"_e{i}" for i in range(1, parts)])
 
 
 def clusters(df: DataFrame, key: list[str], id_column: str) -> DataFrame:
@@ -100,6 +107,29 @@ def round_robin(df: DataFrame, stratum: str, order: list[Column], n: int) -> Dat
 
 def budget(df: DataFrame, need: str, order: list[Column], total: float, most: float) -> DataFrame:
     """granted = min(most, need) in order while the total lasts; the last one gets what is left, later ones nothing."""
-    want = F.least(F.col(need), F.lit(most))
-    before = F.coalesce(F.sum("_want").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return df.withColumn("_want", want).withColumn("granted", F.least("_want", F.greatest(F.lit(0.0), F.lit(total) - before))).drop("_want")
+    want = df.withColumn("_want", F.least(F.col(need), F.lit(most)))
+    before = F.coalesce("_before", F.lit(0.0))
+    return scan(want, order, {"_before": Running("sum", F.col("_want"), inclusive=False)}).withColumn("granted", F.least("_want", F.greatest(F.lit(0.0), F.lit(total) - before))).drop("_want", "_before")
+
+
+def away_from(rows: DataFrame, marks: DataFrame, key: str, position: str, apart: int) -> DataFrame:
+    """rows farther than `apart` from every mark of their key: the nearest marks on both sides are carried to each row."""
+    near = asof(rows, marks.select(key, position).distinct(), key, position, [], before="_b", after="_a")
+    far = lambda side: F.col(side).isNull() | (F.abs(F.col(position) - F.col(f"{side}.{position}")) > apart)
+    return near.where(far("_b") & far("_a")).drop("_b", "_a")
+
+
+def nearest(treated: DataFrame, controls: DataFrame, keys: list[str], x: str, control: str) -> DataFrame:
+    """treated with `control` and `distance`: the row of controls(keys, x, control) of the same keys whose x is nearest, of two
+    as near the smaller. Both sides lie in one order of x, in which the nearest controls below and above are carried to each
+    treated row, so the work doesn't grow with pairs. control is a number. Null keys or x match nothing."""
+    at, other = F.struct(F.col(x).alias("x"), (-F.col(control)).alias("c")), F.struct(F.col(x).alias("x"), F.col(control).alias("c"))
+    sides = controls.where(F.col(x).isNotNull()).select(*keys, x, F.lit(0).alias("_side"), at.alias("_at"), other.alias("_other"))
+    both = treated.withColumn("_side", F.lit(1)).unionByName(sides, allowMissingColumns=True)
+    order = [F.col(x).asc_nulls_first(), F.col("_side").asc()]
+    out = scan(both, order, {"_below": Running("max", F.col("_at")), "_above": Running("min", F.col("_other"), after=True)}, keys).where("_side = 1")
+    some = F.col(x).isNotNull()
+    for k in keys:
+        some = some & F.col(k).isNotNull()
+    found = F.array_min(F.array_compact(F.array(*[F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(f"{side}.x") - F.col(x)).alias("distance"), (sign * F.col(f"{side}.c")).alias(control))) for side, sign in (("_below", -1), ("_above", 1))])))
+    return out.withColumn("_found", F.when(some, found)).select(*treated.columns, F.col(f"_found.{control}").alias(control), F.col("_found.distance").alias("distance"))

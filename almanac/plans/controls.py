@@ -57,6 +57,20 @@ def matched_control_month(spark, sf):
     return e.join(best, ["ticker", "idx"]).select("event_id", "control")
 
 
+@query(f"""{EVENTS}, f AS (SELECT event_id, ticker, idx FROM al QUALIFY row_number() OVER (PARTITION BY creator, ticker ORDER BY event_date, event_id) = 1), m AS (SELECT ticker, idx, round((px / lag(px, 21) OVER w) - (bench / lag(bench, 21) OVER w), 6) AS pre FROM pi WINDOW w AS (PARTITION BY ticker ORDER BY idx)),
+c AS (SELECT * FROM m WHERE pre IS NOT NULL AND NOT EXISTS (SELECT 1 FROM f WHERE f.ticker = m.ticker AND abs(f.idx - m.idx) <= 10)), t AS (SELECT event_id, f.ticker, m.pre FROM f JOIN m ON f.ticker = m.ticker AND f.idx = m.idx WHERE pre IS NOT NULL)
+SELECT event_id, c.idx AS control, round(abs(c.pre - t.pre), 6) AS distance FROM t JOIN c ON t.ticker = c.ticker QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(c.pre - t.pre), c.idx) = 1""")
+def nearest_control(spark, sf):
+    """A creator's first event of a ticker beside the ticker's day whose 21-step momentum over the benchmark is nearest, among
+    days more than ten steps from every such event."""
+    i = index(spark, sf)
+    first = select.keep_first(returns.align(aligned(spark, sf).drop("adj_date", "idx", "trade_date"), i), ["creator", "ticker"], [F.asc("event_date"), F.asc("event_id")]).where("idx is not null").select("event_id", "ticker", "idx")
+    w = Window.partitionBy("ticker").orderBy("idx")
+    m = i.select("ticker", "idx", F.round(F.col("px") / F.lag("px", 21).over(w) - F.col("bench") / F.lag("bench", 21).over(w), 6).alias("pre")).where("pre is not null")
+    free = select.away_from(m, first, "ticker", "idx", 10).withColumnRenamed("idx", "control")
+    return select.nearest(first.join(m, ["ticker", "idx"]).drop("idx"), free, ["ticker"], "pre", "control").where("control is not null").select("event_id", "control", F.round("distance", 6).alias("distance"))
+
+
 @query(f"""{EVENTS}, e AS ({_AT}), c AS (SELECT ticker, row_number() OVER (ORDER BY count(*) DESC, ticker) <= 5 AS top FROM e GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY top ORDER BY ticker) - 1 AS pos, count(*) OVER (PARTITION BY top) AS size FROM c),
 d AS (SELECT e.event_id, k.top, k.pos, ((e.event_id * 7919 + 104729) % 1000003) % (k.size - 1) AS j FROM e JOIN k ON e.ticker = k.ticker WHERE k.size > 1) SELECT d.event_id, o.ticker AS placebo FROM d JOIN k o ON d.top = o.top AND o.pos = d.j + CASE WHEN d.j >= d.pos THEN 1 ELSE 0 END""")
 def cross_ticker_placebo(spark, sf):

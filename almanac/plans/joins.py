@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from almanac.operators import calendar as cal
-from almanac.operators import select
+from almanac.operators import select, substring
+from almanac.operators.scan import Running, scan
 from almanac.plans.registry import EV, query
 from almanac.sources import tables
 from almanac.sources.tables import recommendations, table
@@ -95,15 +95,14 @@ def left_join_keys(spark, sf):
     return ev.join(d, ["ticker", "event_date", "creator"], "left").select("event_id", "best")
 
 
-@query("""WITH n AS (SELECT n_nationkey, lower(regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g')) AS w FROM nation), p AS (SELECT p_partkey, lower(regexp_replace(p_name || p_type || p_brand, '[^A-Za-z0-9]', '', 'g')) AS t FROM part) SELECT p_partkey, n_nationkey FROM p JOIN n ON contains(t, substr(w, 1, 2))""")
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS word FROM documents), t AS (SELECT item_id, lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS t FROM benchmark) SELECT item_id, word FROM t JOIN w ON contains(t, word)""")
 def substring_match(spark, sf):
-    """Compacted names that contain another's: the contained ones are few, which is checked, and go to every task."""
-    compact = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
-    n = table(spark, sf, "nation").select("n_nationkey", F.substring(compact("n_name"), 1, 2).alias("w"))
-    if n.count() > 1000:
-        raise ValueError("names are matched by containment against a thousand at most")
-    p = table(spark, sf, "part").select("p_partkey", compact(F.concat("p_name", "p_type", "p_brand")).alias("t"))
-    return p.join(F.broadcast(n), F.contains("t", F.col("w"))).select("p_partkey", "n_nationkey")
+    """Compacted texts of the benchmark that contain a word of the documents: tens of thousands of words, which meet the texts
+    by their rarest grams."""
+    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), F.lit(1))).alias("word")).distinct()
+    texts = table(spark, sf, "benchmark").select(F.col("item_id").alias("text_id"), F.lower(F.regexp_replace("text", "[^A-Za-z0-9]", "")).alias("text"))
+    found = substring.containing(texts, words.withColumn("needle_id", F.col("word")))
+    return found.select(F.col("text_id").alias("item_id"), F.col("needle_id").alias("word"))
 
 
 @query("""SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey UNION SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_orderkey = c_custkey""")
@@ -196,13 +195,14 @@ def treated_vs_control(spark, sf):
 @query("""WITH h AS (SELECT o_custkey, o_orderdate, o_orderstatus AS source, max(o_orderkey) AS record FROM orders GROUP BY 1, 2, 3), j AS (SELECT o.o_orderkey, h.source, h.record, CAST(date_diff('day', h.o_orderdate, o.o_orderdate) AS BIGINT) AS age, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY CASE h.source WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END, h.o_orderdate DESC) AS r FROM orders o LEFT JOIN h ON o.o_custkey = h.o_custkey AND h.o_orderdate <= o.o_orderdate - INTERVAL 1 DAY)
 SELECT o_orderkey, source, record, age FROM j WHERE r = 1""")
 def source_priority_asof(spark, sf):
-    """For each order the customer's latest earlier record of the best source that has one, and its age in days: an as-of
-    join for each source, of which the first that finds something counts."""
+    """For each order the customer's latest earlier record of the best source that has one, and its age in days: one
+    running last record for each source, all in one pass, of which the first that is there counts."""
     o = table(spark, sf, "orders")
-    h = o.groupBy("o_custkey", F.col("o_orderdate").alias("ts"), "o_orderstatus").agg(F.max("o_orderkey").alias("record"))
-    out = o.select("o_orderkey", "o_custkey", (F.col("o_orderdate") - F.expr("interval 1 day")).alias("ts"))
-    for s in ("F", "O", "P"):
-        out = cal.asof_time(out, h.where(F.col("o_orderstatus") == s).drop("o_orderstatus"), "o_custkey", "ts", ["record"]).withColumnsRenamed({"ts_asof": f"ts_{s}", "record_asof": f"record_{s}"})
-    first = lambda f: F.coalesce(*[F.when(F.col(f"record_{s}").isNotNull(), f(s)) for s in ("F", "O", "P")])
-    age = F.datediff(F.col("ts") + F.expr("interval 1 day"), first(lambda s: F.col(f"ts_{s}"))).cast("long")
-    return out.select("o_orderkey", first(F.lit).alias("source"), first(lambda s: F.col(f"record_{s}")).alias("record"), age.alias("age"))
+    sources = ("F", "O", "P")
+    h = o.groupBy("o_custkey", F.col("o_orderdate").alias("ts"), "o_orderstatus").agg(F.max("o_orderkey").alias("record")).withColumn("o_orderkey", F.lit(None).cast("long"))
+    asked = o.select("o_custkey", (F.col("o_orderdate") - F.expr("interval 1 day")).alias("ts"), F.lit(None).cast("string").alias("o_orderstatus"), F.lit(None).cast("long").alias("record"), "o_orderkey")
+    last = {f"_{s}": Running("max", F.when(F.col("o_orderstatus") == s, F.struct("ts", "record"))) for s in sources}
+    out = scan(h.unionByName(asked), [F.asc("ts"), F.asc_nulls_first("o_orderkey"), F.asc("o_orderstatus")], last, ["o_custkey"]).where("o_orderkey is not null")
+    first = lambda f: F.coalesce(*[F.when(F.col(f"_{s}").isNotNull(), f(s)) for s in sources])
+    age = F.datediff(F.col("ts") + F.expr("interval 1 day"), first(lambda s: F.col(f"_{s}.ts"))).cast("long")
+    return out.select("o_orderkey", first(F.lit).alias("source"), first(lambda s: F.col(f"_{s}.record")).alias("record"), age.alias("age"))

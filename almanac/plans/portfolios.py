@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from almanac.operators import portfolio, returns
+from almanac.operators import portfolio, returns, stats
 from almanac.plans.registry import EVENTS, RETURNS, index, query, r6, returns5
 from almanac.sources.tables import recommendations
 
@@ -65,7 +65,7 @@ def execution_delay(spark, sf):
 @query(f"""{RETURNS}, c AS (SELECT creator, avg(ar) AS m FROM r5 WHERE ar IS NOT NULL GROUP BY 1), q AS (SELECT quantile_cont(m, 0.75) AS cut FROM c) SELECT creator, round(m, 6) AS mean FROM c, q WHERE m >= cut""")
 def top_quartile_creators(spark, sf):
     c = returns5(spark, sf).where("ar is not null").groupBy("creator").agg(F.avg("ar").alias("m"))
-    q = c.agg(F.percentile("m", F.lit(0.75)).alias("cut"))
+    q = stats.quantiles(c, [], "m", {"cut": 0.75})
     return c.crossJoin(F.broadcast(q)).where("m >= cut").select("creator", F.round("m", 6).alias("mean"))
 
 
@@ -73,3 +73,27 @@ def top_quartile_creators(spark, sf):
 def equity_curve(spark, sf):
     m = _series(spark, sf).groupBy(F.trunc("date", "month").alias("month")).agg((F.avg("net") / 100).alias("r"))
     return portfolio.equity(m, "month", "r").select("month", F.round("equity", 5).alias("equity"), F.round("drawdown", 5).alias("drawdown"))
+
+
+_CAP = 0.08
+
+
+@query(f"""{EVENTS}, p AS (SELECT unnest(CASE direction WHEN 'positive' THEN ['long_only', 'long_short'] WHEN 'negative' THEN ['short_only', 'long_short'] ELSE [] END) AS strategy, ticker, idx, CASE direction WHEN 'positive' THEN 1.0 ELSE -1.0 END AS sg FROM al),
+held AS (SELECT strategy, h, d.ticker, d.date, any_value(d.ret) AS ret, count(*) AS n, sum(sg) AS s, count(*) FILTER (k IN (1, h)) AS turns FROM p CROSS JOIN (SELECT unnest([1, 5, 20]) AS h) CROSS JOIN range(1, 21) t(k) JOIN daily d ON p.ticker = d.ticker AND p.idx + k = d.idx WHERE k <= h GROUP BY 1, 2, 3, 4),
+lv AS (SELECT *, count(*) OVER g AS names, (1 - {_CAP} * (row_number() OVER o - 1)) / sum(n) OVER (PARTITION BY strategy, h, date ORDER BY n DESC, ticker ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM held WINDOW g AS (PARTITION BY strategy, h, date), o AS (PARTITION BY strategy, h, date ORDER BY n DESC, ticker)),
+w AS (SELECT *, CASE WHEN names * {_CAP} <= 1 THEN 1.0 / names ELSE least({_CAP}, max(level) OVER (PARTITION BY strategy, h, date) * n) END AS w FROM lv),
+s AS (SELECT strategy, h, date, max(w) AS top, sum(w / n * s * ret) AS gross, sum(w / n * turns) AS turnover FROM w GROUP BY 1, 2, 3),
+x AS (SELECT *, gross - bps / 10000.0 * turnover AS net FROM s CROSS JOIN (SELECT CAST(unnest([0, 10, 25]) AS INTEGER) AS bps))
+SELECT strategy, CAST(h AS INTEGER) AS h, bps, count(*) AS n, round(avg(net), 6) AS mean, round(stddev_samp(net), 6) AS sd, round(avg(net) / stddev_samp(net) * sqrt(252), 4) AS sharpe, round(CAST(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS DOUBLE), 6) AS hit_rate, round(avg(turnover), 6) AS turnover, round(avg(top), 6) AS top FROM x GROUP BY 1, 2, 3""")
+def capped_portfolios(spark, sf):
+    """Daily portfolios of three strategies, held over three horizons at three costs, in which no ticker weighs more than the
+    cap while others can take the rest."""
+    daily = returns.with_daily(index(spark, sf))
+    e = returns.align(recommendations(spark, sf), daily).withColumn("sign", portfolio.sign())
+    named = F.array_compact(F.array(F.when(F.col("sign") > 0, "long_only"), F.when(F.col("sign") < 0, "short_only"), F.when(F.col("sign") != 0, "long_short")))
+    positions = e.select(F.explode(named).alias("strategy"), "ticker", "idx", "sign")
+    series = [portfolio.capped_series(positions, daily, ["strategy"], h, _CAP).withColumn("h", F.lit(h)) for h in (1, 5, 20)]
+    x = series[0].unionByName(series[1]).unionByName(series[2]).withColumn("bps", F.explode(F.array(*[F.lit(b) for b in (0, 10, 25)])))
+    x = x.withColumn("net", F.col("gross") - F.col("bps") / 10000 * F.col("turnover"))
+    m = portfolio.metrics(x, ["strategy", "h", "bps"], "net").join(x.groupBy("strategy", "h", "bps").agg(F.avg("turnover").alias("turnover"), F.avg("top").alias("top")), ["strategy", "h", "bps"])
+    return m.select("strategy", "h", "bps", "n", *r6("mean", "sd"), F.round("sharpe", 4).alias("sharpe"), *r6("hit_rate", "turnover", "top"))

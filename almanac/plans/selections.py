@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from almanac.operators import select
+from almanac.operators import select, stats
 from almanac.plans.registry import EV, query
 from almanac.sources.tables import recommendations, table
 
@@ -27,7 +27,8 @@ def balanced_sample(spark, sf):
 
 @query(f"WITH {EV} SELECT event_id, ticker, CAST(least(10, 1 + floor(10 * (row_number() OVER (PARTITION BY ticker ORDER BY size, event_id) - 1) / count(*) OVER (PARTITION BY ticker))) AS BIGINT) AS decile FROM ev")
 def deciles(spark, sf):
-    return recommendations(spark, sf).select("event_id", "ticker", select.decile([F.asc("size"), F.asc("event_id")], ["ticker"]).alias("decile"))
+    ev = recommendations(spark, sf).select("event_id", "ticker", "size")
+    return select.decile(ev, ["ticker"], [F.asc("size"), F.asc("event_id")], "decile").select("event_id", "ticker", "decile")
 
 
 @query(f"""WITH {EV}, q AS (SELECT quantile_cont(size, 0.25) AS a, quantile_cont(size, 0.5) AS b, quantile_cont(size, 0.75) AS c FROM ev) SELECT event_id, CAST(1 + (size > a)::INT + (size > b)::INT + (size > c)::INT AS BIGINT) AS quartile FROM ev, q""")
@@ -38,7 +39,7 @@ def quartile_buckets(spark, sf):
 @query(f"""WITH {EV}, m AS (SELECT median(size) AS m FROM ev) SELECT CASE WHEN size IS NULL THEN 'none' WHEN size > m THEN 'high' ELSE 'low' END AS bucket, CASE WHEN score <= 1 THEN 'a' WHEN score <= 3 THEN 'b' ELSE 'c' END AS band, count(*) AS n FROM ev, m GROUP BY 1, 2""")
 def median_and_fixed_buckets(spark, sf):
     ev = recommendations(spark, sf)
-    m = ev.agg(F.median("size").alias("m"))
+    m = stats.quantiles(ev, [], "size", {"m": 0.5})
     bucket = F.when(F.col("size").isNull(), "none").when(F.col("size") > F.col("m"), "high").otherwise("low")
     band = F.when(F.col("score") <= 1, "a").when(F.col("score") <= 3, "b").otherwise("c")
     return ev.crossJoin(F.broadcast(m)).groupBy(bucket.alias("bucket"), band.alias("band")).agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almanac.functions import text
+from almanac.operators import mentions
 from almanac.operators.confound import reasons, short_key
 from almanac.plans.registry import EV, query
 from almanac.sources.tables import recommendations, table
@@ -117,3 +118,25 @@ def clause_focus(spark, sf):
 def name_terms(spark, sf):
     t = table(spark, sf, "part").select("p_partkey", F.explode(F.filter(F.split("p_name", " "), lambda w: F.length(w) >= 4)).alias("term"))
     return t.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("p_partkey").alias("parts"))
+
+
+_TOKEN = "[0-9A-Za-z\\x{C0}-\\x{24F}]+|[^ \\t-\\r]"
+_FOLD = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"""WITH names AS (SELECT n_name AS phrase, 'nation' AS kind, CAST(n_nationkey AS VARCHAR) AS code FROM nation UNION SELECT r_name, 'region', CAST(r_regionkey AS VARCHAR) FROM region UNION SELECT s_name, 'supplier', CAST(s_suppkey AS VARCHAR) FROM supplier UNION SELECT p_name, 'part', p_brand FROM part
+  UNION SELECT regexp_extract(text, '^[^ ]+ [^ ]+ [^ ]+'), 'item', CAST(item_id AS VARCHAR) FROM benchmark UNION SELECT regexp_extract(text, '^[^ ]+ [^ ]+'), 'alias', CAST(item_id AS VARCHAR) FROM benchmark),
+d AS (SELECT phrase, kind, code, regexp_extract_all({_FOLD.format(c='phrase')}, '{_TOKEN}') AS tk FROM names), t AS (SELECT doc_id, text, regexp_extract_all({_FOLD.format(c='text')}, '[ \t-\r]+|{_TOKEN}') AS pieces FROM documents),
+p AS (SELECT doc_id, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS k FROM t), q AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM p), w AS (SELECT doc_id, piece, upto, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS k FROM q WHERE NOT regexp_matches(piece, '^[ \t-\r]')),
+toks AS (SELECT doc_id, list(piece ORDER BY k) AS tk FROM w GROUP BY 1), m AS (SELECT w.doc_id, w.k, w.upto - length(w.piece) + 1 AS "at", d.* FROM w JOIN d ON len(d.tk) > 0 AND d.tk[1] = w.piece)
+SELECT m.doc_id, CAST(m."at" AS BIGINT) AS "at", CAST(e.upto - m."at" + 1 AS BIGINT) AS size, m.phrase, m.kind, m.code FROM m JOIN toks ON m.doc_id = toks.doc_id AND list_slice(toks.tk, m.k, m.k + len(m.tk) - 1) = m.tk JOIN w e ON e.doc_id = m.doc_id AND e.k = m.k + len(m.tk) - 1""")
+def dictionary_mentions(spark, sf):
+    """Every place in the documents of the names of nations, regions, suppliers and parts, of the benchmark's items, which are
+    called by their first three words, and of their aliases, the first two."""
+    text_key = lambda c: F.col(c).cast("string").alias("code")
+    names = None
+    for t, phrase, kind, code in (("nation", "n_name", "nation", "n_nationkey"), ("region", "r_name", "region", "r_regionkey"), ("supplier", "s_name", "supplier", "s_suppkey"), ("part", "p_name", "part", "p_brand"), ("benchmark", F.regexp_extract("text", "^[^ ]+ [^ ]+ [^ ]+", 0), "item", "item_id"), ("benchmark", F.regexp_extract("text", "^[^ ]+ [^ ]+", 0), "alias", "item_id")):
+        some = table(spark, sf, t).select((F.col(phrase) if isinstance(phrase, str) else phrase).alias("phrase"), F.lit(kind).alias("kind"), text_key(code))
+        names = some if names is None else names.union(some)
+    found = mentions.dictionary_mentions(table(spark, sf, "documents"), "doc_id", "text", names)
+    return found.select("doc_id", "at", F.length("surface").cast("long").alias("size"), "phrase", "kind", "code")

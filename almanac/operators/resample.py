@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRIME = 2147483647
@@ -85,13 +85,13 @@ def sign_flips(df: DataFrame, number: str, x: str, draws: int, seed: int) -> Dat
 
 
 def within_group(df: DataFrame, group: str, number: str, x: str, draws: int, seed: int) -> DataFrame:
-    """One row: the mean of x, and how often means are as far from zero if each row takes the value of a drawn row of its
-    group. What is drawn is a place in the group; draws are counted by place before they meet the values there."""
-    w = Window.partitionBy(group)
-    rows = df.where(F.col(x).isNotNull()).select(group, number, x, (F.row_number().over(w.orderBy(number)) - 1).cast("long").alias("place"), F.count("*").over(w).alias("size"))
-    drawn = with_draws(rows.select(group, number, "size"), draws).select("d", group, F.floor(uniform(F.col(number), F.col("d"), seed) * F.col("size")).alias("place"))
-    often = drawn.groupBy("d", group, "place").agg(F.count("*").alias("k"))
-    means = often.join(rows.select(group, "place", x), [group, "place"]).groupBy("d").agg((F.sum(F.col("k") * F.col(x)) / F.sum("k")).alias("m"))
+    """One row: the mean of x, and how often means are as far from zero if each group's rows are drawn anew from the group, with
+    replacement. How often a row is drawn comes from its number, so draws are made where the rows are, and a group's mean in
+    a draw, which weighs as many rows as the group has, comes from sums by draw and group."""
+    rows = df.where(F.col(x).isNotNull()).select(group, number, x)
+    w = poisson(uniform(F.col(number), F.col("d"), seed))
+    sums = with_draws(rows, draws).groupBy("d", group).agg(F.sum(w * F.col(x)).alias("s"), F.sum(w).alias("k"), F.count("*").alias("size")).where("k > 0")
+    means = sums.groupBy("d").agg((F.sum(F.col("size") * F.col("s") / F.col("k")) / F.sum("size")).alias("m"))
     observed = rows.agg(F.avg(x).alias("mean"), F.count(x).alias("n"))
     out = means.crossJoin(F.broadcast(observed)).groupBy("n", "mean").agg(F.avg("m").alias("drawn_mean"), F.avg((F.abs("m") >= F.abs("mean")).cast("double")).alias("p"))
     return out.select("n", "mean", "drawn_mean", "p")

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanac.operators.scan import Running, scan
+from almanac.sources.shared import written
+
 
 #: Ranges that a ranking of all rows is cut into.
 PARTS = 64
@@ -48,22 +51,40 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return front * out
 
 
-def bundle(df: DataFrame, keys: list[str], x: str, least: int = 1) -> DataFrame:
-    """n, mean, median, win rate, standard deviation and error, t, p and the 95 % interval, by keys."""
-    agg = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.avg(F.when(F.col(x) > 0, 1.0).when(F.col(x).isNotNull(), 0.0)).alias("win_rate"), F.stddev_samp(x).alias("sd"))
+def quantiles(df: DataFrame, keys: list[str], x: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, names of shares): exact quantiles of x by keys, between two values in proportion; nulls and NaN don't count. Equal
+    values are counted first; a running sum over values in order, and one from behind, tell each value's places and the
+    group's size, so no task sees a group and nothing is joined."""
+    counts = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
+    c = F.col("_c")
+    placed = scan(counts, [F.col("_x").asc()], {"_upto": Running("sum", c), "_rest": Running("sum", c, after=True, inclusive=False)}, keys)
+    last = F.col("_upto") + F.coalesce("_rest", F.lit(0)) - 1
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((place >= F.col("_upto") - c) & (place < F.col("_upto")), F.col("_x")))
+
+    out = placed.groupBy(*keys).agg(*[v.alias(f"{name}{end}") for name, q in shares.items() for end, v in (("_lo", at(F.floor(q * last))), ("_hi", at(F.ceil(q * last))), ("_at", F.max(q * last - F.floor(q * last))))])
+    return out.select(*keys, *[(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_at")).alias(n) for n in shares])
+
+
+def bundle(df: DataFrame, keys: list[str], x: str, least: int = 1, median: bool = False) -> DataFrame:
+    """n, mean, median if asked for, win rate, standard deviation and error, t, p and the 95 % interval, by keys."""
+    agg = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.avg(F.when(F.col(x) > 0, 1.0).when(F.col(x).isNotNull(), 0.0)).alias("win_rate"), F.stddev_samp(x).alias("sd"))
+    if median:
+        agg = meet(agg, quantiles(df, keys, x, {"median": 0.5}), keys, "left") if keys else agg.join(quantiles(df, keys, x, {"median": 0.5}))
     se = F.col("sd") / F.sqrt("n")
     t = F.when(F.col("sd") > 0, F.col("mean") / se)
     out = agg.where(F.col("n") >= least).withColumn("se", se).withColumn("t", t)
     return out.withColumns({"p": normal_p(F.col("t")), "low": F.col("mean") - 1.96 * F.col("se"), "high": F.col("mean") + 1.96 * F.col("se")})
 
 
-def meet(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on keys in which a null meets a null; b's keys go."""
+def meet(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys in which a null meets a null; b's keys go."""
     b = b.withColumnsRenamed({k: f"_{k}" for k in keys})
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return a.join(b, on).drop(*[f"_{k}" for k in keys])
+    return a.join(b, on, how).drop(*[f"_{k}" for k in keys])
 
 
 def clustered_se(df: DataFrame, keys: list[str], x: str, cluster: list[str]) -> DataFrame:
@@ -100,8 +121,8 @@ def adjust(df: DataFrame, p: str, order: str) -> DataFrame:
 
 def winsorize(df: DataFrame, x: str, low: float, high: float, name: str) -> DataFrame:
     """x clipped to its exact quantiles."""
-    edges = df.agg(F.percentile(x, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    return df.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), F.col("_q")[0]), F.col("_q")[1]))).drop("_q")
+    edges = quantiles(df, [], x, {"_low": low, "_high": high})
+    return df.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), F.col("_low")), F.col("_high")))).drop("_low", "_high")
 
 
 def order_statistics(df: DataFrame, x: str, shares: list[float], few: int = 10_000) -> list[float]:
@@ -151,10 +172,10 @@ def shrink(df: DataFrame, group: str, x: str, k: float = 20.0) -> DataFrame:
 # ---------------------------------------------------------------- regressions
 
 
-def ols(df: DataFrame, y: str, xs: list[str], cluster: str | None = None, robust: bool = False) -> list[dict]:
+def ols(df: DataFrame, y: str, xs: list[str], cluster: str | None = None, robust: bool = False, effects: int = 1) -> list[dict]:
     """Least squares with a constant from one pass of cross sums around the means; HC1 or cluster-robust errors take
     another. Rows with a null or NaN in y or xs are left out. A row for each coefficient: name, coef, se, t, p, n, r2. With
-    one cluster there is no error."""
+    one cluster there is no error. effects: how many constants have been taken out of the columns, the one included."""
     names = ["const", *xs]
     k = len(names)
     sound = df.where(" and ".join(f"`{c}` is not null and not isnan(cast(`{c}` as double))" for c in [y, *xs]))
@@ -164,8 +185,8 @@ def ols(df: DataFrame, y: str, xs: list[str], cluster: str | None = None, robust
     yy = F.col(y).cast("double") - F.lit(float(my))
     sums = [F.sum(v[i] * v[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(v[i] * yy).alias(f"b{i}") for i in range(k)] + [F.sum(yy * yy).alias("yy"), F.sum(yy).alias("sy"), F.count("*").alias("n")]
     r = sound.agg(*sums).first()
-    n = r["n"]
-    if n <= k:
+    n, taken = r["n"], len(xs) + effects
+    if n <= taken:
         return []
     a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
     beta = np.linalg.pinv(a) @ np.array([r[f"b{i}"] for i in range(k)])
@@ -179,10 +200,10 @@ def ols(df: DataFrame, y: str, xs: list[str], cluster: str | None = None, robust
         m = scores.agg(*[F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)], F.count("*").alias("g")).first()
         meat = np.array([[m[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
         g = m["g"]
-        scale = (g / (g - 1) * (n - 1) / (n - k) if g > 1 else math.nan) if cluster else n / (n - k)
+        scale = (g / (g - 1) * (n - 1) / (n - taken) if g > 1 else math.nan) if cluster else n / (n - taken)
         cov = scale * inverse @ meat @ inverse
     else:
-        cov = inverse * sse / (n - k)
+        cov = inverse * sse / (n - taken)
     back = np.eye(k)  # from centred columns to the columns themselves
     back[0, 1:] = -mx
     beta, cov = back @ beta + np.array([my] + [0.0] * (k - 1)), back @ cov @ back.T
@@ -193,14 +214,50 @@ def ols(df: DataFrame, y: str, xs: list[str], cluster: str | None = None, robust
     return [{"name": c, "coef": float(b), "se": float(s) if not math.isnan(s) else None, "t": float(b / s) if sure(s) else None, "p": math.erfc(abs(b / s) / math.sqrt(2)) if sure(s) else None, "n": n, "r2": float(r2)} for c, b, s in zip(names, beta, se, strict=True)]
 
 
-def demean(df: DataFrame, groups: list[str], columns: list[str], rounds: int = 1) -> DataFrame:
-    """Columns less their group means; several groups in turn, some rounds (fixed effects by projection). Means are summed
-    in each task before they meet the rows, so no task gets a group."""
-    for _ in range(rounds if len(groups) > 1 else 1):
-        for g in groups:
-            means = df.groupBy(g).agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
-            df = meet(df, means, [g]).withColumns({c: F.col(c) - F.col(f"_mean_{c}") for c in columns}).drop(*[f"_mean_{c}" for c in columns])
-    return df
+def demean(df: DataFrame, groups: list[str], columns: list[str], tol: float = 1e-10, most: int = 1000) -> DataFrame:
+    """df with columns less the effects of all groups, by alternating projections until no mean of a level is above tol of the
+    column's spread. What the rounds work on is a row for each combination of levels, with sums; null levels are levels."""
+    cells = df.groupBy(*groups).agg(F.count("*").alias("_n"), *[F.sum(F.col(c).cast("double")).alias(f"_s{i}") for i, c in enumerate(columns)])
+    cells = written(cells.withColumns({f"_r{i}": F.col(f"_s{i}") for i in range(len(columns))}), "effects")
+    spread = df.agg(*[F.coalesce(F.stddev_pop(F.col(c).cast("double")), F.lit(0.0)) for c in columns]).first()
+    each = range(len(columns))
+    for _ in range(most):
+        for j, g in enumerate(groups):
+            means = cells.groupBy(g).agg(*[(F.sum(f"_r{i}") / F.sum("_n")).alias(f"_m{j}_{i}") for i in each])
+            cells = meet(cells, means, [g]).withColumns({f"_r{i}": F.col(f"_r{i}") - F.col("_n") * F.col(f"_m{j}_{i}") for i in each})
+        cells = written(cells, "effects")
+        means = [c for c in cells.columns if c.startswith("_m")]
+        furthest = cells.agg(*[F.coalesce(F.max(F.abs(c)), F.lit(0.0)).alias(c) for c in means]).first()
+        cells = cells.drop(*means)
+        if len(groups) == 1 or all(furthest[c] <= tol * spread[int(c.split("_")[-1])] for c in means):
+            break
+    effects = cells.select(*groups, *[((F.col(f"_s{i}") - F.col(f"_r{i}")) / F.col("_n")).alias(f"_e{i}") for i in range(len(columns))])
+    return meet(df, effects, groups).withColumns({c: F.col(c) - F.col(f"_e{i}") for i, c in enumerate(columns)}).drop(*[f"_e{i}" for i in range(len(columns))])
+
+
+def absorbed(df: DataFrame, groups: list[str]) -> int:
+    """Degrees of freedom that the effects of one or two groups take: levels, less, for two, the parts into which common rows
+    tie them. Each part's smallest label is passed from one group's levels to the other's until none changes."""
+    levels = df.agg(*[F.count_distinct(F.struct(g)) for g in groups]).first()
+    if len(groups) == 1:
+        return levels[0]
+    a, b = groups
+    cells = written(df.select(a, b).distinct().withColumn("_l", F.xxhash64(a)), "parts")
+    while True:
+        after = meet(cells, cells.groupBy(b).agg(F.min("_l").alias("_least_b")), [b])
+        after = written(meet(after, after.groupBy(a).agg(F.min("_least_b").alias("_least")), [a]), "parts")
+        if after.where("_least <> _l").isEmpty():
+            return sum(levels) - after.agg(F.count_distinct("_least")).first()[0]
+        cells = after.select(a, b, F.col("_least").alias("_l"))
+
+
+def fixed_effects(df: DataFrame, y: str, xs: list[str], groups: list[str], cluster: str | None = None, robust: bool = False) -> list[dict]:
+    """Least squares with effects of one or two groups taken out: the slopes and errors that dummies of all levels give. r2 is
+    that within the groups."""
+    sound = df.where(" and ".join(f"`{c}` is not null and not isnan(cast(`{c}` as double))" for c in [y, *xs]))
+    sound = written(sound.select(*dict.fromkeys([y, *xs, *groups, *([cluster] if cluster else [])])), "design")  # it is gone over several times
+    rows = ols(demean(sound, groups, [y, *xs]), y, xs, cluster, robust, absorbed(sound, groups))
+    return [r for r in rows if r["name"] != "const"]
 
 
 def newey_west(daily: DataFrame, day: str, y: str, xs: list[str], lags: int = 5) -> list[dict]:

@@ -74,8 +74,8 @@ def label_sets(spark, sf):
 
 @query(f"""WITH {EV} SELECT direction, round(quantile_cont(size, 0.05), 4) AS p05, round(quantile_cont(size, 0.25), 4) AS p25, round(median(size), 4) AS p50, round(quantile_cont(size, 0.95), 4) AS p95 FROM ev GROUP BY 1""")
 def quantiles(spark, sf):
-    p = lambda q: F.round(F.percentile("size", F.lit(q)), 4)
-    return recommendations(spark, sf).groupBy("direction").agg(p(0.05).alias("p05"), p(0.25).alias("p25"), p(0.5).alias("p50"), p(0.95).alias("p95"))
+    q = stats.quantiles(recommendations(spark, sf), ["direction"], "size", {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p95": 0.95})
+    return q.select("direction", *[F.round(c, 4).alias(c) for c in ("p05", "p25", "p50", "p95")])
 
 
 @query(f"""{RETURNS}, g AS (SELECT ticker, count(ar) AS c, sum(ar) AS s, sum(ar * ar) AS q FROM r5 WHERE ar IS NOT NULL GROUP BY 1), t AS (SELECT ticker, sum(c) OVER () - c AS n, sum(s) OVER () - s AS s, sum(q) OVER () - q AS q FROM g)

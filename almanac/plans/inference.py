@@ -17,7 +17,7 @@ def _normal_p(t: str) -> str:
 @query(f"""{RETURNS}, g AS (SELECT direction, count(ar) AS n, avg(ar) AS mean, median(ar) AS median, avg(CASE WHEN ar > 0 THEN 1.0 WHEN ar IS NOT NULL THEN 0.0 END) AS win, stddev_samp(ar) AS sd FROM r5 GROUP BY 1), h AS (SELECT *, sd / sqrt(n) AS se, mean / (sd / sqrt(n)) AS t FROM g)
 SELECT direction, n, round(mean, 6) AS mean, round(median, 6) AS median, round(CAST(win AS DOUBLE), 6) AS win_rate, round(se, 6) AS se, round(t, 4) AS t, round({_normal_p('t')}, 6) AS p, round(mean - 1.96 * se, 6) AS low, round(mean + 1.96 * se, 6) AS high FROM h""")
 def t_bundle(spark, sf):
-    return stats.bundle(returns5(spark, sf), ["direction"], "ar").select("direction", "n", *r6("mean", "median", "win_rate", "se"), F.round("t", 4).alias("t"), *r6("p", "low", "high"))
+    return stats.bundle(returns5(spark, sf), ["direction"], "ar", median=True).select("direction", "n", *r6("mean", "median", "win_rate", "se"), F.round("t", 4).alias("t"), *r6("p", "low", "high"))
 
 
 def _cluster_sql(keys: str, name: str) -> str:
@@ -90,7 +90,7 @@ def _inverse(k: int) -> list[list[str]]:
     return [[f"({'-' if (i + j) % 2 else ''}{minor(i, j)} / {d})" for j in range(3)] for i in range(3)]
 
 
-def _ols_sql(design: str, xs: list[str], kind: str = "plain") -> str:
+def _ols_sql(design: str, xs: list[str], kind: str = "plain", effects: str = "1") -> str:
     """Least squares in SQL: design is a query of y, xs and g. Sums are around the means; the constant's error follows."""
     k, inverse = len(xs), _inverse(len(xs))
     each = range(k)
@@ -104,7 +104,7 @@ def _ols_sql(design: str, xs: list[str], kind: str = "plain") -> str:
 
     def v(i: int, j: int) -> str:
         if kind == "plain":
-            return f"(sse / (n - {k + 1}) * {inv(i, j)})"
+            return f"(sse / (n - {k} - {effects}) * {inv(i, j)})"
         scale = f"n / (n - {k + 1.0})" if kind == "robust" else f"(clusters / (clusters - 1.0)) * (n - 1.0) / (n - {k + 1.0})"
         terms = [f"{inv(i, a)} * {meat(a, b)} * {inv(b, j)}" for a in range(k + 1) for b in range(k + 1) if inv(i, a) != "0" and inv(b, j) != "0"]
         return f"({scale} * ({' + '.join(terms)}))"
@@ -142,19 +142,25 @@ def ols_clustered(spark, sf):
     return _coefficients(spark, stats.ols(_design(spark, sf), "y", ["score", "log_size", "positive"], cluster="ticker"))
 
 
-def _demeaned() -> str:
-    out = ["w0 AS (SELECT ar AS y, CAST(score AS DOUBLE) AS score, ln(size) AS log_size, ticker, creator FROM r5 WHERE ar IS NOT NULL)"]
-    for n in range(6):
-        g = ("ticker", "creator")[n % 2]
-        out.append(f"w{n + 1} AS (SELECT {', '.join(f'{c} - avg({c}) OVER (PARTITION BY {g}) AS {c}' for c in ('y', 'score', 'log_size'))}, ticker, creator FROM w{n})")
+def _demeaned(design: str, groups: tuple[str, str], columns: list[str], rounds: int = 12) -> str:
+    """design's columns less their means by both groups in turn, as w<2 * rounds>."""
+    out = [f"w0 AS MATERIALIZED (SELECT * FROM ({design}) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in columns)})"]
+    for n in range(2 * rounds):
+        g = groups[n % 2]
+        out.append(f"w{n + 1} AS MATERIALIZED (SELECT {', '.join(f'{c} - avg({c}) OVER (PARTITION BY {g}) AS {c}' for c in columns)}, {', '.join(groups)} FROM w{n})")
     return ", ".join(out)
 
 
-@query(f"{RETURNS}, {_demeaned()}, {_ols_sql('SELECT y, score, log_size, 0 AS g FROM w6', ['score', 'log_size'])} WHERE name <> 'const'")
+def _effects_sql(design: str, groups: tuple[str, str], y: str, xs: list[str]) -> str:
+    """Slopes within two groups that common rows tie into one part."""
+    levels = f"(SELECT count(DISTINCT {groups[0]}) + count(DISTINCT {groups[1]}) - 1 FROM w0)"
+    return f"{_demeaned(design, groups, [y, *xs])}, {_ols_sql(f'SELECT {y} AS y, ' + ', '.join(xs) + ', 0 AS g FROM w24', xs, effects=levels)} WHERE name <> 'const'"
+
+
+@query(f"{RETURNS}, {_effects_sql('SELECT ar AS y, CAST(score AS DOUBLE) AS score, ln(size) AS log_size, ticker, creator FROM r5', ('ticker', 'creator'), 'y', ['score', 'log_size'])}")
 def ols_fixed_effects(spark, sf):
-    """Slopes within tickers and creators; the constant is nought."""
-    d = stats.demean(_design(spark, sf).where("y is not null"), ["ticker", "creator"], ["y", "score", "log_size"], rounds=3)
-    return _coefficients(spark, stats.ols(d, "y", ["score", "log_size"])).where("name <> 'const'")
+    """Slopes within tickers and creators, with the degrees of freedom that their effects take."""
+    return _coefficients(spark, stats.fixed_effects(_design(spark, sf), "y", ["score", "log_size"], ["ticker", "creator"]))
 
 
 @query(f"""{RETURNS}, s AS (SELECT CAST(substr(ticker, 7) AS BIGINT) AS k, sum(ar) AS s, count(ar) AS c FROM r5 WHERE ar IS NOT NULL GROUP BY 1), m AS (SELECT d, sum(w * s) / sum(w * c) AS m FROM (SELECT s.*, d, {resample.poisson_sql(resample.uniform_sql('k', 'd', 42))} AS w FROM s CROSS JOIN (SELECT unnest(range(0, 500)) AS d)) GROUP BY 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almanac.operators import calendar as cal
-from almanac.operators import factors, resample, returns
+from almanac.operators import factors, resample, returns, scan
 from almanac.operators.resample import poisson_sql, uniform_sql
 from almanac.plans.registry import EVENTS, RETURNS, aligned, index, query, r6, returns5
 from almanac.sources.tables import table
@@ -38,14 +38,14 @@ def sign_flip_test(spark, sf):
 
 
 def _permuted(h: str, draws: int, seed: int) -> str:
-    return f"""x AS (SELECT ticker, event_id, {h} AS v, row_number() OVER (PARTITION BY ticker ORDER BY event_id) - 1 AS place, count(*) OVER (PARTITION BY ticker) AS size FROM r5 WHERE {h} IS NOT NULL),
-k AS (SELECT d, ticker, CAST(floor({uniform_sql('event_id', 'd', seed)} * size) AS BIGINT) AS place FROM x CROSS JOIN {_draws(draws)}), m AS (SELECT d, avg(v) AS m FROM k JOIN x USING (ticker, place) GROUP BY 1), o AS (SELECT count(*) AS n, avg(v) AS mean FROM x)
+    return f"""x AS (SELECT ticker, event_id, {h} AS v FROM r5 WHERE {h} IS NOT NULL), k AS (SELECT d, ticker, sum(w * v) AS s, sum(w) AS k, count(*) AS size FROM (SELECT x.*, d, {poisson_sql(uniform_sql('event_id', 'd', seed))} AS w FROM x CROSS JOIN {_draws(draws)}) GROUP BY 1, 2 HAVING sum(w) > 0),
+m AS (SELECT d, sum(size * s / k) / sum(size) AS m FROM k GROUP BY 1), o AS (SELECT count(*) AS n, avg(v) AS mean FROM x)
 SELECT any_value(n) AS n, round(any_value(mean), 6) AS mean, round(avg(m), 6) AS drawn_mean, round(CAST(avg(CASE WHEN abs(m) >= abs(mean) THEN 1.0 ELSE 0.0 END) AS DOUBLE), 6) AS p FROM m, o"""
 
 
 @query(f"{RETURNS}, {_permuted('ar', 50, 7)}")
 def within_ticker_permutation(spark, sf):
-    """Events take the return of a drawn event of their ticker: how often the mean is as far from zero."""
+    """Tickers' events are drawn anew within the ticker: how often the mean is as far from zero."""
     return resample.within_group(returns5(spark, sf), "ticker", "event_id", "ar", 50, 7).select("n", *r6("mean", "drawn_mean", "p"))
 
 
@@ -103,37 +103,60 @@ def factor_alpha(spark, sf):
 # ---------------------------------------------------------------- within the day
 
 
-_BARS = "bars AS (SELECT user_id, ts, max(value) AS price FROM events GROUP BY 1, 2)"
+_BARS = """hours AS (SELECT date_trunc('hour', ts) AS hour, avg(value) AS bench FROM events GROUP BY 1),
+bars AS MATERIALIZED (SELECT *, date_trunc('hour', ts) AS hour FROM (SELECT user_id, ts, max(value) AS price, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS volume FROM events GROUP BY 1, 2) JOIN hours ON date_trunc('hour', ts) = hour)"""
 _OPEN = "CAST(CAST(CAST({d} AS DATE) + CAST(CASE isodow(CAST({d} AS DATE)) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS INTEGER) AS DATE) AS TIMESTAMP) + INTERVAL 570 MINUTE"
-_MINUTES = [60, 240, 1440]
+_MINUTES = [5, 15, 30, 60, 240, 1440]
 _INTRADAY = f"""WITH {_BARS}, e AS (SELECT event_id, user_id, ts, ts - INTERVAL 5 HOUR AS et FROM events WHERE event_type = 'click'),
 t AS (SELECT *, CASE WHEN isodow(et) >= 6 OR hour(et) * 60 + minute(et) + (CASE WHEN second(et) > 0 OR microsecond(et) % 1000000 > 0 THEN 1 ELSE 0 END) > 960 THEN {_OPEN.format(d="et + INTERVAL 1 DAY")} ELSE et END + INTERVAL 5 HOUR AS target FROM e),
-a AS (SELECT t.event_id, t.user_id, t.target, bars.ts AS aligned, bars.price AS p0 FROM t ASOF LEFT JOIN bars ON t.user_id = bars.user_id AND t.target <= bars.ts)"""
+a AS (SELECT t.event_id, t.user_id, t.target, bars.ts AS aligned, bars.price AS p0, bars.volume AS v0, bars.bench AS b0 FROM t ASOF LEFT JOIN bars ON t.user_id = bars.user_id AND t.target <= bars.ts)"""
+_DAY = "CAST(CAST(aligned - INTERVAL 5 HOUR AS DATE) AS TIMESTAMP) + INTERVAL 5 HOUR"
+_AFTER = {f"w{m}": f"aligned + INTERVAL {m} MINUTE" for m in _MINUTES} | {"pre": "aligned - INTERVAL 60 MINUTE"}
+_BEFORE = {"regular": f"{_DAY} + INTERVAL 16 HOUR", "last": f"{_DAY} + INTERVAL 24 HOUR - INTERVAL 1 MICROSECOND"}
 
 
-@query(_INTRADAY + "".join(f", w{m} AS (SELECT a.event_id, bars.price AS p FROM (SELECT *, aligned + INTERVAL {m} MINUTE AS until FROM a WHERE aligned IS NOT NULL) a ASOF JOIN bars ON a.user_id = bars.user_id AND a.until <= bars.ts)" for m in _MINUTES) + f" SELECT a.event_id, a.target, a.aligned, {', '.join(f'round(w{m}.p / nullif(p0, 0) - 1, 6) AS return_{m}m' for m in _MINUTES)} FROM a " + " ".join(f"LEFT JOIN w{m} ON a.event_id = w{m}.event_id" for m in _MINUTES))
+def _met_sql() -> str:
+    """A table for each place around an event: the bar that is there."""
+    some = "(SELECT *, {at} AS at FROM a WHERE aligned IS NOT NULL)"
+    return "".join(f", {n} AS (SELECT x.event_id, x.aligned, bars.ts, bars.price AS p, bars.volume AS v, bars.bench AS b FROM {some.format(at=at)} x ASOF JOIN bars ON x.user_id = bars.user_id AND x.at {'<=' if n in _AFTER else '>='} bars.ts)" for n, at in (_AFTER | _BEFORE).items())
+
+
+@query(_INTRADAY + _met_sql() + f""", close AS (SELECT l.event_id, coalesce(r.p, l.p) AS p, coalesce(r.b, l.b) AS b FROM last l LEFT JOIN regular r ON l.event_id = r.event_id AND r.ts >= {_DAY.replace('aligned', 'r.aligned')})
+SELECT a.event_id, a.target, a.aligned, {', '.join(f'round(w{m}.p / nullif(p0, 0) - 1, 6) AS return_{m}m, round(w{m}.p / nullif(p0, 0) - w{m}.b / nullif(b0, 0), 6) AS abnormal_{m}m' for m in _MINUTES)}, round(close.p / nullif(p0, 0) - 1, 6) AS return_to_close, round(close.p / nullif(p0, 0) - close.b / nullif(b0, 0), 6) AS abnormal_to_close,
+round(CASE WHEN pre.ts < a.aligned THEN p0 / nullif(pre.p, 0) - 1 END, 6) AS pre_60m, {', '.join(f'round(w{m}.v / nullif(v0, 0) - 1, 6) AS volume_change_{m}m' for m in (30, 60))} FROM a """ + " ".join(f"LEFT JOIN {n} ON a.event_id = {n}.event_id" for n in [*_AFTER, "close"]))
 def intraday_study(spark, sf):
     """Events go to the session's time: at night and on weekends to the next weekday's open at 9:30 in New York; then to the
-    first bar from there, and on to the first bars some minutes later."""
-    out = _intraday(spark, sf)
-    bars = _bars(spark, sf)
-    for m in _MINUTES:
-        until = out.select("event_id", "user_id", (F.col("aligned") + F.expr(f"interval {m} minute")).alias("ts")).where("ts is not null")
-        to = cal.asof_time(until, bars, "user_id", "ts", ["price"], forward=True).select("event_id", F.col("price_asof").alias(f"p{m}"))
-        out = out.join(to, "event_id", "left")
-    gain = lambda m: F.round(F.try_divide(f"p{m}", "p0") - 1, 6).alias(f"return_{m}m")
-    return out.select("event_id", "target", "aligned", *[gain(m) for m in _MINUTES])
+    first bar from there. From it: returns, and returns less the market's, to the first bars some minutes later and to the
+    day's last bar in the session (to its last one where none is in it), the return of the hour before, and how volume
+    changes. All places around all events are met in one pass over the bars."""
+    a = _intraday(spark, sf)
+    some = a.where("aligned is not null")
+    minutes = lambda m: F.col("aligned") + F.expr(f"interval {m} minute")
+    day = lambda h: F.to_utc_timestamp(F.date_trunc("day", F.from_utc_timestamp("aligned", "America/New_York")) + F.expr(h), "America/New_York")
+    places = {f"w{m}": minutes(m) for m in _MINUTES} | {"pre": minutes(-60), "regular": day("interval 16 hour"), "last": day("interval 24 hour") - F.expr("interval 1 microsecond")}
+    asked = some.select("event_id", "user_id", F.explode(F.array(*[F.struct(F.lit(n).alias("place"), c.alias("ts")) for n, c in places.items()])).alias("x")).select("event_id", "user_id", "x.*")
+    met = scan.asof(asked, _bars(spark, sf), "user_id", "ts", ["price", "volume", "bench"], before="before", after="after")
+    there = lambda n: F.max(F.when(F.col("place") == n, F.col("before" if n in ("regular", "last") else "after"))).alias(n)
+    out = a.join(met.groupBy("event_id").agg(*[there(n) for n in places]), "event_id", "left")
+    out = out.withColumn("close", F.when(F.col("regular.ts") >= day("interval 0 hour"), F.col("regular")).otherwise(F.col("last")))
+    over = lambda x, y: F.try_divide(F.col(x), F.col(y))
+    gains = [c for n, end in [*[(f"{m}m", f"w{m}") for m in _MINUTES], ("to_close", "close")] for c in (F.round(over(f"{end}.price", "p0") - 1, 6).alias(f"return_{n}"), F.round(over(f"{end}.price", "p0") - over(f"{end}.bench", "b0"), 6).alias(f"abnormal_{n}"))]
+    pre = F.round(F.when(F.col("pre.ts") < F.col("aligned"), over("p0", "pre.price") - 1), 6).alias("pre_60m")
+    return out.select("event_id", "target", "aligned", *gains, pre, *[F.round(over(f"w{m}.volume", "v0") - 1, 6).alias(f"volume_change_{m}m") for m in (30, 60)])
 
 
 def _bars(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id", F.col("ts").cast("timestamp").alias("ts")).agg(F.max("value").alias("price"))
+    """A user's bars (price, volume) and the mean price of all in the hour."""
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    bars = e.groupBy("user_id", "ts").agg(F.max("value").alias("price"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("volume")).withColumn("hour", F.date_trunc("hour", "ts"))
+    return bars.join(e.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("bench")), "hour").drop("hour")
 
 
 def _intraday(spark, sf):
     e = table(spark, sf, "events").where("event_type = 'click'").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     e = e.withColumn("target", cal.session_target("ts"))
-    a = cal.asof_time(e.select("event_id", "user_id", F.col("target").alias("ts")), _bars(spark, sf), "user_id", "ts", ["price"], forward=True)
-    return a.select("event_id", "user_id", F.col("ts").alias("target"), F.col("ts_asof").alias("aligned"), F.col("price_asof").alias("p0"))
+    a = cal.asof_time(e.select("event_id", "user_id", F.col("target").alias("ts")), _bars(spark, sf), "user_id", "ts", ["price", "volume", "bench"], forward=True)
+    return a.select("event_id", "user_id", F.col("ts").alias("target"), F.col("ts_asof").alias("aligned"), F.col("price_asof").alias("p0"), F.col("volume_asof").alias("v0"), F.col("bench_asof").alias("b0"))
 
 
 @query(_INTRADAY + f""", o AS (SELECT event_id, user_id, p0, aligned, {_OPEN.format(d="aligned - INTERVAL 5 HOUR + INTERVAL 1 DAY")} + INTERVAL 5 HOUR AS next_open, CAST(CAST(aligned - INTERVAL 5 HOUR AS DATE) AS TIMESTAMP) + INTERVAL 24 HOUR + INTERVAL 5 HOUR - INTERVAL 1 MICROSECOND AS day_end FROM a WHERE aligned IS NOT NULL),
@@ -144,11 +167,12 @@ def intraday_windows(spark, sf):
     still reach back to it."""
     a, bars = _intraday(spark, sf).where("aligned is not null"), _bars(spark, sf)
     et = lambda c: F.from_utc_timestamp(c, "America/New_York")
-    ends = a.select("event_id", "user_id", (F.to_utc_timestamp(F.date_trunc("day", et("aligned")) + F.expr("interval 1 day"), "America/New_York") - F.expr("interval 1 microsecond")).alias("ts"))
-    opens = a.select("event_id", "user_id", cal.next_open("aligned").alias("ts"))
-    close = cal.asof_time(ends, bars, "user_id", "ts", ["price"]).select("event_id", F.col("price_asof").alias("close"))
-    opened = cal.asof_time(opens, bars, "user_id", "ts", ["price"], forward=True).select("event_id", F.col("price_asof").alias("opened"))
+    day_end = F.to_utc_timestamp(F.date_trunc("day", et("aligned")) + F.expr("interval 1 day"), "America/New_York") - F.expr("interval 1 microsecond")
+    places = F.array(F.struct(F.lit("close").alias("place"), day_end.alias("ts")), F.struct(F.lit("opened").alias("place"), cal.next_open("aligned").alias("ts")))
+    asked = a.select("event_id", "user_id", F.explode(places).alias("x")).select("event_id", "user_id", "x.*")
+    met = scan.asof(asked, bars, "user_id", "ts", ["price"], before="before", after="after")
+    there = met.groupBy("event_id").agg(F.max(F.when(F.col("place") == "close", F.col("before.price"))).alias("close"), F.max(F.when(F.col("place") == "opened", F.col("after.price"))).alias("opened"))
     last = table(spark, sf, "events").agg(F.to_date(F.max("ts")).alias("last"))
-    j = a.join(close, "event_id", "left").join(opened, "event_id", "left").crossJoin(F.broadcast(last))
+    j = a.join(there, "event_id", "left").crossJoin(F.broadcast(last))
     gain = lambda x, y: F.round(F.try_divide(x, y) - 1, 6)
     return j.select("event_id", gain("close", "p0").alias("to_close"), gain("opened", "close").alias("gap"), gain("opened", "p0").alias("to_open"), (F.datediff("last", F.to_date("aligned")) <= 20).alias("feasible"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from almanac.functions import rules, text
+from almanac.functions import payloads, rules, text
 from almanac.operators.confound import short_key
 from almanac.plans.registry import query
 from almanac.sources.posts import POSTS, posts
@@ -300,6 +300,38 @@ def post_normalizer(spark, sf):
     return e.select("event_id", F.col("user_id").cast("string").alias("author"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("item.id").alias("post_id"), F.coalesce("item.likes", F.lit(0)).alias("likes"))
 
 
+def _at(field: str) -> str:
+    """A field's first path with a plain value, as text."""
+    one = lambda p: f"CASE WHEN json_type(v, '$.{p}') NOT IN ('OBJECT', 'ARRAY') THEN nullif(trim(json_extract_string(v, '$.{p}')), '') END"
+    return f"coalesce({', '.join(map(one, payloads.PATHS[field]))})"
+
+
+@query(f"""WITH c AS (SELECT *, conv_id * 1000 + turn + 1 AS n, strftime(TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id AS INTEGER)), '%Y-%m-%dT%H:%M:%SZ') AS made FROM conversations),
+p AS (SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN CAST(json_array(json_object('id', n, 'text', text, 'created_at', made, 'user', json_object('username', role, 'name', ' '), 'lang', 'fr', 'likes', turn)) AS VARCHAR)
+  WHEN 1 THEN CAST(json_object('items', json_array(json_object('tweet', json_object('id', CAST(n AS VARCHAR), 'full_text', text, 'created_at', made, 'author', json_object('userName', '@' || role, 'id', 7)), 'favorite_count', '7', 'url', json_object('x', 1)), json_object('type', 'mock_tweet', 'id', -1), json_object('id', 0, 'text', 'x', 'created_at', made))) AS VARCHAR)
+  WHEN 2 THEN CAST(json_object('data', json_array(json_object('tweetId', n, 'body', text, 'date', made, 'handle', role, 'language', 'de', 'likes', json_object('n', 1)), json_object('tweetId', json_array(1), 'body', text, 'date', made))) AS VARCHAR)
+  WHEN 3 THEN '{{"items": [' ELSE CAST(json_object('id', n, 'content', text, 'time', CASE WHEN turn % 2 = 0 THEN made ELSE 'soon' END, 'likes', 'many') AS VARCHAR) END AS payload FROM c),
+j AS (SELECT conv_id, turn, TRY_CAST(payload AS JSON) AS j FROM p WHERE json_valid(payload)), i AS (SELECT conv_id, turn, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') {' '.join(f"WHEN json_type(j, '$.{n}') = 'ARRAY' THEN json_extract(j, '$.{n}[*]')" for n in payloads.LISTS)} ELSE [j] END) AS v FROM j),
+f AS (SELECT conv_id, turn, TRY_CAST({_at('post_id')} AS BIGINT) AS post_id, {_at('text')} AS text, TRY_CAST({_at('created_at')} AS TIMESTAMPTZ) AS created_at, ltrim({_at('handle')}, '@') AS handle, {', '.join(f'{_at(n)} AS {n}' for n in ('name', 'author_id', 'language', 'url'))}, TRY_CAST({_at('likes')} AS BIGINT) AS likes FROM i WHERE coalesce(json_extract_string(v, '$.type'), '') <> 'mock_tweet')
+SELECT conv_id, turn, post_id, sha256(text) AS text_sha256, created_at, handle, name, author_id, language, url, likes FROM f WHERE post_id > 0 AND text IS NOT NULL AND created_at IS NOT NULL""")
+def payload_posts(spark, sf):
+    """The turns of conversations as providers' payloads of five shapes, and the posts read back from them."""
+    c = table(spark, sf, "conversations").withColumns({"n": F.col("conv_id") * 1000 + F.col("turn") + 1, "at": F.date_format(F.lit("2024-01-01").cast("timestamp") + F.make_interval(hours="conv_id"), "yyyy-MM-dd'T'HH:mm:ss'Z'")})
+    post = lambda **f: F.struct(*[(v if not isinstance(v, (str, int)) else F.lit(v)).alias(k) for k, v in f.items()])
+    n, said, at, role = (F.col(x) for x in ("n", "text", "at", "role"))
+    text_of = lambda *ps: F.concat_ws(", ", *[F.to_json(p) for p in ps])
+    shapes = [
+        F.concat(F.lit("["), text_of(post(id=n, text=said, created_at=at, user=post(username=role, name=" "), lang="fr", likes=F.col("turn"))), F.lit("]")),
+        F.concat(F.lit('{"items": ['), text_of(post(tweet=post(id=n.cast("string"), full_text=said, created_at=at, author=post(userName=F.concat(F.lit("@"), role), id=7)), favorite_count="7", url=post(x=1)), post(type="mock_tweet", id=-1), post(id=0, text="x", created_at=at)), F.lit("]}")),
+        F.concat(F.lit('{"data": ['), text_of(post(tweetId=n, body=said, date=at, handle=role, language="de", likes=post(n=1)), post(tweetId=F.array(F.lit(1)), body=said, date=at)), F.lit("]}")),
+        F.lit('{"items": ['),
+        text_of(post(id=n, content=said, time=F.when(F.col("turn") % 2 == 0, at).otherwise("soon"), likes="many")),
+    ]
+    payload = F.element_at(F.array(*shapes), (F.col("conv_id") % 5 + 1).cast("int"))
+    out = payloads.posts_of(c.select("conv_id", "turn", payload.alias("payload")), ["conv_id", "turn"], "payload")
+    return out.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+
+
 @query(f"""WITH {POSTS}, d AS (SELECT symbol, CAST(published AS DATE) AS day, event_id, creator FROM posts), w AS (SELECT a.event_id, date_diff('day', a.day, b.day) AS gap FROM d a JOIN d b ON a.symbol = b.symbol AND a.event_id <> b.event_id AND abs(date_diff('day', a.day, b.day)) <= 7), c AS (SELECT event_id, count(*) FILTER (gap BETWEEN -7 AND -2) AS before_7d, count(*) FILTER (gap = -1) AS before_1d, count(*) FILTER (gap = 0) AS same_day, count(*) FILTER (gap = 1) AS after_1d, count(*) FILTER (gap BETWEEN 2 AND 7) AS after_7d FROM w GROUP BY 1)
 SELECT event_id, before_7d, before_1d, same_day, after_1d, after_7d, CASE WHEN before_7d + before_1d > same_day + after_1d + after_7d THEN 'leads_elsewhere' WHEN after_1d + after_7d > 0 THEN 'followed' ELSE 'isolated' END AS category FROM c""")
 def attention_windows(spark, sf):

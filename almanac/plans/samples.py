@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from almanac.functions import rules
 from almanac.operators import calendar as cal
 from almanac.operators import returns, select, stats
+from almanac.operators.scan import numbered
 from almanac.plans.event_study import _PANEL, panel
-from almanac.plans.inference import _normal_p
+from almanac.plans.inference import _coefficients, _effects_sql, _normal_p
 from almanac.plans.registry import EV, EVENTS, PX, RETURNS, aligned, index, query, r6, returns5
 from almanac.sources.tables import recommendations, table
 
@@ -45,7 +46,8 @@ def sample_summary(spark, sf):
     """Mean, t and interval by named sample and horizon, and how many windows are cut."""
     x = F.when(F.col("status") == "computed", F.col("bhar"))
     s = slices(panel(spark, sf)).withColumn("x", x)
-    g = s.groupBy("sample", F.col("name").alias("horizon")).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.median("x").alias("median"), F.stddev_samp("x").alias("sd"), F.avg(F.when(F.col("x") > 0, 1.0).when(F.col("x").isNotNull(), 0.0)).alias("win"), F.count_if("right_censored").alias("right_censored"))
+    g = s.groupBy("sample", F.col("name").alias("horizon")).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.avg(F.when(F.col("x") > 0, 1.0).when(F.col("x").isNotNull(), 0.0)).alias("win"), F.count_if("right_censored").alias("right_censored"))
+    g = stats.meet(g, stats.quantiles(s.withColumn("horizon", F.col("name")), ["sample", "horizon"], "x", {"median": 0.5}), ["sample", "horizon"], "left")
     se = F.try_divide(F.col("sd"), F.sqrt("n"))
     return g.select("sample", "horizon", "n", F.round("mean", 6).alias("mean"), F.round(100 * F.col("mean"), 4).alias("mean_pct"), F.round("median", 6).alias("median"), F.round("win", 6).alias("win_rate"), F.round(F.try_divide("mean", se), 3).alias("t"), F.round(100 * (F.col("mean") - 1.96 * se), 4).alias("low_pct"), F.round(100 * (F.col("mean") + 1.96 * se), 4).alias("high_pct"), "right_censored")
 
@@ -86,7 +88,8 @@ def creator_report(spark, sf):
     e = returns.align(aligned(spark, sf).drop("adj_date", "idx", "trade_date"), i).where("idx is not null").select("event_id", "creator", "ticker", "idx")
     h = returns.horizon_returns(e, i, [1, 5, 20]).groupBy("event_id", "creator", "ticker").pivot("h", [1, 5, 20]).agg(F.first("ar"))
     ar = {k: F.col(str(k)) for k in (1, 5, 20)}
-    out = h.groupBy("creator").agg(F.count("*").alias("events"), F.countDistinct("ticker").alias("tickers"), F.count(ar[5]).alias("matched"), *[F.avg(c).alias(f"mean_{k}") for k, c in ar.items()], F.median(ar[5]).alias("median_5"), F.avg(F.when(ar[5] > 0, 1.0).when(ar[5].isNotNull(), 0.0)).alias("hit_rate"), F.stddev_samp(ar[5]).alias("sd"))
+    out = h.groupBy("creator").agg(F.count("*").alias("events"), F.countDistinct("ticker").alias("tickers"), F.count(ar[5]).alias("matched"), *[F.avg(c).alias(f"mean_{k}") for k, c in ar.items()], F.avg(F.when(ar[5] > 0, 1.0).when(ar[5].isNotNull(), 0.0)).alias("hit_rate"), F.stddev_samp(ar[5]).alias("sd"))
+    out = stats.meet(out, stats.quantiles(h.withColumn("x", ar[5]), ["creator"], "x", {"median_5": 0.5}), ["creator"], "left")
     t = F.round(F.try_divide("mean_5", F.col("sd") / F.sqrt("matched")), 4)
     return out.select("creator", "events", "tickers", "matched", *r6("mean_1", "mean_5", "mean_20", "median_5", "hit_rate"), t.alias("t_5"))
 
@@ -168,8 +171,8 @@ def undercovered_first(spark, sf):
 def balanced_candidates(spark, sf):
     """Candidates by how many of their stratum, and then of their year, come before them: the emptiest is filled first."""
     ev = recommendations(spark, sf).withColumn("year", F.year("event_date"))
-    s = ev.withColumn("turn", F.row_number().over(Window.partitionBy("year", "direction", "score").orderBy(F.desc("size"), "event_id")).cast("long"))
-    s = s.withColumn("ky", F.row_number().over(Window.partitionBy("year").orderBy("turn", "direction", "score", "event_id")))
+    s = numbered(ev.select("event_id", "year", "direction", "score", "size"), [F.desc("size"), F.asc("event_id")], "turn", ["year", "direction", "score"])
+    s = numbered(s, [F.asc(c) for c in ("turn", "direction", "score", "event_id")], "ky", ["year"])
     return s.orderBy("turn", "ky", F.desc("size"), "event_id").limit(200).select("event_id", "turn")
 
 
@@ -307,10 +310,10 @@ def trade_summary(spark, sf):
 def order_statistic_winsor(spark, sf):
     """Means clipped at order statistics (no interpolation), and thirds by global edges."""
     r = returns5(spark, sf).where("ar is not null")
-    e = r.agg(F.percentile("ar", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("t"))
+    e = stats.quantiles(r, [], "ar", {"t1": 1 / 3, "t2": 2 / 3})
     edges = stats.order_statistics(r, "ar", [0.01, 0.99])
     j = r.crossJoin(F.broadcast(e)).withColumns({"lo": F.lit(edges[0]), "hi": F.lit(edges[1])})
-    a, b = F.col("t")[0], F.col("t")[1]
+    a, b = F.col("t1"), F.col("t2")
     return j.groupBy("direction").agg(F.count("*").alias("n"), F.round(F.avg(F.least(F.greatest("ar", "lo"), "hi")), 6).alias("mean"), F.count_if(F.col("ar") <= a).alias("low_third"), F.count_if((F.col("ar") > a) & (F.col("ar") <= b)).alias("middle_third"), F.count_if(F.col("ar") > b).alias("high_third"))
 
 
@@ -336,6 +339,13 @@ def momentum_regressions(spark, sf):
     return d.groupBy("spec").agg(n.alias("n"), F.when(n < 30, "insufficient_n").otherwise("computed").alias("status"), some(slope, 5).alias("coef"), some(t, 3).alias("t"), some(F.regr_r2(y, x), 5).alias("r2"))
 
 
+@query(f"""{EVENTS}, {_H}, {_effects_sql("SELECT ar21, pre21, CASE WHEN direction = 'positive' THEN 1.0 ELSE 0.0 END AS buy, CASE WHEN substr(ticker, 7) IN ('1', '2', '3', '4', '5') THEN pre21 ELSE 0 END AS top_pre21, ticker, CAST(date_trunc('month', event_date) AS DATE) AS month FROM h", ('ticker', 'month'), 'ar21', ['pre21', 'buy', 'top_pre21'])}""")
+def momentum_fixed_effects(spark, sf):
+    """Returns after on returns before, among the top class apart, and on the call, within tickers and months."""
+    d = _horizons(spark, sf).select("ticker", F.trunc("event_date", "month").alias("month"), "ar21", "pre21", (F.col("direction") == "positive").cast("double").alias("buy"), F.when(F.expr(_TOP), F.col("pre21")).otherwise(F.when(F.col("pre21").isNotNull(), 0.0)).alias("top_pre21"))
+    return _coefficients(spark, stats.fixed_effects(d, "ar21", ["pre21", "buy", "top_pre21"], ["ticker", "month"]))
+
+
 @query(f"""WITH {PX}, {EV}, s AS (SELECT ticker, date, ret, avg(ret) OVER (PARTITION BY date) AS ew FROM daily), e AS (SELECT date, avg(ret) AS portfolio FROM s GROUP BY 1), b AS (SELECT date, avg(bench) AS bench FROM pi GROUP BY 1), r AS (SELECT date, bench / lag(bench) OVER (ORDER BY date) - 1 AS bench FROM b) SELECT date, round(portfolio, 6) AS portfolio, round(bench, 6) AS benchmark, round(portfolio - bench, 6) AS active FROM e JOIN r USING (date) WHERE portfolio IS NOT NULL AND bench IS NOT NULL""")
 def portfolio_beside_benchmark(spark, sf):
     """Two daily series side by side on their dates, where both have a value."""

@@ -2,26 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from almanac.plans.registry import query
+from almanac.sources import shared
 from almanac.sources.tables import table
-from almanac.streaming import jobs
-
-
-def _folder(spark) -> str:
-    """A new folder in the shared place that the session names, or a temporary one where it names none and all run on one
-    machine."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='almanac-')}"
-    return f"{root}/streams/{uuid.uuid4().hex}"
+from almanac.streaming import jobs, state
 
 
 def _stream(spark, sf):
@@ -30,7 +16,7 @@ def _stream(spark, sf):
 
 
 def _run(spark, stream):
-    folder = _folder(spark)
+    folder = shared.folder(spark, "streams")
     jobs.run_once(stream, f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
@@ -78,7 +64,7 @@ def stream_capped(spark, sf):
 def stream_resumed(spark, sf):
     """At most 20 different rows of each user, over a folder that gets its second half, and all of the first again, after a
     first run: the second goes on from the checkpoint with the state that was kept."""
-    folder, e = _folder(spark), table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "event_id", "ts")
+    folder, e = shared.folder(spark, "streams"), table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "event_id", "ts")
     for half in (e.where("event_id % 2 = 0"), e):
         half.write.mode("append").parquet(f"{folder}/in")
         jobs.run_once(jobs.distinct_capped(jobs.source(spark, f"{folder}/in", e.schema, files=2), 20), f"{folder}/out", f"{folder}/checkpoint")
@@ -88,7 +74,7 @@ def stream_resumed(spark, sf):
 @query(f"""SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= {_DONE}""")
 def stream_late_rows(spark, sf):
     """Daily counts, to which rows that come again after their day was closed add nothing."""
-    folder, e = _folder(spark), table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder, e = shared.folder(spark, "streams"), table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     closed = e.agg((F.max("ts") - F.expr("interval 9 days")).alias("t"))
     for rows in (e, e.crossJoin(F.broadcast(closed)).where("ts < t").drop("t")):
         rows.write.mode("append").parquet(f"{folder}/in")
@@ -99,8 +85,21 @@ def stream_late_rows(spark, sf):
 @query("SELECT user_id, max(ts) AS ts, arg_max(event_id, ts) AS event_id FROM events GROUP BY 1")
 def stream_upsert(spark, sf):
     """The latest event of each user, merged batch by batch into a table; the rows come in three files, a batch each."""
-    folder, e = _folder(spark), table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "ts", "event_id")
+    folder, e = shared.folder(spark, "streams"), table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "ts", "event_id")
     for k in range(3):
         e.where(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     jobs.upsert_once(jobs.source(spark, f"{folder}/in", e.schema), folder, f"{folder}/checkpoint", ["user_id"], "ts")
     return jobs.upserted(spark, folder).select("user_id", "ts", "event_id")
+
+
+@query("""WITH e AS (SELECT DISTINCT user_id, event_id, ts FROM events), h AS (SELECT user_id, least(12, count(*)) AS had FROM e WHERE event_id % 2 = 0 GROUP BY 1), a AS (SELECT user_id, count(*) AS n FROM e GROUP BY 1) SELECT a.user_id, least(20, a.n) - coalesce(had, 0) AS n FROM a LEFT JOIN h USING (user_id) WHERE least(20, a.n) > coalesce(had, 0)""")
+def stream_restored(spark, sf):
+    """At most 20 different rows of each user, from a stream that begins with what an earlier run had let through: compact rows
+    of up to 12 of the even ids."""
+    at, e = shared.folder(spark, "streams"), table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "event_id", "ts")
+    first = e.where("event_id % 2 = 0").groupBy("user_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), 1, 12).alias("k"))
+    initial = first.select("user_id", F.transform("k", lambda x: x["event_id"]).alias("kept"), F.element_at("k", -1)["ts"].alias("ts"))
+    e.write.parquet(f"{at}/in")
+    with state.rocks(spark):
+        jobs.run_once(state.recent_capped(jobs.source(spark, f"{at}/in", e.schema, files=1000), 20, 90 * 86_400_000, initial=initial), f"{at}/out", f"{at}/checkpoint")
+    return spark.read.schema(e.schema).parquet(f"{at}/out").groupBy("user_id").agg(F.count("*").alias("n"))

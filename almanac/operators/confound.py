@@ -65,6 +65,19 @@ def three_state(found: Column, covered: Column) -> Column:
     return F.when(F.coalesce(found, F.lit(False)), "confounded").when(F.coalesce(covered, F.lit(False)), "clean").otherwise("unknown")
 
 
+def provider_states(events: DataFrame, daily: DataFrame, providers: list[str], days: int = 1, reach: int = 30, usual: float = 1.5) -> DataFrame:
+    """events with `<provider>_state`, `_near`, `_reach` and `_usual` for each count column of daily(ticker,
+    article_date, ...): an event is confounded if its days, `days` around it, hold more than `usual` times what as many days of
+    its ticker hold on average; clean if not, but the provider has something on the ticker within `reach` days; else nobody
+    knows."""
+    windows = {f"{p}_near": (p, -days, days) for p in providers} | {f"{p}_reach": (p, -reach, reach) for p in providers}
+    span = F.datediff(F.max("article_date"), F.min("article_date")) + 1
+    means = daily.groupBy("ticker").agg(*[((2 * days + 1) * F.sum(p) / span).alias(f"{p}_usual") for p in providers])
+    out = around(events, daily, windows).join(means, "ticker", "left")
+    states = {f"{p}_state": three_state(F.col(f"{p}_near") > usual * F.col(f"{p}_usual"), F.col(f"{p}_reach") > 0) for p in providers}
+    return out.withColumns(states)
+
+
 def combined(*states: Column) -> Column:
     """One state of several: any confounded, else any unknown, else clean."""
     return F.when(F.greatest(*[(s == "confounded").cast("int") for s in states]) == 1, "confounded").when(F.greatest(*[(s == "unknown").cast("int") for s in states]) == 1, "unknown").otherwise("clean")

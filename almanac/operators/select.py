@@ -133,3 +133,20 @@ def nearest(treated: DataFrame, controls: DataFrame, keys: list[str], x: str, co
         some = some & F.col(k).isNotNull()
     found = F.array_min(F.array_compact(F.array(*[F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(f"{side}.x") - F.col(x)).alias("distance"), (sign * F.col(f"{side}.c")).alias(control))) for side, sign in (("_below", -1), ("_above", 1))])))
     return out.withColumn("_found", F.when(some, found)).select(*treated.columns, F.col(f"_found.{control}").alias(control), F.col("_found.distance").alias("distance"))
+
+
+def share_cap(df: DataFrame, n: str, key: str, top: int, most: float) -> DataFrame:
+    """(cap, share): the largest whole cap on the counts n under which the `top` largest, capped, have at most the share `most`
+    of all, capped; both null if none has. Counts in order with the sum of those before them and the number of those from
+    them on give the share at every cap between two of them, which grows with the cap."""
+    largest = df.orderBy(F.desc(n), key).limit(top).agg(F.collect_list(n).alias("_top"))
+    order = [F.col(n).asc(), F.col(key).asc()]
+    c = scan(df.select(n, key), order, {"_below": Running("sum", F.col(n), inclusive=False), "_from": Running("sum", F.lit(1), after=True), "_last": Running("max", F.col(n), inclusive=False)})
+    c = c.crossJoin(F.broadcast(largest)).withColumns({"_low": F.coalesce("_last", F.lit(0)), "_below": F.coalesce("_below", F.lit(0))}).where(F.col(n) > F.col("_low"))
+    held = F.size(F.filter("_top", lambda x: x >= F.col(n)))  # of the largest, those that a cap up to n cuts
+    fixed = F.aggregate(F.filter("_top", lambda x: x < F.col(n)), F.lit(0).cast("long"), lambda a, x: a + x)
+    slack, slope = F.lit(most) * F.col("_below") - fixed, held - F.lit(most) * F.col("_from")  # cap * slope <= slack
+    cap = F.when(slope > 0, F.least(F.col(n), F.floor(slack / slope + 1e-9))).otherwise(F.when(slack >= 0, F.col(n)))
+    c = c.withColumn("cap", cap.cast("long")).where(F.col("cap") > F.col("_low"))
+    share = (held * F.col("cap") + fixed) / (F.col("_below") + F.col("_from") * F.col("cap"))
+    return c.withColumn("share", share).agg(F.max("cap").alias("cap"), F.max_by("share", "cap").alias("share"))

@@ -217,22 +217,6 @@ def source_layers(spark, sf):
     return _recommended(spark, sf).withColumn("layer", layer).select("event_id", "layer", rules.layer_confidence(F.col("layer"), F.col("confidence"), F.col("score")).alias("confidence_label"))
 
 
-_FORMS = ["8-K", "10-Q;4", "S-1", "13D", "424B;8-K", "DEF 14A", "10-K"]
-
-
-@query(f"""WITH g AS (SELECT o_orderkey AS event_id, ({_list(_FORMS)})[1 + CAST(o_orderkey % 7 AS INTEGER)] AS forms, ({_list(_FORMS)})[1 + CAST(o_orderkey // 7 % 7 AS INTEGER)] AS near, o_orderkey % 9 = 0 AS material, CASE WHEN o_orderkey % 5 = 0 THEN 'failed' ELSE 'OK' END AS status FROM orders),
-f AS (SELECT *, contains(forms, '8-K') OR near = '8-K' AS eight_k, contains(forms, '10-Q') OR contains(forms, '10-K') OR near IN ('10-Q', '10-K') AS ten_qk, contains(forms, 'S-1') OR contains(forms, '424B') OR contains(forms, 'F-1') AS offering, contains(forms, '13D') OR contains(forms, '13G') OR contains(forms, '4') AS ownership FROM g)
-SELECT event_id, eight_k, ten_qk, offering, ownership, eight_k OR offering AS confounded, concat_ws(';', CASE WHEN eight_k THEN '8k_window' END, CASE WHEN ten_qk THEN '10q_10k_window' END, CASE WHEN offering THEN 'offering_registration_window' END, CASE WHEN ownership THEN 'ownership_insider_window' END, CASE WHEN material THEN 'material_filing_flag' END, CASE WHEN status = 'failed' THEN 'sec_unknown' END) AS reasons,
-CAST(CASE WHEN event_id % 4 <= 0 AND event_id % 3 <> 0 THEN 0 WHEN event_id % 4 <= 0 THEN 1 WHEN event_id % 4 = 1 THEN 2 WHEN event_id % 2 = 0 OR event_id % 7 = 0 THEN 4 ELSE 3 END AS BIGINT) AS coverage FROM f""")
-def filing_flags(spark, sf):
-    """Flags of the forms around an event with their reasons, and the coverage score of its news sources."""
-    k = F.col("o_orderkey")
-    form = lambda n: F.element_at(F.array(*map(F.lit, _FORMS)), (1 + n % 7).cast("int"))
-    o = table(spark, sf, "orders").select(k.alias("event_id"), form(k).alias("forms"), form(F.floor(k / 7)).alias("near"), (k % 9 == 0).alias("material"), F.when(k % 5 == 0, "failed").otherwise("OK").alias("status"))
-    e = F.col("event_id")
-    return o.select("event_id", *[c.alias(n) for n, c in rules.filing_flags(F.col("forms"), F.col("near"), F.col("material"), F.col("status")).items()], rules.coverage_score(e % 3 == 0, e % 4, e % 2 == 0, e % 7 == 0).cast("long").alias("coverage"))
-
-
 def _label_sql() -> str:
     def entry(true, kind, way, sure, flag, pattern):
         around = f"substr(trim(substr(t, greatest(1, strpos(t, regexp_extract(t, {_q(pattern)})) - 90), strpos(t, regexp_extract(t, {_q(pattern)})) + length(regexp_extract(t, {_q(pattern)})) + 110 - greatest(1, strpos(t, regexp_extract(t, {_q(pattern)})) - 90))), 1, 240)" if pattern else "substr(t, 1, 240)"

@@ -9,15 +9,17 @@ from almanac.functions import rules
 from almanac.operators import calendar as cal
 from almanac.operators import returns, select, stats
 from almanac.operators.scan import numbered
+from almanac.plans.confounds import STATES, states
 from almanac.plans.event_study import _PANEL, panel
 from almanac.plans.inference import _coefficients, _effects_sql, _normal_p
 from almanac.plans.registry import EV, EVENTS, PX, RETURNS, aligned, index, query, r6, returns5
+from almanac.sources.shared import written
 from almanac.sources.tables import recommendations, table
 
 # ---------------------------------------------------------------- named samples
 
 _TOP = "substr(ticker, 7) IN ('1', '2', '3', '4', '5')"
-#: Name to a condition on an event, as both engines read it.
+#: Name to a condition on an event with its providers' states, as both engines read it.
 MASKS = {
     "all": "true",
     "top5": _TOP,
@@ -25,8 +27,8 @@ MASKS = {
     "buy": "direction = 'positive'",
     "sell": "direction = 'negative'",
     "low_lookahead": "score <= 2",
-    "sec_clean": "creator % 3 = 0",
-    "sec_confounded": "creator % 3 = 1",
+    "sec_clean": "sec_state = 'clean'",
+    "sec_confounded": "sec_state = 'confounded'",
 }
 
 
@@ -40,23 +42,24 @@ def _slices_sql(masks=None) -> str:
     return "unnest(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in (masks or MASKS).items()) + "], lambda x: x IS NOT NULL))"
 
 
-@query(f"""{_PANEL}, s AS (SELECT {_slices_sql()} AS sample, name, status, right_censored, bhar FROM p), gs AS (SELECT sample, name AS horizon, count(bhar) FILTER (status = 'computed') AS n, avg(bhar) FILTER (status = 'computed') AS mean, median(bhar) FILTER (status = 'computed') AS median, stddev_samp(bhar) FILTER (status = 'computed') AS sd, avg(CASE WHEN bhar > 0 THEN 1.0 WHEN bhar IS NOT NULL THEN 0.0 END) FILTER (status = 'computed') AS win, count(*) FILTER (right_censored) AS right_censored FROM s GROUP BY 1, 2)
+@query(f"""{_PANEL}, {STATES}, s AS (SELECT {_slices_sql()} AS sample, name, status, right_censored, bhar FROM p JOIN st ON p.event_id = st.event_id), gs AS (SELECT sample, name AS horizon, count(bhar) FILTER (status = 'computed') AS n, avg(bhar) FILTER (status = 'computed') AS mean, median(bhar) FILTER (status = 'computed') AS median, stddev_samp(bhar) FILTER (status = 'computed') AS sd, avg(CASE WHEN bhar > 0 THEN 1.0 WHEN bhar IS NOT NULL THEN 0.0 END) FILTER (status = 'computed') AS win, count(*) FILTER (right_censored) AS right_censored FROM s GROUP BY 1, 2)
 SELECT sample, horizon, n, round(mean, 6) AS mean, round(100 * mean, 4) AS mean_pct, round(median, 6) AS median, round(CAST(win AS DOUBLE), 6) AS win_rate, round(mean / (sd / sqrt(n)), 3) AS t, round(100 * (mean - 1.96 * sd / sqrt(n)), 4) AS low_pct, round(100 * (mean + 1.96 * sd / sqrt(n)), 4) AS high_pct, right_censored FROM gs""")
 def sample_summary(spark, sf):
     """Mean, t and interval by named sample and horizon, and how many windows are cut."""
     x = F.when(F.col("status") == "computed", F.col("bhar"))
-    s = slices(panel(spark, sf)).withColumn("x", x)
+    s = slices(panel(spark, sf).join(states(spark, sf).select("event_id", "sec_state"), "event_id")).withColumn("x", x)
+    s = written(s.select("sample", "name", "x", "right_censored"), "samples")  # gone over several times
     g = s.groupBy("sample", F.col("name").alias("horizon")).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.avg(F.when(F.col("x") > 0, 1.0).when(F.col("x").isNotNull(), 0.0)).alias("win"), F.count_if("right_censored").alias("right_censored"))
     g = stats.meet(g, stats.quantiles(s.withColumn("horizon", F.col("name")), ["sample", "horizon"], "x", {"median": 0.5}), ["sample", "horizon"], "left")
     se = F.try_divide(F.col("sd"), F.sqrt("n"))
     return g.select("sample", "horizon", "n", F.round("mean", 6).alias("mean"), F.round(100 * F.col("mean"), 4).alias("mean_pct"), F.round("median", 6).alias("median"), F.round("win", 6).alias("win_rate"), F.round(F.try_divide("mean", se), 3).alias("t"), F.round(100 * (F.col("mean") - 1.96 * se), 4).alias("low_pct"), F.round(100 * (F.col("mean") + 1.96 * se), 4).alias("high_pct"), "right_censored")
 
 
-@query(f"""WITH {EV}, s AS (SELECT {_slices_sql()} AS sample, * FROM ev), c AS (SELECT sample, creator, count(*) AS k FROM s GROUP BY 1, 2), t AS (SELECT sample, ticker, count(*) AS k FROM s GROUP BY 1, 2)
+@query(f"""WITH {EV}, {STATES}, s AS (SELECT {_slices_sql()} AS sample, ev.* FROM ev JOIN st ON ev.event_id = st.event_id), c AS (SELECT sample, creator, count(*) AS k FROM s GROUP BY 1, 2), t AS (SELECT sample, ticker, count(*) AS k FROM s GROUP BY 1, 2)
 SELECT s.sample, count(*) AS events, count(DISTINCT creator) AS creators, count(DISTINCT ticker) AS tickers, min(event_date) AS first, max(event_date) AS last, round((SELECT max(k) FROM c WHERE c.sample = s.sample) / CAST(count(*) AS DOUBLE), 4) AS top_creator_share, round((SELECT max(k) FROM t WHERE t.sample = s.sample) / CAST(count(*) AS DOUBLE), 4) AS top_ticker_share FROM s GROUP BY s.sample""")
 def sample_design(spark, sf):
     """Size, spread and concentration of each named sample, from counts by creator and ticker."""
-    g = slices(recommendations(spark, sf)).groupBy("sample", "creator", "ticker").agg(F.count("*").alias("n"), F.min("event_date").alias("a"), F.max("event_date").alias("b"))
+    g = slices(states(spark, sf)).groupBy("sample", "creator", "ticker").agg(F.count("*").alias("n"), F.min("event_date").alias("a"), F.max("event_date").alias("b"))
     largest = lambda key, name: g.groupBy("sample", key).agg(F.sum("n").alias("k")).groupBy("sample").agg(F.max("k").alias(name))
     out = g.groupBy("sample").agg(F.sum("n").alias("events"), F.countDistinct("creator").alias("creators"), F.countDistinct("ticker").alias("tickers"), F.min("a").alias("first"), F.max("b").alias("last"))
     share = lambda c: F.round(F.col(c) / F.col("events"), 4)
@@ -103,14 +106,11 @@ def pivot_first_last(spark, sf):
     return p.join(first, "l_orderkey").select("l_orderkey", "first_ship", F.col("R_last").alias("last_r"), F.col("N_last").alias("last_n"), F.col("R_first").alias("first_r"), F.col("N_first").alias("first_n"))
 
 
-@query(f"""WITH {EV}, g AS (SELECT creator, count(*) AS capacity FROM ev WHERE event_id % 3 <> creator % 3 GROUP BY 1), x AS (SELECT cap, least(capacity, cap) AS k, row_number() OVER (PARTITION BY cap ORDER BY least(capacity, cap) DESC, creator) AS r FROM g CROSS JOIN (SELECT unnest(range(1, 601)) AS cap)), s AS (SELECT cap, sum(k) FILTER (r <= 5) / CAST(sum(k) AS DOUBLE) AS share FROM x GROUP BY 1) SELECT max(cap) AS cap, round(arg_max(share, cap), 6) AS share FROM s WHERE share <= 0.1491""")
+@query(f"""WITH {EV}, g AS (SELECT creator, count(*) AS capacity FROM ev GROUP BY 1), x AS (SELECT cap, least(capacity, cap) AS k, row_number() OVER (PARTITION BY cap ORDER BY least(capacity, cap) DESC, creator) AS r FROM g CROSS JOIN (SELECT unnest(range(1, (SELECT max(capacity) FROM g) + 1)) AS cap)), s AS (SELECT cap, sum(k) FILTER (r <= 5) / CAST(sum(k) AS DOUBLE) AS share FROM x GROUP BY 1) SELECT max(cap) AS cap, round(arg_max(share, cap), 6) AS share FROM s WHERE share <= 0.1491""")
 def top_share_cap(spark, sf):
     """The largest cap per creator under which the five largest have so little of all."""
-    g = recommendations(spark, sf).where("event_id % 3 <> creator % 3").groupBy("creator").agg(F.count("*").alias("capacity"))
-    x = g.withColumn("cap", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(600).cast("long")))).withColumn("k", F.least("capacity", "cap"))
-    x = x.withColumn("r", F.row_number().over(Window.partitionBy("cap").orderBy(F.desc("k"), "creator")))
-    s = x.groupBy("cap").agg((F.sum(F.when(F.col("r") <= 5, F.col("k"))) / F.sum("k")).alias("share")).where("share <= 0.1491")
-    return s.agg(F.max("cap").alias("cap"), F.round(F.max_by("share", "cap"), 6).alias("share"))
+    g = recommendations(spark, sf).groupBy("creator").agg(F.count("*").alias("n"))
+    return select.share_cap(g, "n", "creator", 5, 0.1491).select("cap", F.round("share", 6).alias("share"))
 
 
 # ---------------------------------------------------------------- batches
@@ -218,18 +218,19 @@ def pump_fade(spark, sf):
     return g.select("ticker", *r6("early", "later", "late"), F.coalesce((F.col("early") > 0) & (below("later") | below("late")), F.lit(False)).alias("fades"))
 
 
-@query(f"""{EVENTS}, {_H}, g AS (SELECT creator, count(*) AS n, avg(CASE WHEN substr(ticker, 7) IN ('1', '2', '3', '4', '5') THEN 1.0 ELSE 0.0 END) AS top, avg(ar21) AS b21, avg(ar63) AS b63, avg(pre21) AS p21 FROM h WHERE creator % 3 <> 0 OR score = 1 GROUP BY 1), z AS (SELECT *, coalesce(b21, 0) * 4 AS x, coalesce(b63, 0) * 4 AS y, coalesce(p21, 0) * 4 AS w FROM g)
-SELECT creator, n, CASE WHEN n < 5 THEN 'insufficient_sample' WHEN y < -0.03 AND 1 - top > 0.4 THEN 'antiskilled_like' WHEN x > 0.02 AND top > 0.6 AND w > 0.02 THEN 'momentum_rider' WHEN x > 0.02 AND top < 0.5 AND creator % 2 = 0 THEN 'skilled_like' WHEN abs(x) < 0.01 THEN 'noisy_neutral' WHEN x > 0 THEN 'momentum_rider' ELSE 'noisy_neutral' END AS kind FROM z""")
+@query(f"""{EVENTS}, {STATES}, {_H}, g AS (SELECT creator, count(*) AS n, avg(CASE WHEN substr(ticker, 7) IN ('1', '2', '3', '4', '5') THEN 1.0 ELSE 0.0 END) AS top, avg(ar21) AS b21, avg(ar63) AS b63, avg(pre21) AS p21, avg(CASE WHEN sec_state = 'clean' THEN 1.0 ELSE 0.0 END) AS clean FROM h JOIN st ON h.event_id = st.event_id GROUP BY 1), z AS (SELECT *, coalesce(b21, 0) AS x, coalesce(b63, 0) AS y, coalesce(p21, 0) AS w FROM g)
+SELECT creator, n, round(CAST(clean AS DOUBLE), 6) AS clean_share, CASE WHEN n < 5 THEN 'insufficient_sample' WHEN y < -0.03 AND 1 - top > 0.4 THEN 'antiskilled_like' WHEN x > 0.02 AND top > 0.6 AND w > 0.02 THEN 'momentum_rider' WHEN x > 0.02 AND top < 0.5 AND clean > 0.05 THEN 'skilled_like' WHEN abs(x) < 0.01 THEN 'noisy_neutral' WHEN x > 0 THEN 'momentum_rider' ELSE 'noisy_neutral' END AS kind FROM z""")
 def skill_taxonomy(spark, sf):
-    """Creators by what follows their events."""
+    """Creators by what follows all their events."""
     top = F.avg(F.when(F.expr(_TOP), 1.0).otherwise(0.0))
-    g = _horizons(spark, sf).where("creator % 3 <> 0 or score = 1").groupBy("creator").agg(F.count("*").alias("n"), top.alias("top"), *[F.avg(c).alias(c) for c in ("ar21", "ar63", "pre21")])
-    kind = rules.skill(F.col("n"), F.col("top"), 4 * F.col("ar21"), 4 * F.col("ar63"), 4 * F.col("pre21"), F.when(F.col("creator") % 2 == 0, 1.0).otherwise(0.0))
-    return g.select("creator", "n", kind.alias("kind"))
+    h = _horizons(spark, sf).join(states(spark, sf).select("event_id", "sec_state"), "event_id")
+    g = h.groupBy("creator").agg(F.count("*").alias("n"), top.alias("top"), F.avg((F.col("sec_state") == "clean").cast("double")).alias("clean"), *[F.avg(c).alias(c) for c in ("ar21", "ar63", "pre21")])
+    kind = rules.skill(*(F.col(c) for c in ("n", "top", "ar21", "ar63", "pre21", "clean")))
+    return g.select("creator", "n", F.round("clean", 6).alias("clean_share"), kind.alias("kind"))
 
 
-@query(f"""{EVENTS}, {_H}, v AS (SELECT ticker, idx, stddev_samp(ret) OVER (PARTITION BY ticker ORDER BY idx ROWS 20 PRECEDING) AS vol FROM daily), j AS (SELECT h.*, abs(pre21) AS a21, coalesce(vol, 0) AS vol FROM h JOIN v USING (ticker, idx)), z AS (SELECT event_id, creator, (a21 - avg(a21) OVER ()) / stddev_samp(a21) OVER () AS za, (vol - avg(vol) OVER ()) / stddev_samp(vol) OVER () AS zv FROM j)
-SELECT event_id, coalesce(abs(za) <= 1 AND abs(zv) <= 1, false) AS quiet, coalesce(abs(za) > 1.5, false) OR coalesce(abs(zv) > 1.5, false) AS active, creator % 4 = 0 AND coalesce(abs(za) <= 1 AND abs(zv) <= 1, false) AS unknown_quiet FROM z""")
+@query(f"""{EVENTS}, {STATES}, {_H}, v AS (SELECT ticker, idx, stddev_samp(ret) OVER (PARTITION BY ticker ORDER BY idx ROWS 20 PRECEDING) AS vol FROM daily), j AS (SELECT h.*, abs(pre21) AS a21, coalesce(vol, 0) AS vol FROM h JOIN v USING (ticker, idx)), z AS (SELECT event_id, creator, (a21 - avg(a21) OVER ()) / stddev_samp(a21) OVER () AS za, (vol - avg(vol) OVER ()) / stddev_samp(vol) OVER () AS zv FROM j)
+SELECT event_id, coalesce(abs(za) <= 1 AND abs(zv) <= 1, false) AS quiet, coalesce(abs(za) > 1.5, false) OR coalesce(abs(zv) > 1.5, false) AS active, coalesce(abs(za) <= 1 AND abs(zv) <= 1, false) AND 'unknown' IN (av_state, gd_state) AS unknown_quiet FROM z JOIN st USING (event_id)""")
 def confound_screen(spark, sf):
     """Events at which the market was quiet or active, by global z-scores of the move and the volatility before."""
     daily = returns.with_daily(index(spark, sf))
@@ -239,45 +240,47 @@ def confound_screen(spark, sf):
     z = j.crossJoin(F.broadcast(m)).select("event_id", "creator", F.abs((F.col("a21") - F.col("m_a21")) / F.col("s_a21")).alias("za"), F.abs((F.col("vol") - F.col("m_vol")) / F.col("s_vol")).alias("zv"))
     no = F.lit(False)
     quiet = F.coalesce((F.col("za") <= 1) & (F.col("zv") <= 1), no)
-    return z.select("event_id", quiet.alias("quiet"), (F.coalesce(F.col("za") > 1.5, no) | F.coalesce(F.col("zv") > 1.5, no)).alias("active"), ((F.col("creator") % 4 == 0) & quiet).alias("unknown_quiet"))
+    z = z.join(states(spark, sf).select("event_id", ((F.col("av_state") == "unknown") | (F.col("gd_state") == "unknown")).alias("unknown")), "event_id")
+    return z.select("event_id", quiet.alias("quiet"), (F.coalesce(F.col("za") > 1.5, no) | F.coalesce(F.col("zv") > 1.5, no)).alias("active"), (F.col("unknown") & quiet).alias("unknown_quiet"))
 
 
-_SOURCES = "s AS (SELECT event_id, creator, ticker, score, event_id % 4 = 0 AS av_clean, event_id % 7 = 0 AS av_conf, event_id % 3 = 0 AS gd_clean, event_id % 11 = 0 AS gd_conf, event_id % 5 <> 0 AS sec_clean, event_id % 13 = 0 AS sec_conf FROM ev)"
+_MASTER = f"""{STATES}, p AS (SELECT *, av_state <> 'unknown' OR gd_state <> 'unknown' AS seen, 'confounded' IN (av_state, gd_state) AS pc, av_state = 'unknown' AND gd_state = 'unknown' AS neither, sec_state = 'unknown' AS su FROM st), q AS (SELECT *, seen AND NOT pc AS clean, NOT seen OR neither AS unknown, pc OR sec_state = 'confounded' AS mc FROM p), m AS (SELECT *, clean AND sec_state = 'clean' AND NOT mc AS mok FROM q)"""
 
 
-@query(f"""WITH {EV}, {_SOURCES}, p AS (SELECT *, av_clean OR av_conf OR gd_clean OR gd_conf AS seen, av_conf OR gd_conf AS pc, NOT av_clean AND NOT av_conf AS au, NOT gd_clean AND NOT gd_conf AS gu, NOT sec_clean AND NOT sec_conf AS su FROM s), q AS (SELECT *, seen AND NOT pc AS clean, NOT seen OR (au AND gu) AS unknown, pc OR sec_conf AS mc FROM p), m AS (SELECT *, clean AND sec_clean AND NOT mc AS mok FROM q)
-SELECT event_id, clean AS public_clean, pc AS public_confounded, unknown AS public_unknown, su AS sec_unknown, mok AS master_clean, mc AS master_confounded, (NOT mok AND NOT mc) OR unknown OR su AS master_unknown,
+@query(f"""WITH {EV}, {_MASTER} SELECT event_id, clean AS public_clean, pc AS public_confounded, unknown AS public_unknown, su AS sec_unknown, mok AS master_clean, mc AS master_confounded, (NOT mok AND NOT mc) OR unknown OR su AS master_unknown,
 CASE WHEN mok THEN 'master_clean' WHEN mc THEN 'master_confounded' ELSE 'master_unknown_not_clean' END AS reason,
-CASE WHEN sec_conf THEN 'official_confounded' WHEN gd_conf THEN 'media_confounded' WHEN av_conf THEN 'news_flow_high' WHEN score = 1 THEN 'market_attention_high' WHEN creator % 5 = 0 THEN 'institutionally_followed' WHEN creator % 5 = 1 THEN 'unresolved_unknown' WHEN mok THEN 'candidate_clean_extreme' ELSE 'unresolved_unknown' END AS audit FROM m""")
+CASE WHEN sec_state = 'confounded' THEN 'official_confounded' WHEN gd_state = 'confounded' THEN 'media_confounded' WHEN av_state = 'confounded' THEN 'news_flow_high' WHEN score = 1 THEN 'market_attention_high' WHEN av_reach + gd_reach > 45 * us.av THEN 'institutionally_followed' WHEN mok THEN 'candidate_clean_extreme' ELSE 'unresolved_unknown' END AS audit FROM m JOIN ev USING (event_id) LEFT JOIN us ON ev.ticker = us.ticker""")
 def confound_panel(spark, sf):
-    """Three states of two news sources and the filings, joined into one; and the audit label, by precedence."""
-    s = _sources(spark, sf)
+    """Three states of two news sources and the filings, joined into one; and the audit label, by precedence, in which a ticker
+    that both sources write about more than the first's usual rate in two months is followed."""
     c = F.col
-    p = s.withColumns({"seen": c("av_clean") | c("av_conf") | c("gd_clean") | c("gd_conf"), "public_confounded": c("av_conf") | c("gd_conf"), "neither": ~c("av_clean") & ~c("av_conf") & ~c("gd_clean") & ~c("gd_conf"), "sec_unknown": ~c("sec_clean") & ~c("sec_conf")})
-    p = p.withColumns({"public_clean": c("seen") & ~c("public_confounded"), "public_unknown": ~c("seen") | c("neither"), "master_confounded": c("public_confounded") | c("sec_conf")})
-    p = p.withColumn("master_clean", c("public_clean") & c("sec_clean") & ~c("master_confounded"))
+    p = _master(spark, sf)
     unknown = (~c("master_clean") & ~c("master_confounded")) | c("public_unknown") | c("sec_unknown")
     reason = rules.first((c("master_clean"), "master_clean"), (c("master_confounded"), "master_confounded"), otherwise="master_unknown_not_clean")
-    audit = rules.first((c("sec_conf"), "official_confounded"), (c("gd_conf"), "media_confounded"), (c("av_conf"), "news_flow_high"), (c("score") == 1, "market_attention_high"), (c("creator") % 5 == 0, "institutionally_followed"), (c("creator") % 5 == 1, "unresolved_unknown"), (c("master_clean"), "candidate_clean_extreme"), otherwise="unresolved_unknown")
+    is_bad = lambda s: c(f"{s}_state") == "confounded"
+    audit = rules.first((is_bad("sec"), "official_confounded"), (is_bad("gd"), "media_confounded"), (is_bad("av"), "news_flow_high"), (c("score") == 1, "market_attention_high"), (c("av_reach") + c("gd_reach") > 45 * c("av_usual"), "institutionally_followed"), (c("master_clean"), "candidate_clean_extreme"), otherwise="unresolved_unknown")
     return p.select("event_id", "public_clean", "public_confounded", "public_unknown", "sec_unknown", "master_clean", "master_confounded", unknown.alias("master_unknown"), reason.alias("reason"), audit.alias("audit"))
 
 
-def _sources(spark, sf):
-    k = F.col("event_id")
-    flags = {"av_clean": k % 4 == 0, "av_conf": k % 7 == 0, "gd_clean": k % 3 == 0, "gd_conf": k % 11 == 0, "sec_clean": k % 5 != 0, "sec_conf": k % 13 == 0}
-    return recommendations(spark, sf).select("event_id", "creator", "ticker", "score", *[c.alias(n) for n, c in flags.items()])
+def _master(spark, sf):
+    """Events with the providers' states joined: public, official and all."""
+    c = F.col
+    is_state = lambda p, s: c(f"{p}_state") == s
+    both_unknown = is_state("av", "unknown") & is_state("gd", "unknown")
+    p = states(spark, sf).withColumns({"public_confounded": is_state("av", "confounded") | is_state("gd", "confounded"), "public_unknown": both_unknown, "sec_unknown": is_state("sec", "unknown")})
+    p = p.withColumns({"public_clean": ~c("public_unknown") & ~c("public_confounded"), "master_confounded": c("public_confounded") | is_state("sec", "confounded")})
+    return p.withColumn("master_clean", c("public_clean") & is_state("sec", "clean") & ~c("master_confounded"))
 
 
-_STATUS = "CASE WHEN event_id % 13 = 0 OR event_id % 7 = 0 THEN 'confounded' WHEN event_id % 4 = 0 THEN 'clean' ELSE 'unknown' END"
+_STATUS = "CASE WHEN mc THEN 'confounded' WHEN mok THEN 'clean' ELSE 'unknown' END"
 _BOUNDS = {"clean_only": "status = 'clean'", "clean_or_unknown": "status <> 'confounded'", "all": "true", "confounded": "status = 'confounded'"}
 
 
-@query(f"""{EVENTS}, {_H}, x AS (SELECT *, {_STATUS} AS status FROM h), s AS (SELECT {_slices_sql(_BOUNDS)} AS sample, * FROM x) SELECT sample, substr(ticker, 7) IN ('1', '2', '3', '4', '5') AS top, count(ar5) AS n, round(avg(ar5), 6) AS mean_5, round(avg(ar21), 6) AS mean_21, round(avg(ar5) / (stddev_samp(ar5) / sqrt(count(ar5))), 4) AS t_5 FROM s GROUP BY 1, 2""")
+@query(f"""{EVENTS}, {_MASTER}, {_H}, x AS (SELECT h.*, {_STATUS} AS status FROM h JOIN m ON h.event_id = m.event_id), s AS (SELECT {_slices_sql(_BOUNDS)} AS sample, * FROM x) SELECT sample, substr(ticker, 7) IN ('1', '2', '3', '4', '5') AS top, count(ar5) AS n, round(avg(ar5), 6) AS mean_5, round(avg(ar21), 6) AS mean_21, round(avg(ar5) / (stddev_samp(ar5) / sqrt(count(ar5))), 4) AS t_5 FROM s GROUP BY 1, 2""")
 def sensitivity_bounds(spark, sf):
     """Returns if unknown coverage is taken as clean, as confounded, or left out, by class."""
-    k = F.col("event_id")
-    status = F.when((k % 13 == 0) | (k % 7 == 0), "confounded").when(k % 4 == 0, "clean").otherwise("unknown")
-    s = slices(_horizons(spark, sf).withColumn("status", status), _BOUNDS)
+    status = F.when(F.col("master_confounded"), "confounded").when(F.col("master_clean"), "clean").otherwise("unknown")
+    s = slices(_horizons(spark, sf).join(_master(spark, sf).select("event_id", status.alias("status")), "event_id"), _BOUNDS)
     g = s.groupBy("sample", F.expr(_TOP).alias("top")).agg(F.count("ar5").alias("n"), F.avg("ar5").alias("a"), F.avg("ar21").alias("b"), F.stddev_samp("ar5").alias("sd"))
     return g.select("sample", "top", "n", F.round("a", 6).alias("mean_5"), F.round("b", 6).alias("mean_21"), F.round(F.try_divide("a", F.col("sd") / F.sqrt("n")), 4).alias("t_5"))
 

@@ -36,6 +36,10 @@ class RecentEvents(StatefulProcessor):
             self.kept.appendList([(i,) for i in ids])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.until.exists() and self.until.get()[0] <= timerValues.getCurrentWatermarkInMs():  # its timer is due
+            self.handle.deleteTimer(self.until.get()[0])
+            self.kept.clear()
+            self.until.clear()
         kept = [r[0] for r in self.kept.get()] if self.kept.exists() else []
         for part in rows:
             part = part.sort_values(["ts", "event_id"]).drop_duplicates("event_id")

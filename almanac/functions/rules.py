@@ -322,47 +322,83 @@ def filing_flags(forms: Column, nearest: Column, material: Column, status: Colum
     return out
 
 
-#: The labeller's ordered signals: pattern, type, direction, flag, base confidence.
+#: The labeller's ordered signals: words, type, direction, conviction, flag, base confidence; what tells that
+#: another acted, that it is news, about the economy or the past; tickers that are words, and how words are used.
+_NOW = r"(i am|i'm|im|we are|we're|i would|we would|i will|we will|i'm going to|i am going to|i'm gonna|we're going to)"
 SIGNALS = [
-    (r"\b(i am|i'm|im|we are|we're|i would|we would|i will|we will) (start )?(buy|buying|add|adding|accumulate|accumulating)\b", "buy", "positive", "first_person_buy", 0.93),
-    (r"\b(i|we) (bought|added)\b", "buy", "positive", "creator_bought", 0.9),
-    (r"\b(i|we) (sold|trimmed)\b", "sell", "negative", "creator_sold", 0.9),
-    (r"\b(i|we) own\b", "portfolio_update", "positive", "creator_owns_position", 0.82),
-    (r"\bprice target\b", "price_target", "neutral", "price_target_language", 0.8),
-    (r"\bavoid\b", "avoid", "negative", "avoid_language", 0.82),
+    (rf"\b{_NOW}\s+(start\s+)?(buy|buying|add|adding|accumulate|accumulating)\b", "buy", "positive", "high", "first_person_buy", 0.93),
+    (r"\b(i bought|we bought|i just bought|i've bought|we've bought)\b", "buy", "positive", "medium", "creator_bought", 0.91),
+    (r"\b(i own|we own|i still own|we still own|my position|our position)\b", "portfolio_update", "positive", "medium", "creator_owns_position", 0.88),
+    (r"\b(i recommend|we recommend|my top stock|our top stock|best stocks? to buy|top stocks? to buy|you may want to buy|worth buying)\b", "buy", "positive", "high", "direct_recommendation_language", 0.90),
+    (r"\b(i am|i'm|im|we are|we're|i would|we would|i will|we will)\s+(sell|selling|trim|trimming|reduce|reducing)\b|\b(i sold|we sold|i trimmed|we trimmed)\b", "sell", "negative", "medium", "creator_sell_action", 0.92),
+    (r"\b(i am|i'm|im|we are|we're|i would|we would)\s+(short|shorting)\b|\b(short this|would short)\b", "short", "negative", "medium", "creator_short_action", 0.92),
+    (r"\b(avoid|stay away from|do not buy|don't buy)\b", "avoid", "negative", "medium", "avoid_language", 0.86),
+    (r"\b(price target|my target|our target|target price)\b", "price_target", "neutral", "medium", "price_target_language", 0.84),
+    (r"\b(undervalued|cheap at these levels|trading below intrinsic value)\b", "buy", "positive", "medium", "valuation_positive", 0.82),
+    (r"\b(overvalued|too expensive|trading above intrinsic value)\b", "avoid", "negative", "medium", "valuation_negative", 0.82),
+    (r"\b(i am|i'm|im|we are|we're|i would|we would)\s+(hold|holding)\b", "hold", "neutral", "medium", "creator_hold_action", 0.86),
+]
+THIRD_PARTY_PATTERN = r"(?s)\b(analysts?|wall street|warren buffett|berkshire|cathie wood|ark invest|the fed|federal reserve|vanguard|blackrock|state street|congress|senator|nancy pelosi|insiders?|shareholders?|investors?|hedge funds?|nvidia|microsoft|apple|google|alphabet|amazon|meta|tesla)\b.{0,80}\b(bought|buying|sold|selling|trimmed|added|loading up|recommend|upgraded|downgraded|raised|lowered|invested|stake|holding|holdings)\b"
+NEWS_PATTERN = r"\b(reported|announced|earnings|revenue|guidance|lawsuit|investigation|merger|acquisition|partnership|clearance|approval|customer|supplier|competitor|comparable|compared to|reacts? to|in the news)\b"
+MACRO_PATTERN = r"\b(inflation|interest rates?|rate cuts?|rate hikes?|recession|tariffs?|the economy|macro|s&p 500|index funds?|etfs?|benchmark|yield curve|dividend investors?|passive investors?)\b"
+HISTORICAL_PATTERN = r"\b(used to|last year|last quarter|previously|historically|back in|in 20[0-9]{2}|was buying|were buying|was selling|were selling|shares are held|held by|largest shareholders?)\b"
+AMBIGUOUS_TICKERS = ["ALL", "ARE", "BE", "BIG", "BY", "CAN", "CASH", "FOR", "GOOD", "LIFE", "LOVE", "LOW", "NOW", "ON", "OPEN", "OUT", "REAL", "SO", "TRUE", "UP", "VERY", "WELL", "YOU"]
+ORDINARY_PATTERN = r"\b(you should|you know|you can|if you|when you|what you|how you|why you|that you|and you|for you|with you|to you|of you|do you|thank you|are you|did you|on the other hand|all of|right now|so that)\b"
+STOCK_PHRASES = ["${w}", "{w} stock", "{w} shares", "{w} earnings", "buy {w}", "sell {w}", "short {w}", "long {w}"]
+#: What is no recommendation: pattern, type, direction, confidence, evidence, flag.
+OTHERWISE = [
+    (THIRD_PARTY_PATTERN, "false_positive", "unclear", 0.89, "strong", "third_party_attribution"),
+    (NEWS_PATTERN, "news_reaction", "neutral", 0.79, "medium", "news_only_or_business_context"),
+    (MACRO_PATTERN, "macro_commentary", "neutral", 0.78, "medium", "macro_commentary"),
+    (HISTORICAL_PATTERN, "false_positive", "unclear", 0.76, "medium", "historical_or_retrospective"),
 ]
-THIRD_PARTY_PATTERN = r"\b(analysts?|wall street|the fed|insiders?|investors?|hedge funds?)\b.{0,80}\b(bought|buying|sold|selling|recommend|upgraded|downgraded|raised|lowered|expect)\b"
-NEWS_PATTERN = r"\b(reported|announced|earnings|revenue|guidance|lawsuit|investigation|merger|acquisition|partnership)\b"
-MACRO_PATTERN = r"\b(inflation|interest rates?|rate cuts?|recession|tariffs?|the economy|macro|index funds?|etfs?|benchmark)\b"
-HISTORICAL_PATTERN = r"\b(used to|last year|last quarter|previously|historically|back in|in 20\d{2}|was buying|were buying)\b"
 
 
-def labelled(df: DataFrame, named: Column) -> DataFrame:
-    """df, prepared, with a struct `d`: is_true, type, direction, confidence, flag, and a quote around what decided. A
-    signal of another's, of the past, or of no named target is less sure."""
-    t = F.col("t")
-    third, past = t.rlike(THIRD_PARTY_PATTERN), t.rlike(HISTORICAL_PATTERN)
+def labelled(df: DataFrame, symbol: Column, detected: Column | None = None, company: Column | None = None, ambiguous: list[str] = AMBIGUOUS_TICKERS, sure_enough: float = 0.75) -> DataFrame:
+    """df, prepared, with a struct `d`: is_true, type, direction, conviction, evidence, confidence, needs_review, flag, flags and
+    a quote around what decided.
 
-    def entry(true: str, kind: str, way: str, sure: Column, flag: str, pattern: str | None) -> Column:
-        return F.struct(F.lit(true).alias("is_true"), F.lit(kind).alias("type"), F.lit(way).alias("direction"), F.round(sure, 3).alias("confidence"), F.lit(flag).alias("flag"), quote(t, pattern).alias("quote"))
-
-    rest = F.when(named & (F.length("t") >= 25), entry("unclear", "unclear", "unclear", F.lit(0.4), "no_clear_rule_match", None)).otherwise(entry("unclear", "unclear", "unclear", F.lit(0.4), "insufficient_target_context", None))
-    for pattern, true, kind, way, sure, flag in reversed([
-        (THIRD_PARTY_PATTERN, "no", "false_positive", "unclear", 0.89, "third_party_attribution"),
-        (NEWS_PATTERN, "no", "news_reaction", "neutral", 0.79, "news_only_or_business_context"),
-        (MACRO_PATTERN, "no", "macro_commentary", "neutral", 0.78, "macro_commentary"),
-        (HISTORICAL_PATTERN, "no", "false_positive", "unclear", 0.76, "historical_or_retrospective"),
-    ]):
-        rest = F.when(t.rlike(pattern), entry(true, kind, way, F.lit(sure), flag, pattern)).otherwise(rest)
-    for pattern, kind, way, flag, base in reversed(SIGNALS):
-        sure = F.lit(base) - F.when(named, 0.0).otherwise(0.18)
-        if not flag.startswith(("first_person", "creator_")):
-            sure = sure - F.when(third, 0.25).otherwise(0.0)
+    Too short a text decides nothing. A ticker that is a word, used as one and never as a stock, is none. The first signal in
+    order decides; of another's, of the past, or without the ticker or the company's name in the text it is less sure, 0.6 at
+    least. A price target takes the direction that was detected, if any. Then come what others did, news, the economy and the
+    past, which are no recommendations."""
+    t, w = F.col("t"), F.lower(symbol)
+    third, past = t.rlike(THIRD_PARTY_PATTERN), t.rlike(HISTORICAL_PATTERN)
+    named = F.coalesce(F.array_contains("tk", w), F.lit(False))
+    if company is not None:
+        head = F.trim(F.split_part(F.split_part(F.lower(company), F.lit(","), F.lit(1)), F.lit(" inc"), F.lit(1)))
+        named = named | F.coalesce((F.length(head) >= 4) & F.contains(t, head), F.lit(False))
+    named = named | (symbol.isNull() & (company.isNull() if company is not None else F.lit(True)))
+    unnamed = F.when(~named, F.lit("target_not_explicit_in_context"))
+
+    def entry(true: str, kind: str, way: Column | str, conviction: str, evidence: str, sure: Column, flags: list[Column], pattern: str | None) -> Column:
+        sure = F.round(sure, 3)
+        way = F.lit(way) if isinstance(way, str) else way
+        review = F.lit(True) if true == "unclear" else sure < sure_enough
+        flags = F.array_compact(F.array(*flags))
+        return F.struct(F.lit(true).alias("is_true"), F.lit(kind).alias("type"), way.alias("direction"), F.lit(conviction).alias("conviction"), F.lit(evidence).alias("evidence"), sure.alias("confidence"), review.alias("needs_review"), F.array_join(flags, ";").alias("flags"), quote(t, pattern).alias("quote"))
+
+    unclear = lambda flag: entry("unclear", "unclear", "unclear", "unclear", "weak", F.lit(0.35), [unnamed, F.lit(flag)] if flag != "insufficient_context" else [F.lit(flag)], None)
+    rest = F.when(named & (F.length("t") >= 25), unclear("no_clear_rule_match")).otherwise(unclear("insufficient_target_context"))
+    for pattern, kind, way, sure, evidence, flag in reversed(OTHERWISE):
+        rest = F.when(t.rlike(pattern), entry("no", kind, way, "low", evidence, F.lit(sure), [unnamed, F.lit(flag)], pattern)).otherwise(rest)
+    for pattern, kind, way, conviction, flag, base in reversed(SIGNALS):
+        own = flag.startswith(("first_person", "creator_"))
+        sure, flags = F.lit(base) - F.when(named, 0.0).otherwise(0.18), [unnamed, F.lit(flag)]
+        if not own:
+            sure, flags = sure - F.when(third, 0.25).otherwise(0.0), [*flags, F.when(third, F.lit("possible_third_party_attribution"))]
         if flag not in ("creator_bought", "creator_owns_position"):
-            sure = sure - F.when(past, 0.12).otherwise(0.0)
-        rest = F.when(t.rlike(pattern), entry("yes", kind, way, F.greatest(F.lit(0.6), sure), flag, pattern)).otherwise(rest)
-    short = entry("unclear", "unclear", "unclear", F.lit(0.4), "insufficient_context", None)
-    return df.withColumn("d", F.when(F.length("t") < 40, short).otherwise(rest))
+            sure, flags = sure - F.when(past, 0.12).otherwise(0.0), [*flags, F.when(past, F.lit("possible_historical_context"))]
+        if flag == "price_target_language" and detected is not None:
+            way = F.when(detected.isin("bullish", "positive"), "positive").when(detected.isin("bearish", "negative"), "negative").otherwise(way)
+        rest = F.when(t.rlike(pattern), entry("yes", kind, way, conviction, "strong" if own else "medium", F.greatest(F.lit(0.6), sure), flags, pattern)).otherwise(rest)
+    stock = F.lit(False)
+    for phrase in STOCK_PHRASES:
+        a, b = phrase.split("{w}")
+        stock = stock | F.contains(t, F.concat(F.lit(a), w, F.lit(b)))
+    word = symbol.isin(ambiguous) & t.rlike(ORDINARY_PATTERN) & ~stock
+    rest = F.when(word, entry("no", "false_positive", "unclear", "low", "strong", F.lit(0.9), [F.lit("ambiguous_ticker_false_positive")], ORDINARY_PATTERN)).otherwise(rest)
+    return df.withColumn("d", F.when(F.length("t") < 40, unclear("insufficient_context")).otherwise(rest))
 
 
 def quote(c: Column, pattern: str | None, before: int = 90, after: int = 110, limit: int = 240) -> Column:

@@ -47,9 +47,12 @@ def nearest(events: DataFrame, filings: DataFrame, days: int) -> DataFrame:
 
 
 def capped_articles(events: DataFrame, articles: DataFrame, days: int, most: int, key: Column) -> DataFrame:
-    """Per event the articles within days, one for each key, the first `most` by date and key. Keys are made, and a day's
-    equal ones become one, before events meet articles."""
+    """Per event the articles within days, one for each key, the first `most` by date and key. Keys are made, a day's equal
+    ones become one and only its first `most` stay before events meet articles: before a later one come as many of its day,
+    or the same ones earlier, at any event."""
     keyed = articles.withColumn("key", key).select("ticker", "article_date", "key").distinct()
+    place = F.row_number().over(Window.partitionBy("ticker", "article_date").orderBy("key"))
+    keyed = keyed.withColumn("_r", place).where(F.col("_r") <= most).drop("_r")
     pairs = within(events.select("event_id", "ticker", "event_date"), keyed, days)
     one = pairs.groupBy("event_id", "key").agg(F.min(F.struct("article_date", "gap")).alias("_a")).select("event_id", "key", "_a.*")
     rank = F.row_number().over(Window.partitionBy("event_id").orderBy("article_date", "key"))

@@ -59,11 +59,11 @@ def scan(df: DataFrame, order: list[Column], values: dict[str, Running], keys: l
         carried = totals.withColumn("_more", F.lag("_part", -step).over(by_key).isNotNull())
         for n, v in some.items():
             carried = carried.withColumn(f"_carried_{n}", KINDS[v.kind][0](f"_all_{n}").over(v.frame(by_key, 1)))
-        carried = carried.where("_more").select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[f"_carried_{n}" for n in some])
-        on = F.col("_part") == F.col("_p")
+        carried = carried.where("_more").select(F.col("_part").alias("_in_part"), *[F.col(k).alias(f"_in_key{i}") for i, k in enumerate(keys)], *[f"_carried_{n}" for n in some])
+        on = F.col("_part") == F.col("_in_part")
         for i, k in enumerate(keys):
-            on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        out = out.join(F.broadcast(carried), on, "left").drop("_p", *[f"_k{i}" for i in range(len(keys))])
+            on = on & F.col(k).eqNullSafe(F.col(f"_in_key{i}"))
+        out = out.join(F.broadcast(carried), on, "left").drop("_in_part", *[f"_in_key{i}" for i in range(len(keys))])
     rows = Window.partitionBy(*keys, "_part").orderBy(*order)
     for n, v in values.items():
         own = KINDS[v.kind][0](f"_of_{n}").over(v.frame(rows, 0 if v.inclusive else 1))

@@ -44,7 +44,8 @@ def decile(df: DataFrame, keys: list[str], order: list[Column], name: str) -> Da
     size = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     size = size.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n")
-    ranked = numbered(df, order, "_r", keys).join(size, on)
+    ranked = numbered(df, order, "_r", keys)
+    ranked = ranked.join(size, on) if keys else ranked.crossJoin(F.broadcast(size))
     return ranked.withColumn(name, F.least(F.lit(10), 1 + F.floor(10 * (F.col("_r") - 1) / F.col("_n"))).cast("long")).select(*df.columns, name)
 
 

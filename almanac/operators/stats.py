@@ -278,6 +278,19 @@ def newey_west(daily: DataFrame, day: str, y: str, xs: list[str], lags: int = 5)
     return [{"name": c, "coef": float(b), "se": float(s), "t": float(b / s) if s else None, "n": len(rows)} for c, b, s in zip(["alpha", *xs], beta, se, strict=True)]
 
 
+def rank_area(df: DataFrame, keys: list[str], score: str, label: Column) -> DataFrame:
+    """(keys, n, positives, area): the area under the curve of score for label, by keys, from the mean ranks of equal scores: the
+    chance that a row with the label has the greater score, ties counting half. Null scores and labels don't count; without
+    both labels the area is null."""
+    rows = df.withColumn("_y", label.cast("int")).where(F.col(score).isNotNull() & F.col("_y").isNotNull())
+    counts = rows.groupBy(*keys, F.col(score).alias("_x")).agg(F.count("*").alias("_c"), F.sum("_y").alias("_p"))
+    placed = scan(counts, [F.col("_x").asc()], {"_below": Running("sum", F.col("_c"), inclusive=False)}, keys)
+    rank = F.coalesce("_below", F.lit(0)) + (F.col("_c") + 1) / 2
+    out = placed.groupBy(*keys).agg(F.sum("_c").alias("n"), F.sum("_p").alias("positives"), F.sum(F.col("_p") * rank).alias("_r"))
+    p = F.col("positives")
+    return out.withColumn("area", F.try_divide(F.col("_r") - p * (p + 1) / 2, p * (F.col("n") - p))).drop("_r")
+
+
 def signed_rank(df: DataFrame, x: str) -> DataFrame:
     """Wilcoxon's signed ranks, ties at their mean rank, with the normal approximation. Rows of one magnitude are counted
     first; magnitudes fall into PARTS ranges by approximate quantiles, whose sizes, a row each, are added up, so each is

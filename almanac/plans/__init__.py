@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almanac.plans import aggregates, confounds, controls, event_study, inference, joins, portfolios, robustness, rules, samples, selections, streams, texts  # noqa: F401
+from almanac.plans import aggregates, confounds, controls, event_study, inference, joins, mechanisms, portfolios, robustness, rules, samples, selections, streams, texts  # noqa: F401
 from almanac.plans.registry import QUERIES, SQL
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -217,47 +219,57 @@ def source_layers(spark, sf):
     return _recommended(spark, sf).withColumn("layer", layer).select("event_id", "layer", rules.layer_confidence(F.col("layer"), F.col("confidence"), F.col("score")).alias("confidence_label"))
 
 
+_WORDS = rules.AMBIGUOUS_TICKERS + HIGH_RISK
+
+
 def _label_sql() -> str:
-    def entry(true, kind, way, sure, flag, pattern):
-        around = f"substr(trim(substr(t, greatest(1, strpos(t, regexp_extract(t, {_q(pattern)})) - 90), strpos(t, regexp_extract(t, {_q(pattern)})) + length(regexp_extract(t, {_q(pattern)})) + 110 - greatest(1, strpos(t, regexp_extract(t, {_q(pattern)})) - 90))), 1, 240)" if pattern else "substr(t, 1, 240)"
-        return f"{{'is_true': {_q(true)}, 'type': {_q(kind)}, 'direction': {_q(way)}, 'confidence': round(CAST({sure} AS DOUBLE), 3), 'flag': {_q(flag)}, 'quote': {around}}}"
-
-    third, past = _has(rules.THIRD_PARTY_PATTERN), _has(rules.HISTORICAL_PATTERN)
-    out = [("length(t) < 40", entry("unclear", "unclear", "unclear", "0.4", "insufficient_context", None))]
-    for pattern, kind, way, flag, base in rules.SIGNALS:
-        sure = f"{base} - CASE WHEN named THEN 0 ELSE 0.18 END"
-        if not flag.startswith(("first_person", "creator_")):
-            sure += f" - CASE WHEN {third} THEN 0.25 ELSE 0 END"
+    def entry(true, kind, way, conviction, evidence, sure, flags, pattern):
+        found = f"regexp_extract(t, {_q(pattern)})" if pattern else ""
+        around = f"substr(trim(substr(t, greatest(1, strpos(t, {found}) - 90), strpos(t, {found}) + length({found}) + 110 - greatest(1, strpos(t, {found}) - 90))), 1, 240)" if pattern else "substr(t, 1, 240)"
+        way = way if way.startswith("CASE") else _q(way)
+        review = "true" if true == "unclear" else f"round(CAST({sure} AS DOUBLE), 3) < 0.75"
+        return f"{{'is_true': {_q(true)}, 'type': {_q(kind)}, 'direction': {way}, 'conviction': {_q(conviction)}, 'evidence': {_q(evidence)}, 'confidence': round(CAST({sure} AS DOUBLE), 3), 'needs_review': {review}, 'flags': concat_ws(';', {', '.join(flags)}), 'quote': {around}}}"
+
+    third, past, unnamed = "third", "past", "CASE WHEN NOT named THEN 'target_not_explicit_in_context' END"
+    unclear = lambda flag, *first: entry("unclear", "unclear", "unclear", "unclear", "weak", "0.35", [*first, _q(flag)], None)
+    out = [("length(t) < 40", unclear("insufficient_context"))]
+    phrases = " OR ".join("contains(t, " + " || ".join("lower(symbol)" if x == "{w}" else _q(x) for x in re.split(r"(\{w\})", p) if x) + ")" for p in rules.STOCK_PHRASES)
+    out.append((f"list_contains({_list(_WORDS)}, symbol) AND {_has(rules.ORDINARY_PATTERN)} AND NOT ({phrases})", entry("no", "false_positive", "unclear", "low", "strong", "0.9", [_q("ambiguous_ticker_false_positive")], rules.ORDINARY_PATTERN)))
+    for pattern, kind, way, conviction, flag, base in rules.SIGNALS:
+        own, sure, flags = flag.startswith(("first_person", "creator_")), f"{base} - CASE WHEN named THEN 0 ELSE 0.18 END", [unnamed, _q(flag)]
+        if not own:
+            sure, flags = f"{sure} - CASE WHEN {third} THEN 0.25 ELSE 0 END", [*flags, f"CASE WHEN {third} THEN 'possible_third_party_attribution' END"]
         if flag not in ("creator_bought", "creator_owns_position"):
-            sure += f" - CASE WHEN {past} THEN 0.12 ELSE 0 END"
-        out.append((_has(pattern), entry("yes", kind, way, f"greatest(0.6, {sure})", flag, pattern)))
-    for pattern, true, kind, way, sure, flag in [(rules.THIRD_PARTY_PATTERN, "no", "false_positive", "unclear", "0.89", "third_party_attribution"), (rules.NEWS_PATTERN, "no", "news_reaction", "neutral", "0.79", "news_only_or_business_context"), (rules.MACRO_PATTERN, "no", "macro_commentary", "neutral", "0.78", "macro_commentary"), (rules.HISTORICAL_PATTERN, "no", "false_positive", "unclear", "0.76", "historical_or_retrospective")]:
-        out.append((_has(pattern), entry(true, kind, way, sure, flag, pattern)))
-    out.append(("named AND length(t) >= 25", entry("unclear", "unclear", "unclear", "0.4", "no_clear_rule_match", None)))
-    return _case(*out, otherwise=entry("unclear", "unclear", "unclear", "0.4", "insufficient_target_context", None))
+            sure, flags = f"{sure} - CASE WHEN {past} THEN 0.12 ELSE 0 END", [*flags, f"CASE WHEN {past} THEN 'possible_historical_context' END"]
+        if flag == "price_target_language":
+            way = "CASE stance WHEN 'bullish' THEN 'positive' WHEN 'bearish' THEN 'negative' ELSE 'neutral' END"
+        out.append((_has(pattern), entry("yes", kind, way, conviction, "strong" if own else "medium", f"greatest(0.6, {sure})", flags, pattern)))
+    for pattern, kind, way, sure, evidence, flag in rules.OTHERWISE:
+        out.append((_has(pattern), entry("no", kind, way, "low", evidence, str(sure), [unnamed, _q(flag)], pattern)))
+    out.append(("named AND length(t) >= 25", unclear("no_clear_rule_match", unnamed)))
+    return _case(*out, otherwise=unclear("insufficient_target_context", unnamed))
 
 
-_LABELLED = f"l0 AS (SELECT *, contains(t, lower(symbol)) AS named FROM posts), l1 AS (SELECT *, {_label_sql()} AS d FROM l0)"
+_LABELLED = f"{_R}, l0 AS (SELECT *, list_contains(tk, lower(symbol)) AS named, {_has(rules.THIRD_PARTY_PATTERN)} AS third, {_has(rules.HISTORICAL_PATTERN)} AS past FROM rec), l1 AS (SELECT *, {_label_sql()} AS d FROM l0)"
 
 
 def _labels(spark, sf):
-    return rules.labelled(rules.prepared(posts(spark, sf), "text"), F.contains("t", F.lower("symbol")))
+    return rules.labelled(_recommended(spark, sf), F.col("symbol"), F.col("stance"), ambiguous=_WORDS)
 
 
-@query(f"WITH {POSTS}, {_LABELLED} SELECT event_id, d.is_true AS is_true, d.type AS type, d.direction AS direction, d.confidence AS confidence, d.flag AS flag, d.quote AS quote FROM l1")
+@query(f"WITH {POSTS}, {_LABELLED} SELECT event_id, d.is_true AS is_true, d.type AS type, d.direction AS direction, d.conviction AS conviction, d.evidence AS evidence, d.confidence AS confidence, d.needs_review AS needs_review, d.flags AS flags, d.quote AS quote FROM l1")
 def rule_labels(spark, sf):
-    """Ordered signals, then what is no recommendation; with the text around what decided."""
+    """Words that are no tickers, ordered signals, then what is no recommendation; with the text around what decided."""
     return _labels(spark, sf).select("event_id", "d.*")
 
 
-@query(f"""WITH {POSTS}, {_LABELLED}, c AS (SELECT event_id, creator, symbol, published, d.is_true AS y, d.direction AS w, d.confidence AS c, CASE WHEN d.confidence >= 0.9 THEN 'strong' WHEN d.confidence >= 0.75 THEN 'medium' ELSE 'weak' END AS e, event_id % 17 = 0 AS review, d.type AS kind, d.quote AS quote FROM l1)
+@query(f"""WITH {POSTS}, {_LABELLED}, c AS (SELECT event_id, creator, symbol, published, d.is_true AS y, d.direction AS w, d.confidence AS c, d.evidence AS e, d.needs_review AS review, d.type AS kind, d.quote AS quote FROM l1)
 SELECT event_id, creator, symbol AS ticker, strftime(published, '%Y-%m-%d') AS event_date, kind, w AS direction, printf('%.3f', c) AS confidence, e AS evidence, quote, concat_ws(';', CASE WHEN y <> 'yes' THEN 'is_true_recommendation=' || y END, CASE WHEN w NOT IN ('positive', 'negative', 'neutral') THEN 'direction=' || w END, CASE WHEN c < 0.75 THEN 'confidence_below_0.75' END, CASE WHEN e NOT IN ('strong', 'medium') THEN 'evidence_quality=' || e END, CASE WHEN review THEN 'needs_review' END) AS reasons FROM c""")
 def clean_projection(spark, sf):
     """Labelled events in the clean table's columns, with every reason that keeps one out of it."""
-    evidence = F.when(F.col("d.confidence") >= 0.9, "strong").when(F.col("d.confidence") >= 0.75, "medium").otherwise("weak")
-    d = _labels(spark, sf).withColumn("evidence", evidence)
-    reasons = rules.clean_reasons(F.col("d.is_true"), F.col("d.direction"), F.col("d.confidence"), F.col("evidence"), F.col("event_id") % 17 == 0)
-    return d.select("event_id", "creator", F.col("symbol").alias("ticker"), F.date_format("published", "yyyy-MM-dd").alias("event_date"), F.col("d.type").alias("kind"), "d.direction", F.format_string("%.3f", "d.confidence").alias("confidence"), "evidence", "d.quote", reasons.alias("reasons"))
+    d = _labels(spark, sf)
+    reasons = rules.clean_reasons(*(F.col(f"d.{c}") for c in ("is_true", "direction", "confidence", "evidence", "needs_review")))
+    return d.select("event_id", "creator", F.col("symbol").alias("ticker"), F.date_format("published", "yyyy-MM-dd").alias("event_date"), F.col("d.type").alias("kind"), "d.direction", F.format_string("%.3f", "d.confidence").alias("confidence"), "d.evidence", "d.quote", reasons.alias("reasons"))
 
 
 @query(f"""WITH {POSTS}, {_R}, a AS (SELECT *, CASE event_id % 5 WHEN 0 THEN 'sell' WHEN 1 THEN 'avoid' WHEN 2 THEN 'portfolio' WHEN 3 THEN 'short' ELSE 'buy' END AS action FROM rec) SELECT event_id, CASE stance WHEN 'bullish' THEN 'positive' WHEN 'bearish' THEN 'negative' ELSE 'neutral' END AS direction, CASE WHEN action IN ('sell', 'short') THEN 'sell' WHEN action = 'avoid' THEN 'avoid' WHEN contains(t, 'target') THEN 'price_target' WHEN action = 'portfolio' OR contains(t, 'holding') THEN 'portfolio_update' ELSE 'buy' END AS kind,

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from almanac.functions import rules
-from almanac.operators import calendar as cal
 from almanac.operators import returns, select, stats
 from almanac.operators.scan import numbered
 from almanac.plans.confounds import STATES, states
@@ -184,14 +183,14 @@ _H = f"""h AS (SELECT al.event_id, al.ticker, al.creator, al.direction, al.score
 
 
 def _horizons(spark, sf):
-    """Events with abnormal returns over 5, 21 and 63 steps and over the 21 before."""
-    i = index(spark, sf)
+    """Events with abnormal returns over 5, 21 and 63 steps and over the 21 before: found on the price rows, which events meet
+    once."""
+    i, w = index(spark, sf), Window.partitionBy("ticker").orderBy("idx")
+    ahead = lambda k: (F.lead("px", k).over(w) / F.col("px") - 1) - (F.lead("bench", k).over(w) / F.col("bench") - 1)
+    before = (F.col("px") / F.lag("px", 21).over(w) - 1) - (F.col("bench") / F.lag("bench", 21).over(w) - 1)
+    rows = i.select("ticker", "idx", *[ahead(k).alias(f"ar{k}") for k in (5, 21, 63)], before.alias("pre21"))
     e = returns.align(aligned(spark, sf).drop("adj_date", "idx", "trade_date"), i).where("idx is not null")
-    e = cal.offset(e, i, F.lit(0), {"p0": "px", "b0": "bench"}, "inner")
-    for k in (5, 21, 63, -21):
-        e = cal.offset(e, i, F.lit(k), {f"p{k}": "px", f"b{k}": "bench"})
-    gain = lambda a, b: (F.col(f"p{a}") / F.col(f"p{b}") - 1) - (F.col(f"b{a}") / F.col(f"b{b}") - 1)
-    return e.select("event_id", "ticker", "creator", "direction", "score", "size", "event_date", "idx", *[gain(k, 0).alias(f"ar{k}") for k in (5, 21, 63)], gain(0, -21).alias("pre21"))
+    return e.select("event_id", "ticker", "creator", "direction", "score", "size", "event_date", "idx").join(rows, ["ticker", "idx"])
 
 
 @query(f"""{EVENTS}, {_H}, s AS (SELECT {_slices_sql(_POP)} AS sample, * FROM h WHERE ar5 > 0), l AS (SELECT sample, '21' AS horizon, ar21 AS x FROM s UNION ALL SELECT sample, '63', ar63 FROM s) SELECT sample, horizon, count(x) AS n, round(avg(x), 6) AS mean, round(avg(x) / (stddev_samp(x) / sqrt(count(x))), 4) AS t, round(CAST(avg(CASE WHEN x < 0 THEN 1.0 WHEN x IS NOT NULL THEN 0.0 END) AS DOUBLE), 6) AS reversal_rate FROM l GROUP BY 1, 2""")

@@ -15,6 +15,7 @@ PHRASES = [
     "The market closed flat.", "Downside risk and debt: {t} is overvalued, short it.", "Called it! My pick {t} is up since my last video.", "Long term I am holding {t} in my portfolio.",
     "Wall Street raised the {t} price target, investors bought.", "NYSE: {t} earnings beat, strong quarter for ${t}.", "What {t} should know about inflation and rate cuts.", "To the moon, squeeze: ${t} is ripping.",
     "Adding ${t} and long {t} into the merger.", "Thank {t} for the chart.", "Insiders sold {t} last year, the lawsuit is back in the news.", "Cheap on cash flow, {t} looks undervalued.",
+    "My top stock for the decade is {t}, worth buying.", "{t} is too expensive, stay away from it.", "We are holding {t} and wait.", "If you know, on the other hand, {t} can wait.", "I am shorting {t} here and now, as said.",
 ]
 TAILS = ["", "The valuation looks cheap on margin.", "According to the filing it files a report.", "Swing trade for tomorrow.", "My position is long ${t}.", "Buy now, last chance.", "Consensus upgrade, guidance and eps.", "Support and resistance on the chart, volatile."]
 

@@ -68,3 +68,22 @@ def test_draws_within_groups_keep_the_groups_weights(spark):
     assert 0.3 < r["p"] < 0.7  # as often above as below
     plan = resample.within_group(spark.createDataFrame(rows, "g int, k long, x double"), "g", "k", "x", 20, 5)._jdf.queryExecution().toString()
     assert "Window" not in plan and "SortMergeJoin" not in plan
+
+
+def test_areas_by_ranks_are_those_by_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(("hot", None, "b", "ones")[0 if k % 2 else 1 if k % 5 == 0 else 2], float(rng.integers(0, 12)), bool(rng.random() < 0.4)) for k in range(500)] + [("ones", 1.0, True), ("b", None, True), ("b", 2.0, None)]
+    got = {r["g"]: (r["n"], r["positives"], r["area"]) for r in stats.rank_area(spark.createDataFrame(rows, "g string, x double, y boolean"), ["g"], "x", F.col("y")).collect()}
+    for g in ("hot", None, "b", "ones"):
+        p, n = ([x for h, x, y in rows if h == g and x is not None and y is label] for label in (True, False))
+        pairs = [(a > b) + (a == b) / 2 for a in p for b in n]
+        assert got[g] == (len(p) + len(n), len(p), pytest.approx(np.mean(pairs)) if pairs else None)
+
+
+def test_deciles_of_groups_and_of_all(spark):
+    rows = [(k % 3 if k % 3 else None, k * 7 % 101) for k in range(101)]
+    df = spark.createDataFrame(rows, "g int, x int")
+    for keys in (["g"], []):
+        for r in select.decile(df, keys, [F.asc("x")], "d").collect():
+            group = sorted(x for g, x in rows if not keys or g == r["g"])
+            assert r["d"] == min(10, 1 + 10 * group.index(r["x"]) // len(group))

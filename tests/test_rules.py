@@ -46,6 +46,42 @@ def test_negation_and_attribution_exclude(spark):
     assert [(r["accepted"], r["reason"], r["confidence_label"]) for r in rows] == [(True, None, "high"), (False, "negated_action", "low"), (False, "cross_attributed_action", "low"), (False, "third_party_attribution", "exclude")]
 
 
+LONG = " as I said at the end of the show this week"
+
+
+@pytest.mark.parametrize(("said", "symbol", "want"), [
+    ("I am buying NVDA here because revenue is growing quickly.", "NVDA", ("yes", "buy", "positive", "high", "strong", 0.93, False, "first_person_buy")),
+    ("Warren Buffett bought NVDA according to news reports.", "NVDA", ("no", "false_positive", "unclear", "low", "strong", 0.89, False, "third_party_attribution")),
+    ("NVDA maybe.", "NVDA", ("unclear", "unclear", "unclear", "unclear", "weak", 0.35, True, "insufficient_context")),
+    ("I just bought some of it in 2021" + LONG, "NVDA", ("yes", "buy", "positive", "medium", "strong", 0.73, True, "target_not_explicit_in_context;creator_bought")),
+    ("Our top stock is NVDA" + LONG, "NVDA", ("yes", "buy", "positive", "high", "medium", 0.9, False, "direct_recommendation_language")),
+    ("We trimmed NVDA last year" + LONG, "NVDA", ("yes", "sell", "negative", "medium", "strong", 0.8, False, "creator_sell_action;possible_historical_context")),
+    ("I would short NVDA" + LONG, "NVDA", ("yes", "short", "negative", "medium", "strong", 0.92, False, "creator_short_action")),
+    ("Stay away from NVDA" + LONG, "NVDA", ("yes", "avoid", "negative", "medium", "medium", 0.86, False, "avoid_language")),
+    ("Analysts raised the price target on NVDA" + LONG, "NVDA", ("yes", "price_target", "positive", "medium", "medium", 0.6, True, "price_target_language;possible_third_party_attribution")),
+    ("NVDA is cheap at these levels" + LONG, "NVDA", ("yes", "buy", "positive", "medium", "medium", 0.82, False, "valuation_positive")),
+    ("NVDA is too expensive" + LONG, "NVDA", ("yes", "avoid", "negative", "medium", "medium", 0.82, False, "valuation_negative")),
+    ("We're holding NVDA" + LONG, "NVDA", ("yes", "hold", "neutral", "medium", "strong", 0.86, False, "creator_hold_action")),
+    ("NVDA announced a partnership" + LONG, "NVDA", ("no", "news_reaction", "neutral", "low", "medium", 0.79, False, "news_only_or_business_context")),
+    ("Rate hikes hurt NVDA and the rest" + LONG, "NVDA", ("no", "macro_commentary", "neutral", "low", "medium", 0.78, False, "macro_commentary")),
+    ("NVDA used to be smaller" + LONG, "NVDA", ("no", "false_positive", "unclear", "low", "medium", 0.76, False, "historical_or_retrospective")),
+    ("NVDA was mentioned in passing" + LONG, "NVDA", ("unclear", "unclear", "unclear", "unclear", "weak", 0.35, True, "no_clear_rule_match")),
+    ("Nothing at all was mentioned" + LONG, "NVDA", ("unclear", "unclear", "unclear", "unclear", "weak", 0.35, True, "target_not_explicit_in_context;insufficient_target_context")),
+    ("Do you know what, it is time to go home" + LONG, "YOU", ("no", "false_positive", "unclear", "low", "strong", 0.9, False, "ambiguous_ticker_false_positive")),
+    ("If you like, I am buying YOU stock" + LONG, "YOU", ("yes", "buy", "positive", "high", "strong", 0.93, False, "first_person_buy")),
+])
+def test_labels(spark, said, symbol, want):
+    d = rules.labelled(frame(spark, [said]), F.lit(symbol), F.lit("bullish")).first()["d"]
+    assert tuple(d)[:8] == want
+    assert d["quote"] and d["quote"] in said.lower()
+
+
+def test_a_companys_name_names_the_target(spark):
+    said = "We're holding Nvidia" + LONG
+    for company, flags in (("Nvidia Inc.", "creator_hold_action"), ("NVIDIA, of California", "creator_hold_action"), ("Nvi", "target_not_explicit_in_context;creator_hold_action"), (None, "target_not_explicit_in_context;creator_hold_action")):
+        assert rules.labelled(frame(spark, [said]), F.lit("NVDA"), company=F.lit(company).cast("string")).first()["d"]["flags"] == flags
+
+
 def test_places_are_those_of_the_matches(spark):
     import re
 

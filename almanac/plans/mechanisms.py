@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from almanac.operators import confound, returns, scan, select, stats
 from almanac.plans.inference import _coefficients, _ols_sql
-from almanac.plans.registry import EV, EVENTS, PX, aligned, index, query, r6
+from almanac.plans.registry import EV, EVENTS, aligned, index, query, r6
 from almanac.sources.shared import written
 from almanac.sources.tables import recommendations, table
 
@@ -138,11 +138,12 @@ def record_diagnostics(spark, sf):
     return r.select("event_id", F.when(fresh, F.col("before.d")).alias("record_date"), F.when(fresh, F.col("before.latest")).alias("latest"), F.when(fresh, age).alias("age"), "ups", "downs", said.alias("diagnosis"))
 
 
-@query(f"""WITH {PX}, wk AS (SELECT ticker, CAST(date_trunc('week', date) AS DATE) AS week, arg_max(px, date) AS px FROM pi GROUP BY 1, 2) SELECT ticker, week, round(px, 4) AS px, round(px - lag(px, 4) OVER (PARTITION BY ticker ORDER BY week), 4) AS change_4w FROM wk""")
+@query("""WITH wk AS (SELECT p_brand AS ticker, CAST(date_trunc('week', l_shipdate) AS DATE) AS week, sum(l_quantity) AS volume FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) SELECT ticker, week, volume, volume - lag(volume, 4) OVER (PARTITION BY ticker ORDER BY week) AS change_4w FROM wk""")
 def weekly_changes(spark, sf):
-    """Each week's last price and its difference from four weeks with prices before."""
-    wk = index(spark, sf).groupBy("ticker", F.trunc("date", "week").alias("week")).agg(F.max_by("px", "date").alias("px"))
-    return wk.select("ticker", "week", F.round("px", 4).alias("px"), F.round(F.col("px") - F.lag("px", 4).over(Window.partitionBy("ticker").orderBy("week")), 4).alias("change_4w"))
+    """Each week's volume and its difference from four weeks with volume before."""
+    li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    wk = li.join(p, li.l_partkey == p.p_partkey).groupBy(F.col("p_brand").alias("ticker"), F.trunc("l_shipdate", "week").alias("week")).agg(F.sum("l_quantity").alias("volume"))
+    return wk.withColumn("change_4w", F.col("volume") - F.lag("volume", 4).over(Window.partitionBy("ticker").orderBy("week")))
 
 
 # ---------------------------------------------------------------- prediction

@@ -58,11 +58,12 @@ def test_texts_are_cut_written_and_restored(docs):
 
 
 def test_all_forms_restore_whatever_the_rates_and_the_grammar(docs):
-    for plain, spm in ((0, 0), (0, 100), (100, 0)):
-        for grammar in fim.UNITS:
+    for grammar in fim.UNITS:
+        for plain, spm in ((0, 0), (0, 100), (100, 0))[: 1 if grammar != "code" else 3]:
             out = fim.transform(docs, grammar=grammar, plain=plain, spm=spm, seed=3)
-            assert out.where(fim.restore(F.col("output"), F.col("form")) != F.col("text")).count() == 0
-            assert {r[0] for r in out.select("form").distinct().collect()} == ({"plain"} if plain else {"plain", "spm" if spm else "psm"})
+            got = out.select("form", "text", fim.restore(F.col("output"), F.col("form")).alias("restored")).collect()
+            assert all(r["restored"] == r["text"] for r in got) and len(got) == len(TEXTS)
+            assert {r["form"] for r in got} == ({"plain"} if plain else {"plain", "spm" if spm else "psm"})
 
 
 @pytest.mark.parametrize(("grammar", "unit"), [("code", r"[A-Za-z]+|[^A-Za-z]"), ("char", r"[\s\S]"), ("word", r"[ \t-\r]+|[^ \t-\r]+"), ("line", r"[^\n]*\n|[^\n]+")])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from almanac.operators import calendar as cal
 from almanac.operators import factors, resample, returns, scan
 from almanac.operators.resample import poisson_sql, uniform_sql
-from almanac.plans.registry import EVENTS, RETURNS, aligned, index, query, r6, returns5
+from almanac.plans.registry import RETURNS, aligned, index, query, r6, returns5
 from almanac.sources.tables import table
 
 

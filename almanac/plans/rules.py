@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from almanac.functions import payloads, rules, text
 from almanac.operators.confound import short_key
-from almanac.plans.registry import query
+from almanac.plans.confounds import STATES, states
+from almanac.plans.registry import EVENTS, query
+from almanac.plans.samples import _H, _horizons
 from almanac.sources.posts import POSTS, posts
 from almanac.sources.tables import table
 
@@ -203,12 +205,18 @@ def video_scores(spark, sf):
     return p.select("event_id", F.round(F.greatest(zero, video), 3).alias("video_score"), F.round(F.greatest(zero, creator), 3).alias("creator_score"), F.greatest(zero, title.cast("double")).alias("title_score"))
 
 
-@query(f"""WITH {POSTS}, s AS (SELECT *, {', '.join(f"{_contained(w)} AS s_{n}" for n, w in rules.NARRATIVE.items())}, event_id % 4 = 0 AS unknown, event_id % 3 = 0 AS historical, event_id % 11 = 0 AS sec, event_id % 13 = 0 AS conf, event_id % 2 = 0 AS quiet, event_id % 5 = 0 AS contrarian FROM posts)
+@query(f"""{EVENTS}, {STATES}, {_H}, {POSTS}, s AS (SELECT posts.event_id, {', '.join(f"{_contained(w)} AS s_{n}" for n, w in rules.NARRATIVE.items())}, coalesce(av_state = 'unknown' AND gd_state = 'unknown', true) AS unknown, pre21 IS NOT NULL AS historical, coalesce(sec_state = 'confounded', false) AS sec, coalesce('confounded' IN (av_state, gd_state), false) AS conf, coalesce(av_near + gd_near = 0, true) AS quiet,
+coalesce((h.direction = 'positive' AND pre21 < 0) OR (h.direction = 'negative' AND pre21 > 0), false) AS contrarian FROM posts LEFT JOIN st ON posts.event_id = st.event_id LEFT JOIN h ON posts.event_id = h.event_id)
 SELECT event_id, CASE WHEN unknown AND NOT historical THEN 'insufficient_external_data' WHEN sec OR conf OR s_earnings_relay >= 2 OR s_news_relay >= 2 THEN 'official_news_relay' WHEN s_analyst_relay >= 2 THEN 'analyst_relay' WHEN s_market_move >= 2 AND NOT quiet THEN 'market_reaction_relay' WHEN s_retail_hype >= 2 OR s_urgency >= 2 THEN 'retail_hype_attention' WHEN s_valuation >= 2 THEN 'valuation_or_fundamental_original_like' WHEN contrarian AND historical THEN 'contrarian_original_like' ELSE 'ambiguous_mixed' END AS originality FROM s""")
 def originality_taxonomy(spark, sf):
-    k = F.col("event_id")
-    f = {n: rules.contained(w) for n, w in rules.NARRATIVE.items()} | {"unknown": k % 4 == 0, "historical": k % 3 == 0, "sec": k % 11 == 0, "confounded": k % 13 == 0, "quiet": k % 2 == 0, "contrarian": k % 5 == 0}
-    return rules.prepared(posts(spark, sf), "text").select("event_id", rules.originality(f).alias("originality"))
+    """Where a post's information comes from: its words, what providers had around it, and whether it goes against the trend."""
+    p = rules.prepared(posts(spark, sf), "text").select("event_id", "t", "tk")
+    h = _horizons(spark, sf).select("event_id", "direction", "pre21")
+    j = p.join(states(spark, sf).select("event_id", "av_state", "gd_state", "sec_state", (F.col("av_near") + F.col("gd_near")).alias("near")), "event_id", "left").join(h, "event_id", "left")
+    is_state = lambda c, s: F.coalesce(F.col(f"{c}_state") == s, F.lit(s == "unknown"))
+    against = ((F.col("direction") == "positive") & (F.col("pre21") < 0)) | ((F.col("direction") == "negative") & (F.col("pre21") > 0))
+    f = {n: rules.contained(w) for n, w in rules.NARRATIVE.items()} | {"unknown": is_state("av", "unknown") & is_state("gd", "unknown"), "historical": F.col("pre21").isNotNull(), "sec": is_state("sec", "confounded"), "confounded": is_state("av", "confounded") | is_state("gd", "confounded"), "quiet": F.coalesce(F.col("near") == 0, F.lit(True)), "contrarian": F.coalesce(against, F.lit(False))}
+    return j.select("event_id", rules.originality(f).alias("originality"))
 
 
 @query(f"""WITH {POSTS}, {_R}, l AS (SELECT *, CASE WHEN event_id % 6 = 0 THEN 'comment_context' WHEN event_id % 6 = 1 THEN 'transcript' WHEN contains(t, lower(symbol)) AND candidate THEN 'title' ELSE 'description' END AS layer FROM rec) SELECT event_id, layer, CASE WHEN layer = 'comment_context' THEN 'exclude' WHEN layer IN ('title', 'description') THEN CASE WHEN confidence >= 0.7 AND score >= 3 THEN 'medium' ELSE 'low' END WHEN confidence >= 0.75 AND score >= 3 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS confidence_label FROM l""")
@@ -309,7 +317,7 @@ p AS (SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN CAST(json_array(json_ob
   WHEN 3 THEN '{{"items": [' ELSE CAST(json_object('id', n, 'content', text, 'time', CASE WHEN turn % 2 = 0 THEN made ELSE 'soon' END, 'likes', 'many') AS VARCHAR) END AS payload FROM c),
 j AS (SELECT conv_id, turn, TRY_CAST(payload AS JSON) AS j FROM p WHERE json_valid(payload)), i AS (SELECT conv_id, turn, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') {' '.join(f"WHEN json_type(j, '$.{n}') = 'ARRAY' THEN json_extract(j, '$.{n}[*]')" for n in payloads.LISTS)} ELSE [j] END) AS v FROM j),
 f AS (SELECT conv_id, turn, TRY_CAST({_at('post_id')} AS BIGINT) AS post_id, {_at('text')} AS text, TRY_CAST({_at('created_at')} AS TIMESTAMPTZ) AS created_at, ltrim({_at('handle')}, '@') AS handle, {', '.join(f'{_at(n)} AS {n}' for n in ('name', 'author_id', 'language', 'url'))}, TRY_CAST({_at('likes')} AS BIGINT) AS likes FROM i WHERE coalesce(json_extract_string(v, '$.type'), '') <> 'mock_tweet')
-SELECT conv_id, turn, post_id, sha256(text) AS text_sha256, created_at, handle, name, author_id, language, url, likes FROM f WHERE post_id > 0 AND text IS NOT NULL AND created_at IS NOT NULL""")
+SELECT conv_id, turn, post_id, sha256(text) AS text_sha256, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS created_at, handle, name, author_id, language, url, likes FROM f WHERE post_id > 0 AND text IS NOT NULL AND created_at IS NOT NULL""")
 def payload_posts(spark, sf):
     """The turns of conversations as providers' payloads of five shapes, and the posts read back from them."""
     c = table(spark, sf, "conversations").withColumns({"n": F.col("conv_id") * 1000 + F.col("turn") + 1, "at": F.date_format(F.lit("2024-01-01").cast("timestamp") + F.make_interval(hours="conv_id"), "yyyy-MM-dd'T'HH:mm:ss'Z'")})
@@ -325,7 +333,7 @@ def payload_posts(spark, sf):
     ]
     payload = F.element_at(F.array(*shapes), (F.col("conv_id") % 5 + 1).cast("int"))
     out = payloads.posts_of(c.select("conv_id", "turn", payload.alias("payload")), ["conv_id", "turn"], "payload")
-    return out.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+    return out.withColumns({"text_sha256": F.sha2("text", 256), "created_at": F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")}).drop("text")
 
 
 @query(f"""WITH {POSTS}, d AS (SELECT symbol, CAST(published AS DATE) AS day, event_id, creator FROM posts), w AS (SELECT a.event_id, date_diff('day', a.day, b.day) AS gap FROM d a JOIN d b ON a.symbol = b.symbol AND a.event_id <> b.event_id AND abs(date_diff('day', a.day, b.day)) <= 7), c AS (SELECT event_id, count(*) FILTER (gap BETWEEN -7 AND -2) AS before_7d, count(*) FILTER (gap = -1) AS before_1d, count(*) FILTER (gap = 0) AS same_day, count(*) FILTER (gap = 1) AS after_1d, count(*) FILTER (gap BETWEEN 2 AND 7) AS after_7d FROM w GROUP BY 1)

@@ -5,7 +5,6 @@ from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from almanac.functions import payloads
 from almanac.operators import confound, select

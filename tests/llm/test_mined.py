@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from almanac.llm import fim, hard_negatives, imatch, queries
 from almanac.llm.common import Words, hash_slices
-from tests.compare import connection, difference
 
 SF = "/root/testdata/sf0.001"
 #: Nulls, empties, repeats, a shared id, markers and halves of them, line ends, letters beside other scripts and pairs of surrogates.
@@ -72,11 +71,6 @@ def test_boundaries_cut_where_units_end(docs, grammar, unit):
         assert r["u"] == re.findall(unit, r["text"])
 
 
-@pytest.mark.parametrize("name", ["op11_fim", "op12_hard_negatives"])
-def test_rows_are_those_of_the_sql_form(spark, name):
-    assert difference(queries.queries()[name](spark, SF), queries.oracle_sql()[name], connection(SF)) == ""
-
-
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     assert fim.digest(none).count() == imatch.digest(none).count() == 0

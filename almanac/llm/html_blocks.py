@@ -2,11 +2,15 @@
 
 The first pass holds each block of a page against its length, its share of stop words and its share of text in links:
 content, boilerplate or undecided. The second lets undecided blocks, most of them short, take the label of the nearest
-decided neighbours. Blocks in another script than the stop words', and sentences on pages whose long blocks are in none of
-their languages, are held against length and links alone. Where a page says what an element is, that goes into the passes
-as hints: navigation, forms, an advert's class, ... are decided as boilerplate, as is what lies outside a marked article,
-and the ends of a marked article are neighbours that are content. Pages without any such mark are decided by the passes
-alone.
+decided neighbours, those in the same container being nearer than others. A short block in another language than the page
+is boilerplate; blocks in another script than the stop words', and sentences on pages whose long blocks are in none of their
+languages, are held against length and links alone.
+
+What a page says of its elements (a navigation, an advert's class, an article) moves these thresholds, as far as the
+blocks bear it out. In a marked article sentences need no length, and an undecided block has a content neighbour three
+blocks away. What is marked as boilerplate, or lies outside a marked article, has to amount to an article by itself, with
+ten times the prose of the rest; then the marks mislead, and the page, or the containers with that prose, are decided
+without them. Only readers' comments and hidden text, which read like content, are what they are marked as.
 """
 
 from __future__ import annotations
@@ -23,18 +27,32 @@ from almanac.llm.common import pick
 SHORT, MOST_LINKS, MOST_LINKS_SHORT, STOP_LOW, STOP_HIGH = 70, 0.5, 0.3, 0.15, 0.3
 #: A page's long blocks in Latin script have a lower share of stop words if they are in another language; where stop words say nothing, content has so few links.
 STOP_OTHER, FEW_LINKS = 0.1, 0.2
+#: So many more stop words of another language than of the page's make a short block a foreign one.
+FOREIGN = 2
+#: Prose in code points that makes an article, and how many times the rest of the page's it has to be to outweigh marks.
+ARTICLE, OUTWEIGH = 1_000, 10
+#: In steps between blocks: how much farther a neighbour in another container is, and how far the content that a mark stands for.
+ACROSS, MARK_AWAY = 3, 3
 
 # Function words of four languages, and HTML's own element names.
-STOP_WORDS = frozenset(
+ENGLISH = frozenset(
     """a about all an and are as at be but by can for from had has have he her his i if in is it its not of on or our she so
-    that the their there they this to was we were which who will with you
-    aber als am auch auf aus bei das dass dem den der des die durch ein eine einem einen einer er es für hat ich ihr im ist
-    mit nach nicht noch nur oder sich sie sind über um und uns vom von vor war wie wird zu zum zur
-    au aux avec ce ces cette comme dans de des du elle en est et il ils je la le les leur mais ne nous on ou où par pas plus
-    pour qu que qui sa se ses son sont sur un une vous
-    al como con del el ella en entre era es esta este fue ha hay la las lo los más me mi muy no o para pero por que se si sin
-    sobre su sus también un una y ya""".split()
+    that the their there they this to was we were which who will with you""".split()
 )
+GERMAN = frozenset(
+    """aber als am auch auf aus bei das dass dem den der des die durch ein eine einem einen einer er es für hat ich ihr im in ist
+    mit nach nicht noch nur oder sich sie sind so über um und uns vom von vor war was wie wird zu zum zur""".split()
+)
+FRENCH = frozenset(
+    """a au aux avec ce ces cette comme dans de des du elle en est et il ils je la le les leur mais ne nous on ou où par pas plus
+    pour qu que qui sa se ses son sont sur un une vous""".split()
+)
+SPANISH = frozenset(
+    """a al como con de del el ella en entre era es esta este fue ha hay la las lo los más me mi muy no o para pero por que se si
+    sin sobre son su sus también un una y ya""".split()
+)
+LANGUAGES = (ENGLISH, GERMAN, FRENCH, SPANISH)
+STOP_WORDS = frozenset().union(*LANGUAGES)
 BLOCKS = frozenset(
     """address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2
     h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td
@@ -50,6 +68,7 @@ BOILER_NAMES = frozenset(
     modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus reply
     replies respond related recommended recommendations widget toolbar pagination pager copyright legal disclaimer hidden teaser""".split()
 )
+COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 MAIN_NAMES = frozenset("article content post entry story main".split())
 
@@ -61,16 +80,26 @@ SENTENCE = re.compile(r"[.!?…]")
 RIGHTS = re.compile(r"\W*(©|\(c\)|copyright\b|all rights reserved\b)", re.I)
 
 
+MARKED, SURE = 1, 2
+
+
 class Block:
-    __slots__ = ("text", "links", "boiler", "main", "heading")
+    """A block's text, its characters in links, its marks (boiler: SURE for comments and hidden text) and its container; what
+    the passes ask of it: length, words, stop words in all and by language, whether it holds a sentence's end."""
+
+    __slots__ = ("text", "links", "boiler", "main", "heading", "box", "size", "words", "stops", "languages", "sentence", "script")
 
-    def __init__(self, text: str, links: int, boiler: bool, main: bool, heading: bool):
-        self.text, self.links, self.boiler, self.main, self.heading = text, links, boiler, main, heading
+    def __init__(self, text: str, links: int, boiler: int, main: bool, heading: bool, box: int = 0):
+        self.text, self.links, self.boiler, self.main, self.heading, self.box = text, links, boiler, main, heading, box
+        stops = [w for w in (x.strip(MARKS).lower() for x in text.split()) if w in STOP_WORDS]
+        self.size, self.words, self.stops = _size(text), len(text.split()), len(stops)
+        self.languages = [sum(w in language for w in stops) for language in LANGUAGES]
+        self.sentence, self.script = bool(SENTENCE.search(text)), _other_script(text)
 
 
-def _kind(name: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether an element says that it is boilerplate, and that it is the page's article."""
-    boiler, main = name in BOILER_TAGS or (name == "header" and not in_main), name in ("article", "main")
+def _kind(name: str, attributes: str, in_main: bool) -> tuple[int, bool]:
+    """Whether an element says that it is boilerplate (SURE: comments, or hidden), and that it is the page's article."""
+    boiler, main = int(name in BOILER_TAGS or (name == "header" and not in_main)), name in ("article", "main")
     if attributes:
         for key, a, b, c in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), (a or b or c).lower()
@@ -78,22 +107,22 @@ def _kind(name: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
                 names = {w for x in value.split() for w in (x, *re.split(r"[-_:]+", x))}
                 if name in WHOLE_TAGS:
                     continue  # its names tell of what the page has, not of what it is
-                boiler |= bool(names & BOILER_NAMES) or ("header" in names and not in_main and name != "article")
+                if names & BOILER_NAMES or ("header" in names and not in_main):
+                    boiler = max(boiler, SURE if names & COMMENT_NAMES else MARKED)
                 main |= bool(names & MAIN_NAMES) and name in ("div", "section", "td")
             elif key == "role":
-                boiler |= value in BOILER_ROLES
+                boiler = max(boiler, int(value in BOILER_ROLES))
                 main |= value == "main"
-            elif key == "hidden":
-                boiler = True
-            else:
-                boiler |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
+            elif key == "hidden" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                boiler = SURE
     return boiler, main and not boiler
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order; scripts, styles and the like leave none."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, in boilerplate, in the article
+    stack: list[tuple[str, int, bool, int]] = []  # open elements: name, in boilerplate, in the article, number
+    opened = 0
     text: list[str] = []
     linked: list[str] = []
     heading = False
@@ -103,8 +132,9 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                _, boiler, main = stack[-1] if stack else ("", False, False)
-                out.append(Block(whole, len(" ".join("".join(linked).split())), boiler, main, heading))
+                _, boiler, main, _ = stack[-1] if stack else ("", 0, False, 0)
+                within = [number for element, _, _, number in stack if element in BLOCKS]
+                out.append(Block(whole, len(" ".join("".join(linked).split())), boiler, main, heading, within[-2] if len(within) > 1 else 0))
             text.clear()
             linked.clear()
 
@@ -154,10 +184,11 @@ def blocks_of(page: str) -> list[Block]:
                         break
                     if stack[k][0] in BLOCKS:
                         break
-            _, boiler, main = stack[-1] if stack else ("", False, False)
+            _, boiler, main, _ = stack[-1] if stack else ("", 0, False, 0)
             own_boiler, own_main = _kind(name, attributes, main)
             if not attributes.rstrip().endswith("/"):
-                stack.append((name, boiler or own_boiler, main or own_main))
+                opened += 1
+                stack.append((name, max(boiler, own_boiler), main or own_main, opened))
                 if name == "a":
                     links += 1
         if name in BLOCKS:
@@ -178,73 +209,105 @@ def _other_script(text: str) -> bool:
     return 2 * sum(c >= "\u0370" for c in letters) > len(letters)
 
 
-def _stops(text: str) -> tuple[int, int]:
-    words = [w.strip(MARKS).lower() for w in text.split()]
-    return sum(w in STOP_WORDS for w in words), len(words)
-
-
-def first_pass(blocks: list[Block]) -> list[str]:
-    """Each block's label: good, bad or ? (undecided)."""
-    marked = any(b.main and not b.boiler for b in blocks)
-    stops = [_stops(b.text) for b in blocks]
-    plain = [n for b, n in zip(blocks, stops) if not b.boiler and not b.heading and len(b.text) >= SHORT and b.links <= FEW_LINKS * len(b.text) and not _other_script(b.text)]
-    unknown = sum(k for k, _ in plain) < STOP_OTHER * sum(n for _, n in plain)
-    labels = []
-    for b, (k, n) in zip(blocks, stops):
-        links, sentence = b.links / len(b.text), bool(SENTENCE.search(b.text))
-        if b.boiler or (marked and not b.main) or links > MOST_LINKS:
-            labels.append("bad")
-        elif not marked and RIGHTS.match(b.text):
-            labels.append("bad")
-        elif _size(b.text) < SHORT or b.heading:
-            labels.append("bad" if links > MOST_LINKS_SHORT and not marked else "?")
-        elif k >= STOP_HIGH * n or (k >= STOP_LOW * n and links <= FEW_LINKS and sentence):
-            labels.append("good")
-        elif links <= FEW_LINKS and (_other_script(b.text) or (unknown and sentence)):
-            labels.append("good")
-        elif k >= STOP_LOW * n or marked or (links <= FEW_LINKS and sentence):
-            labels.append("?")
+def _plain(b: Block, language: int, unknown: bool) -> str:
+    """A block's label by its length, stop words and links: good, bad or ? (undecided)."""
+    links = b.links / len(b.text)
+    foreign = max(b.languages) >= b.languages[language] + FOREIGN
+    if links > MOST_LINKS or RIGHTS.match(b.text):
+        return "bad"
+    if b.size < SHORT or b.heading:
+        return "bad" if links > MOST_LINKS_SHORT or (foreign and not b.heading) else "?"
+    if b.size < 2 * SHORT and foreign:
+        return "?"
+    if b.stops >= STOP_HIGH * b.words or (b.stops >= STOP_LOW * b.words and links <= FEW_LINKS and b.sentence):
+        return "good"
+    if links <= FEW_LINKS and (b.script or (unknown and b.sentence)):
+        return "good"
+    return "?" if b.stops >= STOP_LOW * b.words or (links <= FEW_LINKS and b.sentence) else "bad"
+
+
+def _favoured(b: Block) -> str:
+    """A block's label in a marked article: what is no heading is content by a sentence's end or by few stop words."""
+    if b.links > MOST_LINKS * len(b.text):
+        return "bad"
+    if not b.heading and (b.sentence or (b.size >= SHORT and b.stops >= STOP_LOW * b.words)):
+        return "good"
+    return "?"
+
+
+def first_pass(blocks: list[Block]) -> tuple[list[str], list[int]]:
+    """Each block's label, good, bad or ? (undecided), and the weight of its marks: 1 in an article, -1 in boilerplate or
+    outside a marked article, 0 where nothing is marked or the page's prose contradicts the marks."""
+    long = [b for b in blocks if not b.heading and b.size >= SHORT and b.links <= FEW_LINKS * len(b.text) and not b.script]
+    native = [b for b in long if not b.boiler] or long
+    told = [sum(b.languages[k] for b in native) for k in range(len(LANGUAGES))]
+    language = told.index(max(told))
+    unknown = sum(b.stops for b in native) < STOP_OTHER * sum(b.words for b in native)
+    labels = [_plain(b, language, unknown) for b in blocks]
+    prose = {"main": 0, "rest": 0, "boiler": 0}
+    where = ["sure" if b.boiler == SURE else "boiler" if b.boiler else "main" if b.main else "rest" for b in blocks]
+    for b, label, place in zip(blocks, labels, where):
+        if label == "good" and place in prose:
+            prose[place] += b.size
+    main, rest, boiler = prose.values()
+    trust_boiler = boiler < max(ARTICLE, OUTWEIGH * (main + rest))
+    told_wrong = {b.box for b, label, place in zip(blocks, labels, where) if place == "boiler" and label == "good" and not trust_boiler}
+    trust_main = "main" in where and trust_boiler and rest < max(ARTICLE, OUTWEIGH * main)
+    weights = []
+    for k, (b, place) in enumerate(zip(blocks, where)):
+        if place == "sure" or (place == "boiler" and b.box not in told_wrong) or (place == "rest" and trust_main):
+            weights.append(-1)
+            labels[k] = "bad"
+        elif place == "main" and trust_main:
+            weights.append(1)
+            labels[k] = _favoured(b)
         else:
-            labels.append("bad")
-    return labels
+            weights.append(0)
+    return labels, weights
 
 
-def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
+def second_pass(blocks: list[Block], labels: list[str], weights: list[int]) -> list[bool]:
     """Whether each block is content: decided ones are what they are; an undecided one follows the nearer of the decided
-    blocks before and after it, a heading the one after it. If both are as near and differ, whole sentences are content. In
-    a marked article only its own blocks are neighbours, and its two ends are content; a page's ends decide nothing."""
-    marked = any(b.main and not b.boiler for b in blocks)
-    some = [k for k, b in enumerate(blocks) if not marked or (b.main and not b.boiler)]
-    far = len(some) + 1
+    blocks before and after it, a heading the one after it. A decided block in another container is ACROSS steps farther (the nearer of two that come out as far is taken), and
+    an article's mark is a content block MARK_AWAY steps away on both sides. If both sides are as near and differ, whole
+    sentences are content. A page's ends decide nothing."""
+    far = len(blocks) + ACROSS + MARK_AWAY
 
     def nearest(order) -> dict[int, tuple[str, int]]:
         """Of each block, the label and distance of the nearest decided one that comes before it in this order."""
-        out, label, steps = {}, "good" if marked else "?", 0 if marked else far
-        for k in order:
+        out, last, of_box = {}, None, {}
+        for step, k in enumerate(order):
+            label, steps = "?", far
+            if blocks[k].box in of_box:
+                at, label = of_box[blocks[k].box]
+                steps = step - at
+            if last and step - last[0] + ACROSS <= steps:
+                label, steps = last[1], step - last[0] + ACROSS
+            if weights[k] > 0 and MARK_AWAY < steps:
+                label, steps = "good", MARK_AWAY
             out[k] = label, steps
-            decided = labels[k] != "?" and not (marked and labels[k] == "bad")
-            label, steps = (labels[k], 0) if decided else (label, steps + 1)
+            if labels[k] != "?":
+                last = of_box[blocks[k].box] = step, labels[k]
         return out
 
-    before, after = nearest(some), nearest(reversed(some))
-    content = [False] * len(blocks)
-    for k in some:
-        label = labels[k]
+    before, after = nearest(range(len(blocks))), nearest(range(len(blocks) - 1, -1, -1))
+    content = []
+    for k, label in enumerate(labels):
         if label == "?":
             (up, near_up), (down, near_down) = before[k], after[k]
             if blocks[k].heading and down != "?":
                 label = down
             elif up == down or near_up == near_down:
-                label = up if up == down else "good" if SENTENCE.search(blocks[k].text) else "bad"
+                label = up if up == down else "good" if blocks[k].sentence else "bad"
             else:
                 label = up if near_up < near_down else down
-        content[k] = label == "good"
+        content.append(label == "good")
     return content
 
 
 def classify(blocks: list[Block]) -> list[Block]:
     """Both passes; the blocks that are content."""
-    return [b for b, content in zip(blocks, second_pass(blocks, first_pass(blocks))) if content]
+    return [b for b, content in zip(blocks, second_pass(blocks, *first_pass(blocks))) if content]
 
 
 def main_text(page: str) -> str:

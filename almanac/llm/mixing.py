@@ -22,7 +22,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BUCKETS = 256
 #: The dynamic programme first covers so many words at least, or four times the longest open length if that is more; while
 #: it finds no exact fit, texts are untaken and it covers eight times as many, up to all of the budget or the second number.
-GAP, WIDEST = 1 << 14, 1 << 22
+#: Beyond, it goes on by residues.
+GAP, WIDEST = 1 << 14, 1 << 25
+#: So many of the shortest lengths serve as moduli, each in turn, until none leaves less.
+MODULI = 8
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -43,7 +46,9 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         new = (reach << size & mask) & ~reach
         if new:
             reach |= new
-            first[np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8), bitorder="little"))] = k
+            bits = np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8)
+            for at in range(0, len(bits), 1 << 17):
+                first[8 * at + np.flatnonzero(np.unpackbits(bits[at : at + (1 << 17)], bitorder="little"))] = k
         if reach >> budget & 1:
             break
     take, at = np.zeros(len(lengths), np.int64), reach.bit_length() - 1
@@ -54,11 +59,75 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     return take
 
 
+def by_residues(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, rest: int, pivot: int) -> np.ndarray:
+    """A take that leaves no more of the budget than this one, which leaves rest; its state is two numbers for each residue
+    modulo one length, the pivot's, however large the budget. cost[r] is the least sum of other lengths, taken more or
+    untaken, that changes the sum by r modulo the pivot's; texts of the pivot's length then make up the difference. Of the
+    residues that these suffice for, the one that leaves least is chosen."""
+    a = int(lengths[pivot])
+    cost = np.full(a, np.iinfo(np.int64).max // 2)
+    net = np.zeros(a, np.int64)
+    cost[0] = 0
+    items, used = [], []  # used: of an item that made some residues cheaper, which ones
+    for i in range(len(lengths)):
+        for sign, left in ((1, int(counts[i] - take[i])), (-1, int(take[i]))) if i != pivot else ():
+            left, power = min(left, a), 1  # a equal texts make a multiple of the pivot's length
+            while left > 0:
+                n = min(power, left)
+                items.append((i, sign * n, n * int(lengths[i])))
+                left -= n
+                power *= 2
+    for i, n, size in items:
+        step = n * int(lengths[i])
+        more = np.roll(cost, step % a) + size
+        better = more < cost
+        if not better.any():
+            continue
+        net = np.where(better, np.roll(net, step % a) + step, net)
+        cost = np.where(better, more, cost)
+        used.append((i, n, np.flatnonzero(better).astype(np.int32)))
+    k = (rest - net) // a  # of the pivot's length, to take more
+    possible = (cost < np.iinfo(np.int64).max // 2) & (-take[pivot] <= k)
+    k = np.minimum(k, counts[pivot] - take[pivot])
+    leaves = np.where(possible, rest - net - k * a, rest)
+    r = int(leaves.argmin())
+    if leaves[r] >= rest:
+        return take
+    out = take.copy()
+    out[pivot] += k[r]
+    for i, n, cheaper in used[::-1]:
+        at = int(np.searchsorted(cheaper, r))
+        if at < len(cheaper) and cheaper[at] == r:
+            out[i] += n
+            r = (r - n * int(lengths[i])) % a
+    return out
+
+
+def settle_by_residues(lengths: np.ndarray, counts: np.ndarray, takes: list[np.ndarray], budget: int) -> np.ndarray:
+    """The best that fits by residues lead to from these takes, modulo each of the shortest lengths in turn, again and again
+    until none leaves less."""
+
+    def left(take: np.ndarray) -> int:
+        return budget - int((take * lengths).sum())
+
+    done = []
+    for take in takes:
+        still, turn = 0, 0
+        pivots = np.argsort(lengths, kind="stable")[:MODULI]
+        while still < len(pivots) and left(take):
+            better = by_residues(lengths, counts, take, left(take), int(pivots[turn % len(pivots)]))
+            still, turn = (0 if left(better) < left(take) else still + 1), turn + 1
+            take = better
+        done.append(take)
+    return min(done, key=left)
+
+
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int = GAP, widest: int = WIDEST) -> np.ndarray:
     """How many documents of each length to take, so that the sum of lengths comes as near to budget from below as can be.
     lengths are distinct and positive. In proportion first, greatest first then; the programme fits what is left, and where
-    that has no exact fit, what is left and what the shortest taken texts free, of them all if it must. The fit is the best
-    of all where it is exact or all could be untaken, which `widest` bounds."""
+    that has no exact fit, what is left and what the shortest taken texts free, of them all if it must, or until it covers
+    `widest`; what is left then is fitted by residues. The fit is the best of all where it is exact, or all could be
+    untaken; by residues it is where the texts of one length suffice for every residue's change."""
     counts = counts.astype(np.int64)
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
@@ -69,13 +138,14 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int =
     lengths, budget, total = lengths // unit, budget // unit, total // unit
     take = np.minimum(counts, np.floor(counts * (budget / total) * (1 - 1e-12)).astype(np.int64))
     rest = budget - int((take * lengths).sum())
+    even = take
     gap = max(gap, 4 * int(lengths[counts > take].max()))
     down = np.argsort(-lengths, kind="stable")
     for i in down:
         if rest <= gap:
             break
         more = min(int(counts[i] - take[i]), max(0, rest - gap // 2) // int(lengths[i]))
-        take[i] += more
+        take = take + more * (np.arange(len(take)) == i)
         rest -= more * int(lengths[i])
     best, left, cover = take, rest, rest
     while True:
@@ -89,8 +159,10 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int =
         missed = open_ - int((more * lengths).sum())
         if missed < left:
             best, left = take - back + more, missed
-        if left == 0 or cover >= max(gap, widest) or (back == take).all():
+        if left == 0 or (back == take).all():
             return best
+        if cover >= max(gap, widest):
+            return settle_by_residues(lengths, counts, [best, even], budget)
         cover = max(gap, 8 * cover)
 
 

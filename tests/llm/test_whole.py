@@ -61,6 +61,27 @@ def test_long_texts_fill_a_budget_that_a_subset_makes():
         assert (take <= counts).all() and 0 <= budget - (take * lengths).sum() < 100
 
 
+def test_fits_beyond_the_programme_by_residues():
+    def least_left(lengths, counts, budget):
+        sums, mask = 1, (1 << (budget + 1)) - 1
+        for length, n in zip(lengths.tolist(), counts.tolist()):
+            for _ in range(n):
+                sums |= sums << length & mask
+        return budget - (sums.bit_length() - 1)
+
+    lengths, counts = np.array([200_000, 300_002, 700_001, 1_100_000, 2_000_003]), np.array([40, 30, 20, 10, 5])
+    for widest in (1 << 22, mixing.WIDEST):
+        take = mixing.fit_counts(lengths, counts, 31_234_567, widest=widest)
+        assert (take >= 0).all() and (take <= counts).all() and 31_234_567 - (take * lengths).sum() == 34_475
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        lengths = np.unique(rng.integers(50, 3000, rng.integers(2, 6)))
+        counts = rng.integers(1, 60, len(lengths))
+        budget = int(rng.integers(1, (lengths * counts).sum()))
+        take = mixing.fit_counts(lengths, counts, budget, gap=16, widest=16)
+        assert (take >= 0).all() and (take <= counts).all() and budget - (take * lengths).sum() == least_left(lengths, counts, budget)
+
+
 def test_pages_in_other_languages_and_names_of_the_whole_page():
     russian = "Сегодня утром в городе открылась новая библиотека, и сотни жителей пришли посмотреть на неё. " * 2
     polish = "Dzisiaj rano otwarto w mieście nową bibliotekę, setki mieszkańców przyszły ją obejrzeć. " * 2

@@ -170,10 +170,15 @@ def bootstrap_by_ticker(spark, sf):
     return resample.bootstrap_clusters(r, "k", "ar", 500, 42).select(*r6("mean", "low", "high"))
 
 
-@query()
+@query(f"""{RETURNS}, g AS (SELECT ticker, count(ar) AS n, avg(ar) / (stddev_samp(ar) / sqrt(count(ar))) AS t FROM r5 GROUP BY 1 HAVING count(ar) >= 3),
+v AS (SELECT *, n - 1 AS df, (n - 1) / (n - 1 + t * t) AS c, atan(abs(t) / sqrt(n - 1)) AS angle FROM g), j AS (SELECT *, unnest(range(0, df // 2)) AS j FROM v),
+terms AS (SELECT *, sum(CASE WHEN j = 0 THEN 0.0 WHEN df % 2 = 1 THEN ln(2.0 * j / (2 * j + 1)) ELSE ln((2.0 * j - 1) / (2 * j)) END) OVER (PARTITION BY ticker ORDER BY j) + j * ln(c) AS l FROM j)
+SELECT ticker, n, round(t, 4) AS t, round(1 - CASE WHEN df % 2 = 1 THEN 2 / pi() * (angle + sin(angle) * cos(angle) * sum(exp(l))) ELSE sin(angle) * sum(exp(l)) END, 6) AS p FROM terms GROUP BY ticker, n, t, df, angle""")
 def student_p_values(spark, sf):
+    """The SQL form is the distribution's finite series for whole degrees of freedom, not the incomplete beta's fraction."""
     b = stats.bundle(returns5(spark, sf), ["ticker"], "ar", least=3)
-    return b.select("ticker", "n", "t", stats.student_p(F.col("t"), (F.col("n") - 1).cast("double")).alias("p"))
+    p = stats.student_p(F.col("t"), (F.col("n") - 1).cast("double"))
+    return b.select("ticker", "n", F.round("t", 4).alias("t"), F.round(p, 6).alias("p"))
 
 
 def _newey_west_sql(lags: int = 5) -> str:

@@ -48,15 +48,21 @@ def nearest(events: DataFrame, filings: DataFrame, days: int) -> DataFrame:
 
 def capped_articles(events: DataFrame, articles: DataFrame, days: int, most: int, key: Column) -> DataFrame:
     """Per event the articles within days, one for each key, the first `most` by date and key. Keys are made, a day's equal
-    ones become one and only its first `most` stay before events meet articles: before a later one come as many of its day,
-    or the same ones earlier, at any event."""
+    ones become one and only its first `most` stay before they meet anything: before a later one come as many of its day, or
+    the same ones earlier, at any event. What meets articles are a ticker's days that have events, not events: each event
+    then takes its day's list, `most` articles at most, and one whose id is there several times the first of its lists."""
     keyed = articles.withColumn("key", key).select("ticker", "article_date", "key").distinct()
     place = F.row_number().over(Window.partitionBy("ticker", "article_date").orderBy("key"))
     keyed = keyed.withColumn("_r", place).where(F.col("_r") <= most).drop("_r")
-    pairs = within(events.select("event_id", "ticker", "event_date"), keyed, days)
-    one = pairs.groupBy("event_id", "key").agg(F.min(F.struct("article_date", "gap")).alias("_a")).select("event_id", "key", "_a.*")
-    rank = F.row_number().over(Window.partitionBy("event_id").orderBy("article_date", "key"))
-    return one.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+    pairs = within(events.select("ticker", "event_date").distinct(), keyed, days)
+    one = pairs.groupBy("ticker", "event_date", "key").agg(F.min(F.struct("article_date", "gap")).alias("_a")).select("ticker", "event_date", "key", "_a.*")
+    rank = F.row_number().over(Window.partitionBy("ticker", "event_date").orderBy("article_date", "key"))
+    first = one.withColumn("_r", rank).where(F.col("_r") <= most)
+    lists = first.groupBy("ticker", "event_date").agg(F.collect_list(F.struct("article_date", "key", "gap")).alias("_l"))
+    own = events.select("event_id", "ticker", "event_date").join(lists, ["ticker", "event_date"]).groupBy("event_id").agg(F.array_sort(F.flatten(F.collect_list("_l"))).alias("_l"))
+    keys = F.transform("_l", lambda x: x["key"])
+    unique = F.filter("_l", lambda x, i: F.array_position(keys, x["key"]) == i + 1)
+    return own.select("event_id", F.inline(F.slice(unique, 1, most))).select("event_id", "key", "article_date", "gap")
 
 
 def short_key(*columns: str, size: int = 28) -> Column:

@@ -2,8 +2,10 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from almanac import plans
 from almanac.operators import confound
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +28,9 @@ def test_days_meet_articles_not_events(spark, monkeypatch):
     first = [(day - datetime.timedelta(7), f"k{k}", -7) for k in range(3)]
     assert all(by[i] == first for i in range(50))  # 7 is there twice: b's articles come later
     assert len(got) == 150
+
+
+@pytest.mark.parametrize("name", ["median_and_fixed_buckets"])
+def test_no_frame_is_made_anew_for_each_row(spark, name):
+    plan = plan_of(plans.queries()[name](spark, SF)).lower()
+    assert "window" in plan and "unboundedfollowing" not in plan

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from almanac.operators import select, substring
@@ -176,13 +177,13 @@ def set_difference(spark, sf):
 @query(f"""WITH {EV}, w AS (SELECT a.event_id, b.event_id AS other, row_number() OVER (PARTITION BY a.event_id ORDER BY sha256(CAST(b.event_id AS VARCHAR) || '|m'), b.event_id) AS r FROM ev a JOIN ev b ON a.ticker = b.ticker AND b.event_date < a.event_date AND b.event_date >= a.event_date - 60 AND a.creator = b.creator)
 SELECT event_id, other FROM w WHERE r = 1""")
 def prior_event_match(spark, sf):
-    """A seeded pick among the creator's earlier events of the ticker within 60 days."""
-    ev = recommendations(spark, sf).select("event_id", "ticker", "creator", "event_date")
-    bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / 61)
-    b = ev.select("ticker", "creator", F.col("event_id").alias("other"), F.col("event_date").alias("d"), bucket("event_date").alias("b"))
-    ev = ev.withColumn("b", F.explode(F.array(bucket("event_date"), bucket("event_date") - 1)))  # 60 days reach into the bucket before
-    pairs = ev.join(b, ["ticker", "creator", "b"]).where("d < event_date and d >= date_sub(event_date, 60)").withColumn("h", select.seeded("other", seed="m"))
-    return pairs.groupBy("event_id").agg(F.min_by("other", F.struct("h", "other")).alias("other"))
+    """A seeded pick among the creator's earlier events of the ticker within 60 days: the first of each day, then the first of
+    the 60 days before, so no two events are paired."""
+    ev = recommendations(spark, sf).select("event_id", "ticker", "creator", "event_date").where("event_date is not null")
+    daily = ev.withColumn("h", F.unhex(select.seeded("event_id", seed="m"))).groupBy("ticker", "creator", "event_date").agg(F.min(F.struct("h", F.col("event_id").alias("other"))).alias("first"))
+    w = Window.partitionBy("ticker", "creator").orderBy(F.datediff("event_date", F.lit("1970-01-01").cast("date"))).rangeBetween(-60, -1)
+    before = daily.select("ticker", "creator", "event_date", F.min("first").over(w).alias("pick")).where("pick is not null")
+    return ev.join(before, ["ticker", "creator", "event_date"]).groupBy("event_id").agg(F.min("pick").alias("pick")).select("event_id", "pick.other")
 
 
 @query(f"""WITH {EV}, t AS (SELECT event_id, creator, size AS treated FROM ev WHERE direction = 'positive'), c AS (SELECT creator, avg(size) AS control FROM ev WHERE direction <> 'positive' GROUP BY 1) SELECT creator, count(*) AS n, round(avg(treated - control), 4) AS diff FROM t JOIN c USING (creator) GROUP BY 1""")

@@ -2,11 +2,15 @@
 
 import datetime
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from almanac import plans
 from almanac.operators import confound
+from almanac.plans import joins
+from tests.compare import connection, difference
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +38,15 @@ def test_days_meet_articles_not_events(spark, monkeypatch):
 def test_no_frame_is_made_anew_for_each_row(spark, name):
     plan = plan_of(plans.queries()[name](spark, SF)).lower()
     assert "window" in plan and "unboundedfollowing" not in plan
+
+
+def test_no_two_events_are_paired(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    days = pd.Timestamp("1995-01-01") + pd.to_timedelta(rng.integers(0, 200, 400), "D")
+    orders = pd.DataFrame({"o_orderkey": np.arange(400) * 25, "o_custkey": 35 * (np.arange(400) % 9), "o_orderstatus": "O", "o_totalprice": 1.0, "o_orderdate": days, "o_orderpriority": "1-URGENT"})
+    spark.createDataFrame(orders).coalesce(1).write.parquet(str(tmp_path / "o"))
+    next((tmp_path / "o").glob("*.parquet")).rename(tmp_path / "orders.parquet")
+    out = joins.prior_event_match(spark, str(tmp_path))
+    assert difference(out, plans.oracle_sql()["prior_event_match"], connection(str(tmp_path))) == ""
+    plan = plan_of(out)
+    assert "Generate" not in plan and "Window" in plan

@@ -34,7 +34,7 @@ def test_days_meet_articles_not_events(spark, monkeypatch):
     assert len(got) == 150
 
 
-@pytest.mark.parametrize("name", ["median_and_fixed_buckets", "quantiles"])
+@pytest.mark.parametrize("name", ["median_and_fixed_buckets", "quantiles", "quartile_buckets"])
 def test_no_frame_is_made_anew_for_each_row(spark, name):
     plan = plan_of(plans.queries()[name](spark, SF)).lower()
     assert "window" in plan and "unboundedfollowing" not in plan

@@ -302,7 +302,8 @@ def signed_rank(df: DataFrame, x: str) -> DataFrame:
     upto = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("part", upto("size", Window.orderBy("part")).alias("start"))
     ranked = parted.join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + upto("c", Window.partitionBy("part").orderBy("v")) + (F.col("c") + 1) / 2)
-    out = ranked.agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("c") * (F.col("c") * F.col("c") - 1)).alias("ties"))
-    n = F.col("n")
+    c = F.col("c").cast("double")  # cubes of counts leave the whole numbers beyond some two million rows
+    out = ranked.agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(c * (c * c - 1)).alias("ties"))
+    n = F.col("n").cast("double")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     return out.withColumn("z", (F.col("w_plus") - n * (n + 1) / 4) / sd).withColumn("p", normal_p(F.col("z"))).drop("ties")

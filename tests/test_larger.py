@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from almanac import plans
-from almanac.operators import confound
+from almanac.operators import confound, stats
 from almanac.plans import joins
 from tests.compare import connection, difference
 
@@ -50,3 +50,10 @@ def test_no_two_events_are_paired(spark, tmp_path):
     assert difference(out, plans.oracle_sql()["prior_event_match"], connection(str(tmp_path))) == ""
     plan = plan_of(out)
     assert "Generate" not in plan and "Window" in plan
+
+
+def test_signed_ranks_of_millions(spark):
+    n, c = 2_500_000, 2_500
+    got = stats.signed_rank(spark.range(n).select((F.col("id") % 1000 + 1).cast("double").alias("x")), "x").first()
+    sd = (n * (n + 1) * (2 * n + 1) / 24 - 1000 * c * (c * c - 1) / 48) ** 0.5
+    assert got["n"] == n and got["w_plus"] == n * (n + 1) / 2 and got["z"] == pytest.approx(n * (n + 1) / 4 / sd)

@@ -40,7 +40,8 @@ def with_static(events: DataFrame, static: DataFrame, days: int) -> DataFrame:
     size = (days + 1) * 86400
     bucket = lambda c: F.floor(F.unix_timestamp(c) / size)
     s = static.withColumn("_b", F.explode(F.array(*[bucket("event_ts") + i for i in (-1, 0, 1)])))
-    near = F.abs(F.unix_timestamp("ts") - F.unix_timestamp("event_ts")) <= days * 86400
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    near = F.abs(micros("ts") - micros("event_ts")) <= days * 86400 * 1_000_000
     return events.withColumn("_b", bucket("ts")).join(s, ["user_id", "_b"]).where(near).drop("_b")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from almanac import plans
 from almanac.operators import confound, stats
 from almanac.plans import joins, samples
+from almanac.streaming import jobs
 from tests.compare import connection, difference
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +69,11 @@ def test_thirds_and_their_edges_are_of_one_making(spark, monkeypatch):
     monkeypatch.setattr(samples, "returns5", lambda spark, sf: made)
     r = samples.order_statistic_winsor(spark, SF).first()
     assert (r["n"], r["low_third"], r["middle_third"], r["high_third"]) == (301, 101, 100, 100)
+
+
+def test_a_range_join_counts_parts_of_seconds(spark):
+    at = datetime.datetime(2024, 1, 1, 12, 0, 0, 900_000)
+    later = {1: 86_400_000_000, 2: 86_400_000_001, 3: -86_400_000_000, 4: -86_400_000_001, 5: 86_399_999_999}
+    events = spark.createDataFrame([(i, 1, at + datetime.timedelta(microseconds=m)) for i, m in later.items()], "event_id long, user_id long, ts timestamp")
+    static = spark.createDataFrame([(1, at, 9)], "user_id long, event_ts timestamp, signup long")
+    assert sorted(r["event_id"] for r in jobs.with_static(events, static, 1).collect()) == [1, 3, 5]

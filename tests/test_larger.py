@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from almanac import plans
-from almanac.operators import confound, stats
+from almanac.operators import confound, resample, stats
 from almanac.plans import joins, samples
 from almanac.streaming import jobs
 from tests.compare import connection, difference
@@ -77,3 +77,18 @@ def test_a_range_join_counts_parts_of_seconds(spark):
     events = spark.createDataFrame([(i, 1, at + datetime.timedelta(microseconds=m)) for i, m in later.items()], "event_id long, user_id long, ts timestamp")
     static = spark.createDataFrame([(1, at, 9)], "user_id long, event_ts timestamp, signup long")
     assert sorted(r["event_id"] for r in jobs.with_static(events, static, 1).collect()) == [1, 3, 5]
+
+
+def test_each_row_takes_a_drawn_row_of_its_group(spark):
+    n, draws, seed = 210_000, 7, 5  # groups of more places than a block has
+    x = np.round(np.random.default_rng(1).normal(size=n), 3)
+    df = spark.createDataFrame(pd.DataFrame({"g": np.arange(n) % 3, "k": 2 * np.arange(n), "x": x}))
+    got = resample.within_group(df.repartition(5), "g", "k", "x", draws, seed).first()
+    means = []
+    for d in range(draws):
+        u = (2 * np.arange(n) * 48271 + d * 69621 + seed) % resample.PRIME
+        u = ((u * u + 12345) % resample.PRIME * 16807) % resample.PRIME
+        u = ((u * u + 54321) % resample.PRIME + 0.5) / resample.PRIME
+        means.append(np.mean([x[g::3][np.floor(u[g::3] * (n // 3)).astype(int)].mean() for g in range(3)]))
+    assert got["n"] == n and got["drawn_mean"] == pytest.approx(np.mean(means), abs=1e-12)
+    assert got["p"] == pytest.approx(np.mean(np.abs(means) >= abs(x.mean())))

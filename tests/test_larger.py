@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from almanac import plans
-from almanac.operators import confound, resample, stats
+from almanac.operators import confound, resample, returns, stats
 from almanac.plans import joins, samples
+from almanac.plans.registry import aligned, index
 from almanac.streaming import jobs
 from tests.compare import connection, difference
 
@@ -92,3 +93,19 @@ def test_each_row_takes_a_drawn_row_of_its_group(spark):
         means.append(np.mean([x[g::3][np.floor(u[g::3] * (n // 3)).astype(int)].mean() for g in range(3)]))
     assert got["n"] == n and got["drawn_mean"] == pytest.approx(np.mean(means), abs=1e-12)
     assert got["p"] == pytest.approx(np.mean(np.abs(means) >= abs(x.mean())))
+
+
+def test_long_horizons_take_drawn_rows(spark):
+    i = index(spark, SF)
+    r = returns.horizon_returns(returns.align(aligned(spark, SF).drop("adj_date", "idx", "trade_date"), i), i, [63]).where("ar is not null").toPandas()
+    means = []
+    for d in range(20):
+        taken = []
+        for _, g in r.sort_values("event_id").groupby("ticker"):
+            u = (g["event_id"].to_numpy() * 48271 + d * 69621 + 11) % resample.PRIME
+            u = ((u * u + 12345) % resample.PRIME * 16807) % resample.PRIME
+            u = ((u * u + 54321) % resample.PRIME + 0.5) / resample.PRIME
+            taken += g["ar"].to_numpy()[np.floor(u * len(g)).astype(int)].tolist()
+        means.append(np.mean(taken))
+    got = plans.queries()["long_horizon_permutation"](spark, SF).first()
+    assert got["n"] == len(r) and got["drawn_mean"] == pytest.approx(np.mean(means), abs=2e-6)

@@ -59,19 +59,39 @@ def capped(events: DataFrame, most: int) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, ts timestamp", "seen long", "append", "NoTimeout")
 
 
+#: Buckets of users: state and Python's calls are by bucket, so their number doesn't grow with the users.
+BUCKETS = 1024
+
+
+def bucketed(df: DataFrame) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).cast("int"))
+
+
+def whole(column: pd.Series) -> list:
+    """Whole numbers of a column, which nulls make one of doubles; nulls are None."""
+    return [None if pd.isna(x) else int(x) for x in column] if column.hasnans else column.astype("int64").tolist()
+
+
 def distinct_capped(events: DataFrame, most: int) -> DataFrame:
-    """The first `most` different events of each user: the ids that are kept, so many at most, are all the state there is."""
+    """The first `most` different events of each user: the ids that are kept, so many at most, are all the state there is.
+    Users of a bucket are one group, whose rows are passed through once."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
+        kept = {}
+        for user, event in zip(*state.get, strict=True) if state.exists else ():
+            kept.setdefault(user, set()).add(event)
         for part in parts:
-            part = part.sort_values(["ts", "event_id"]).drop_duplicates("event_id")
-            out = part[~part["event_id"].isin(kept)].head(most - len(kept))
-            kept += out["event_id"].tolist()
-            yield out[["user_id", "event_id", "ts"]]
-        state.update((kept,))
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, ts timestamp", "kept array<long>", "append", "NoTimeout")
+            part, out = part.sort_values(["ts", "event_id"]), []
+            for i, (user, event) in enumerate(zip(whole(part["user_id"]), whole(part["event_id"]), strict=True)):
+                ids = kept.setdefault(user, set())
+                if len(ids) < most and event not in ids:
+                    ids.add(event)
+                    out.append(i)
+            yield part.iloc[out][["user_id", "event_id", "ts"]]
+        pairs = [(user, event) for user, ids in kept.items() for event in ids]
+        state.update(([user for user, _ in pairs], [event for _, event in pairs]))
+
+    return bucketed(events).groupBy("bucket").applyInPandasWithState(step, "user_id long, event_id long, ts timestamp", "users array<long>, ids array<long>", "append", "NoTimeout")
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

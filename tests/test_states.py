@@ -84,3 +84,16 @@ def test_states_of_providers(spark):
             want = "confounded" if own and near > 1.5 * usual else "clean" if reach else "unknown"
             assert rows[i][f"{name}_state"] == want and rows[i][f"{name}_near"] == near
     assert {r["rare_state"] for r in rows.values()} == {"confounded", "clean", "unknown"}
+
+
+def test_users_of_a_bucket_are_one_group(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "BUCKETS", 2)
+    schema, start = "user_id long, event_id long, ts timestamp", datetime(2024, 1, 1)
+    rows = [(u, 100 * u + e % (u + 2), start + timedelta(minutes=e)) for u in range(40) for e in range(30)] + [(None, e, start) for e in range(4)] + [(3, None, start)] * 2
+    for half in (rows[::2], rows):
+        spark.createDataFrame(half, schema).repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+        jobs.run_once(jobs.distinct_capped(jobs.source(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, files=2), 5), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    got = [(r["user_id"], r["event_id"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert len(got) == len(set(got)) and set(got) <= {r[:2] for r in rows}
+    counts = {u: sum(g[0] == u for g in got) for u in [*range(40), None]}
+    assert counts == {u: min(5, len({r[1] for r in rows if r[0] == u})) for u in counts}

@@ -153,9 +153,8 @@ def analyst_grades(spark, sf):
     """Grades as stances, by their words; and stances from counts of analysts and from ratings."""
     k = F.col("o_orderkey")
     raw = F.element_at(F.array(*map(F.lit, _GRADE_TEXTS)), (1 + k % len(_GRADE_TEXTS)).cast("int"))
-    stance, sure, rule = rules.grade(F.col("raw"))
     upside = F.when(k % 2 == 0, (k % 41 - 20) / 200.0)
-    return table(spark, sf, "orders").withColumn("raw", raw).select(k.alias("event_id"), stance.alias("stance"), sure.alias("sure"), rule.alias("rule"), rules.stance_of_counts(k % 5, k % 3, k % 4).alias("by_counts"), rules.stance_of_rating(k % 7 - 1, upside).alias("by_rating"))
+    return rules.graded(table(spark, sf, "orders").select("o_orderkey", raw.alias("raw")), "raw").select(k.alias("event_id"), "stance", "sure", "rule", rules.stance_of_counts(k % 5, k % 3, k % 4).alias("by_counts"), rules.stance_of_rating(k % 7 - 1, upside).alias("by_rating"))
 
 
 @query(f"""WITH {POSTS}, {_R}, g AS (SELECT creator, count(*) AS items, count(*) FILTER (contains(text, '$')) AS mentions, count(*) FILTER (candidate) AS actionable, avg(size) AS engagement, count(DISTINCT symbol) AS diversity FROM rec GROUP BY 1)

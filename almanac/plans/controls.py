@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from almanac.operators import calendar as cal
 from almanac.operators import returns, select
 from almanac.plans.registry import EVENTS, RETURNS, aligned, index, query, returns5
+from almanac.sources.shared import written
 
 _AT = "SELECT al.event_id, al.ticker, al.idx, al.direction, al.event_date, al.creator, al.size FROM al WHERE idx IS NOT NULL"
 
@@ -33,10 +34,9 @@ def placebo_rows(spark, sf):
 @query(f"""{RETURNS}, x AS (SELECT event_id, ar, year(event_date) AS y FROM r5 WHERE ar IS NOT NULL), k AS (SELECT unnest(range(0, 20)) AS rep), p AS (SELECT rep, y, ar, row_number() OVER (PARTITION BY rep, y ORDER BY sha256(CAST(event_id AS VARCHAR) || '|' || CAST(rep AS VARCHAR) || '|sh'), event_id) AS r, count(*) OVER (PARTITION BY rep, y) AS n FROM x CROSS JOIN k) SELECT CAST(rep AS INTEGER) AS rep, count(*) AS n, round(avg(ar), 6) AS mean_ar FROM p WHERE r <= n // 3 GROUP BY 1""")
 def year_stratified_shuffle(spark, sf):
     """In each replicate a seeded third of each year's events: how means spread if labels are shuffled within years."""
-    x = returns5(spark, sf).where("ar is not null").select("event_id", "ar", F.year("event_date").alias("y")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("h", select.seeded("event_id", "rep", seed="sh"))
-    w = Window.partitionBy("rep", "y")
-    x = x.withColumns({"r": F.row_number().over(w.orderBy("h", "event_id")), "n": F.count("*").over(w)})
-    return x.where("r <= floor(n / 3)").groupBy("rep").agg(F.count("*").alias("n"), F.round(F.avg("ar"), 6).alias("mean_ar"))
+    x = written(returns5(spark, sf).where("ar is not null").select("event_id", "ar", F.year("event_date").alias("y")), "shuffled")
+    drawn = select.first_seeded(x.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(19)))), ["rep", "y"], ["event_id", "rep"], "sh", "event_id", 3, "ar")
+    return drawn.groupBy("rep").agg(F.sum("n").alias("n"), F.round(F.try_divide(F.sum("s"), F.sum("c")), 6).alias("mean_ar"))
 
 
 @query(f"""{EVENTS}, t AS (SELECT al.event_id, al.ticker, al.idx, date_trunc('month', al.trade_date) AS month, round(a.px / p.px - 1, 6) AS pre FROM al JOIN pi a ON al.ticker = a.ticker AND al.idx = a.idx JOIN pi p ON al.ticker = p.ticker AND al.idx - 5 = p.idx),

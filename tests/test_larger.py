@@ -1,6 +1,7 @@
 """What keeps queries whole on larger tables: no pairs of events, no frame made anew for each row, no sum beyond its type."""
 
 import datetime
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -8,9 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from almanac import plans
-from almanac.operators import confound, resample, returns, stats
-from almanac.plans import joins, samples
+from almanac.functions import rules
+from almanac.operators import confound, resample, returns, select, stats
+from almanac.plans import inference, joins, mechanisms, samples
 from almanac.plans.registry import aligned, index
+from almanac.plans.rules import _GRADE_TEXTS, _GRADE_WANT
 from almanac.streaming import jobs
 from tests.compare import connection, difference
 
@@ -114,3 +117,37 @@ def test_long_horizons_take_drawn_rows(spark):
 def test_strata_are_cut_before_they_meet(spark):
     out = plans.queries()["stratified_round_robin"](spark, SF)
     assert "WindowGroupLimit" in plan_of(out)
+
+
+def test_each_different_grade_is_judged_once(spark):
+    texts = [*_GRADE_TEXTS, None, "Hold", "weak hold", "perform / outperform", "hold on a weak hold", "to buy", "coverage"]
+    want = [*_GRADE_WANT, ("unknown", "unknown", "missing"), ("neutral", "high", "exact"), ("bearish", "high", "exact"), ("bullish", "medium", "phrase"), ("bearish", "medium", "phrase"), ("bullish", "medium", "to_grade"), ("unknown", "unknown", "unmapped")]
+    out = rules.graded(spark.createDataFrame([(k, texts[k % len(texts)]) for k in range(3 * len(texts))], "k int, g string"), "g")
+    got = {r["k"]: (r["stance"], r["sure"], r["rule"]) for r in out.collect()}
+    assert got == {k: want[k % len(texts)] for k in range(3 * len(texts))}
+    plan = plan_of(out)
+    assert "Aggregate" in plan and plan.count("RLIKE") < 200
+
+
+def test_a_seeded_part_of_each_group_needs_no_order_of_all(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(k), None if k % 7 == 0 else f"g{rng.integers(0, 3)}", None if k % 11 == 0 else float(rng.integers(0, 99))) for k in range(20_000)] + [(k, f"few{k // 4}", 1.0) for k in range(50_000, 50_014)]
+    df = spark.createDataFrame(rows, "k long, g string, x double")
+    out = select.first_seeded(df, ["g"], ["k"], "s", "k", 3, "x")
+    h = lambda k: hashlib.sha256(f"{k}|s".encode()).hexdigest()
+    want = {}
+    for g in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == g), key=lambda r: (h(r[0]), r[0]))
+        values = [r[2] for r in own[: len(own) // 3]]
+        if values:
+            want[g] = (len(values), sum(v is not None for v in values), sum(v or 0.0 for v in values))
+    assert {r["g"]: (r["n"], r["c"], r["s"]) for r in out.collect()} == want
+
+
+def test_prices_and_features_are_made_once(spark):
+    for made in (index(spark, SF), mechanisms.row_features(spark, SF), inference._features(spark, SF)):
+        assert "Window" not in plan_of(made) and "Join" not in plan_of(made)
+
+
+def test_creators_returns_are_found_on_price_rows(spark):
+    assert "pivotfirst" not in plan_of(plans.queries()["creator_report"](spark, SF)).lower()

@@ -24,7 +24,7 @@ FEATURES = ["pre5", "pre21", "pre63", "vol21", "volume_ratio", "post5", "post21"
 
 
 def row_features(spark, sf):
-    """Every row of the price table with its features, from rows before and after it: no join for a horizon."""
+    """Every row of the price table with its features, from rows before and after it: no join for a horizon. Written once."""
     li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
     volume = li.join(p, li.l_partkey == p.p_partkey).groupBy(F.col("p_brand").alias("ticker"), F.to_date("l_shipdate").alias("date")).agg(F.sum("l_quantity").alias("volume"))
     d = returns.with_daily(index(spark, sf)).join(volume, ["ticker", "date"])
@@ -33,7 +33,8 @@ def row_features(spark, sf):
     over = lambda k: gain("px", k) - gain("bench", k)
     before = w.rowsBetween(-20, -1)
     ratio = F.when(F.count("*").over(before) == 20, F.col("volume") / F.avg("volume").over(before))
-    return d.select("ticker", "idx", *[over(k).alias(f"pre{k}") for k in (5, 21, 63)], *[over(-k).alias(f"post{k}") for k in (5, 21)], F.stddev_samp("ret").over(w.rowsBetween(-20, 0)).alias("vol21"), F.stddev_samp("ret").over(w.rowsBetween(1, 5)).alias("post_vol5"), ratio.alias("volume_ratio"))
+    rows = d.select("ticker", "idx", *[over(k).alias(f"pre{k}") for k in (5, 21, 63)], *[over(-k).alias(f"post{k}") for k in (5, 21)], F.stddev_samp("ret").over(w.rowsBetween(-20, 0)).alias("vol21"), F.stddev_samp("ret").over(w.rowsBetween(1, 5)).alias("post_vol5"), ratio.alias("volume_ratio"))
+    return written(rows, "rows")
 
 
 def features(spark, sf):
@@ -64,7 +65,7 @@ def _selection(spark, sf):
 def selection_regression(spark, sf):
     """Whether events are where returns had gone up: the 21 steps before on being an event, on the top class, and on both, with
     errors clustered by ticker."""
-    d = _selection(spark, sf).withColumn("event_top", F.col("event") * F.col("top"))
+    d = written(_selection(spark, sf).select("ticker", "pre21", "event", "top", (F.col("event") * F.col("top")).alias("event_top")), "selection")  # which is passed over three times
     return _coefficients(spark, stats.ols(d, "pre21", ["event", "top", "event_top"], cluster="ticker"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from almanac.operators import resample, returns, stats
 from almanac.plans.registry import EVENTS, PX, RETURNS, index, query, r6, returns5
+from almanac.sources.shared import written
 from almanac.sources.tables import recommendations, table
 
 def _normal_p(t: str) -> str:
@@ -232,6 +233,7 @@ def _features(spark, sf):
     from pyspark.ml.feature import VectorAssembler
 
     d = _design(spark, sf).where("y is not null").withColumn("label", (F.col("y") > 0).cast("double"))
+    d = written(d.select("creator", "label", "score", "log_size", "positive"), "features")  # models pass over it many times
     return VectorAssembler(inputCols=["score", "log_size", "positive"], outputCol="features").transform(d)
 
 

@@ -151,3 +151,10 @@ def test_prices_and_features_are_made_once(spark):
 
 def test_creators_returns_are_found_on_price_rows(spark):
     assert "pivotfirst" not in plan_of(plans.queries()["creator_report"](spark, SF)).lower()
+
+
+def test_a_forest_passes_over_written_rows(spark, monkeypatch):
+    made, own = [], inference.written
+    monkeypatch.setattr(inference, "written", lambda df, name: made.append(name) or own(df, name))
+    rows = inference.forest_importances(spark, SF).collect()
+    assert made == ["features"] and sum(r["importance"] for r in rows) == pytest.approx(1)

@@ -166,11 +166,13 @@ _SETS = {"market": ["pre5", "pre21", "pre63"], "all": ["pre5", "pre21", "pre63",
 
 
 def _labelled(spark, sf):
-    """Events with all features and whether the 21 steps after were above the benchmark, with three families of folds."""
+    """Events with all features and whether the 21 steps after were above the benchmark, with three families of folds: a row for each
+    different one, weighing as many as there are. Features are a ticker's and day's, so these grow with days, not events."""
     known = " and ".join(f"{c} is not null" for c in [*_SETS["all"], "post21"])
     f = features(spark, sf).where(known).withColumn("label", (F.col("post21") > 0).cast("double"))
     folds = {"creator": F.col("creator") % 3, "ticker": F.substring("ticker", 7, 9).cast("int") % 3, "year": F.year("event_date") % 3}
-    return written(f.select("event_id", "event_date", "label", *_SETS["all"], *[c.cast("int").alias(f"fold_{n}") for n, c in folds.items()]), "labelled")
+    f = f.select("label", *_SETS["all"], *[c.cast("int").alias(f"fold_{n}") for n, c in folds.items()])
+    return written(f.groupBy(*f.columns).agg(F.count("*").cast("double").alias("weight")), "labelled")
 
 
 @query()
@@ -185,8 +187,8 @@ def incremental_areas(spark, sf):
     for name, columns in _SETS.items():
         assembled = VectorAssembler(inputCols=columns, outputCol="features").transform(d)
         for family in ("creator", "ticker", "year"):
-            model = LogisticRegression(maxIter=8, regParam=0.01)  # which brings features to one scale itself
-            fitted = CrossValidator(estimator=model, estimatorParamMaps=ParamGridBuilder().build(), evaluator=BinaryClassificationEvaluator(), numFolds=3, foldCol=f"fold_{family}", parallelism=3).fit(assembled)
+            model = LogisticRegression(maxIter=8, regParam=0.01, weightCol="weight")  # which brings features to one scale itself
+            fitted = CrossValidator(estimator=model, estimatorParamMaps=ParamGridBuilder().build(), evaluator=BinaryClassificationEvaluator(weightCol="weight"), numFolds=3, foldCol=f"fold_{family}", parallelism=3).fit(assembled)
             rows.append((name, family, len(columns), float(fitted.avgMetrics[0])))
     return spark.createDataFrame(rows, "features string, unseen string, n_features int, area double")
 

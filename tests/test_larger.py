@@ -158,3 +158,11 @@ def test_a_forest_passes_over_written_rows(spark, monkeypatch):
     monkeypatch.setattr(inference, "written", lambda df, name: made.append(name) or own(df, name))
     rows = inference.forest_importances(spark, SF).collect()
     assert made == ["features"] and sum(r["importance"] for r in rows) == pytest.approx(1)
+
+
+def test_equal_labelled_rows_are_one_that_weighs_as_many(spark, monkeypatch):
+    f = mechanisms.features(spark, SF)
+    monkeypatch.setattr(mechanisms, "features", lambda spark, sf: f.unionByName(f).unionByName(f))
+    d = mechanisms._labelled(spark, SF)
+    known = f.where(" and ".join(f"{c} is not null" for c in [*mechanisms._SETS["all"], "post21"])).count()
+    assert d.agg(F.sum("weight")).first()[0] == 3 * known and d.count() <= known

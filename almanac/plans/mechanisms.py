@@ -204,8 +204,8 @@ def predictive_validity(spark, sf):
     known = " and ".join(f"{c} is not null" for c in [*_SETS["all"], "post5", "post21"])
     f = features(spark, sf).where(known).select("event_id", "event_date", "top", "post5", "post21", *[c for c in _SETS["all"] if c != "top"])
     f = select.decile(f, [], [F.asc("event_date"), F.asc("event_id")], "tenth")
-    low = stats.quantiles(f, [], "post21", {"q": 0.25}).first()["q"]
     f = written(f, "dated")
+    low = stats.quantiles(f, [], "post21", {"q": 0.25}).first()["q"]
     targets = {"positive_5": F.col("post5") > 0, "positive_21": F.col("post21") > 0, "bottom_quarter_21": F.col("post21") <= F.lit(low)}
     steps = [VectorAssembler(inputCols=_SETS["all"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(maxIter=15, regParam=0.01)]
     out = None
@@ -216,6 +216,7 @@ def predictive_validity(spark, sf):
         if likely in (None, 0.0, 1.0):
             continue
         scored = Pipeline(stages=steps).fit(train).transform(test).select("label", "prediction", F.round(vector_to_array("probability")[1], 9).alias("p"))
+        scored = written(scored, "scored")
         area = stats.rank_area(scored, [], "p", F.col("label") == 1)
         hits = scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"), F.avg((F.col("label") == float(likely >= 0.5)).cast("double")).alias("majority"))
         one = area.crossJoin(F.broadcast(hits)).select(F.lit(name).alias("target"), "n", "positives", *r6("majority", "accuracy", "area"))

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,9 @@ FEWEST = 4
 MOST = 1 << 22
 #: Terms that a counting task holds before it passes them on.
 HELD = 1 << 20
+#: Bytes of text whose words are taken at once, or one text, whatever a batch holds: temporaries take many times that. A run's
+#: rows count with the bytes of their results as well.
+PIECE, RESULT = 1 << 19, 1 << 10
 
 SIGNATURES = len(LEVELS) * EACH
 
@@ -102,6 +106,16 @@ def written(prints: np.ndarray) -> list[str]:
 # ---------------------------------------------------------------- the lexicon
 
 
+def pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in slices of about PIECE bytes, at least one text each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PIECE, side="right")))
+        yield texts[lo:hi]
+        lo = hi
+
+
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of a task that hold each term, passed on when so many terms are held."""
     parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -113,17 +127,17 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch_of(terms: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], names=["term", "n"])
 
-    loose = 0
+    loose = 0  # terms that came since parts were put together
     for batch in batches:
-        terms, _, at = distinct_terms(batch.column("text"))
-        parts.append((terms, np.bincount(at, minlength=len(terms)).astype(np.int64)))
-        loose += len(terms)
-        if loose > 2 * HELD:
-            parts[:] = [together()]
-            loose = len(parts[0][0])
-            if loose > HELD:
-                yield batch_of(*parts.pop())
+        for texts in pieces(batch.column("text")):
+            terms, _, at = distinct_terms(texts)
+            parts.append((terms, np.bincount(at, minlength=len(terms)).astype(np.int64)))
+            loose += len(terms)
+            if loose > HELD // 2:
+                parts[:] = [together()]
                 loose = 0
+                if len(parts[0][0]) > HELD:
+                    yield batch_of(*parts.pop())
     if parts:
         yield batch_of(*together())
 
@@ -181,21 +195,30 @@ def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sorted_runs(lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition's rows in order, each beside the next; the last one stays open, and is given with its text."""
-        ids, texts, part, first = [], [], None, True
+        ids, texts, part, first, size = [], [], None, True, 0
         expand = zstandard.ZstdDecompressor().decompress
 
         def rows(columns: list, n: int, head: list, tail: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([*columns, pa.array([part] * n, pa.int32()), pa.array(head, pa.string()), pa.array(tail, pa.string())], names=[*NAMES, "part", "head", "tail"])
 
+        def closed() -> pa.RecordBatch:
+            n = len(ids) - 1
+            return rows(results(ids[:-1], texts[:-1], texts[1:], lexicon.value), n, [texts[0] if first else None] + [None] * (n - 1), [None] * n)
+
         for batch in batches:
-            ids += batch.column("doc_id").to_pylist()
-            texts += [expand(t).decode() for t in batch.column("body").to_pylist()]
-            if part is None and ids:
+            if part is None and batch.num_rows:
                 part = batch.column("part")[0].as_py()
-            if len(ids) > 1:
-                n = len(ids) - 1
-                yield rows(results(ids[:-1], texts[:-1], texts[1:], lexicon.value), n, [texts[0] if first else None] + [None] * (n - 1), [None] * n)
-                ids, texts, first = ids[-1:], texts[-1:], False
+            for doc_id, body in zip(batch.column("doc_id").to_pylist(), batch.column("body")):
+                text = expand(body.as_buffer())  # a batch of bodies may hold any number of times as much text
+                ids.append(doc_id)
+                texts.append(text.decode())
+                size += len(text) + RESULT
+                if size > PIECE and len(ids) > 1:
+                    yield closed()
+                    ids, texts, first, size = ids[-1:], texts[-1:], False, len(text) + RESULT
+        if len(ids) > 1:
+            yield closed()
+            ids, texts, first = ids[-1:], texts[-1:], False
         if ids:
             none = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.string())] * 3, *[pa.nulls(1, pa.float64())] * 2]
             none[0] = pa.array(ids, pa.int64())
@@ -222,7 +245,7 @@ def fingerprint_edits(docs: DataFrame, common: float = COMMON, rare: float = RAR
     Documents come in the order of doc_id, a null one last, rows that share one in that of their texts' xxhash64; after the last comes
     the first, so a single row is its own next. A null or empty text has no terms and signatures of zeros, which are alike to
     each other. Equal texts have equal fingerprints. Texts with fewer than FEWEST terms in the band take all their words. A
-    text of any length is taken whole, and a task holds a batch and two texts. An empty table gives an empty table; columns
+    text of any length is taken whole, and a task holds a batch, a piece and two texts. An empty table gives an empty table; columns
     other than doc_id and text take no part.
 
     The texts are dealt out, compressed, by ranges of doc_id and sorted there, once; what a run's last text needs of the next run's first

@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -177,6 +178,30 @@ def test_fingerprints_are_alike_as_sets_of_terms_are(spark, docs):
     same(digest_of(queries.table(spark, SF, "documents").where("doc_id = 3")), brute_imatch([r for r in rows if r[0] == 3]))
 
 
+def test_workers_take_texts_by_pieces_however_well_they_compress(monkeypatch):
+    texts = ["", "a b", *(f"Word{k % 50} again and é " * 4000 for k in range(100)), "", "long " * 150_000, "c"]
+    n, longest = len(texts), max(len(t.encode()) for t in texts)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int64()), pa.array(texts)], names=["doc_id", "tie", "text"])
+    (bodies,) = imatch.compressed([rows])
+    assert bodies.nbytes < 100_000 < 8 << 20 < rows.nbytes
+    batch = pa.RecordBatch.from_arrays([*bodies.columns, pa.array([3] * n, pa.int32())], names=["doc_id", "tie", "body", "part"])
+    sizes = []
+    monkeypatch.setattr(imatch, "Words", lambda t: (sizes.append(t.nbytes), Words(t))[1])
+
+    def run():
+        return pa.Table.from_batches(imatch.sorted_runs(SimpleNamespace(value=np.zeros(0, np.uint64)))(iter([batch]))).to_pylist()
+
+    def counts():
+        return sorted(tuple(r.values()) for b in imatch.count_terms(iter([rows])) for r in b.to_pylist())
+
+    got = run(), counts()
+    assert max(sizes) <= 4 * longest < rows.nbytes / 2
+    assert [r["doc_id"] for r in got[0]] == list(range(n)) and [r["head"] for r in got[0]] == [""] + [None] * (n - 1) and [r["tail"] for r in got[0]] == [None] * (n - 1) + ["c"]
+    for piece in (1, 1 << 40):
+        monkeypatch.setattr(imatch, "PIECE", piece)
+        assert (run(), counts()) == got
+
+
 def test_equal_texts_have_equal_fingerprints_and_others_have_not(spark):
     out = queries.op13_imatch(spark, SF).select("doc_id", "fingerprint").collect()
     text = {r["doc_id"]: r["text"] for r in queries.table(spark, SF, "documents").collect()}

@@ -166,3 +166,47 @@ def test_equal_labelled_rows_are_one_that_weighs_as_many(spark, monkeypatch):
     d = mechanisms._labelled(spark, SF)
     known = f.where(" and ".join(f"{c} is not null" for c in [*mechanisms._SETS["all"], "post21"])).count()
     assert d.agg(F.sum("weight")).first()[0] == 3 * known and d.count() <= known
+
+
+def _drawn(rows, draws, seed):
+    """Means of draws of rows (g, k, v), by group in the order of k."""
+    d, sums = np.arange(draws)[:, None], np.zeros(draws)
+    for _, of in rows.sort_values("k").groupby("g"):
+        u = (of["k"].to_numpy() * 48271 + d * 69621 + seed) % resample.PRIME
+        u = ((u * u + 12345) % resample.PRIME * 16807) % resample.PRIME
+        u = ((u * u + 54321) % resample.PRIME + 0.5) / resample.PRIME
+        sums += of["v"].to_numpy()[np.floor(u * len(of)).astype(int)].sum(1)
+    return sums / rows["g"].notna().sum()
+
+
+def test_long_horizons_are_all_drawn_fifty_times(spark):
+    i = index(spark, SF)
+    r = returns.horizon_returns(returns.align(aligned(spark, SF).drop("adj_date", "idx", "trade_date"), i), i, [21, 63, 126, 252]).where("ar is not null").toPandas()
+    got = {(o["horizon"], o["draws"]): o for o in plans.queries()["long_horizon_permutation"](spark, SF).collect()}
+    assert {h for h, draws in got if draws == 50} == {21, 63, 126, 252}
+    for (h, draws), o in got.items():
+        rows = r[r["h"] == h].rename(columns={"ticker": "g", "event_id": "k", "ar": "v"})
+        means = _drawn(rows, draws, 11)
+        assert o["n"] == len(rows) > 0 and o["drawn_mean"] == pytest.approx(means.mean(), abs=2e-6)
+        assert o["p"] == pytest.approx(np.mean(np.abs(means) >= abs(rows["v"].mean())), abs=2e-6)
+
+
+def test_columns_are_drawn_from_the_rows_that_have_them(spark):
+    n, draws = 150_000, 6  # one group of three blocks, small ones, one whose rows lack x, rows without a group
+    rng, k = np.random.default_rng(4), np.arange(n)
+    g = np.where(k % 50 == 0, None, np.where(k % 40 == 1, "few", np.where(k % 1000 == 3, "none", "hot")))
+    x = [None if a == "none" or b % 3 == 0 else float(c) for a, b, c in zip(g, k, rng.normal(1, 1, n).round(3))]
+    y = rng.normal(0, 1, n).round(3).tolist()
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "k": k, "x": pd.Series(x, dtype=object), "y": y}), "g string, k long, x double, y double").withColumn("z", F.lit(None).cast("double"))
+    got = {(o["x"], o["draws"]): o for o in resample.within_groups(df.repartition(7), "g", "k", ["x", "y", "z"], draws, 9, [2, draws]).collect()}
+    assert len(got) == 6
+    for name, v in (("x", x), ("y", y)):
+        rows = pd.DataFrame({"g": g, "k": k, "v": v}).dropna(subset="v")
+        means = _drawn(rows, draws, 9)
+        for look in (2, draws):
+            o = got[name, look]
+            assert o["n"] == len(rows) and o["mean"] == pytest.approx(rows["v"].mean()) and o["drawn_mean"] == pytest.approx(means[:look].mean(), abs=1e-12)
+            assert o["p"] == pytest.approx(np.mean(np.abs(means[:look]) >= abs(rows["v"].mean())))
+    for look in (2, draws):
+        o = got["z", look]
+        assert (o["n"], o["mean"], o["drawn_mean"], o["p"]) == (0, None, None, None)
